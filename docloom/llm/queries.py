@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, neardup, sql
+from docloom.llm import bpe_tree, decontaminate, kneser_ney, langid, neardup, sql, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_winnowing": decontaminate.op3_winnowing,
+        "op6_kneser_ney": kneser_ney.op6_kneser_ney,
         "op7_minhash_join": neardup.op7_minhash_join,
+        "op8_token_files": token_files.op8_token_files,
+        "op9_bpe_tree": bpe_tree.op9_bpe_tree,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
