@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, decontaminate, kneser_ney, langid, neardup, sql, token_files
+from docloom.llm import bpe_tree, decontaminate, kneser_ney, langid, media, neardup, pii, sql, token_files, url_templates, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_webp": media.op1_webp,
+        "op2_url_templates": url_templates.op2_url_templates,
         "op3_winnowing": decontaminate.op3_winnowing,
+        "op4_pii_surrogates": pii.op4_pii_surrogates,
+        "op5_merkle_fixity": warc_fixity.op5_merkle_fixity,
         "op6_kneser_ney": kneser_ney.op6_kneser_ney,
         "op7_minhash_join": neardup.op7_minhash_join,
         "op8_token_files": token_files.op8_token_files,
