@@ -13,10 +13,11 @@ First names are permuted within the list of their gender; titles stay, so gender
 Card numbers keep the validity of their check digit, IP addresses stay IP addresses.
 
 Collision check: a surrogate must not be an entity of the corpus itself.  The distinct
-entities are joined with their surrogates; those that hit a real entity are permuted again
-until none does (cycle walking, which keeps the mapping one to one).  These exceptions are
-few; up to ``EXCEPTION_ROWS`` they are broadcast after a count, beyond that they are joined
-to their documents.
+entities are joined with their surrogates; those that hit a real entity try the permutation
+of the next key, and are accepted where the result is no real entity, no accepted surrogate
+and not wanted by another in the same round (the least entity goes first).  So the mapping
+stays one to one.  These exceptions are few; up to ``EXCEPTION_ROWS`` they are broadcast
+after a count, beyond that they are joined to their documents.
 
 Null texts stay null, empty ones empty; both have no entities.  Repeated rows give a row
 each.  Texts without entities come back unchanged.
@@ -40,7 +41,7 @@ from docloom.llm.tables import table, written
 KEY = b"docloom-surrogates"
 EXCEPTION_ROWS = 100_000
 ROUNDS = 8
-MAX_WALK = 32
+MAX_TRIES = 32
 
 FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Helen", "Ines", "Irene", "Julia", "Laura", "Lucia", "Marie", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Teresa", "Vera")
 MALE = ("Adam", "Albert", "Anton", "Bruno", "Carlos", "Daniel", "David", "Eric", "Felix", "Frank", "Hugo", "Ivan", "James", "John", "Jorge", "Karl", "Leo", "Louis", "Mark", "Martin", "Oscar", "Paul", "Peter", "Thomas")
@@ -174,19 +175,23 @@ def _shuffled(names: tuple[str, ...], key: bytes) -> dict[str, str]:
     return dict(zip(order, [*order[1:], order[0]]))
 
 
-def _name(text: str, kind: str, key: bytes) -> str:
+def _name(text: str, key: bytes) -> str:
     first, _, last = text.partition(" ")
     if not last:
         return _permute(first, key, "surname")
-    listed = [n for k, n in (("name_m", FEMALE), ("name_f", MALE)) if kind != k and first in n]
-    if listed:
-        return f"{_shuffled(listed[0], key)[first]} {_permute(last, key, 'surname')}"
+    for names in (FEMALE, MALE):
+        if first in names:
+            return f"{_shuffled(names, key)[first]} {_permute(last, key, 'surname')}"
     new = _permute(first, key, "first")
     while new in FEMALE or new in MALE:  # walks on: listed names are the images of listed names only
         new = _permute(new, key, "first")
     return f"{new} {_permute(last, key, 'surname')}"
 
 
+def family(kind: str) -> str:
+    return "name" if kind.startswith("name") else kind
+
+
 def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     """One step of the permutation of this kind."""
     if kind == "email":
@@ -201,7 +206,7 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     if kind == "hex" and entity in (entity.upper(), entity.lower()):
         return _permute(entity, key, "hex", True)
     if kind.startswith("name"):
-        return _name(entity, kind, key)
+        return _name(entity, key)
     if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", entity)):
         return country[0] + _permute(entity[country.end() :], key, country[0])
     return _permute(entity, key, kind)
@@ -211,14 +216,14 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row_key, kind, entity) of each mention, once a row; row_key is the text's hash."""
+    """(row_key, kind, entity) of each mention, once a row; row_key is the text's hash, kind the same for all names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, kinds, found = [], [], []
             for k, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py()
-                for e in {(kind, text[a:b]) for a, b, kind in detect(text or "")}:
+                for e in {(family(kind), text[a:b]) for a, b, kind in detect(text or "")}:
                     keys.append(k.as_py())
                     kinds.append(e[0])
                     found.append(e[1])
@@ -230,30 +235,35 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, entity, surrogate) of the entities whose first surrogate is an entity of the corpus."""
     spark = mentions.sparkSession
+    schema = "kind string, entity string, surrogate string"
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [surrogate(k, s, key) for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+    def tried(rows: DataFrame, turn: int) -> DataFrame:
+        own = key if not turn else hmac.new(key, f"try {turn}".encode(), hashlib.sha256).digest()
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = [surrogate(k, s, own) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+        return rows.select("kind", "entity").mapInArrow(step, schema)
 
-    schema = "kind string, entity string, surrogate string"
     known = written(mentions.select("kind", "entity").distinct(), "entities")
-    real = known.select(F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind")).alias("family"), F.col("entity").alias("real")).distinct()
-    now = known.withColumn("surrogate", F.col("entity"))
+    first = written(tried(known, 0), "surrogates")
+    real = known.select("kind", F.col("entity").alias("surrogate"))
+    taken = real.union(first.select("kind", "surrogate"))
+    left = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity"), "collisions")
     done = spark.createDataFrame([], schema)
-    for walk in range(MAX_WALK):
-        now = written(now.mapInArrow(step, schema), "surrogates")
-        family = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
-        tagged = now.withColumn("family", family)
-        hit = (tagged["family"] == real["family"]) & (tagged["surrogate"] == real["real"])
-        if walk:
-            done = done.union(tagged.join(real, hit, "left_anti").select("kind", "entity", "surrogate"))
-        now = written(tagged.join(real, hit, "left_semi").select("kind", "entity", "surrogate"), "collisions")
-        if now.isEmpty():
+    for turn in range(1, MAX_TRIES):
+        if left.isEmpty():
             return done
+        now = written(tried(left, turn), "surrogates")
+        free = now.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        good = written(free.select("kind", "entity", "surrogate"), "accepted")
+        done, taken = done.union(good), taken.union(good.select("kind", "surrogate"))
+        left = written(left.join(good, ["kind", "entity"], "left_anti"), "collisions")
     # a format so small that the corpus fills it: lengthened by a keyed tag
     tag = F.substring(F.sha2(F.concat(F.lit(key.hex()), F.col("kind"), F.lit("|"), F.col("entity")), 256), 1, 12)
-    return done.union(now.withColumn("surrogate", F.concat("surrogate", tag)))
+    return done.union(left.select("kind", "entity", F.concat("entity", tag).alias("surrogate")))
 
 
 def _rewrite(docs: DataFrame, text_col: str, key: bytes, given: object | None, walks_col: str | None) -> DataFrame:
@@ -273,7 +283,7 @@ def _rewrite(docs: DataFrame, text_col: str, key: bytes, given: object | None, w
                 out, last, mine, size = [], 0, [], 0
                 for a, b, kind in detect(text or ""):
                     entity = text[a:b]
-                    new = own.get((kind, entity)) or surrogate(kind, entity, key)
+                    new = own.get((family(kind), entity)) or surrogate(kind, entity, key)
                     out += [text[last:a], new]
                     size += a - last
                     mine.append({"kind": kind, "start": size, "end": size + len(new)})
