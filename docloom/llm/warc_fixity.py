@@ -43,7 +43,7 @@ def record_bytes(id_col: Column, url: Column, body: Column) -> Column:
 def manifest(records: DataFrame) -> DataFrame:
     """(page_id, slot, file, record_offset, record_bytes, record_sha256) of a table (page_id, record)."""
     sha = F.sha2("record", 256)
-    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("record"), F.lit(1 << 40))
+    spare = F.lit(1 << 44) + F.pmod(F.xxhash64("record"), F.lit(1 << 30))
     hashed = records.select("page_id", F.coalesce("page_id", spare).alias("slot"), F.octet_length("record").cast("long").alias("record_bytes"), sha.alias("record_sha256"))
     hashed = hashed.withColumn("file", F.shiftright("slot", 2 * _BITS))
     before = Window.partitionBy("file").orderBy("slot", "record_sha256").rowsBetween(Window.unboundedPreceding, -1)
