@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import chunking, evidence, listing, merge, stats, textpipe, vectors
+from docloom.operators import builder, chunking, evidence, listing, merge, router, stats, textpipe, vectors
 from docloom.plans import bindings as b
 from docloom.sources import readers
 from docloom.streaming import streams
@@ -518,3 +518,196 @@ def _coalesced(spark, d):
 @query("stm02_rate_limit")
 def _rate(spark, d):
     return streams.rate_limit(b.raw(spark, d, "events"), [(3, 3600.0), (5, 86400.0)])
+
+
+# --- ready-data artifacts ---------------------------------------------------------------
+
+
+@query("srh11_doc_catalog", r"SELECT regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS doc_id, file_url, title, category, summary FROM files f JOIN catalog c ON f.url = c.file_url AND status = 'ok'")
+def _doc_catalog(spark, d):
+    return builder.doc_catalog(b.files(spark, d), b.catalog(spark, d)).select("doc_id", "file_url", "title", "category", "summary")
+
+
+@query("srh11_sections", r"SELECT doc_id, count(*) AS n FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY doc_id")
+def _section_counts(spark, d):
+    return builder.sections(b.raw(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("srh11_formulas", """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+ SELECT doc_id, count(*) AS n FROM l WHERE contains(line, '=') AND length(line) <= 320 AND regexp_matches(line, '\\p{L}') AND NOT starts_with(line, '|') GROUP BY doc_id""")
+def _formula_counts(spark, d):
+    return builder.formulas(builder.sections(b.raw(spark, d, "documents"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("agg21_fingerprint")
+def _fingerprint(spark, d):
+    return builder.fingerprint(b.files(spark, d).drop("text"), "id")
+
+
+@query("str08_word_counts", r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS BIGINT) AS n FROM conversations")
+def _word_counts(spark, d):
+    return b.raw(spark, d, "conversations").select("conv_id", "turn", tx.word_count("text").cast("long").alias("n"))
+
+
+# --- routing and retrieval --------------------------------------------------------------
+
+
+@query("txt15_intents", """SELECT conv_id, turn, CASE WHEN contains(lower(text), 'compare') OR contains(lower(text), 'difference') OR contains(lower(text), 'versus') OR contains(lower(text), ' vs ') THEN 'comparative'
+ WHEN contains(lower(text), 'how to') OR contains(lower(text), 'steps') OR contains(lower(text), 'procedure') THEN 'procedural' WHEN contains(lower(text), 'explain') OR contains(lower(text), 'why') OR contains(lower(text), 'what is') THEN 'explanatory'
+ WHEN contains(lower(text), 'what is the') OR contains(lower(text), 'when') OR contains(lower(text), 'who') OR contains(lower(text), 'how many') THEN 'factual' ELSE 'general' END AS intent FROM conversations""")
+def _intents(spark, d):
+    return b.raw(spark, d, "conversations").select("conv_id", "turn", router.intent(F.col("text")).alias("intent"))
+
+
+@query("txt16_select_collections", """WITH q AS (SELECT item_id, list_distinct(list_filter(['en', 'fr', 'de', 'es'], lambda x: contains(text, x))) AS k FROM benchmark),
+ kb AS (SELECT * FROM (VALUES ('a', ['en']), ('b', ['en', 'de']), ('c', ['es', 'fr']), ('z', ['xx'])) t(kb_id, k)),
+ r AS (SELECT item_id, kb_id, CASE WHEN len(q.k) = 0 THEN 0 ELSE len(list_intersect(q.k, kb.k)) / len(q.k) END * 0.4 AS relevance FROM q, kb),
+ w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, kb_id) AS rn, max(relevance) OVER (PARTITION BY item_id) AS top FROM r)
+ SELECT item_id AS query_id, kb_id, round(relevance, 6) AS relevance FROM w WHERE rn = 1 OR (rn <= 4 AND relevance >= 0.3 AND top - relevance <= 0.2)""")
+def _select_kbs(spark, d):
+    kbs = spark.createDataFrame([("a", ["en"], []), ("b", ["en", "de"], []), ("c", ["es", "fr"], []), ("z", ["xx"], [])], "kb_id string, categories array<string>, keywords array<string>")
+    found = F.filter(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), lambda x: F.contains(F.col("text"), x))
+    none = F.array().cast("array<string>")
+    q = b.raw(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), found.alias("q_categories"), none.alias("q_keywords"), none.alias("q_entities"))
+    return router.select_collections(q, kbs).withColumn("relevance", F.round("relevance", 6))
+
+
+@query("joi18_similar_results", """WITH c AS (SELECT conv_id, turn, text FROM conversations)
+ SELECT x.conv_id AS query_id, x.turn AS a, y.turn AS b, round(CASE WHEN contains(x.text, y.text) OR contains(y.text, x.text) THEN least(length(x.text), length(y.text)) / greatest(length(x.text), length(y.text))
+ ELSE len(list_distinct(list_intersect(string_split_regex(lower(x.text), '\\s+'), string_split_regex(lower(y.text), '\\s+')))) / len(list_distinct(list_concat(string_split_regex(lower(x.text), '\\s+'), string_split_regex(lower(y.text), '\\s+')))) END, 6) AS ratio
+ FROM c x JOIN c y ON x.conv_id = y.conv_id AND x.turn < y.turn""")
+def _similar(spark, d):
+    chunks = b.raw(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), F.col("text").alias("content"))
+    return router.similar_chunks(chunks).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("vec06_threshold_search", f"SELECT vec_id, round(1 - {_D2} / 2, 5) AS score FROM embeddings WHERE label = 3 AND 1 - {_D2} / 2 >= 0.05 ORDER BY {_D2}, vec_id LIMIT 20")
+def _threshold(spark, d):
+    v = b.raw(spark, d, "embeddings").filter("label = 3")
+    return vectors.search(v, _query_vector(spark, d), 20, 0.05, "cosine").select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("vec04_remove_compact", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+def _compact(spark, d):
+    v = b.raw(spark, d, "embeddings")
+    gone = v.filter("vec_id % 3 = 0").select("vec_id")
+    return merge.delete_rows(v, gone, ["vec_id"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("vec10_citations", "SELECT source_site, min(id) AS id FROM (SELECT source_site, id FROM files ORDER BY id LIMIT 200) GROUP BY source_site")
+def _citations(spark, d):
+    top = b.files(spark, d).select("source_site", "id").orderBy("id").limit(200)
+    return merge.latest(top, ["source_site"], F.asc("id"))
+
+
+# --- more reads, writes and state -------------------------------------------------------
+
+
+@query("src01_iter_files", "SELECT id, url FROM files f LEFT JOIN catalog c ON f.url = c.file_url WHERE trim(local_path) <> '' AND (contains(lower(source_site), 'src1') OR contains(lower(url), 'src1')) AND (c.file_url IS NULL OR file_sha256 <> sha256) ORDER BY id LIMIT 50")
+def _iter_files(spark, d):
+    j = listing.with_catalog(b.files(spark, d), b.catalog(spark, d))
+    return j.filter(~tx.blank("local_path") & tx.contains_any("src1", "source_site", "url") & (F.col("file_url").isNull() | (F.col("file_sha256") != F.col("sha256")))).orderBy("id").limit(50).select("id", "url")
+
+
+@query("snk03_export_catalog", "SELECT file_url, category, CASE WHEN starts_with(keywords, '[') THEN array_to_string(CAST(keywords::JSON AS VARCHAR[]), ', ') ELSE keywords END AS keywords FROM catalog")
+def _export_catalog(spark, d):
+    return b.catalog(spark, d).select("file_url", "category", F.array_join(tx.keyword_list("keywords"), ", ").alias("keywords"))
+
+
+@query("agg01_file_count", "SELECT count(*) AS total FROM files WHERE trim(coalesce(local_path, '')) <> '' AND deleted_at IS NULL")
+def _file_count(spark, d):
+    return listing.count_files(b.files(spark, d), b.catalog(spark, d))
+
+
+@query("agg06_chunk_stats", "SELECT profile_id, count(DISTINCT file_url) AS files, count(*) AS sets, CAST(sum(chunk_count) AS BIGINT) AS chunks, count(DISTINCT CASE WHEN status = 'ready' THEN file_url END) AS ready_files FROM chunk_sets GROUP BY profile_id")
+def _chunk_stats(spark, d):
+    return b.chunk_sets(spark, d).groupBy("profile_id").agg(F.countDistinct("file_url").alias("files"), F.count("*").alias("sets"), F.sum("chunk_count").alias("chunks"), F.countDistinct(F.when(F.col("status") == "ready", F.col("file_url"))).alias("ready_files"))
+
+
+@query("agg08_source_status", "SELECT k.kb_id, greatest(max(indexed_at), max(markdown_updated_at)) AS newest FROM kb_files k LEFT JOIN catalog c ON c.file_url = k.file_url GROUP BY k.kb_id")
+def _source_status(spark, d):
+    j = b.kb_files(spark, d).join(b.catalog(spark, d).select("file_url", "markdown_updated_at"), "file_url", "left")
+    return j.groupBy("kb_id").agg(F.greatest(F.max("indexed_at"), F.max("markdown_updated_at")).alias("newest"))
+
+
+@query("agg19_word_pairs", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations), p AS (SELECT ws[i] || ' ' || ws[i + 1] AS pair FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT pair, count(*) AS n FROM p GROUP BY pair")
+def _word_pairs(spark, d):
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    rows = b.raw(spark, d, "conversations").select(ws.alias("ws")).filter(F.size("ws") > 1)
+    pairs = F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws") - 1), lambda x, y: F.concat_ws(" ", x, y))
+    return rows.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+@query("dml03_upsert_catalog", "SELECT coalesce(o.file_url, n.file_url) AS file_url, CASE WHEN n.file_url IS NOT NULL THEN 'ok' ELSE o.status END AS status, o.summary FROM (SELECT * FROM catalog WHERE cid % 4 <> 0) o FULL OUTER JOIN (SELECT * FROM catalog WHERE cid % 6 = 0) n ON o.file_url = n.file_url")
+def _upsert_catalog(spark, d):
+    c = b.catalog(spark, d).select("cid", "file_url", "status", "summary")
+    new = c.filter("cid % 6 = 0").select("file_url", F.lit("ok").alias("status"))
+    return merge.upsert(c.filter("cid % 4 <> 0").drop("cid"), new, ["file_url"])
+
+
+@query("dml07_partial_update", "SELECT id, CASE WHEN content_type = 'text/plain' THEN 'plain: ' || title ELSE title END AS title FROM files")
+def _partial(spark, d):
+    return merge.set_where(b.files(spark, d), F.col("content_type") == "text/plain", title=F.concat(F.lit("plain: "), "title")).select("id", "title")
+
+
+@query("dml10_replace_chunks", "SELECT chunk_set_id, chunk_count FROM chunk_sets WHERE NOT chunk_set_id LIKE '%-2' UNION ALL SELECT chunk_set_id, chunk_count * 10 FROM chunk_sets WHERE chunk_set_id LIKE '%-2'")
+def _replace_chunks(spark, d):
+    sets = b.chunk_sets(spark, d).select("chunk_set_id", "chunk_count")
+    new = sets.filter(F.col("chunk_set_id").endswith("-2")).withColumn("chunk_count", F.col("chunk_count") * 10)
+    return merge.delete_rows(sets, new.select("chunk_set_id"), ["chunk_set_id"]).unionByName(new)
+
+
+@query("dml15_set06_membership", "SELECT kb_id, count(*) AS n FROM (SELECT kb_id, file_url FROM kb_files WHERE fid % 2 = 0 UNION SELECT lang, url FROM files WHERE id % 3 = 0) GROUP BY kb_id")
+def _membership(spark, d):
+    old = b.kb_files(spark, d).filter("fid % 2 = 0").select("kb_id", "file_url")
+    new = b.files(spark, d).filter("id % 3 = 0").select(F.col("lang").alias("kb_id"), F.col("url").alias("file_url"))
+    return merge.insert_new(old, new, ["kb_id", "file_url"]).groupBy("kb_id").agg(F.count("*").alias("n"))
+
+
+@query("prj10_conversations", "SELECT conv_id, count(*) AS n, arg_min(text, turn) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id")
+def _conversations(spark, d):
+    first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
+    return b.messages(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"), first.alias("title"))
+
+
+@query("srt08_oldest_messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 2")
+def _oldest(spark, d):
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return b.messages(spark, d).withColumn("rn", rn).filter("rn <= 2").select("conv_id", "turn")
+
+
+@query("set05_ordered_dedupe", "SELECT host, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) WHERE host LIKE '%example.org' GROUP BY host")
+def _ordered(spark, d):
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    rows = b.raw(spark, d, "pages").select("page_id", host.alias("host")).filter(F.col("host").endswith("example.org"))
+    return merge.latest(rows, ["host"], F.asc("page_id")).select("host", "page_id")
+
+
+@query("stm05_freshness", "SELECT k.kb_id, k.file_url, CASE WHEN k.indexed_at IS NULL THEN 'pending_evaluation' WHEN c.markdown_updated_at > k.indexed_at AND c.status = 'error' THEN 'legacy_hard_gate' WHEN c.markdown_updated_at > k.indexed_at THEN 'stale' ELSE 'fresh' END AS freshness FROM kb_files k LEFT JOIN catalog c ON c.file_url = k.file_url")
+def _freshness(spark, d):
+    j = b.kb_files(spark, d).join(b.catalog(spark, d).select("file_url", "markdown_updated_at", "status"), "file_url", "left")
+    newer = F.col("markdown_updated_at") > F.col("indexed_at")
+    state = F.when(F.col("indexed_at").isNull(), "pending_evaluation").when(newer & (F.col("status") == "error"), "legacy_hard_gate").when(newer, "stale").otherwise("fresh")
+    return j.select("kb_id", "file_url", state.alias("freshness"))
+
+
+@query("stm11_first_arrivals", "SELECT sha256, arg_min(id, id) AS id FROM files GROUP BY sha256")
+def _arrivals(spark, d):
+    return streams.first_arrivals(b.files(spark, d).select("sha256", "id"), "sha256", "id")
+
+
+# --- joins and groups over the sales tables ---------------------------------------------
+
+
+@query("sales_pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
+def _pricing(spark, d):
+    rows = b.raw(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("sales_region_orders", "SELECT r_name, count(*) AS n, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def _region(spark, d):
+    geo = b.raw(spark, d, "nation").join(b.raw(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = b.raw(spark, d, "orders").join(b.raw(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("r_name").agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("customers"))
