@@ -60,3 +60,32 @@ def evaluate(results: DataFrame, cases: DataFrame) -> DataFrame:
     hits = results.groupBy("case_id").agg(F.sum(F.col("hit").cast("int")).alias("hits"))
     j = cases.join(hits, "case_id", "left").withColumn("ok", F.coalesce("hits", F.lit(0)) >= F.col("min_hits"))
     return j.agg(F.count("*").alias("n_cases"), F.count(F.when(F.col("ok"), 1)).alias("n_passed"), F.round(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0)), 6).alias("pass_rate"))
+
+
+def evidence_key(df: DataFrame) -> Column:
+    """The most specific identity of a piece of evidence: formula, table, term, relation, section, document."""
+    names = ("formula_id", "table_id", "term_id", "target_id", "section_id", "doc_id")
+    return F.coalesce(*[F.concat(F.lit(f"{n}:"), F.nullif(F.col(n).cast("string"), F.lit(""))) for n in names if n in df.columns])
+
+
+def merge_evidence(steps: DataFrame) -> DataFrame:
+    """One row a key: the first step's score and position, all tools in step order."""
+    keyed = steps.withColumn("key", evidence_key(steps))
+    one = keyed.groupBy("key", "tool").agg(F.min("step_no").alias("step_no"), F.max("score").alias("score"))
+    return one.groupBy("key").agg(F.min("step_no").alias("first_step"), F.max("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("step_no", "tool"))), lambda x: x["tool"]).alias("tools"))
+
+
+def plan_steps(category: str, artifacts: set[str]) -> list[str]:
+    """Tools to run, in order, for a question class and the artifacts at hand."""
+    first = {"summary": ["summaries"], "locate": ["titles", "sections"], "catalog": ["titles", "summaries"], "document_qa": ["sections", "formulas", "tables", "terms", "relations"]}[category]
+    rest = [t for t in ("sections", "titles", "summaries") if t not in first]
+    return [t for t in [*first, *rest] if t in artifacts]
+
+
+def alias_score(alias: Column, query: str) -> Column:
+    """Exact 100; alias within the query 88 to 89; query of two words or more within the alias 80 to 81; by length ratio."""
+    q = " ".join(query.lower().split())
+    a = F.trim(F.regexp_replace(F.lower(alias), r"\s+", " "))
+    size = F.lit(float(max(1, len(q))))
+    inside = F.when(F.lit(len(q.split()) >= 2) & a.contains(q), 80 + F.try_divide(size, F.length(a)))
+    return F.when(a == q, 100.0).when((a != "") & F.lit(f" {q} ").contains(F.concat(F.lit(" "), a, F.lit(" "))), 88 + F.length(a) / size).otherwise(F.coalesce(inside, F.lit(0.0)))

@@ -711,3 +711,189 @@ def _region(spark, d):
     geo = b.raw(spark, d, "nation").join(b.raw(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     j = b.raw(spark, d, "orders").join(b.raw(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("r_name").agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("customers"))
+
+
+# --- status, scoring and projection helpers ---------------------------------------------
+
+
+@query("fil11_recent_scope", "SELECT url FROM files WHERE last_seen >= TIMESTAMP '2024-01-10' AND (source_site = 'src2' OR source_site = 'src3')")
+def _recent_scope(spark, d):
+    return b.files(spark, d).filter((F.col("last_seen") >= F.lit("2024-01-10").cast("timestamp")) & F.col("source_site").isin("src2", "src3")).select("url").distinct()
+
+
+@query("fil18_member_chunks", "SELECT count(*) FILTER (member) AS kept, count(*) FILTER (NOT member) AS removed FROM (SELECT EXISTS (SELECT 1 FROM bindings x WHERE x.file_url = s.file_url AND x.kb_id = 'en') AS member FROM chunk_sets s)")
+def _member_chunks(spark, d):
+    en = b.bindings(spark, d).filter("kb_id = 'en'").select("file_url", F.lit(1).alias("member")).distinct()
+    return b.chunk_sets(spark, d).join(en, "file_url", "left").agg(F.count("member").alias("kept"), F.count(F.when(F.col("member").isNull(), 1)).alias("removed"))
+
+
+@query("fil20_index_candidates", "SELECT kb_id, count(*) FILTER (md) AS selected, count(*) FILTER (NOT md) AS skipped FROM (SELECT k.kb_id, trim(coalesce(markdown_content, '')) <> '' AS md FROM kb_files k LEFT JOIN catalog c ON c.file_url = k.file_url WHERE indexed_at IS NULL) GROUP BY kb_id")
+def _index_candidates(spark, d):
+    j = b.kb_files(spark, d).filter("indexed_at IS NULL").join(b.catalog(spark, d).select("file_url", (~tx.blank("markdown_content")).alias("md")), "file_url", "left")
+    md = F.coalesce("md", F.lit(False))
+    return j.groupBy("kb_id").agg(F.count(F.when(md, 1)).alias("selected"), F.count(F.when(~md, 1)).alias("skipped"))
+
+
+@query("fil21_kb_availability", "SELECT kb_id, CASE WHEN count(indexed_at) = 0 THEN 'building' WHEN count(*) > count(indexed_at) THEN 'needs_reindex' ELSE 'ready' END AS availability FROM kb_files GROUP BY kb_id")
+def _availability(spark, d):
+    state = F.when(F.col("indexed") == 0, "building").when(F.col("pending") > 0, "needs_reindex").otherwise("ready")
+    return stats.kb_stats(b.kb_files(spark, d)).select("kb_id", state.alias("availability"))
+
+
+@query("fil23_error_classes", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'spam|pills') THEN 'blocked' WHEN regexp_matches(lower(url), 'utm_|ref=') THEN 'tracked' ELSE 'plain' END AS class FROM pages")
+def _error_classes(spark, d):
+    u = F.lower("url")
+    return b.raw(spark, d, "pages").select("page_id", F.when(u.rlike("spam|pills"), "blocked").when(u.rlike("utm_|ref="), "tracked").otherwise("plain").alias("class"))
+
+
+@query("prj03_kb_search", "SELECT kb_id, score FROM (SELECT DISTINCT kb_id, CASE WHEN contains(kb_id, 'e') THEN 10 ELSE 0 END + CASE WHEN contains('files in ' || kb_id, 's') THEN 5 ELSE 0 END AS score FROM kb_files) WHERE score > 5")
+def _kb_search(spark, d):
+    kb = b.kb_files(spark, d).select("kb_id").distinct()
+    score = F.when(F.col("kb_id").contains("e"), 10).otherwise(0) + F.when(F.concat(F.lit("files in "), "kb_id").contains("s"), 5).otherwise(0)
+    return kb.select("kb_id", score.alias("score")).filter("score > 5")
+
+
+@query("prj04_user_activity", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, max(ts) AS last_at FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20")
+def _activity(spark, d):
+    e = b.raw(spark, d, "events")
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.max("ts").alias("last_at")).orderBy(F.desc("n"), "user_id").limit(20)
+
+
+@query("prj12_file_preview", "SELECT s.chunk_set_id, s.chunk_count, (SELECT count(*) FROM bindings x WHERE x.chunk_set_id = s.chunk_set_id) AS bound FROM chunk_sets s WHERE s.file_url = 'doc://8'")
+def _preview(spark, d):
+    sets = b.chunk_sets(spark, d).filter("file_url = 'doc://8'")
+    n = b.bindings(spark, d).groupBy("chunk_set_id").agg(F.count("*").alias("n"))
+    return sets.join(n, "chunk_set_id", "left").select("chunk_set_id", "chunk_count", F.coalesce("n", F.lit(0)).alias("bound"))
+
+
+@query("joi10_latest_index_status", "SELECT DISTINCT file_url, first_value(chunk_set_id) OVER w AS chunk_set_id, first_value(status) OVER w AS status, first_value(chunk_count) OVER w AS chunk_count FROM chunk_sets WINDOW w AS (PARTITION BY file_url ORDER BY updated_at DESC, chunk_set_id DESC)")
+def _index_status(spark, d):
+    return merge.latest(b.chunk_sets(spark, d), ["file_url"], F.desc("updated_at"), F.desc("chunk_set_id")).select("file_url", "chunk_set_id", "status", "chunk_count")
+
+
+@query("joi16_trace_relations", """WITH e AS (SELECT 'in_source' AS relation_type, CAST(doc_id AS VARCHAR) AS doc_id, source AS target_id FROM documents UNION ALL SELECT 'in_lang', CAST(doc_id AS VARCHAR), lang FROM documents),
+ f AS (SELECT *, 7.0 AS score FROM e WHERE contains(lower(relation_type || ' ' || doc_id || ' ' || target_id), 'src19') ORDER BY doc_id, relation_type, target_id LIMIT 20)
+ SELECT relation_type, target_id, doc_id, CAST(score AS DOUBLE) AS score FROM f UNION ALL
+ SELECT relation_type, target_id, min(doc_id), 0.5 FROM e WHERE doc_id IN (SELECT doc_id FROM f) AND NOT EXISTS (SELECT 1 FROM f WHERE f.relation_type = e.relation_type AND f.target_id = e.target_id) GROUP BY relation_type, target_id""")
+def _relations(spark, d):
+    docs = b.raw(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang")
+    edges = docs.select(F.lit("in_source").alias("relation_type"), "doc_id", F.col("source").alias("target_id")).union(docs.select(F.lit("in_lang"), "doc_id", "lang"))
+    return evidence.trace_relations(edges, "src19")
+
+
+@query("joi20_file_kbs", "SELECT f.id, k.kb_id, k.indexed_at FROM files f LEFT JOIN kb_files k ON k.file_url = f.url WHERE f.id < 100 ORDER BY k.indexed_at IS NULL, k.indexed_at, f.id LIMIT 50")
+def _file_kbs(spark, d):
+    f = b.files(spark, d).filter("id < 100")
+    return f.join(b.kb_files(spark, d), f["url"] == F.col("file_url"), "left").orderBy(F.asc_nulls_last("indexed_at"), "id").limit(50).select("id", "kb_id", "indexed_at")
+
+
+@query("joi22_bind_latest", "SELECT c.file_url, arg_max(chunk_set_id, updated_at) AS chunk_set_id FROM catalog c JOIN chunk_sets s ON s.file_url = c.file_url AND s.status = 'ready' WHERE category = 'Pricing' GROUP BY c.file_url")
+def _bind_latest(spark, d):
+    wanted = b.catalog(spark, d).filter("category = 'Pricing'").select("file_url")
+    return merge.latest_ready_sets(b.chunk_sets(spark, d)).join(wanted, "file_url", "left_semi").select("file_url", "chunk_set_id")
+
+
+@query("agg17_agentic_rollup", "SELECT round(coalesce(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 1), 6) AS evidence_hit_rate, round(coalesce(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 0), 6) AS unsupported_rate FROM labels")
+def _agentic_rollup(spark, d):
+    rate = lambda c, none: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(none)), 6)
+    return b.raw(spark, d, "labels").agg(rate(F.col("quality") == 1, 1.0).alias("evidence_hit_rate"), rate(F.col("toxic") == 1, 0.0).alias("unsupported_rate"))
+
+
+@query("agg18_vector_stats", "SELECT label, count(*) AS n, min(len(embedding)) AS dim FROM embeddings GROUP BY label")
+def _vector_stats(spark, d):
+    return b.raw(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("dim"))
+
+
+@query("agg22_task_estimate", "SELECT kb_id, count(*) * 15 AS seconds, min(indexed_at) AS oldest FROM kb_files WHERE indexed_at IS NOT NULL GROUP BY kb_id")
+def _estimate(spark, d):
+    return b.kb_files(spark, d).filter("indexed_at IS NOT NULL").groupBy("kb_id").agg((F.count("*") * 15).alias("seconds"), F.min("indexed_at").alias("oldest"))
+
+
+@query("srt05_nulls_last", "SELECT fid FROM kb_files ORDER BY indexed_at IS NULL, indexed_at DESC, fid LIMIT 700")
+def _nulls_last(spark, d):
+    return b.kb_files(spark, d).orderBy(F.desc_nulls_last("indexed_at"), "fid").limit(700).select("fid")
+
+
+@query("srt07_distinct_by_hidden_key", "SELECT url FROM (SELECT DISTINCT url, last_seen FROM files) ORDER BY last_seen DESC, url LIMIT 30")
+def _hidden_key(spark, d):
+    return b.files(spark, d).select("url", "last_seen").dropDuplicates(["url"]).orderBy(F.desc("last_seen"), "url").limit(30).select("url")
+
+
+@query("set04_hit_overlap", "SELECT item_id, len(list_intersect(string_split(lower(text), ' '), ['the', 'of', 'de', 'la'])) AS hits FROM benchmark")
+def _overlap(spark, d):
+    words = F.split(F.lower("text"), " ")
+    return b.raw(spark, d, "benchmark").select("item_id", F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ("the", "of", "de", "la")]))).cast("long").alias("hits"))
+
+
+@query("set08_profiles_union", "SELECT kb_id, binding_mode AS profile FROM bindings UNION SELECT kb_id, 'general' FROM kb_files")
+def _profiles(spark, d):
+    return b.bindings(spark, d).select("kb_id", F.col("binding_mode").alias("profile")).union(b.kb_files(spark, d).select("kb_id", F.lit("general"))).distinct()
+
+
+@query("str05_alias_scores", "SELECT id, round(CASE WHEN contains(' files en fr ', ' ' || lang || ' ') THEN CAST(88 AS DOUBLE) + length(lang) / CAST(11 AS DOUBLE) ELSE 0 END, 4) AS score FROM files")
+def _alias(spark, d):
+    return b.files(spark, d).select("id", F.round(evidence.alias_score(F.col("lang"), "files en fr"), 4).alias("score"))
+
+
+@query("str09_heading_paths", "SELECT doc_id, CAST([] AS VARCHAR[]) AS headings FROM documents WHERE NOT regexp_matches(text, '(^|\\n)#{1,6}[ \\t]+')")
+def _headings(spark, d):
+    docs = b.raw(spark, d, "documents").filter(~F.col("text").rlike(r"(^|\n)#{1,6}[ \t]+"))
+    return docs.select("doc_id", builder.headings(F.col("text")).alias("headings"))
+
+
+@query("str17_content_hash", "SELECT page_id, sha256(html) AS sha FROM pages")
+def _hash(spark, d):
+    return b.raw(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
+
+
+@query("str23_generated_titles", "SELECT conv_id, turn, CASE WHEN length(text) > 50 THEN substring(text, 1, 50) || '...' ELSE text END AS title FROM conversations WHERE role = 'user'")
+def _generated(spark, d):
+    t = F.when(F.length("text") > 50, F.concat(F.substring("text", 1, 50), F.lit("..."))).otherwise(F.col("text"))
+    return b.raw(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", t.alias("title"))
+
+
+@query("dat05_retention", "SELECT id FROM files WHERE last_seen < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY")
+def _retention(spark, d):
+    return b.files(spark, d).filter(F.col("last_seen") < F.lit("2024-02-01").cast("timestamp") - F.expr("INTERVAL 20 DAYS")).select("id")
+
+
+@query("arr02_category_labels", "SELECT cid, list_sort(list_distinct(list_transform(string_split(category, ';'), lambda x: lower(trim(x))))) AS labels FROM catalog")
+def _labels(spark, d):
+    labels = F.array_sort(F.array_distinct(F.transform(F.split("category", ";"), lambda x: F.lower(F.trim(x)))))
+    return b.catalog(spark, d).select("cid", labels.alias("labels"))
+
+
+@query("txt13_fixed_windows", "SELECT doc_id, i AS start, substring(text, CAST(i + 1 AS BIGINT), 2000) AS part FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1800)) AS i FROM documents)")
+def _fixed(spark, d):
+    docs = b.raw(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(1800))).alias("start"))
+    return docs.select("doc_id", F.col("start").cast("long").alias("start"), F.substr("text", F.col("start") + 1, F.lit(2000)).alias("part"))
+
+
+@query("vec08_diversity", f"WITH s AS (SELECT vec_id, label, 1 - {_D2} / 2 AS score FROM embeddings ORDER BY {_D2}, vec_id LIMIT 50) SELECT vec_id, round(least(1.0, score + 0.3 / (1 + count(*) OVER (PARTITION BY label))), 5) AS adjusted FROM s")
+def _diversity(spark, d):
+    near = vectors.search(b.raw(spark, d, "embeddings"), _query_vector(spark, d), 50, metric="cosine")
+    return near.select("vec_id", F.round(F.least(F.lit(1.0), F.col("score") + 0.3 / (1 + F.count("*").over(Window.partitionBy("label")))), 5).alias("adjusted"))
+
+
+@query("srh03_search_sections", f"SELECT section_id, CAST(score AS DOUBLE) AS score FROM (SELECT conv_id || '#' || turn AS section_id, {_score_sql({'text': 1.0}, ['que', 'ing'])} AS score FROM conversations) WHERE score > 0 ORDER BY score DESC, section_id LIMIT 10")
+def _section_search(spark, d):
+    secs = b.raw(spark, d, "conversations").select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("section_id"), "text")
+    found = evidence.search(secs, "sections", "que, ing", 10, "section_id")
+    return found.select("section_id", "score")
+
+
+@query("srh10_merged_evidence", "SELECT 'doc_id:' || user_id AS key, min(event_id) AS first_step, CAST(max(value) AS DOUBLE) AS score, list(event_type ORDER BY e) AS tools FROM (SELECT user_id, event_type, min(event_id) AS event_id, min(event_id) AS e, max(value) AS value FROM events GROUP BY user_id, event_type) GROUP BY user_id")
+def _merged(spark, d):
+    steps = b.raw(spark, d, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("tool"), F.col("event_id").alias("step_no"), F.col("value").alias("score"))
+    return evidence.merge_evidence(steps)
+
+
+@query("dml04_last_seen", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, max(page_id) AS last_page FROM pages GROUP BY 1")
+def _last_seen(spark, d):
+    return b.raw(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.max("page_id").alias("last_page"))
+
+
+@query("dml11_validated_bindings", "SELECT x.chunk_set_id FROM bindings x WHERE EXISTS (SELECT 1 FROM chunk_sets s WHERE s.chunk_set_id = x.chunk_set_id AND s.file_url = x.file_url AND s.status = 'ready')")
+def _validated(spark, d):
+    ready = b.chunk_sets(spark, d).filter("status = 'ready'").select("chunk_set_id", "file_url")
+    return b.bindings(spark, d).join(ready, ["chunk_set_id", "file_url"], "left_semi").select("chunk_set_id")
