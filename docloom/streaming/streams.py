@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,24 +37,29 @@ def daily_quota(events: DataFrame, limit: int) -> DataFrame:
 def rate_limit(events: DataFrame, rules: list[tuple[int, float]]) -> DataFrame:
     """Sliding windows (count, seconds): an event passes if each rule has room; a refused one uses none.
 
-    The state of a user is what was let through, which a window frame can't express.
+    The state of a user is what was let through, which a window frame can't express.  Sorted
+    partitions are read in batches and only the times within the longest window are kept, so
+    a user with very many events needs no more memory than another.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        passed: list[float] = []
-        allowed = []
-        span = max(s for _, s in rules)
-        for t in frame["ts"].astype("int64") / 1e9 if str(frame["ts"].dtype).endswith("[ns]") else frame["ts"].astype("datetime64[ns]").astype("int64") / 1e9:
-            while passed and t - passed[0] >= span:
-                passed.pop(0)
-            ok = all(sum(t - p < s for p in passed) < n for n, s in rules)
-            if ok:
-                passed.append(t)
-            allowed.append(ok)
-        return frame.assign(allowed=allowed)[["event_id", "user_id", "ts", "allowed"]]
-
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, ts timestamp, allowed boolean")
+    span = max(s for _, s in rules)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, passed = None, deque()
+        for frame in frames:
+            allowed = []
+            for u, t in zip(frame["user_id"], frame["ts"].astype("datetime64[ns]").astype("int64") / 1e9):
+                if u != user:
+                    user, passed = u, deque()
+                while passed and t - passed[0] >= span:
+                    passed.popleft()
+                ok = all(sum(t - p < s for p in passed) < n for n, s in rules)
+                if ok:
+                    passed.append(t)
+                allowed.append(ok)
+            yield frame.assign(allowed=allowed)
+
+    rows = events.select("event_id", "user_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return rows.mapInPandas(run, "event_id long, user_id long, ts timestamp, allowed boolean")
 
 
 def first_arrivals(rows: DataFrame, key: str = "sha256", order: str = "ts") -> DataFrame:
@@ -72,3 +78,33 @@ def context_window(messages: DataFrame, budget: int) -> DataFrame:
     """The newest messages of each conversation whose tokens add up to at most the budget."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return messages.withColumn("used", F.sum("token_count").over(w)).filter(F.col("used") <= budget)
+
+
+def rate_limit_stream(events: DataFrame, rules: list[tuple[int, float]]) -> DataFrame:
+    """The sliding-window limiter over a stream; a user's state is the times let through within the longest window."""
+    span = max(s for _, s in rules)
+
+    def step(key, frames, state):
+        passed = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        allowed = []
+        for t in rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9:
+            passed = [p for p in passed if t - p < span]
+            ok = all(sum(t - p < s for p in passed) < n for n, s in rules)
+            if ok:
+                passed.append(t)
+            allowed.append(ok)
+        state.update((passed,))
+        yield rows.assign(allowed=allowed)[["event_id", "user_id", "ts", "allowed"]]
+
+    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, ts timestamp, allowed boolean", "passed array<double>", "append", "NoTimeout")
+
+
+def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Events by window and type; a window closes once the watermark has passed it, later rows are left out."""
+    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+
+
+def first_in_stream(rows: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
+    """The first row of each key, remembered for ``delay``: replays and copies within it are dropped."""
+    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
