@@ -136,7 +136,7 @@ def candidate_windows(docs: DataFrame, bloom: np.ndarray, short: list[int], id_c
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = KGRAM, bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
+    """One row a document: doc_id, text_hash (xxhash64), n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
     bench = item_windows(items, item_col, item_text, window, k)
     keys = bench.select("fp", "len").distinct()
     bloom = benchmark_filter(keys, bloom_bits)
@@ -151,6 +151,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))
     return per_doc.select(
         "doc_id",
+        F.col("copy_key").alias("text_hash"),
         F.col("n_words"),
         F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
         F.array_sort("items").alias("items"),
@@ -159,10 +160,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ).drop("copy")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that share no window with an item; columns as they are."""
-    dirty = decontaminate(docs, items, id_col).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, F.col(id_col) == F.col("dirty_id"), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that share no window with an item; columns as they are, null ids included."""
+    dirty = decontaminate(docs, items, id_col, text_col).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("dirty_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("text_hash"))
+    return docs.join(dirty, same, "left_anti")
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@
 Result, one row per input row: doc_id, class_id (least doc_id of the class), n_links
 (other distinct texts with similarity of at least the threshold), n_copies (rows with
 exactly this text).  Null texts count as empty; texts without words link to nothing but
-their exact copies.  Repeated rows are copies of one another.
+their exact copies.  Repeated rows are copies of one another.  A null doc_id
+never represents a class that has another id.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(signatures(keyed, bands, rows, size), "minhash")
     reps = written(sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     # a text's representative may be named by several rows: node ids are per text, not per doc_id
-    one = sigs.join(reps, (sigs["text_key"] == reps["text_key"]) & (sigs["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["text_key"])
+    one = sigs.join(reps, (sigs["text_key"] == reps["text_key"]) & sigs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").dropDuplicates(["text_key"])
     node = F.xxhash64("text_key")
     banded = one.select(node.alias("node"), F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -209,7 +210,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = candidates.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
     members = candidates.join(sized, "comp")
     of_text = reps.select(node.alias("node"), "rep", "text_key").join(members, "node")
-    texts = keyed.join(of_text.withColumnRenamed("text_key", "k"), (keyed["doc_id"] == of_text["rep"]) & (keyed["text_key"] == F.col("k")))
+    texts = keyed.join(of_text.withColumnRenamed("text_key", "k"), keyed["doc_id"].eqNullSafe(of_text["rep"]) & (keyed["text_key"] == F.col("k")))
     texts = texts.select("comp", "node", "blocks", "text").dropDuplicates(["node"])
     links = written(verified_links(shingle_sets(texts, size), threshold, block), "links")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
@@ -222,10 +223,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_class(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that stand for their class: the least doc_id of each stays."""
+    """The rows of docs that stand for their class: the least doc_id of each stays.
+
+    Rows without an id can't be told apart and all stay.
+    """
     classes = jaccard_classes(docs, **options)
     kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.filter("doc_id IS NULL"))
 
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,9 @@ def test_empty_tables(spark, make_docs, side):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     out = d.decontaminate(docs.limit(0) if side == "docs" else docs, items.limit(0) if side == "items" else items).collect()
     assert [r.n_hit for r in out] == ([] if side == "docs" else [0])
+
+
+def test_null_ids_are_judged_by_their_text(spark, make_docs):
+    docs = make_docs({None: "one two"}).union(make_docs({None: "three"})).union(make_docs({1: "four"}))
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert sorted(r.text for r in d.clean_documents(docs, items).collect()) == ["four", "three"]

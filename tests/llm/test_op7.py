@@ -81,3 +81,10 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 61), (61, 60)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(31)} | {60: 60, 61: 60}
+
+
+def test_null_ids(spark, make_docs):
+    docs = make_docs(["a b c d e f", "g h i j k l m"]).union(make_docs({None: "a b c d e f"})).union(make_docs({None: "only here one two three"}))
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in n.jaccard_classes(docs).collect()), key=repr)
+    assert got == [(0, 0, 2), (1, 1, 1), (None, 0, 2), (None, None, 1)]
+    assert n.one_per_class(docs).count() == 4
