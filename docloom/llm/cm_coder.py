@@ -26,8 +26,8 @@ MAGIC = b"CMX2"
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, crc32 of the ids, bytes of the id list, 16-bit words
 MAX_BLOCK = 8192
 REBUILD = 256
-SLOTS = 4096
-GAIN = 16
+SLOTS = 2048
+GAIN = 16  # MAX_BLOCK times this, plus the ids of a block, times 1 << 13 must stay below 1 << 31: 139,264 * 8,191 does
 RATE = 5
 _P0 = 13  # order-0 frequencies add up to 1 << 13, so a block has at most 8192 ids of its own
 _MASK48 = np.uint64((1 << 48) - 1)
@@ -62,14 +62,15 @@ def _unpack_ids(data: bytes) -> np.ndarray:
 class _Model:
     """Predictions of ``lanes`` blocks; ids are positions in the blocks' own id lists."""
 
-    def __init__(self, own: np.ndarray):
+    def __init__(self, own: np.ndarray, searched: bool):
         lanes, self.width = len(own), int(own.max(initial=1))
-        self.own = own
+        self.own, self.searched = own, searched
         self.lane = np.arange(lanes)
         self.count = (np.arange(self.width)[None, :] < own[:, None]).astype(np.int32)
         self.flat = self.count.reshape(-1)
-        self.step1 = np.minimum(np.arange(self.width + 1)[None, :], own[:, None])
-        self.cum = np.zeros((lanes, self.width + 1), np.int64)
+        self.step1 = np.minimum(np.arange(1, self.width + 1, dtype=np.int32)[None, :], own[:, None].astype(np.int32))
+        self.cum = np.zeros((lanes, self.width + 1), np.uint16)
+        self.cum_flat = self.cum.reshape(-1)
         # a slot holds (id + 1) << 2 | confidence; 0 is empty
         self.one = np.zeros(lanes * (self.width + 1), np.int32)
         self.two = np.zeros(lanes * SLOTS, np.int32)
@@ -79,13 +80,14 @@ class _Model:
         self.rebuild()
 
     def rebuild(self) -> None:
-        sums = np.cumsum(self.count, axis=1, dtype=np.int64)
-        free = (1 << _P0) - self.own
-        self.cum[:, 1:] = sums * free[:, None] // np.maximum(sums[:, -1:], 1)
-        self.cum += self.step1
-        self.cum[:, 0] = 0
-        self.keys = (self.cum + (self.lane << (_P0 + 1))[:, None]).reshape(-1)
-        self.cum_flat = self.cum.reshape(-1)
+        # sums stay below 1 << 18 and the product below 1 << 31
+        sums = np.cumsum(self.count, axis=1, dtype=np.int32)
+        sums *= ((1 << _P0) - self.own).astype(np.int32)[:, None]
+        sums //= np.maximum(self.count.sum(axis=1, dtype=np.int32), 1)[:, None]
+        sums += self.step1
+        self.cum[:, 1:] = sums
+        if self.searched:
+            self.keys = (self.cum + (self.lane << (_P0 + 1)).astype(np.int32)[:, None]).reshape(-1)
 
     def predict(self, last: np.ndarray, last2: np.ndarray, a: int) -> None:
         """Sets slots, predicted ids and the three weights (of 1 << 16 in all)."""
@@ -137,7 +139,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         own, at = np.unique(blocks[b], return_inverse=True)
         ids[: sizes[b], lane] = at + 1
         lists.append(own)
-    m = _Model(np.array([len(x) for x in lists]))
+    m = _Model(np.array([len(x) for x in lists]), False)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
     out, used = np.zeros((lanes, 2 * longest + 16), np.uint16), np.zeros(lanes, np.int64)
     zero = np.zeros(lanes, np.int64)
@@ -147,8 +149,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         a = int(running[i])
         m.predict(ids[i - 1, :a] if i else zero[:a], ids[i - 2, :a] if i > 1 else zero[:a], a)
         id1, lo, sp, us = ids[i, :a], low[:a], span[:a], used[:a]
-        at = m.at1 - m.at1 + m.lane[:a] * (m.width + 1) + id1
-        start0, end0 = m.cum_flat[at - 1] * m.w0 >> _P0, m.cum_flat[at] * m.w0 >> _P0
+        at = m.base1[:a] + id1
+        start0, end0 = m.cum_flat[at - 1].astype(np.int64) * m.w0 >> _P0, m.cum_flat[at].astype(np.int64) * m.w0 >> _P0
         by2 = (m.p2 == id1) & (m.w2 > 0)
         by1 = (m.p1 == id1) & (m.w1 > 0) & ~by2
         start = np.where(by2, 0, np.where(by1, m.w2, m.w12 + start0))
@@ -196,7 +198,7 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         packed, words = heads[b][3:]
         lists.append(_unpack_ids(blobs[b][_HEAD.size : _HEAD.size + packed]))
         data[lane, :words] = np.frombuffer(blobs[b], "<u2", words, _HEAD.size + packed)
-    m = _Model(np.array([len(x) for x in lists]))
+    m = _Model(np.array([len(x) for x in lists]), True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
     code, used = data[:, 0] << np.uint64(32) | data[:, 1] << np.uint64(16) | data[:, 2], np.full(lanes, 3, np.int64)
     ids = np.zeros((longest, lanes), np.int64)
@@ -212,10 +214,10 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         by2 = v < m.w2
         by1 = (v < m.w12) & ~by2
         u = (((v - m.w12 + 1) << _P0) - 1) // m.w0
-        found = np.searchsorted(m.keys, u + (lane << (_P0 + 1)), "right") - lane * (m.width + 1)
+        found = np.searchsorted(m.keys, (u + (lane << (_P0 + 1))).astype(np.int32), "right") - m.base1[:a]
         id1 = np.where(by2, m.p2, np.where(by1, m.p1, np.clip(found, 1, m.width)))
-        at = lane * (m.width + 1) + id1
-        start0, end0 = m.cum_flat[at - 1] * m.w0 >> _P0, m.cum_flat[at] * m.w0 >> _P0
+        at = m.base1[:a] + id1
+        start0, end0 = m.cum_flat[at - 1].astype(np.int64) * m.w0 >> _P0, m.cum_flat[at].astype(np.int64) * m.w0 >> _P0
         start = np.where(by2, 0, np.where(by1, m.w2, m.w12 + start0))
         size = np.where(by2, m.w2, np.where(by1, m.w1, end0 - start0))
         lo += sp * start.astype(np.uint64)

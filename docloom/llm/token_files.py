@@ -31,7 +31,7 @@ from docloom.llm import cm_coder
 from docloom.llm.tables import table, written
 
 SEGMENT_IDS = 1 << 16
-LANES = 768
+LANES = 1024
 MEMO = 300_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
 
