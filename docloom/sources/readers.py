@@ -43,7 +43,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def detect_kind(content: Column) -> Column:
     """Kind of a binary by its first 512 bytes."""
-    head = F.expr("substring(content, 1, 512)") if content is None else F.substring(content, 1, 512)
+    head = F.substring(content, 1, 512)
     text = F.lower(F.decode(head, "ISO-8859-1"))
     zeros = F.length(text) - F.length(F.replace(text, F.lit("\u0000"), F.lit("")))
     return (
