@@ -14,7 +14,6 @@ Null texts are empty and have no ids.  Repeated rows give a row each.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -133,23 +132,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def id_digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded documents."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids as little-endian 32-bit binary, decoded): encoding and decoding in one pass of one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
         for batch in batches:
-            ids = batch.column(1)
-            flat, off = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            sha = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:])]
-            text = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(sha), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids, decoded = [], []
+                for t in part.column(1):
+                    own = c.encode(t.as_py() or "")
+                    ids.append(np.array(own, "<u4").tobytes())
+                    decoded.append(c.decode(own))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame) -> DataFrame:
-    path, pattern = _defaults()
-    return id_digests(decode_documents(encode_documents(docs, path, pattern), path, pattern))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded."""
+    both = round_trip(docs, *_defaults())
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,12 @@ def test_edges(spark, make_docs):
     got = b.digest_documents(docs.union(docs)).collect()
     assert len(got) == 8 and [r.n_tokens for r in got][:2] == [0, 0]
     assert b.digest_documents(docs.limit(0)).count() == 0
+
+
+def test_operators_agree_with_the_round_trip(spark, make_docs):
+    docs = make_docs(["one two", None, "été " * 4000])
+    path, pattern = PATH, P.PATTERN
+    ids = {r.doc_id: list(r.ids) for r in b.encode_documents(docs, path, pattern).collect()}
+    plain = {r.doc_id: bytes(r.decoded) for r in b.decode_documents(b.encode_documents(docs, path, pattern), path, pattern).collect()}
+    for r in b.round_trip(docs, path, pattern).collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids[r.doc_id] and bytes(r.decoded) == plain[r.doc_id]
