@@ -6,7 +6,8 @@ as ``token =``, and names behind a title.
 
 A surrogate comes from a keyed Feistel permutation over the entity's own format: digits,
 upper-case and lower-case letters of a script and hexadecimal digits turn into symbols of
-the same class, all other characters stay.  A permutation never maps two entities to one,
+the same class, all other characters stay.  Letters and digits outside ``_ALPHABETS`` have
+the like ones of their script and of the same 256 code points as their class.  A permutation never maps two entities to one,
 and one entity always has one surrogate, in every document.  Parts are mapped by
 themselves where they recur alone: the domain of an address, the surname behind a title.
 First names are permuted within the list of their gender; titles stay, so gender does too.
@@ -16,7 +17,9 @@ Collision check: a surrogate must not be an entity of the corpus itself.  The di
 entities are joined with their surrogates; those that hit a real entity try the permutation
 of the next key, and are accepted where the result is no real entity, no accepted surrogate
 and not wanted by another in the same round (the least entity goes first).  So the mapping
-stays one to one.  These exceptions are few; up to ``EXCEPTION_ROWS`` they are broadcast
+stays one to one.  What ``MAX_TRIES`` keys leave over (its format is full) is drawn from a
+keyed digest under the same check, longer where the format allows, until all are placed.
+These exceptions are few; up to ``EXCEPTION_ROWS`` they are broadcast
 after a count, beyond that they are joined to their documents.
 
 Null texts stay null, empty ones empty; both have no entities.  Repeated rows give a row
@@ -28,8 +31,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +49,14 @@ KEY = b"docloom-surrogates"
 EXCEPTION_ROWS = 100_000
 ROUNDS = 8
 MAX_TRIES = 32
+SAME_LENGTH_DRAWS = 8
 
 FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Helen", "Ines", "Irene", "Julia", "Laura", "Lucia", "Marie", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Teresa", "Vera")
 MALE = ("Adam", "Albert", "Anton", "Bruno", "Carlos", "Daniel", "David", "Eric", "Felix", "Frank", "Hugo", "Ivan", "James", "John", "Jorge", "Karl", "Leo", "Louis", "Mark", "Martin", "Oscar", "Paul", "Peter", "Thomas")
 _TITLES = r"Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Doña|Don"
-_NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1E000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_LETTERS = rf"(?:[^\W\d_]|[{_MARKS}])+"
+_NAME = rf"[^\W\d_a-z]{_LETTERS}(?:[-'’]{_LETTERS})?"
 
 _PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("secret", "=:", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']")),
@@ -103,6 +113,30 @@ _ALPHABETS = (
     "".join(map(chr, range(0xAC00, 0xD7A4))),
 )
 _OF = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
+
+
+@lru_cache(1)
+def _other_alphabets() -> dict[str, tuple[str, int]]:
+    """(alphabet, position) of the letters and digits that ``_ALPHABETS`` lacks; each alphabet has two symbols or more."""
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if (c.isalpha() or c.isdecimal()) and c not in _OF:
+            groups[unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0], ord(c) >> 8].append(c)
+    # digits have alphabets of exactly ten, in order
+    alone = [c for g in groups.values() if len(g) < 2 for c in g]
+    tens = [g[i : i + 10] for k, g in groups.items() if k[0] == "Nd" for i in range(0, len(g), 10)]
+    letters = [g for k, g in groups.items() if k[0] != "Nd" and len(g) > 1]
+    return {c: (a, i) for a in map("".join, [*letters, *tens, alone]) for i, c in enumerate(a)}
+
+
+def _class(c: str) -> tuple[str, int] | None:
+    """(alphabet, position) of a character that is to be replaced; None of one that stays."""
+    if c in _OF:
+        k, i = _OF[c]
+        return _ALPHABETS[k], i
+    return None if c < "\x80" else _other_alphabets().get(c)
+
+
 _HEX = {True: "0123456789ABCDEF", False: "0123456789abcdef"}
 
 
@@ -143,9 +177,10 @@ def _permute(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> st
         sets = [_HEX[upper]] * len(chars)
         digits = [int(c, 16) for c in chars]
     else:
-        at = [i for i, c in enumerate(chars) if c in _OF]
-        sets = [_ALPHABETS[_OF[chars[i]][0]] for i in at]
-        digits = [_OF[chars[i]][1] for i in at]
+        known = [(i, got) for i, c in enumerate(chars) if (got := _class(c))]
+        at = [i for i, _ in known]
+        sets = [a for _, (a, _) in known]
+        digits = [d for _, (_, d) in known]
     for i, a, d in zip(at, sets, _feistel(digits, [len(a) for a in sets], key, tweak)):
         chars[i] = a[d]
     return "".join(chars)
@@ -212,6 +247,64 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     return _permute(entity, key, kind)
 
 
+class _Draws:
+    """Numbers from a keyed digest."""
+
+    def __init__(self, key: bytes, what: str):
+        self.key, self.what, self.n = key, what, 0
+
+    def __call__(self, below: int) -> int:
+        self.n += 1
+        return _number(self.key, self.what, self.n, 0) % below
+
+    def like(self, text: str, more: int) -> str:
+        """Drawn symbols of the classes of these characters, and ``more`` of the last letter's or digit's class behind it."""
+        out, last = [], None
+        for c in text:
+            got = _class(c)
+            out.append(got[0][self(len(got[0]))] if got else c)
+            last = (len(out), got[0]) if got else last
+        at, alphabet = last or (len(out), _ALPHABETS[1])
+        return "".join([*out[:at], *[alphabet[self(len(alphabet))] for _ in range(more)], *out[at:]])
+
+
+def drawn(kind: str, entity: str, turn: int, key: bytes = KEY) -> str:
+    """A replacement whose letters and digits come from a keyed digest only, of the entity's format.
+
+    Names, addresses and secrets grow from the first turn on, other kinds only after
+    ``SAME_LENGTH_DRAWS`` turns, as their formats have a fixed length.
+    """
+    draw = _Draws(key, f"drawn|{turn}|{kind}|{entity}")
+    free, late = 8 + turn, max(0, turn - SAME_LENGTH_DRAWS)
+    if kind == "name":
+        first, _, last = entity.partition(" ")
+        if not last:
+            return draw.like(first, free)
+        for names in (FEMALE, MALE):
+            if first in names:
+                return f"{names[draw(len(names))]} {draw.like(last, free)}"
+        return f"{draw.like(first, free)} {draw.like(last, free)}"
+    if kind == "email":
+        local, _, domain = entity.rpartition("@")
+        name, _, top = domain.rpartition(".")
+        return f"{draw.like(local, free)}@{draw.like(name, 0)}.{top}"
+    if kind == "secret":
+        return draw.like("a" * max(len(entity), 16), turn)
+    if kind == "ip" and not late:
+        return ".".join(str(draw(256)) for _ in range(4))
+    if kind == "hex":
+        return "".join(_HEX[entity.upper() == entity][draw(16)] for _ in range(len(entity) + late))
+    if kind == "card":
+        body = [c for c in entity if c.isdigit()]
+        off = int(body[-1]) - _luhn("".join(body[:-1]))
+        new = draw.like("".join(body[:-1]), late)
+        digits = iter(new + str((_luhn(new) + off) % 10))
+        return "".join(next(digits) if c.isdigit() else c for c in entity) + "".join(digits)
+    if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", entity)):
+        return country[0] + draw.like(entity[country.end() :], late)
+    return draw.like(entity, late)
+
+
 # --- Spark ------------------------------------------------------------------------------
 
 
@@ -233,7 +326,10 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, surrogate) of the entities whose first surrogate is an entity of the corpus."""
+    """(kind, entity, surrogate) of the entities whose first surrogate is an entity of the corpus.
+
+    Turns from ``MAX_TRIES`` on draw from a keyed digest instead of a permutation.
+    """
     spark = mentions.sparkSession
     schema = "kind string, entity string, surrogate string"
 
@@ -242,7 +338,8 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                new = [surrogate(k, s, own) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                new = [surrogate(k, s, own) if turn < MAX_TRIES else drawn(k, s, turn - MAX_TRIES, key) for k, s in pairs]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
         return rows.select("kind", "entity").mapInArrow(step, schema)
@@ -253,7 +350,7 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     taken = real.union(first.select("kind", "surrogate"))
     left = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity"), "collisions")
     done = spark.createDataFrame([], schema)
-    for turn in range(1, MAX_TRIES):
+    for turn in count(1):
         if left.isEmpty():
             return done
         now = written(tried(left, turn), "surrogates")
@@ -261,9 +358,6 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
         good = written(free.select("kind", "entity", "surrogate"), "accepted")
         done, taken = done.union(good), taken.union(good.select("kind", "surrogate"))
         left = written(left.join(good, ["kind", "entity"], "left_anti"), "collisions")
-    # a format so small that the corpus fills it: lengthened by a keyed tag
-    tag = F.substring(F.sha2(F.concat(F.lit(key.hex()), F.col("kind"), F.lit("|"), F.col("entity")), 256), 1, 12)
-    return done.union(left.select("kind", "entity", F.concat("entity", tag).alias("surrogate")))
 
 
 def _rewrite(docs: DataFrame, text_col: str, key: bytes, given: object | None, walks_col: str | None) -> DataFrame:

@@ -89,3 +89,42 @@ def test_collisions_walk_on(spark, make_docs):
     words = got[len(ips) + 3].text.split(" ")
     assert words[1] == words[4] and pii.with_surrogates(docs.limit(0)).count() == 0
     assert pii.with_surrogates(docs.union(docs)).count() == 2 * len(texts)
+
+
+def named(texts, rows):
+    """Name -> replacement of rows 'by Dr NAME end'."""
+    return {t.split(" ")[2]: r.text.split(" ")[2] for t, r in zip(texts, sorted(rows, key=lambda r: r.doc_id))}
+
+
+def test_names_of_other_scripts_are_replaced(spark, make_docs):
+    names = ["محمد", "דוד", "अमित", "Ўткир", "ไพลิน", "José", "Żółć"]
+    texts = [f"by Dr {x} end" for x in names]
+    got = named(texts, pii.with_surrogates(make_docs(texts)).collect())
+    for old, new in got.items():
+        assert len(new) == len(old) and new != old
+        for a, b in zip(old, new):
+            assert (ord(a) >> 8 == ord(b) >> 8 or a < "\u0180") and (a != b or not a.isalpha() or sum(x != y for x, y in zip(old, new)) > 1), (old, new)
+    assert len(set(got.values())) == len(names)
+
+
+def test_full_formats_are_left_by_drawn_replacements(spark, make_docs, monkeypatch):
+    """All 676 two-letter surnames, and a secret without letters: no free value of their formats is left."""
+    monkeypatch.setattr(pii, "MAX_TRIES", 3)
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"by Dr {x} end" for x in names]
+    rows = pii.with_surrogates(make_docs([*texts, 'token = "$$$$$$$$"'])).collect()
+    got = named(texts, [r for r in rows if r.doc_id < len(texts)])
+    assert len(set(got.values())) == len(names) and not set(got.values()) & set(names)
+    assert all(re.fullmatch("[A-Z][a-z]+", new) for new in got.values()) and sum(new.startswith(old) for old, new in got.items()) < 10
+    assert re.search('"[a-z]{16,}"', next(r.text for r in rows if r.doc_id == len(texts)))
+
+
+def test_drawn_replacements_keep_the_format():
+    for kind, x in [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "+1 (017) 555-7713"), ("ip", "10.0.0.255"), ("iban", "GB29 NWBK 6016 1331 9268 19"), ("hex", "a1" * 20), ("email", "a@b.com"), ("name", "Anna Li"), ("name", "דוד")]:
+        new = {pii.drawn(kind, x, k) for k in range(pii.SAME_LENGTH_DRAWS)}
+        text = [f"Dr {n} " if kind == "name" else f" {n} " for n in new]
+        assert len(new) == pii.SAME_LENGTH_DRAWS and x not in new
+        assert [[pii.family(k) for _, _, k in pii.detect(t)] for t in text] == [[kind]] * len(text)
+        if kind == "card":
+            assert all(pii._luhn(n.replace(" ", "")[:-1]) == int(n[-1]) for n in new)
+        assert len(pii.drawn("ssn", "123-45-6789", pii.SAME_LENGTH_DRAWS + 2)) == 13
