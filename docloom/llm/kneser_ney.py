@@ -13,10 +13,14 @@ Scoring.  Where the table was counted to have at most ``BROADCAST_ENTRIES`` entr
 (12 bytes each) it is broadcast and looked up in the task; beyond that the keys of each
 document, counted within it, are joined with the sharded table.  Both give the same sums.
 
-Decision.  Held-out trusted documents give quantiles by language.  A document's mean
-negative log likelihood, drawn to the language's median as if by ``PRIOR_TOKENS`` more
-tokens, is compared with q99 + FENCE * (q99 - q50) of the held-out ones.  Languages with
-fewer than ``MIN_HELD_OUT`` of those, and rows without a language, use all languages'.
+Decision.  Held-out trusted documents give quantiles by language of three measures, and a
+document is rejected if one of its own lies above q99 + FENCE * (q99 - q50) of the held-out
+ones: its mean negative log likelihood; the mean of its worst segment of ``SEGMENT`` tokens
+(the last one takes the rest), so good text around does not hide junk; and the largest share
+in a segment of tokens that repeat the last or last but one (at least ``LEAST_REPEAT``), as
+repetition is not improbable to the model.  Likelihoods are drawn to the language's median,
+and shares to 0, as if by ``PRIOR_TOKENS`` more tokens.  Languages with fewer than
+``MIN_HELD_OUT`` held-out documents, and rows without a language, use all languages'.
 
 Null and empty texts have no tokens and are kept; without trusted text all is kept.
 Repeated rows count as often as they stand there and give a row each.
@@ -41,6 +45,8 @@ PRIOR_TOKENS = 20
 FENCE = 1.0
 MIN_HELD_OUT = 50
 HELD_OUT_MOD = 10
+SEGMENT = 32
+LEAST_REPEAT = 0.25
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[:33] = 0
@@ -48,6 +54,7 @@ _CLASS[127] = 0
 _CLASS[tb.WORD > 0] = 1
 _START = np.uint64(0x5851F42D4C957F2D)
 _AS_CONTEXT = np.uint64(0x14057B7EF767814F)
+_SCORES = ("kn_tokens", "kn_loglik", "kn_worst", "kn_repeat")
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +89,17 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tb.mix(v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(32))))
 
 
+def _segments(w: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment of each token within its row, whether it repeats one of the two before it in the row, and tokens by row."""
+    sizes = np.bincount(row, minlength=n)
+    at = np.arange(len(w)) - (np.cumsum(sizes) - sizes)[row]
+    segment = np.minimum(at // SEGMENT, np.maximum(sizes // SEGMENT, 1)[row] - 1)
+    repeats = np.zeros(len(w), bool)
+    repeats[1:] = (w[1:] == w[:-1]) & (at[1:] > 0)
+    repeats[2:] |= (w[2:] == w[:-2]) & (at[2:] > 1)
+    return segment, repeats, sizes
+
+
 def _context(v: np.ndarray) -> np.ndarray:
     return tb.mix(v ^ _AS_CONTEXT)
 
@@ -191,12 +209,21 @@ def _score_broadcast(docs: DataFrame, text_col: str, held: object, unseen: float
             for i, j, buf, off in tb.text_runs(batch.column(col)):
                 w, v, row = _tokens(buf, off)
                 gain = _lookup(keys, values, w, unseen) + _lookup(keys, values, _context(v.copy()), 0.0) + _lookup(keys, values, _pair(v, w), 0.0)
-                n = np.bincount(row, minlength=j - i)
+                segment, repeats, n = _segments(w, row, j - i)
                 total = np.bincount(row, gain, j - i)
+                worst, repeat = np.zeros(j - i), np.zeros(j - i)
+                if len(w):
+                    heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])]))
+                    size = np.diff(np.append(heads, len(w)))
+                    firsts = np.flatnonzero(segment[heads] == 0)
+                    some = row[heads[firsts]]
+                    worst[some] = np.maximum.reduceat(-np.add.reduceat(gain, heads) / size, firsts)
+                    repeat[some] = np.maximum.reduceat(np.add.reduceat(repeats.astype(np.int64), heads) / (size + PRIOR_TOKENS), firsts)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), pa.array(total)], names=[*part.schema.names, "kn_tokens", "kn_loglik"])
+                new = [pa.array(n.astype(np.int64)), pa.array(total), pa.array(worst), pa.array(repeat)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *_SCORES])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("kn_tokens", T.LongType()), T.StructField("kn_loglik", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType() if c == "kn_tokens" else T.DoubleType()) for c in _SCORES]])
     return docs.mapInArrow(run, schema)
 
 
@@ -213,20 +240,26 @@ def _score_sharded(docs: DataFrame, text_col: str, weights: DataFrame, unseen: f
                 rows = np.concatenate([row] * 3)
                 plain = np.concatenate([np.full(len(w), unseen), np.zeros(2 * len(w))])
                 first = np.concatenate([np.ones(len(w), np.int64), np.zeros(2 * len(w), np.int64)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + i)), pa.array(tb.signed(key)), pa.array(plain), pa.array(first)], names=["kn_text", "key", "plain", "one"])
+                segment, repeats, _ = _segments(w, row, j - i)
+                again = np.concatenate([repeats.astype(np.int64), np.zeros(2 * len(w), np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows + i)), pa.array(np.concatenate([segment] * 3)), pa.array(tb.signed(key)), pa.array(plain), pa.array(first), pa.array(again)],
+                    names=["kn_text", "segment", "key", "plain", "one", "again"],
+                )
 
     texts = tagged.select("kn_text", text.alias("t")).dropDuplicates(["kn_text"])
-    asked = texts.mapInArrow(run, "kn_text string, key long, plain double, one long").groupBy("kn_text", "key", "plain").agg(F.count("*").alias("n"), F.sum("one").alias("one"))
-    summed = asked.join(weights, "key", "left").groupBy("kn_text").agg(F.sum("one").alias("kn_tokens"), F.sum(F.col("n") * F.coalesce("weight", "plain")).alias("kn_loglik"))
-    out = tagged.join(summed, "kn_text", "left").na.fill({"kn_tokens": 0, "kn_loglik": 0.0})
-    return out.select(*docs.columns, "kn_tokens", "kn_loglik")
+    asked = texts.mapInArrow(run, "kn_text string, segment long, key long, plain double, one long, again long").groupBy("kn_text", "segment", "key", "plain").agg(F.count("*").alias("n"), F.sum("one").alias("one"), F.sum("again").alias("again"))
+    parts = asked.join(weights, "key", "left").groupBy("kn_text", "segment").agg(F.sum("one").alias("one"), F.sum("again").alias("again"), F.sum(F.col("n") * F.coalesce("weight", "plain")).alias("loglik"))
+    summed = parts.groupBy("kn_text").agg(F.sum("one").alias("kn_tokens"), F.sum("loglik").alias("kn_loglik"), F.max(-F.col("loglik") / F.col("one")).alias("kn_worst"), F.max(F.col("again") / (F.col("one") + PRIOR_TOKENS)).alias("kn_repeat"))
+    out = tagged.join(summed, "kn_text", "left").na.fill({"kn_tokens": 0} | {c: 0.0 for c in _SCORES[1:]})
+    return out.select(*docs.columns, *_SCORES)
 
 
 def score(docs: DataFrame, model: tuple[DataFrame, float, int], text_col: str = "text", broadcast_entries: int = BROADCAST_ENTRIES, held: object | None = None) -> DataFrame:
-    """The rows of docs with kn_tokens and kn_loglik; ``held`` is the model's broadcast if there is one already."""
+    """The rows of docs with kn_tokens, kn_loglik, kn_worst and kn_repeat; ``held`` is the model's broadcast if there is one already."""
     weights, unseen, entries = model
     if not entries:
-        return docs.withColumn("kn_tokens", F.lit(0).cast("long")).withColumn("kn_loglik", F.lit(0.0))
+        return docs.withColumns({"kn_tokens": F.lit(0).cast("long")} | {c: F.lit(0.0) for c in _SCORES[1:]})
     held = held or held_model(model, broadcast_entries)
     if held is not None:
         return _score_broadcast(docs, text_col, held, unseen)
@@ -242,7 +275,7 @@ def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAS
     model = fit(trusted.filter(~held_out).select("text"))
     shared = held_model(model, broadcast_entries)
     lang = F.coalesce(F.col("lang"), F.lit(""))
-    sample = score(trusted.filter(held_out).select("lang", "text"), model, "text", broadcast_entries, shared).filter("kn_tokens > 0").select(lang.alias("kn_lang"), "kn_tokens", (-F.col("kn_loglik")).alias("nll"))
+    sample = score(trusted.filter(held_out).select("lang", "text"), model, "text", broadcast_entries, shared).filter("kn_tokens > 0").select(lang.alias("kn_lang"), *_SCORES)
     sample = written(sample, "kn-held-out")
     limits = _limits(sample)
     if limits is None:
@@ -250,31 +283,38 @@ def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAS
     by_lang, everywhere = limits
     pick = lambda k: F.coalesce(*([F.create_map(*[F.lit(x) for s, v in by_lang.items() for x in (s, v[k])])[lang]] if by_lang else []), F.lit(everywhere[k]))
     scored = score(docs, model, "text", broadcast_entries, shared)
-    smooth = (PRIOR_TOKENS * pick(0) - F.col("kn_loglik")) / (PRIOR_TOKENS + F.col("kn_tokens"))
+    over = [m > pick(1 + k) for k, m in enumerate(_measures(pick(0)))]
     return scored.select(
         *docs.columns,
         "kn_tokens",
         F.when(F.col("kn_tokens") > 0, -F.col("kn_loglik") / F.col("kn_tokens")).alias("kn_logppl"),
         pick(1).alias("kn_threshold"),
-        (smooth <= pick(1)).alias("kn_keep"),
+        (~(over[0] | over[1] | over[2])).alias("kn_keep"),
     )
 
 
-def _limits(sample: DataFrame) -> tuple[dict[str, tuple[float, float]], tuple[float, float]] | None:
-    """(median, threshold) by language, one row a language on the driver, and over all."""
+def _measures(mid: Column) -> tuple[Column, Column, Column]:
+    """Smoothed mean and worst segment of the negative log likelihood, and the share of repeats, of scored rows."""
+    n, inner = F.col("kn_tokens"), F.least(F.col("kn_tokens"), F.lit(SEGMENT))
+    return (PRIOR_TOKENS * mid - F.col("kn_loglik")) / (PRIOR_TOKENS + n), (PRIOR_TOKENS * mid + F.col("kn_worst") * inner) / (PRIOR_TOKENS + inner), F.col("kn_repeat")
+
+
+def _limits(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]] | None:
+    """(median, thresholds of the measures) by language, one row a language on the driver, and over all."""
 
     def grouped(keys: list[str]) -> list:
-        mid = sample.groupBy(*keys).agg(F.percentile_approx(F.col("nll") / F.col("kn_tokens"), 0.5, 10000).alias("mid"), F.count("*").alias("n"))
+        mid = sample.groupBy(*keys).agg(F.percentile_approx(-F.col("kn_loglik") / F.col("kn_tokens"), 0.5, 10000).alias("mid"), F.count("*").alias("n"))
         joined = sample.join(F.broadcast(mid.drop("n")), keys) if keys else sample.crossJoin(mid.drop("n"))
-        smooth = (PRIOR_TOKENS * F.col("mid") + F.col("nll")) / (PRIOR_TOKENS + F.col("kn_tokens"))
-        q = joined.groupBy(*keys).agg(F.first("mid").alias("mid"), F.count("*").alias("n"), F.percentile_approx(smooth, [0.5, 0.99], 10000).alias("q"))
-        return [(r, r.mid, r.q[1] + FENCE * (r.q[1] - r.q[0])) for r in q.collect() if r.n]
+        both = [F.percentile_approx(m, [0.5, 0.99], 10000).alias(f"q{k}") for k, m in enumerate(_measures(F.col("mid")))]
+        q = joined.groupBy(*keys).agg(F.first("mid").alias("mid"), F.count("*").alias("n"), *both)
+        fence = lambda x: x[1] + FENCE * (x[1] - x[0])
+        return [(r, (r.mid, fence(r.q0), fence(r.q1), max(fence(r.q2), LEAST_REPEAT))) for r in q.collect() if r.n]
 
     whole = grouped([])
     if not whole:
         return None
-    by_lang = {r.kn_lang: (mid, limit) for r, mid, limit in grouped(["kn_lang"]) if r.n >= MIN_HELD_OUT and r.kn_lang}
-    return by_lang, whole[0][1:]
+    by_lang = {r.kn_lang: limits for r, limits in grouped(["kn_lang"]) if r.n >= MIN_HELD_OUT and r.kn_lang}
+    return by_lang, whole[0][1]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

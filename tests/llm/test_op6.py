@@ -95,3 +95,28 @@ def test_edges(spark, make_docs):
     assert k.keep_good(docs, labels).columns == docs.columns
     assert {r.kn_keep for r in k.judged(docs, labels.limit(0)).collect()} == {True}
     assert k.judged(docs.limit(0), labels).count() == 0
+
+
+def test_rejects_repetition_and_mixed_junk(spark):
+    """Nearly all labelled junk, repeated words and junk behind good text included, without losing clean rows."""
+    sf = "/root/testdata/sf0.1"
+    rows = k.op6_kneser_ney(spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
+    kept = Counter((r.quality, r.toxic) for r in rows if r.keep)
+    all_ = Counter((r.quality, r.toxic) for r in rows)
+    print(kept, all_)
+    assert kept[0, 0] <= 0.05 * all_[0, 0] and kept[0, 1] <= 0.05 * all_[0, 1] and kept[1, 0] >= 0.998 * all_[1, 0]
+
+
+@pytest.mark.parametrize("entries", [10**9, 0])
+def test_segments_equal_brute_force(spark, make_docs, texts, entries):
+    docs = make_docs([*texts[:30], None, "", "x", "Der " * 70, "a b a b c", texts[0]])
+    b = Brute(texts[:20])
+    for r in k.score(docs, k.fit(make_docs(texts[:20]).select("text")), "text", entries).collect():
+        w = [None, *tokens(r.text)]
+        gains = [-math.log(b.p2(y, x)) for x, y in zip(w, w[1:])]
+        again = [i > 1 and w[i] == w[i - 1] or i > 2 and w[i] == w[i - 2] for i in range(1, len(w))]
+        n = max(1, len(gains) // k.SEGMENT)
+        cuts = [*range(0, n * k.SEGMENT, k.SEGMENT), max(len(gains), 1)]
+        parts = list(zip(cuts, cuts[1:])) if gains else []
+        assert abs(r.kn_worst - max([sum(gains[i:j]) / (j - i) for i, j in parts], default=0)) < 1e-3
+        assert abs(r.kn_repeat - max([sum(again[i:j]) / (j - i + k.PRIOR_TOKENS) for i, j in parts], default=0)) < 1e-9
