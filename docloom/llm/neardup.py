@@ -193,8 +193,8 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "comp long, node long, blocks long, grams array<long>")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
-    """Classes of near-duplicate texts; see the module's text for the columns."""
+def _text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of each row, and (text_key, rep, root, n_links, n_copies) of each distinct text."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
@@ -216,21 +216,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(links.select("node", "root"))
     nodes = reps.select("text_key", "rep", "n_copies", node.alias("node")).join(counts, "node", "left").join(classes, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    return sigs.select("doc_id", "text_key"), nodes.select("text_key", "rep", F.coalesce("root", "node").alias("root"), "n_links", "n_copies")
+
+
+def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
+    """Classes of near-duplicate texts; see the module's text for the columns, ``_text_nodes`` for the options."""
+    rows, nodes = _text_nodes(docs, **options)
     least = nodes.groupBy("root").agg(F.min("rep").alias("class_id"))
     nodes = nodes.join(least, "root").select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sigs.select("doc_id", "text_key").join(nodes, "text_key").select("doc_id", "class_id", "n_links", "n_copies")
+    return rows.join(nodes, "text_key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def one_per_class(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that stand for their class: the least doc_id of each stays.
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs that stand for their class: one row with the least id of each, and of that the least text hash.
 
-    Rows without an id can't be told apart and all stay.
+    Classes are told apart by their texts, so an id that names several texts loses none of
+    their classes.  Of equal ids and texts the least row stays.  Rows without an id can't be
+    told apart and all stay.
     """
-    classes = jaccard_classes(docs, **options)
-    kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id IS NULL"))
+    _, nodes = _text_nodes(docs, id_col=id_col, text_col=text_col, **options)
+    first = nodes.filter("rep IS NOT NULL").groupBy("root").agg(F.min(F.struct("rep", "text_key")).alias("kept"))
+    kept = first.select(F.col("kept.rep").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.select(F.col(id_col).cast("long").alias("own_id"), key.alias("own_key"), F.struct(*docs.columns).alias("row"))
+    named = keyed.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
+    least = named.groupBy("own_id", "own_key").agg(F.min("row").alias("row")).select("row.*")
+    return least.union(docs.filter(F.col(id_col).isNull()))
 
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

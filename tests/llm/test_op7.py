@@ -88,3 +88,14 @@ def test_null_ids(spark, make_docs):
     got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in n.jaccard_classes(docs).collect()), key=repr)
     assert got == [(0, 0, 2), (1, 1, 1), (None, 0, 2), (None, None, 1)]
     assert n.one_per_class(docs).count() == 4
+
+
+def test_one_id_with_several_texts(spark, make_docs):
+    """Each class keeps exactly one row, also where an id names texts of two classes or of one."""
+    rows = [(0, "a b c d e f"), (0, "g h i j k l m"), (1, "g h i j k l m"), (2, "a b c d e f"), (0, "a b c d e f"), (3, "n o p q r"), (3, None), (4, "")]
+    parts = [make_docs({i: t}) for i, t in rows]
+    docs = parts[0]
+    for part in parts[1:]:
+        docs = docs.union(part)
+    got = sorted((r.text or "", r.doc_id) for r in n.one_per_class(docs).collect())
+    assert got == [("", 3), ("a b c d e f", 0), ("g h i j k l m", 0), ("n o p q r", 3)]
