@@ -7,7 +7,8 @@
    more than ``MAX_CHILDREN`` values of which it holds less than ``MIN_SHARE``.  Segments
    beyond ``MAX_DEPTH`` are one ``{rest}``.
 3. Branches that differ in one literal segment only are compared with their pooled rate of
-   bad labels; those within ``Z_SAME`` standard errors merge to ``{any}``.
+   bad labels; those within ``Z_SAME`` standard errors merge to ``{any}``.  This goes level
+   by level from the first segment on, each level with the branches merged before.
 4. A template is rejected if its bad share, smoothed by ``PRIOR_WEIGHT`` labels at the
    overall rate, reaches ``REJECT``.
 
@@ -94,18 +95,23 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def merged(counts: DataFrame) -> DataFrame:
-    """(host, template, merged): branches that differ in their first literal segment and not in their labels.
+    """(host, template, merged): level by level, branches that differ in this literal segment and not in their labels.
 
     ``counts`` has host, template, good, bad.
     """
-    slot = r"^/([^{/][^/]*)"
-    rest = F.regexp_replace("template", slot, "/{any}")
-    group = counts.withColumn("wide", rest)
-    pooled = group.groupBy("host", "wide").agg(F.count("*").alias("branches"), F.sum("bad").alias("p_bad"), F.sum(F.col("good") + F.col("bad")).alias("p_all"))
-    all_, rate = F.col("good") + F.col("bad"), F.coalesce(F.try_divide("p_bad", "p_all"), F.lit(0.0))
-    z = F.try_divide(F.col("bad") - all_ * rate, F.sqrt(all_ * rate * (1 - rate)))
-    same = (F.col("branches") > 1) & ((all_ == 0) | (rate == 0) | (rate == 1) | (F.abs(z) <= Z_SAME))
-    return group.join(pooled, ["host", "wide"]).select("host", "template", F.when(same, F.col("wide")).otherwise(F.col("template")).alias("merged"))
+    now = counts.withColumn("merged", F.col("template"))
+    deepest = counts.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 0
+    for d in range(max(1, deepest - 1)):
+        slot = rf"^((?:/[^/]*){{{d}}})/([^{{/][^/]*)"
+        branch = now.groupBy("host", "merged").agg(F.sum("good").alias("b_good"), F.sum("bad").alias("b_bad")).withColumn("wide", F.regexp_replace("merged", slot, "$1/{any}"))
+        all_ = F.col("b_good") + F.col("b_bad")
+        pooled = branch.groupBy("host", "wide").agg(F.count("*").alias("branches"), F.sum("b_bad").alias("p_bad"), F.sum(all_).alias("p_all"))
+        rate = F.coalesce(F.try_divide("p_bad", "p_all"), F.lit(0.0))
+        z = F.try_divide(F.col("b_bad") - all_ * rate, F.sqrt(all_ * rate * (1 - rate)))
+        same = (F.col("branches") > 1) & ((all_ == 0) | (rate == 0) | (rate == 1) | (F.abs(z) <= Z_SAME))
+        step = branch.join(pooled, ["host", "wide"]).select("host", "merged", F.when(same, F.col("wide")).otherwise(F.col("merged")).alias("next"))
+        now = written(now.join(step, ["host", "merged"]).select("host", "template", "good", "bad", F.col("next").alias("merged")), f"template-merges-{d}")
+    return now.select("host", "template", "merged")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,7 +126,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES)
     urls = written(urls, "urls")
     found = templates(urls)
     counts = written(urls.join(found, ["host", "path"]).groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "template-counts")
-    wide = written(merged(counts), "template-merges")
+    wide = merged(counts)
     both = counts.join(wide, ["host", "template"]).groupBy("host", "merged").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     total = counts.agg(F.try_divide(F.sum("bad"), F.sum(F.col("good") + F.col("bad"))).alias("rate")).first().rate
     n = F.col("good") + F.col("bad")

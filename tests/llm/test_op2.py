@@ -117,3 +117,13 @@ def test_generalising_merging_rejecting(spark, labelled):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert u.judged(df, spark.createDataFrame([], "page_id long, is_bad boolean")).count() == 0
+
+
+def test_branches_below_the_first_segment_merge(spark):
+    """Few bad labels on each of many branches, below a literal and below a wildcard: they are pooled."""
+    urls = [f"http://s.org/shop/c{x}/{k}" for x in "abcdef" for k in range(2)] + [f"http://s.org/7/c{x}/{k}" for x in "abcdef" for k in range(2)] + [f"http://t.org/ok/{k}" for k in range(80)]
+    pages = list(enumerate(urls))
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = u.judged(df, spark.createDataFrame([(i, x.startswith("http://s")) for i, x in pages], "page_id long, is_bad boolean"), ()).collect()
+    assert {(r.template, r.verdict) for r in got if r.host == "s.org"} == {("/shop/{any}/{num}", "block"), ("/{num}/{any}/{num}", "block")}
+    assert {r.verdict for r in got if r.host == "t.org"} == {"allow"}
