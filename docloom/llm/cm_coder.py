@@ -6,13 +6,15 @@ into one distribution over these ids for each position:
 
 * order 2: the id last confirmed after the two last ids (hashed table with confidence),
 * order 1: the id last confirmed after the last id,
-* order 0: adaptive frequencies, summed up anew every ``REBUILD`` ids.
+* order 0: adaptive frequencies, summed up anew whenever the coded part has doubled.
 
-The mixing weights are adaptive hit rates, kept for each pair of confidences and for
-whether the two single predictions agree.  The mixture drives a carry-less range coder
-with 48-bit registers and 16-bit output words; all arithmetic is integer, so the decoder
-repeats the encoder exactly on any machine.  Blocks are independent, so numpy works on
-one position of all of them at a time.
+The mixing weights are hit rates, kept for each pair of confidences and for whether the
+two single predictions agree; like the frequencies they are renewed as the block goes on.  The mixture drives a range coder with 48-bit
+registers and 16-bit words; carries run through the words at the end of a block, so a step
+puts out one word at most, and the decoder keeps only the distance of code and low end.
+Quotients come from doubles: operands below 1 << 48 and quotients below 1 << 16 make their
+floors exact, so the decoder repeats the encoder on any machine.  Blocks are independent,
+so numpy works on one position of all of them at a time.
 """
 
 from __future__ import annotations
@@ -22,100 +24,138 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMX2"
-_HEAD = struct.Struct("<4sIIII")  # magic, ids, crc32 of the ids, bytes of the id list, 16-bit words
-MAX_BLOCK = 8192
-REBUILD = 256
-SLOTS = 2048
-GAIN = 16  # MAX_BLOCK times this, plus the ids of a block, times 1 << 13 must stay below 1 << 31: 139,264 * 8,191 does
-RATE = 5
-_P0 = 13  # order-0 frequencies add up to 1 << 13, so a block has at most 8192 ids of its own
-_MASK48 = np.uint64((1 << 48) - 1)
-_TOP = np.uint64(32)
-_BOTTOM = np.uint64(1 << 16)
-_LOW = np.uint64((1 << 16) - 1)
-_WORD = np.uint64(16)
-
-
-def _pack_ids(ids: np.ndarray) -> bytes:
-    """Sorted distinct ids as gaps: a byte each, 255 and four bytes for gaps of 255 or more."""
-    gaps = np.diff(ids, prepend=-1) - 1
-    if not (gaps >= 255).any():
-        return gaps.astype(np.uint8).tobytes()
-    return b"".join(bytes([g]) if g < 255 else b"\xff" + struct.pack("<I", g) for g in gaps.tolist())
-
-
-def _unpack_ids(data: bytes) -> np.ndarray:
-    if b"\xff" not in data:
-        return np.cumsum(np.frombuffer(data, np.uint8).astype(np.int64) + 1) - 1
-    gaps, i = [], 0
-    while i < len(data):
-        if data[i] < 255:
-            gaps.append(data[i])
-            i += 1
-        else:
-            gaps.append(struct.unpack_from("<I", data, i + 1)[0])
-            i += 5
-    return np.cumsum(np.array(gaps, np.int64) + 1) - 1
-
-
-class _Model:
-    """Predictions of ``lanes`` blocks; ids are positions in the blocks' own id lists."""
-
-    def __init__(self, own: np.ndarray, searched: bool):
-        lanes, self.width = len(own), int(own.max(initial=1))
-        self.own, self.searched = own, searched
-        self.lane = np.arange(lanes)
-        self.count = (np.arange(self.width)[None, :] < own[:, None]).astype(np.int32)
-        self.flat = self.count.reshape(-1)
-        self.step1 = np.minimum(np.arange(1, self.width + 1, dtype=np.int32)[None, :], own[:, None].astype(np.int32))
-        self.cum = np.zeros((lanes, self.width + 1), np.uint16)
-        self.cum_flat = self.cum.reshape(-1)
-        # a slot holds (id + 1) << 2 | confidence; 0 is empty
-        self.one = np.zeros(lanes * (self.width + 1), np.int32)
-        self.two = np.zeros(lanes * SLOTS, np.int32)
-        self.rate2 = np.full(lanes * 32, 1024, np.int32)
-        self.rate1 = np.full(lanes * 32, 512, np.int32)
-        self.base1, self.base2, self.base_rate, self.base0 = self.lane * (self.width + 1), self.lane * SLOTS, self.lane * 32, self.lane * self.width
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        # sums stay below 1 << 18 and the product below 1 << 31
-        sums = np.cumsum(self.count, axis=1, dtype=np.int32)
-        sums *= ((1 << _P0) - self.own).astype(np.int32)[:, None]
-        sums //= np.maximum(self.count.sum(axis=1, dtype=np.int32), 1)[:, None]
-        sums += self.step1
-        self.cum[:, 1:] = sums
-        if self.searched:
-            self.keys = (self.cum + (self.lane << (_P0 + 1)).astype(np.int32)[:, None]).reshape(-1)
-
-    def predict(self, last: np.ndarray, last2: np.ndarray, a: int) -> None:
-        """Sets slots, predicted ids and the three weights (of 1 << 16 in all)."""
+MAGIC = b"CMX3"
+_HEAD = struct.Struct("<4sIIIII")  # magic, ids, crc32 of the ids, ids of its own, bytes of their list, 16-bit words
+MAX_BLOCK = 4096
+FIRST_REBUILD = 16
+_SLOT_BITS = 11
+_GAIN = 8
+_ROWS = 64  # positions that the encoder mixes at a time
+_P0 = 12  # order-0 frequencies add up to 1 << 12, as many as a block can have ids of its own
+_DENSE = 1 << 20
+_FULL = (1 << 48) - 1
+_LEAST = 1 << 32
+
+
+def _pack_ids(own: np.ndarray) -> bytes:
+    """Sorted distinct ids as gaps: a byte each, and four bytes behind them for each gap of 255 or more."""
+    gaps = np.diff(own, prepend=-1) - 1
+    far = gaps[gaps >= 255]
+    return np.minimum(gaps, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes()
+
+
+def _unpack_ids(data: bytes, n: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(data, "<u4", -1, n)
+    return np.cumsum(gaps + 1) - 1
+
+
+class _Places:
+    """Distinct ids of a block and the place of each of its ids among them, from 1."""
+
+    def __init__(self) -> None:
+        self.seen, self.place = np.zeros(_DENSE, bool), np.zeros(_DENSE, np.int32)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ids) or int(ids.max()) >= _DENSE:
+            own, at = np.unique(ids, return_inverse=True)
+            return own, at + 1
+        self.seen[ids] = True
+        own = np.flatnonzero(self.seen[: int(ids.max()) + 1])
+        self.seen[own] = False
+        self.place[own] = np.arange(1, len(own) + 1)
+        return own, self.place[ids]
+
+
+class _Slots:
+    """The ids last seen behind one and behind two ids, for ``lanes`` blocks; a step reads and renews one slot of each.
+
+    A slot holds id << 2 | confidence, from 1 to 3 as hits follow one another; 0 is empty.
+    Ids are places in the blocks' own id lists, 0 stands for none.
+    """
+
+    def __init__(self, lanes: int, width: int):
+        lane = np.arange(lanes)
+        self.one, self.two = np.zeros(lanes * width, np.uint16), np.zeros(lanes << _SLOT_BITS, np.uint16)
+        self.base1, self.base2 = lane * width, lane << _SLOT_BITS
+        self.last = self.last2 = np.zeros(lanes, np.int64)
+
+    def look(self, a: int, out1: np.ndarray, out2: np.ndarray) -> None:
+        last = self.last[:a]
         self.at1 = self.base1[:a] + last
-        self.at2 = self.base2[:a] + (((last2 * 40503 + last) * 2654435761 >> 15) & (SLOTS - 1))
-        s1, s2 = self.one[self.at1], self.two[self.at2]
-        self.s1, self.s2 = s1, s2
-        self.p1, self.p2 = s1 >> 2, s2 >> 2
-        self.at_rate = self.base_rate[:a] + ((self.p1 == self.p2) << 4 | (s2 & 3) << 2 | (s1 & 3))
-        self.r2, self.r1 = self.rate2[self.at_rate], self.rate1[self.at_rate]
-        self.w2 = self.r2 * 14 * (s2 > 0)
-        self.w1 = self.r1 * 14 * (s1 > 0)
-        self.w12 = self.w2 + self.w1
-        self.w0 = (1 << 16) - self.w12
-
-    def learn(self, id1: np.ndarray, a: int) -> None:
-        """id1: the position in the id list, plus one."""
-        hit2, hit1 = self.p2 == id1, self.p1 == id1
-        self.rate2[self.at_rate] = self.r2 + (((hit2 << 12) - self.r2) >> RATE)
-        self.rate1[self.at_rate] = self.r1 + ((((hit1 & ~hit2) << 12) - self.r1) >> RATE)
-        for slot, at, s, hit in ((self.two, self.at2, self.s2, hit2), (self.one, self.at1, self.s1, hit1)):
+        self.at2 = ((self.last2[:a] * 40503 + last) & ((1 << _SLOT_BITS) - 1)) + self.base2[:a]
+        self.one.take(self.at1, out=out1, mode="clip")
+        self.two.take(self.at2, out=out2, mode="clip")
+
+    def renew(self, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> None:
+        new = ids << 2 | 1
+        for table, at, s in ((self.one, self.at1, s1), (self.two, self.at2, s2)):
             sure = s & 3
-            slot[at] = np.where(hit, s + (sure < 3), np.where(sure > 0, s - 1, id1 << 2))
-        self.flat[self.base0[:a] + id1 - 1] += GAIN
+            np.minimum(sure, 2, out=sure)
+            sure *= (s >> 2) == ids
+            sure += new
+            table[at] = sure
+        self.last, self.last2 = ids.astype(np.int64), self.last
+
+
+def _state(s1: np.ndarray, s2: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    return (s2 & 3) << 2 | (s1 & 3) | agree.view(np.uint8) << 4
+
+
+class _Mixture:
+    """Order-0 distribution and the weights of the three predictors, renewed when the coded part has doubled."""
+
+    def __init__(self, own: np.ndarray, longest: int, decoding: bool):
+        lanes, self.width = len(own), int(own.max(initial=1)) + 1
+        self.decoding, self.summed = decoding, 0
+        lane = np.arange(lanes)
+        place = np.arange(self.width, dtype=np.int32)[None, :]
+        self.own = own.astype(np.int32)[:, None]
+        self.steps, self.beyond = np.minimum(place, self.own), place >= self.own
+        self.count = ((place > 0) & (place <= self.own)).astype(np.int32)
+        self.base_cum, self.base_state, self.base_slot = lane * self.width, lane * 32, lane << _P0
+        self.tally = np.zeros((lanes, 32, 3), np.int64)  # none, only order 1, order 2 was right
+        self.ids, self.s1, self.s2 = (np.zeros((longest, lanes), np.uint16) for _ in range(3))
+        self.renew(0)
+
+    def renew(self, upto: int) -> None:
+        """Take in the positions before ``upto``."""
+        for i in range(self.summed, upto, _ROWS):
+            part = slice(i, min(i + _ROWS, upto))
+            ids, p1, p2 = self.ids[part], self.s1[part] >> 2, self.s2[part] >> 2
+            at = ids + self.base_cum.astype(np.int32)
+            self.count += (np.bincount(at.ravel(), minlength=self.count.size) * _GAIN).reshape(self.count.shape).astype(np.int32)
+            hit2 = p2 == ids
+            kind = (p1 == ids).view(np.uint8) | hit2.view(np.uint8) << 1
+            np.minimum(kind, 2, out=kind)
+            at = (_state(self.s1[part], self.s2[part], p1 == p2) + self.base_state.astype(np.int32)) * 3 + kind
+            self.tally += np.bincount(at.ravel(), minlength=self.tally.size).reshape(self.tally.shape)
+        self.summed = max(self.summed, upto)
+        self.count[:, 0] = 0
+        n, state = self.tally.sum(axis=2) + 2, np.arange(32)
+        w2 = (self.tally[:, :, 2] * 4 + 2) * (7 << 11) // n * (state >> 2 & 3 > 0)
+        w1 = (self.tally[:, :, 1] * 4 + 1) * (7 << 11) // n * (state & 3 > 0)
+        self.w2, self.w12 = w2.ravel(), (w2 + w1).ravel()
+        sums = np.cumsum(self.count, axis=1, dtype=np.int32)
+        share = ((1 << _P0) - self.own) / np.maximum(sums[:, -1:], 1)
+        cum = (sums * share).astype(np.int32)
+        cum += self.steps
+        cum[self.beyond] = 1 << _P0
+        cum[:, 0] = 0
+        self.cum = cum.astype(np.uint16).ravel()
+        if self.decoding:
+            places = np.broadcast_to(np.arange(1, self.width, dtype=np.uint16), (len(cum), self.width - 1))
+            self.slot = np.repeat(places.ravel(), np.diff(cum, axis=1).ravel())
+
+    def order0(self, at: np.ndarray, w12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids at these cells within what the single predictions leave."""
+        w0 = (1 << 16) - w12
+        from0 = self.cum.take(at - 1, mode="clip") * w0 >> _P0
+        return w12 + from0, (self.cum.take(at, mode="clip") * w0 >> _P0) - from0
 
 
 def _due(i: int) -> bool:
-    return i % REBUILD == 0 or i in (32, 64, 128)
+    return i >= FIRST_REBUILD and not i & (i - 1)
 
 
 def _running(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,115 +173,136 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     if max(sizes) > MAX_BLOCK:
         raise ValueError(f"a block has at most {MAX_BLOCK} ids")
     order, running = _running(sizes)
-    lanes, longest = len(blocks), max(sizes)
-    ids, lists = np.zeros((longest, lanes), np.int64), []
+    lanes, longest, lists, places = len(blocks), max(sizes), [], _Places()
+    whole = np.zeros((longest, lanes), np.uint16)
     for lane, b in enumerate(order):
-        own, at = np.unique(blocks[b], return_inverse=True)
-        ids[: sizes[b], lane] = at + 1
+        own, at = places.of(blocks[b])
+        whole[: sizes[b], lane] = at
         lists.append(own)
-    m = _Model(np.array([len(x) for x in lists]), False)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
-    out, used = np.zeros((lanes, 2 * longest + 16), np.uint16), np.zeros(lanes, np.int64)
-    zero = np.zeros(lanes, np.int64)
-    for i in range(longest):
-        if i and _due(i):
-            m.rebuild()
-        a = int(running[i])
-        m.predict(ids[i - 1, :a] if i else zero[:a], ids[i - 2, :a] if i > 1 else zero[:a], a)
-        id1, lo, sp, us = ids[i, :a], low[:a], span[:a], used[:a]
-        at = m.base1[:a] + id1
-        start0, end0 = m.cum_flat[at - 1].astype(np.int64) * m.w0 >> _P0, m.cum_flat[at].astype(np.int64) * m.w0 >> _P0
-        by2 = (m.p2 == id1) & (m.w2 > 0)
-        by1 = (m.p1 == id1) & (m.w1 > 0) & ~by2
-        start = np.where(by2, 0, np.where(by1, m.w2, m.w12 + start0))
-        size = np.where(by2, m.w2, np.where(by1, m.w1, end0 - start0))
-        sp >>= _WORD
-        lo += sp * start.astype(np.uint64)
-        sp *= size.astype(np.uint64)
-        while True:
-            same = (lo ^ (lo + sp)) >> _TOP == 0
-            need = np.flatnonzero(same | (sp < _BOTTOM))
-            if not len(need):
-                break
-            l, s = lo[need], sp[need]
-            s = np.where(same[need], s, (_BOTTOM - (l & _LOW)) & _LOW)
-            out[need, us[need]] = l >> _TOP
-            us[need] += 1
-            lo[need] = (l << _WORD) & _MASK48
-            sp[need] = s << _WORD
-        m.learn(id1, a)
+    m = _Mixture(np.array([len(x) for x in lists]), longest, False)
+    m.ids, slots = whole, _Slots(lanes, m.width)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    room = longest + 4
+    out, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    put, i = first.copy(), 0
+    while i < longest:
+        if _due(i):
+            m.renew(i)
+        j, top = min(longest, i + _ROWS - i % _ROWS, 2 * i if i >= FIRST_REBUILD else FIRST_REBUILD), int(running[i])
+        for k in range(i, j):
+            a = int(running[k])
+            s1, s2 = m.s1[k, :a], m.s2[k, :a]
+            slots.look(a, s1, s2)
+            slots.renew(whole[k, :a], s1, s2)
+        starts, widths = _intervals(m, slice(i, j), top)
+        for k in range(i, j):
+            a = int(running[k])
+            lo, sp, p = low[:a], span[:a], put[:a]
+            sp >>= 16
+            lo += sp * starts[k - i, :a]
+            sp *= widths[k - i, :a]
+            full = sp < _LEAST
+            shift = full.view(np.uint8) * np.int64(16)
+            digit = (lo >> 32) * full
+            out[p] = digit
+            p += full
+            lo -= digit << 32
+            lo <<= shift
+            sp <<= shift
+        i = j
     for shift in (32, 16, 0):
-        out[np.arange(lanes), used] = (low >> np.uint64(shift)) & _LOW
-        used += 1
-    result: list[bytes] = [b""] * lanes
+        out[put] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
+        put += 1
+    over = np.flatnonzero(out >> 16)
+    while len(over):
+        out[over] &= 0xFFFF
+        out[over - 1] += 1
+        over = (over - 1)[out[over - 1] >> 16 > 0]
+    words, result = out.astype("<u2"), [b""] * lanes
     for lane, b in enumerate(order):
         packed = _pack_ids(lists[lane])
         crc = zlib.crc32(np.ascontiguousarray(blocks[b], "<u4").tobytes())
-        result[b] = _HEAD.pack(MAGIC, sizes[b], crc, len(packed), int(used[lane])) + packed + out[lane, : used[lane]].astype("<u2").tobytes()
+        result[b] = _HEAD.pack(MAGIC, sizes[b], crc, len(lists[lane]), len(packed), int(put[lane] - first[lane])) + packed + words[first[lane] : put[lane]].tobytes()
     return result
 
 
+def _intervals(m: _Mixture, rows: slice, a: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, of 1 << 16, of the ids of these positions."""
+    ids, s1, s2 = m.ids[rows, :a], m.s1[rows, :a], m.s2[rows, :a]
+    p1, p2 = s1 >> 2, s2 >> 2
+    at = _state(s1, s2, p1 == p2) + m.base_state[:a]
+    w2, w12 = m.w2.take(at, mode="clip"), m.w12.take(at, mode="clip")
+    hit2 = p2 == ids
+    start, size = np.where(hit2, 0, w2), np.where(hit2, w2, w12 - w2)
+    rest = np.flatnonzero(~((p1 == ids) | hit2).ravel())
+    cell = (ids + m.base_cum[:a]).ravel()[rest]
+    start.ravel()[rest], size.ravel()[rest] = m.order0(cell, w12.ravel()[rest])
+    return start, size
+
+
 def decode(blobs: list[bytes]) -> list[np.ndarray]:
     """The blocks of ids; raises ValueError where a block's checksum or form is wrong."""
     if not blobs:
         return []
-    heads = [_HEAD.unpack_from(b) for b in blobs]
-    for (magic, _, _, packed, words), blob in zip(heads, blobs):
-        if magic != MAGIC or len(blob) != _HEAD.size + packed + 2 * words:
+    heads = []
+    for blob in blobs:
+        head = _HEAD.unpack_from(blob) if len(blob) >= _HEAD.size else (b"",) * 6
+        if head[0] != MAGIC or len(blob) != _HEAD.size + head[4] + 2 * head[5] or head[1] > MAX_BLOCK or not head[3] <= min(head[4], MAX_BLOCK) or (head[4] - head[3]) % 4:
             raise ValueError("not a block of ids")
+        heads.append(head)
     sizes = [h[1] for h in heads]
     order, running = _running(sizes)
     lanes, longest = len(blobs), max(sizes)
-    data = np.zeros((lanes, max(h[4] for h in heads) + 4), np.uint64)
-    lists = []
+    room = max(h[5] for h in heads) + 4
+    data, lists = np.zeros(lanes * room, np.uint16), []
     for lane, b in enumerate(order):
-        packed, words = heads[b][3:]
-        lists.append(_unpack_ids(blobs[b][_HEAD.size : _HEAD.size + packed]))
-        data[lane, :words] = np.frombuffer(blobs[b], "<u2", words, _HEAD.size + packed)
-    m = _Model(np.array([len(x) for x in lists]), True)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
-    code, used = data[:, 0] << np.uint64(32) | data[:, 1] << np.uint64(16) | data[:, 2], np.full(lanes, 3, np.int64)
-    ids = np.zeros((longest, lanes), np.int64)
-    zero, last_word = np.zeros(lanes, np.int64), data.shape[1] - 1
+        _, _, _, n_own, packed, words = heads[b]
+        try:
+            lists.append(_unpack_ids(blobs[b][_HEAD.size : _HEAD.size + packed], n_own))
+        except ValueError:
+            raise ValueError("the id list of a block is damaged") from None
+        data[lane * room : lane * room + words] = np.frombuffer(blobs[b], "<u2", words, _HEAD.size + packed)
+    m = _Mixture(np.array([len(x) for x in lists]), longest, True)
+    slots, get = _Slots(lanes, m.width), np.arange(lanes) * room
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    for _ in range(3):
+        code = code << 16 | data[get]
+        get += 1
     for i in range(longest):
-        if i and _due(i):
-            m.rebuild()
+        if _due(i):
+            m.renew(i)
         a = int(running[i])
-        m.predict(ids[i - 1, :a] if i else zero[:a], ids[i - 2, :a] if i > 1 else zero[:a], a)
-        lo, sp, co, us, lane = low[:a], span[:a], code[:a], used[:a], m.lane[:a]
-        sp >>= _WORD
-        v = np.minimum(((co - lo) & _MASK48) // np.maximum(sp, np.uint64(1)), _LOW).astype(np.int64)
-        by2 = v < m.w2
-        by1 = (v < m.w12) & ~by2
-        u = (((v - m.w12 + 1) << _P0) - 1) // m.w0
-        found = np.searchsorted(m.keys, (u + (lane << (_P0 + 1))).astype(np.int32), "right") - m.base1[:a]
-        id1 = np.where(by2, m.p2, np.where(by1, m.p1, np.clip(found, 1, m.width)))
-        at = m.base1[:a] + id1
-        start0, end0 = m.cum_flat[at - 1].astype(np.int64) * m.w0 >> _P0, m.cum_flat[at].astype(np.int64) * m.w0 >> _P0
-        start = np.where(by2, 0, np.where(by1, m.w2, m.w12 + start0))
-        size = np.where(by2, m.w2, np.where(by1, m.w1, end0 - start0))
-        lo += sp * start.astype(np.uint64)
-        sp *= size.astype(np.uint64)
-        while True:
-            same = (lo ^ (lo + sp)) >> _TOP == 0
-            need = np.flatnonzero(same | (sp < _BOTTOM))
-            if not len(need):
-                break
-            l, s, at = lo[need], sp[need], us[need]
-            if (at > last_word + 8).any():
-                raise ValueError("a block of ids is damaged")
-            s = np.where(same[need], s, (_BOTTOM - (l & _LOW)) & _LOW)
-            co[need] = ((co[need] << _WORD) & _MASK48) | data[need, np.minimum(at, last_word)]
-            us[need] = at + 1
-            lo[need] = (l << _WORD) & _MASK48
-            sp[need] = s << _WORD
-        ids[i, :a] = id1
-        m.learn(id1, a)
+        s1, s2 = m.s1[i, :a], m.s2[i, :a]
+        slots.look(a, s1, s2)
+        p1, p2 = s1 >> 2, s2 >> 2
+        at = _state(s1, s2, p1 == p2) + m.base_state[:a]
+        w2, w12 = m.w2.take(at, mode="clip"), m.w12.take(at, mode="clip")
+        co, sp, g = code[:a], span[:a], get[:a]
+        sp >>= 16
+        v = (co / sp).astype(np.int64)
+        by2 = v < w2
+        start, size, ids = np.where(by2, 0, w2), np.where(by2, w2, w12 - w2), np.where(by2, p2, p1)
+        rest = np.flatnonzero(v >= w12)
+        w = w12[rest]
+        u = ((((v[rest] - w + 1) << _P0) - 1) / ((1 << 16) - w)).astype(np.int64)
+        own = m.slot.take(m.base_slot[rest] + u, mode="clip")
+        ids[rest] = own
+        start[rest], size[rest] = m.order0(m.base_cum[rest] + own, w)
+        co -= sp * start
+        sp *= size
+        full = sp < _LEAST
+        shift = full.view(np.uint8) * np.int64(16)
+        sp <<= shift
+        co <<= shift
+        co |= data.take(g, mode="clip") * full
+        g += full
+        m.ids[i, :a] = ids
+        slots.renew(ids, s1, s2)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for lane, b in enumerate(order):
-        at = ids[: sizes[b], lane] - 1
-        got = lists[lane][np.minimum(at, len(lists[lane]) - 1)] if sizes[b] else np.zeros(0, np.int64)
-        if zlib.crc32(got.astype("<u4").tobytes()) != heads[b][2]:
+        at = m.ids[: sizes[b], lane].astype(np.int64) - 1
+        got = lists[lane][np.clip(at, 0, len(lists[lane]) - 1)] if sizes[b] and len(lists[lane]) else np.zeros(0, np.int64)
+        if len(got) != sizes[b] or zlib.crc32(got.astype("<u4").tobytes()) != heads[b][2]:
             raise ValueError("checksum of a block of ids is wrong")
         result[b] = got
     return result

@@ -1,25 +1,32 @@
 """Token-id files: ids of all documents in ascending doc_id order, in context-mixed blocks.
 
-Writing: rows are range-partitioned and sorted by doc_id, encoded with the tokenizers
-library, ended with ``end_id`` and cut into segments of whole documents; a segment's ids
-are coded in blocks of ``MAX_BLOCK`` ids, each reset and checksummed by itself (see
-``cm_coder``).  A file row is one segment: its partition and place in it, the documents'
-ids and lengths and the coded blocks.  The files are Spark-written Parquet in the shared
-folder, so any executor can read any of them again.
-
-Encoding remembers the ids of each stretch between blanks: a blank behind a character
-that is no white space always starts a new pre-token, so such stretches are encoded
-independently by the library itself; texts in which blanks do not stand alone take
-the library's path as a whole.
+Writing: rows are range-partitioned and sorted by doc_id (then by a hash of the text, so
+one id with many texts is split too), encoded with the tokenizers library, ended with
+``end_id`` and cut into segments of whole documents; a segment's ids are coded in blocks of
+``MAX_BLOCK`` ids, each reset and checksummed by itself (see ``cm_coder``).  A file row is
+one segment: its partition and place in it, the documents' ids and lengths and the coded
+blocks.  The files are Spark-written Parquet in the shared folder, so any executor can read
+any of them again.
+
+Encoding remembers the ids of stretches: the pre-tokenizer of byte-level files never
+matches white space behind another character, nor a punctuation mark behind a letter or
+digit, so there always starts a new pre-token, and the stretches between such places are
+encoded independently by the library itself.  Files of another kind get whole texts.  Strings of special tokens in a text become
+those tokens, as the library does by default.
 
 Null texts are empty documents of one id, the end id.  Repeated rows give a document
-each; equal doc_ids stand in the order of their texts.
+each; equal doc_ids, nulls first among all, stand in the order of their texts' hashes.  An
+empty table gives no rows.  Texts may have any length; they are never cut.  Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,43 +35,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import cm_coder
+from docloom.llm import textbatch as tb
 from docloom.llm.tables import table, written
 
 SEGMENT_IDS = 1 << 16
-LANES = 1024
-MEMO = 300_000
+LANES = 2048
+MEMO = 600_000
+MEMO_IDS = 8_000_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_BEFORE, _LAST = np.zeros(256, bool), np.zeros(256, bool)  # the last two bytes of white space beyond ASCII are such a pair
+_BEFORE[[0xC2, 0x80, 0x81, 0x9A]] = True
+_LAST[[*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+
+
+def _stretches(buf: np.ndarray, off: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """First bytes of the stretches: of each text, at ASCII white space behind what is surely none, and at marks behind letters or digits."""
+    head = np.zeros(len(buf), bool)
+    if len(buf) > 1:
+        before, last = np.concatenate([[0], buf[:-2]]), buf[:-1]
+        head[1:] = _WHITE[buf[1:]] & ~_WHITE[last] & ~(_BEFORE[before] & _LAST[last]) | marks[buf[1:]] & _ALNUM[last]
+    starts = off[:-1]
+    head[starts[starts < len(buf)]] = True
+    return np.flatnonzero(head)
 
 
 class TextEncoder:
-    """The tokenizers library, remembering stretches between blanks."""
+    """The tokenizers library, remembering the ids of stretches."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
-        self._memo: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        parts = text.split(" ")
-        if any(not p or p[-1].isspace() or p[-1] in "\x1c\x1d\x1e\x1f" for p in parts[:-1]) or not parts[-1]:
-            return np.frombuffer(self._whole(text), "<u4")
-        parts[1:] = [" " + p for p in parts[1:]]
-        memo, out = self._memo, []
-        for p in parts:
-            ids = memo.get(p)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = self._whole(p)
-                if len(p) < 64:
-                    memo[p] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+        spec = json.loads(self._t.to_str())
+        kind = spec["pre_tokenizer"] or {}
+        self._by_stretch = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not spec["normalizer"] and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+        self._marks = np.zeros(256, bool)
+        self._marks[[c for c in range(33, 127) if not chr(c).isalnum() and not any(chr(c) in x["content"] for x in spec["added_tokens"])]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._memo: dict[bytes, int] = {}
+        self._ids, self._bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _places(self, stretches: list[bytes]) -> np.ndarray:
+        """Where the ids of each of these are remembered; unknown ones are encoded first."""
+        memo = self._memo
+        new = [x for x in stretches if x not in memo]
+        if new:
+            got = [e.ids for e in self._t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32)])
+            self._bound = np.concatenate([self._bound, self._bound[-1] + np.cumsum(list(map(len, got)))])
+        return np.fromiter(map(memo.__getitem__, stretches), np.int64, len(stretches))
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these texts, one after another, and where each text's begin and end."""
+        at = _stretches(buf, off, self._marks) if self._by_stretch else np.unique(off[:-1][off[:-1] < len(buf)])
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        ends = pa.py_buffer(np.append(at, len(buf)))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        start = self._bound[place]
+        size = self._bound[place + 1] - start
+        bound = np.concatenate([[0], np.cumsum(size)])
+        ids = self._ids[np.arange(bound[-1]) + np.repeat(start - bound[:-1], size)]
+        if len(self._memo) > MEMO or len(self._ids) > MEMO_IDS:
+            self._forget()
+        return ids, bound[np.searchsorted(at, off)]
 
 
 @lru_cache(2)
@@ -97,32 +141,34 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, base = TaskContext.get().partitionId(), 0
         enc = _encoder(path)
-        end = np.array([end_id], np.uint32)
         segments, n_blocks = [], 0
         names, ids, n = [], [], 0
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
-                own = np.concatenate([enc.encode(t.as_py() or ""), end])
-                names.append(d.as_py())
-                ids.append(own)
-                n += len(own)
-                if n < SEGMENT_IDS:
-                    continue
-                segments.append((names, ids))
-                n_blocks += -(-n // cm_coder.MAX_BLOCK)
-                names, ids, n = [], [], 0
-                if n_blocks >= LANES:
-                    yield from _flush(segments, part, base)
-                    base += sum(len(x) for _, s in segments for x in s)
-                    segments, n_blocks = [], 0
+            own_names = batch.column(0).to_pylist()
+            for i, _, buf, off in tb.text_runs(batch.column(1)):
+                flat, bound = enc.encode(buf, off)
+                for k in range(len(bound) - 1):
+                    own = np.append(flat[bound[k] : bound[k + 1]], np.uint32(end_id))
+                    names.append(own_names[i + k])
+                    ids.append(own)
+                    n += len(own)
+                    if n < SEGMENT_IDS:
+                        continue
+                    segments.append((names, ids))
+                    n_blocks += -(-n // cm_coder.MAX_BLOCK)
+                    names, ids, n = [], [], 0
+                    if n_blocks >= LANES:
+                        yield from _flush(segments, part, base)
+                        base += sum(len(x) for _, s in segments for x in s)
+                        segments, n_blocks = [], 0
         if ids:
             segments.append((names, ids))
         if segments:
             yield from _flush(segments, part, base)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(run, _FILE), "token-files")
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return written(dealt.select("doc_id", "text").mapInArrow(run, _FILE), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
