@@ -144,3 +144,10 @@ def group_bounds(row: np.ndarray, n_rows: int) -> np.ndarray:
 def arrow_lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """List array of values[bounds[i]:bounds[i+1]]."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def lowered(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z at these places in lower case."""
+    out = buf.copy()
+    out[at] = np.where((out[at] >= 65) & (out[at] <= 90), out[at] + 32, out[at])
+    return out
