@@ -26,12 +26,12 @@ import numpy as np
 
 MAGIC = b"CMX3"
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, crc32 of the ids, ids of its own, bytes of their list, 16-bit words
-MAX_BLOCK = 4096
+MAX_BLOCK = 2048
 FIRST_REBUILD = 16
-_SLOT_BITS = 11
+_SLOT_BITS = 10
 _GAIN = 8
 _ROWS = 64  # positions that the encoder mixes at a time
-_P0 = 12  # order-0 frequencies add up to 1 << 12, as many as a block can have ids of its own
+_P0 = 11  # order-0 frequencies add up to 1 << 11, as many as a block can have ids of its own
 _DENSE = 1 << 20
 _FULL = (1 << 48) - 1
 _LEAST = 1 << 32

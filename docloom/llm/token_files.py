@@ -38,10 +38,10 @@ from docloom.llm import cm_coder
 from docloom.llm import textbatch as tb
 from docloom.llm.tables import table, written
 
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 15
 LANES = 2048
-MEMO = 600_000
-MEMO_IDS = 8_000_000
+MEMO = 250_000
+MEMO_IDS = 4_000_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
@@ -102,10 +102,12 @@ class TextEncoder:
         ends = pa.py_buffer(np.append(at, len(buf)))
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
-        start = self._bound[place]
-        size = self._bound[place + 1] - start
+        start = self._bound[:-1].astype(np.int32)[place]
+        size = np.diff(self._bound).astype(np.int32)[place]
         bound = np.concatenate([[0], np.cumsum(size)])
-        ids = self._ids[np.arange(bound[-1]) + np.repeat(start - bound[:-1], size)]
+        shift = np.repeat(start - bound[:-1].astype(np.int32), size)
+        shift += np.arange(len(shift), dtype=np.int32)
+        ids = self._ids[shift]
         if len(self._memo) > MEMO or len(self._ids) > MEMO_IDS:
             self._forget()
         return ids, bound[np.searchsorted(at, off)]

@@ -51,10 +51,10 @@ def test_coder_round_trip(blocks):
 
 def test_coder_compresses_and_checks():
     rnd = random.Random(5)
-    repeated = np.array([rnd.randrange(1000) for _ in range(64)] * 64)
-    spread = np.array([rnd.randrange(50257) for _ in range(4096)])
+    repeated = np.array([rnd.randrange(1000) for _ in range(64)] * 32)
+    spread = np.array([rnd.randrange(50257) for _ in range(2048)])
     coded = c.encode([repeated, spread, repeated[:100], repeated[:0]])
-    assert len(coded[0]) < 4096 / 2 and len(coded[1]) < 4096 * 3
+    assert len(coded[0]) < 2048 / 2 and len(coded[1]) < 2048 * 3
     bad = bytearray(coded[1])
     bad[-9] ^= 5
     with pytest.raises(ValueError):
