@@ -2,28 +2,37 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits),
 social security numbers, IBANs, long hexadecimal secrets, quoted secrets behind a word such
-as ``token =``, and names behind a title.
+as ``token =``, names behind a title, and listed first names before another name.
 
 A surrogate comes from a keyed Feistel permutation over the entity's own format: digits,
 upper-case and lower-case letters of a script and hexadecimal digits turn into symbols of
 the same class, all other characters stay.  Letters and digits outside ``_ALPHABETS`` have
-the like ones of their script and of the same 256 code points as their class.  A permutation never maps two entities to one,
-and one entity always has one surrogate, in every document.  Parts are mapped by
-themselves where they recur alone: the domain of an address, the surname behind a title.
-First names are permuted within the list of their gender; titles stay, so gender does too.
-Card numbers keep the validity of their check digit, IP addresses stay IP addresses.
-
-Collision check: a surrogate must not be an entity of the corpus itself.  The distinct
-entities are joined with their surrogates; those that hit a real entity try the permutation
-of the next key, and are accepted where the result is no real entity, no accepted surrogate
-and not wanted by another in the same round (the least entity goes first).  So the mapping
-stays one to one.  What ``MAX_TRIES`` keys leave over (its format is full) is drawn from a
-keyed digest under the same check, longer where the format allows, until all are placed.
-These exceptions are few; up to ``EXCEPTION_ROWS`` they are broadcast
-after a count, beyond that they are joined to their documents.
+the like ones of their script and of the same 256 code points as their class.  A permutation
+never maps two entities to one, and one entity always has one surrogate, in every document.
+The key is the caller's: who has it can undo the replacement, so it is kept apart from the
+data (``key_of`` takes it from ``spark.docloom.pii.key``).
+
+Names and addresses are mapped by parts, each with its own surrogate: first name, surname,
+mailbox and domain.  So ``John Smith`` and ``Dr Smith``, or two mailboxes of a domain, stay
+together.  Listed first names are permuted within the list of their gender; others keep
+their last letter, which often tells it; titles stay.  Card numbers keep the validity of
+their check digit, IBANs their country and the validity of their check digits, IP addresses
+stay IP addresses.
+
+Collision check: a surrogate must not be real.  Whole entities, surnames and domains are
+joined with their surrogates; those that hit a real one, or that another one has too, try
+the permutation of the next key, and are accepted where the result is not real, not accepted
+before and not wanted by another in the same round (the least goes first).  As no surname or
+domain of a surrogate is real, no name or address is.  What ``MAX_TRIES`` keys leave over
+(its format is full) is drawn from a keyed digest under the same check, longer where the
+format allows, until all are placed.  These exceptions are few; up to ``EXCEPTION_ROWS`` they
+are broadcast after a count, beyond that they are joined to their documents.
 
 Null texts stay null, empty ones empty; both have no entities.  Repeated rows give a row
-each.  Texts without entities come back unchanged.
+each, ties (overlapping finds) go to the earlier pattern.  Texts may have any length and are
+read as a whole; an empty table gives no rows.  Texts without entities come back unchanged,
+as do all other columns, whatever their names; those named ``pii_n`` or ``pii_spans`` are
+replaced by the results.
 """
 
 from __future__ import annotations
@@ -33,8 +42,9 @@ import hmac
 import re
 import sys
 import unicodedata
+import warnings
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -45,7 +55,8 @@ from pyspark.sql import types as T
 
 from docloom.llm.tables import table, written
 
-KEY = b"docloom-surrogates"
+KEY_CONF = "spark.docloom.pii.key"
+_OPEN_KEY = b"no key was set: these surrogates are for tests only"
 EXCEPTION_ROWS = 100_000
 ROUNDS = 8
 MAX_TRIES = 32
@@ -68,6 +79,7 @@ _PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("card", "0123456789", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("phone", "0123456789", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,14}(?!\w)")),
     ("name", "", re.compile(rf"\b(?:{_TITLES})\b\.? ({_NAME}(?: {_NAME})?)")),
+    ("name", "", re.compile(rf"\b((?:{'|'.join(FEMALE + MALE)}) {_NAME})")),
 )
 _FEMALE_TITLE = re.compile(r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña)\b\.? $")
 _MALE_TITLE = re.compile(r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Don)\b\.? $")
@@ -210,41 +222,74 @@ def _shuffled(names: tuple[str, ...], key: bytes) -> dict[str, str]:
     return dict(zip(order, [*order[1:], order[0]]))
 
 
-def _name(text: str, key: bytes) -> str:
-    first, _, last = text.partition(" ")
-    if not last:
-        return _permute(first, key, "surname")
+def _first_name(text: str, key: bytes) -> str:
     for names in (FEMALE, MALE):
-        if first in names:
-            return f"{_shuffled(names, key)[first]} {_permute(last, key, 'surname')}"
-    new = _permute(first, key, "first")
+        if text in names:
+            return _shuffled(names, key)[text]
+    new = _permute(text[:-1], key, "first") + text[-1]
     while new in FEMALE or new in MALE:  # walks on: listed names are the images of listed names only
-        new = _permute(new, key, "first")
-    return f"{new} {_permute(last, key, 'surname')}"
+        new = _permute(new[:-1], key, "first") + new[-1]
+    return new
+
+
+def _iban(text: str, key: bytes) -> str:
+    """Another account of the country; its check digits are as far from the right ones as they were."""
+    signs = text.replace(" ", "")
+
+    def right(country: str, account: str) -> int:
+        return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+
+    country, account = signs[:2], signs[4:]
+    new = _permute(account, key, f"iban|{country}")
+    check = 2 + (right(country, new) - 2 + int(signs[2:4]) - right(country, account)) % 97
+    out = iter(f"{country}{check:02d}{new}")
+    return "".join(c if c == " " else next(out) for c in text)
 
 
 def family(kind: str) -> str:
     return "name" if kind.startswith("name") else kind
 
 
-def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
-    """One step of the permutation of this kind."""
+def parts_of(kind: str, entity: str) -> list[tuple[str, str]]:
+    """The parts of an entity that are replaced by themselves, with the kind of each."""
     if kind == "email":
         local, _, domain = entity.rpartition("@")
-        name, _, top = domain.rpartition(".")
-        return f"{_permute(local, key, 'local')}@{_permute(name, key, 'domain')}.{top}"
+        return [("local", local), ("domain", domain.rpartition(".")[0])]
+    if kind.startswith("name"):
+        first, _, last = entity.partition(" ")
+        return [("first", first), ("surname", last)] if last else [("surname", first)]
+    return [(kind, entity)]
+
+
+def composed(kind: str, entity: str, replace: Callable[[str, str], str]) -> str:
+    """The entity with its parts replaced."""
+    new = [replace(k, x) for k, x in parts_of(kind, entity)]
+    if kind == "email":
+        return f"{new[0]}@{new[1]}.{entity.rpartition('.')[2]}"
+    return " ".join(new)
+
+
+def part_surrogate(kind: str, part: str, key: bytes) -> str:
+    """The permutation of this kind of part."""
     if kind == "ip":
-        n = _feistel([int(x) for x in entity.split(".")], [256] * 4, key, "ip")
+        n = _feistel([int(x) for x in part.split(".")], [256] * 4, key, "ip")
         return ".".join(map(str, n))
     if kind == "card":
-        return _card(entity, key)
-    if kind == "hex" and entity in (entity.upper(), entity.lower()):
-        return _permute(entity, key, "hex", True)
-    if kind.startswith("name"):
-        return _name(entity, key)
-    if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", entity)):
-        return country[0] + _permute(entity[country.end() :], key, country[0])
-    return _permute(entity, key, kind)
+        return _card(part, key)
+    if kind == "iban":
+        return _iban(part, key)
+    if kind == "hex" and part in (part.upper(), part.lower()):
+        return _permute(part, key, "hex", True)
+    if kind == "first":
+        return _first_name(part, key)
+    if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", part)):
+        return country[0] + _permute(part[country.end() :], key, country[0])
+    return _permute(part, key, kind)
+
+
+def surrogate(kind: str, entity: str, key: bytes) -> str:
+    """The entity's surrogate where no collision moves it."""
+    return composed(kind, entity, lambda k, x: part_surrogate(k, x, key))
 
 
 class _Draws:
@@ -268,26 +313,20 @@ class _Draws:
         return "".join([*out[:at], *[alphabet[self(len(alphabet))] for _ in range(more)], *out[at:]])
 
 
-def drawn(kind: str, entity: str, turn: int, key: bytes = KEY) -> str:
-    """A replacement whose letters and digits come from a keyed digest only, of the entity's format.
+def drawn(kind: str, entity: str, turn: int, key: bytes) -> str:
+    """A replacement of a part whose letters and digits come from a keyed digest only, of the part's format.
 
-    Names, addresses and secrets grow from the first turn on, other kinds only after
+    Surnames, domains and secrets grow from the first turn on, other kinds only after
     ``SAME_LENGTH_DRAWS`` turns, as their formats have a fixed length.
     """
     draw = _Draws(key, f"drawn|{turn}|{kind}|{entity}")
     free, late = 8 + turn, max(0, turn - SAME_LENGTH_DRAWS)
-    if kind == "name":
-        first, _, last = entity.partition(" ")
-        if not last:
-            return draw.like(first, free)
-        for names in (FEMALE, MALE):
-            if first in names:
-                return f"{names[draw(len(names))]} {draw.like(last, free)}"
-        return f"{draw.like(first, free)} {draw.like(last, free)}"
-    if kind == "email":
-        local, _, domain = entity.rpartition("@")
-        name, _, top = domain.rpartition(".")
-        return f"{draw.like(local, free)}@{draw.like(name, 0)}.{top}"
+    if kind in ("surname", "domain"):
+        return draw.like(entity, free)
+    if kind == "iban":
+        signs = entity.replace(" ", "")
+        like = iter(signs[:4] + draw.like(signs[4:], 0))
+        return _iban("".join(c if c == " " else next(like) for c in entity), key)
     if kind == "secret":
         return draw.like("a" * max(len(entity), 16), turn)
     if kind == "ip" and not late:
@@ -308,15 +347,23 @@ def drawn(kind: str, entity: str, turn: int, key: bytes = KEY) -> str:
 # --- Spark ------------------------------------------------------------------------------
 
 
-def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row_key, kind, entity) of each mention, once a row; row_key is the text's hash, kind the same for all names."""
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's configuration, else one that protects nothing."""
+    own = spark.conf.get(KEY_CONF, None)
+    if own is None:
+        warnings.warn(f"{KEY_CONF} is not set: the surrogates can be undone by anyone", stacklevel=2)
+    return own.encode() if own is not None else _OPEN_KEY
+
+
+def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row_key, kind, entity) of each part that must not become real, once a row; row_key is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, kinds, found = [], [], []
             for k, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py()
-                for e in {(family(kind), text[a:b]) for a, b, kind in detect(text or "")}:
+                for e in {x for a, b, kind in detect(text or "") for x in parts_of(kind, text[a:b]) if x[0] not in ("first", "local")}:
                     keys.append(k.as_py())
                     kinds.append(e[0])
                     found.append(e[1])
@@ -325,8 +372,8 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, "row_key long, kind string, entity string")
 
 
-def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, surrogate) of the entities whose first surrogate is an entity of the corpus.
+def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate) of the parts whose first surrogate is real or another's too.
 
     Turns from ``MAX_TRIES`` on draw from a keyed digest instead of a permutation.
     """
@@ -339,7 +386,7 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                new = [surrogate(k, s, own) if turn < MAX_TRIES else drawn(k, s, turn - MAX_TRIES, key) for k, s in pairs]
+                new = [part_surrogate(k, s, own) if turn < MAX_TRIES else drawn(k, s, turn - MAX_TRIES, key) for k, s in pairs]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
         return rows.select("kind", "entity").mapInArrow(step, schema)
@@ -348,7 +395,9 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     first = written(tried(known, 0), "surrogates")
     real = known.select("kind", F.col("entity").alias("surrogate"))
     taken = real.union(first.select("kind", "surrogate"))
-    left = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity"), "collisions")
+    shared = first.groupBy("kind", "surrogate").agg(F.min("entity").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    second = first.join(shared, ["kind", "surrogate"]).filter("entity <> least").select("kind", "entity")
+    left = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity").union(second).distinct(), "collisions")
     done = spark.createDataFrame([], schema)
     for turn in count(1):
         if left.isEmpty():
@@ -360,24 +409,23 @@ def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
         left = written(left.join(good, ["kind", "entity"], "left_anti"), "collisions")
 
 
-def _rewrite(docs: DataFrame, text_col: str, key: bytes, given: object | None, walks_col: str | None) -> DataFrame:
-    """Docs with the text replaced, and pii_n and pii_spans (positions in the new text)."""
-    names = docs.columns
-    col = names.index(text_col)
-    walk_at = names.index(walks_col) if walks_col else -1
+_SPANS = "array<struct<kind: string, start: int, end: int>>"
+
+
+def _rewrite(rows: DataFrame, key: bytes, given: object | None) -> DataFrame:
+    """(row, text, pii_n, pii_spans) of rows (row, text, walks): the new text and the places of the surrogates in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = given.value if given is not None else {}
         for batch in batches:
             texts, counts, spans = [], [], []
-            walks = batch.column(walk_at).to_pylist() if walks_col else None
-            for i, t in enumerate(batch.column(col)):
+            walks = batch.column(2).to_pylist()
+            for i, t in enumerate(batch.column(1)):
                 text = t.as_py()
-                own = common if walks is None else {(w["kind"], w["entity"]): w["surrogate"] for w in walks[i] or ()}
+                own = common if walks[i] is None else {(w["kind"], w["entity"]): w["surrogate"] for w in walks[i]}
                 out, last, mine, size = [], 0, [], 0
                 for a, b, kind in detect(text or ""):
-                    entity = text[a:b]
-                    new = own.get((family(kind), entity)) or surrogate(kind, entity, key)
+                    new = composed(kind, text[a:b], lambda k, x: own.get((k, x)) or part_surrogate(k, x, key))  # noqa: B023
                     out += [text[last:a], new]
                     size += a - last
                     mine.append({"kind": kind, "start": size, "end": size + len(new)})
@@ -386,28 +434,30 @@ def _rewrite(docs: DataFrame, text_col: str, key: bytes, given: object | None, w
                 texts.append("".join([*out, text[last:]]) if mine else text)
                 counts.append(len(mine))
                 spans.append(mine)
-            columns = [pa.array(texts, pa.string()) if k == col else c for k, c in enumerate(batch.columns) if k != walk_at]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, kind)], names=[*[n for k, n in enumerate(batch.schema.names) if k != walk_at], "pii_n", "pii_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, kind)], names=["row", "text", "pii_n", "pii_spans"])
 
-    fields = [f for f in docs.schema.fields if f.name != walks_col]
-    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("pii_n", T.LongType()), T.StructField("pii_spans", T.ArrayType(span))]))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]).add("pii_n", T.LongType()).add("pii_spans", T.StructType.fromDDL(f"x {_SPANS}")["x"].dataType)
+    return rows.mapInArrow(run, schema)
 
 
-def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, exception_rows: int = EXCEPTION_ROWS) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", exception_rows: int = EXCEPTION_ROWS) -> DataFrame:
     """The rows of docs with surrogates in the text, and pii_n and pii_spans."""
-    mentions = written(entities(docs, text_col), "mentions")
+    mentions = written(mentions_of(docs, text_col), "mentions")
     walked = written(exceptions(mentions, key), "exceptions")
+    names = [c for c in docs.columns if c.lower() not in ("pii_n", "pii_spans")]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+    none = F.lit(None).cast("array<struct<kind: string, entity: string, surrogate: string>>")
     if walked.limit(exception_rows + 1).count() <= exception_rows:
         given = {(r.kind, r.entity): r.surrogate for r in walked.collect()}
-        return _rewrite(docs, text_col, key, docs.sparkSession.sparkContext.broadcast(given), None)
-    per_row = mentions.join(walked, ["kind", "entity"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("pii_walks"))
-    keyed = docs.withColumn("pii_key", F.xxhash64(text_col)).join(per_row, F.col("pii_key") == F.col("row_key"), "left")
-    return _rewrite(keyed.select(*docs.columns, "pii_walks"), text_col, key, None, "pii_walks")
+        out = _rewrite(rows.withColumn("walks", none), key, docs.sparkSession.sparkContext.broadcast(given))
+    else:
+        per_row = mentions.join(walked, ["kind", "entity"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("walks"))
+        out = _rewrite(rows.join(per_row, F.xxhash64("text") == F.col("row_key"), "left").select("row", "text", "walks"), key, None)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], "pii_n", "pii_spans")
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_surrogates(table(spark, sf_dir, "documents"))
+    out = with_surrogates(table(spark, sf_dir, "documents"), key_of(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii_spans", lambda s: s["kind"]))), ",")
     return out.select("doc_id", "text", F.col("pii_n").alias("n_entities"), kinds.alias("kinds"), F.col("pii_spans").alias("spans"))
