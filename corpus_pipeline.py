@@ -3,11 +3,20 @@
 Each stage takes (spark, docs, sf_dir), with docs as the stage before left them, and
 returns a frame; ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them again for the next, so a lost executor never repeats earlier stages.
+
+All stages read whole texts of any length.  Null texts have no words, no personal data and
+no tokens: of null and empty texts one row stays, as one class of copies.  Rows without an id
+are kept or dropped by their text like all others.  Of repeated rows, as of all near copies,
+the one with the least id (then the least text hash) stays.  An empty table gives an empty
+result.  All but the last stage return the columns of their input, whatever others there
+are beside those of documents; texts that a stage keeps come back as they were, but for the
+surrogates.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import bpe_tree, decontaminate, kneser_ney, neardup, pii
 from docloom.llm.tables import table, written
@@ -30,11 +39,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates in place of personal data; n_chars follows the new text."""
-    from pyspark.sql import functions as F
-
-    new = pii.with_surrogates(docs)
-    size = F.when(F.col("pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return new.select(*[size if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = docs.select("text", F.col("n_chars").alias("old_size"), F.struct(*docs.columns).alias("row"))
+    new = pii.with_surrogates(rows, pii.key_of(spark))
+    size = F.when(F.col("pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("old_size"))
+    own = {"text": F.col("text"), "n_chars": size}
+    return new.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
