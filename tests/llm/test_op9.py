@@ -32,6 +32,32 @@ def test_small_leaves_equal_the_library(text):
     assert SMALL.decode(ids) == text.encode()
 
 
+def naive(piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if piece in RANKS:
+        return (RANKS[piece],)
+    while True:
+        best = min(((RANKS.get(x + y, 1 << 40), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))), default=(1 << 40, 0))
+        if best[0] == 1 << 40:
+            return tuple(RANKS[x] for x in parts)
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=70) | st.text(alphabet="abcdeinrst", min_size=1, max_size=70).map(str.encode), min_size=1, max_size=60))
+def test_merging_by_rank(pieces):
+    m = SMALL._merger
+    want = [naive(x) for x in pieces]
+    assert m.many(pieces) == want and [m.one(x) for x in pieces if x not in RANKS] == [w for x, w in zip(pieces, want) if x not in RANKS]
+
+
+def test_patterns_must_cover():
+    import pytest
+
+    with pytest.raises(ValueError):
+        b.TreeCodec(PATH, r"[a-z]+").encode("a b")
+
+
 def test_long_texts_without_cuts():
     for text in ("a" * 30000, "ab c" * 9000, "\n" * 20000, "漢字" * 9000, " " * 9000 + "x"):
         got = b.codec(PATH, P.PATTERN).encode(text)
@@ -40,7 +66,7 @@ def test_long_texts_without_cuts():
 
 
 def test_edges(spark, make_docs):
-    docs = make_docs([None, "", "<|endoftext|>", "x"]).withColumn("ids", F.lit(1))
+    docs = make_docs([None, "", "<|endoftext|>", "x"]).withColumn("ids", F.lit(1)).withColumn("decoded", F.lit("y"))
     got = b.digest_documents(docs.union(docs)).collect()
     assert len(got) == 8 and [r.n_tokens for r in got][:2] == [0, 0]
     assert b.digest_documents(docs.limit(0)).count() == 0
