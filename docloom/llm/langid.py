@@ -3,17 +3,20 @@
 A word (a run of letters, lower-cased) that the training text knows votes with its log
 frequency in each language.  Any other word falls back to its character n-grams, word
 ends marked, from five letters down to one: the longest order of which any n-gram is
-known votes with the mean log frequency of the known ones.  The language with the
-largest sum wins; ``score`` is its softmax share over the mean votes.
+known votes with the mean log frequency of the known ones.  Frequencies are smoothed by
+``SMOOTH`` counts.  The language with the largest sum wins; ``score`` is its softmax share
+over the mean votes.
 
 The model is fitted on a bounded sample, ``MAX_ROWS`` rows of a language in expectation,
-chosen by a hash of the id; it keeps the ``MAX_WORDS`` most frequent words and
-``MAX_GRAMS`` n-grams of each order, so its size has a fixed bound and it may be
-broadcast.  Prediction reads whole texts of all rows.
+chosen by a hash of the id; it keeps every word and n-gram of their whole texts, with the
+languages each occurs in, so its size follows the sample and not the table, and it is
+broadcast.  Prediction reads whole texts of all rows, of any length.
 
 Nulls, empty texts and texts without letters give ``und`` with score 0.  Rows with a
-null language or text teach nothing.  Without any training row all is ``und``.  Repeated
-rows give a row each; ties go to the language first in the alphabet.
+null language or text teach nothing; labels may be any strings, in any number.  Without any
+training row all is ``und``, and an empty table gives no rows.  Repeated rows give a row each
+and teach as often as they stand there; ties go to the language first in the alphabet.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,22 +31,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
-from docloom.llm.tables import crc32_of_id, table
+from docloom.llm.tables import crc32_of_id, table, written
 
-MAX_ROWS = 4000
-MAX_WORDS = 200_000
-MAX_GRAMS = 100_000
+MAX_ROWS = 2000
 MAX_ORDER = 5
-MIN_COUNT = 2
 SMOOTH = 0.5
 _EDGE = 0x20
 
 
+@dataclass
+class Level:
+    """Words (order 0) or n-grams of one order: which languages know each, and how much more that votes than not to know it."""
+
+    keys: np.ndarray  # sorted hashes
+    first: np.ndarray  # the first cell of each key, and the end
+    lang: np.ndarray  # by cell
+    more: np.ndarray  # by cell
+    none: np.ndarray  # log frequency of what a language doesn't know, by language
+
+    def votes(self, at: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Sums by row and language of the weighted votes of the keys at these places."""
+        n_lang, size = len(self.none), self.first[at + 1] - self.first[at]
+        bound = np.cumsum(size) - size
+        cell = np.arange(int(size.sum())) + np.repeat(self.first[at] - bound, size)
+        to, w = np.repeat(row, size) * n_lang + self.lang[cell], np.repeat(weight, size)
+        sums = np.bincount(to, self.more[cell] * w, n * n_lang).reshape(n, n_lang)
+        return sums + np.bincount(row, weight, n)[:, None] * self.none[None, :]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    keys: list[np.ndarray]  # by order, 0 for whole words; sorted hashes
-    logs: list[np.ndarray]  # float32, a column a language
+    levels: list[Level]  # by order, 0 for whole words
 
 
 @lru_cache(1)
@@ -126,58 +145,48 @@ def _counts(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, lang: Column, text: Column, key: Column, max_rows: int = MAX_ROWS) -> Model:
     """Fit on a bounded sample of the labelled rows; ``key`` is hashed to choose them."""
     known = rows.select(lang.alias("lang"), text.alias("text"), key.alias("k")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return Model([], [np.zeros(0, np.uint64)] * (MAX_ORDER + 1), [np.zeros((0, 0), np.float32)] * (MAX_ORDER + 1))
+        return Model([], [])
     share = F.create_map(*[F.lit(x) for s in langs for x in (s, min(1.0, max_rows / sizes[s]))])
     drawn = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("lang")]
-    counts = _counts(known.filter(drawn).select("lang", "text"))
-    wide = counts.groupBy("ord", "h").pivot("lang", langs).sum("n").na.fill(0)
-    names = wide.columns[2:]
-    wide = wide.withColumn("total", sum((F.col(f"`{c}`") for c in names), F.lit(0))).filter(F.col("total") >= MIN_COUNT)
-    keys, logs = [], []
+    place = F.create_map(*[F.lit(x) for k, s in enumerate(langs) for x in (s, k)])
+    counts = written(_counts(known.filter(drawn).select("lang", "text")).select(place[F.col("lang")].alias("lang"), "ord", "h", "n"), "langid-counts")
+    levels = []
     for order in range(MAX_ORDER + 1):
-        top = wide.filter(F.col("ord") == order).orderBy(F.desc("total"), "h").limit(MAX_GRAMS if order else MAX_WORDS).toArrow()
-        h = top["h"].to_numpy().astype(np.int64).view(np.uint64)
-        c = np.stack([top[x].to_numpy() for x in names], axis=1).astype(np.float64) if len(h) else np.zeros((0, len(langs)))
-        order_of = np.argsort(h)
-        total = c.sum(axis=0)
-        keys.append(h[order_of])
-        logs.append(np.log((c[order_of] + SMOOTH) / (total + SMOOTH * (len(h) + 1))).astype(np.float32))
-    return Model(langs, keys, logs)
+        got = counts.filter(F.col("ord") == order).select("lang", "h", "n").toArrow()
+        h, of, n = got["h"].to_numpy().view(np.uint64), got["lang"].to_numpy(), got["n"].to_numpy()
+        by = np.lexsort((of, h))
+        h, of, n = h[by], of[by], n[by]
+        keys, first = np.unique(h, return_index=True)
+        total = np.log(np.bincount(of, n, len(langs)) + SMOOTH * (len(keys) + 1))
+        none = np.log(SMOOTH) - total
+        levels.append(Level(keys, np.append(first, len(h)), of.astype(np.int32), (np.log(n + SMOOTH) - np.log(SMOOTH)).astype(np.float32), none))
+    return Model(langs, levels)
 
 
 def _votes(model: Model, buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of votes by row and language, votes by row, words by row."""
     low, start, end, row = _letters(buf, off)
-    sums = np.zeros((n, len(model.langs)))
-    got = np.zeros(n)
-
-    def add(rows: np.ndarray, values: np.ndarray) -> None:
-        for k in range(sums.shape[1]):
-            sums[:, k] += np.bincount(rows, values[:, k], n)
-        got[:] += np.bincount(rows, minlength=n)
-
-    at = _find(model.keys[0], tb.span_hashes(low, start, end))
+    h = tb.span_hashes(low, start, end)
+    seen, of = np.unique(h, return_inverse=True)
+    at = _find(model.levels[0].keys, seen)[of]
     known = at >= 0
-    if known.any():
-        add(row[known], model.logs[0][at[known]])
+    sums = model.levels[0].votes(at[known], row[known], np.ones(int(known.sum())), n)
+    got = np.bincount(row[known], minlength=n)
     left = np.flatnonzero(~known)
     for order in range(MAX_ORDER, 0, -1):
         if not len(left):
             break
         code, bound = _padded(low, start[left], end[left])
         h, word = _grams(code, bound, order)
-        at = _find(model.keys[order], h)
-        ok = at >= 0
-        word, at = word[ok], at[ok]
+        at = _find(model.levels[order].keys, h)
+        word, at = word[at >= 0], at[at >= 0]
         n_known = np.bincount(word, minlength=len(left))
-        hit = n_known > 0
-        if hit.any():
-            mean = np.stack([np.bincount(word, model.logs[order][at, k], len(left)) for k in range(sums.shape[1])], axis=1)
-            add(row[left[hit]], mean[hit] / n_known[hit, None])
-        left = left[~hit]
+        sums += model.levels[order].votes(at, row[left[word]], 1.0 / n_known[word], n)
+        got += np.bincount(row[left[n_known > 0]], minlength=n)
+        left = left[n_known == 0]
     return sums, got, np.bincount(row, minlength=n)
 
 
