@@ -201,14 +201,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             sp >>= 16
             lo += sp * starts[k - i, :a]
             sp *= widths[k - i, :a]
-            full = sp < _LEAST
-            shift = full.view(np.uint8) * np.int64(16)
-            digit = (lo >> 32) * full
+            full = (sp < _LEAST).astype(np.int64)
+            digit = (lo >> 32) & -full
             out[p] = digit
             p += full
             lo -= digit << 32
-            lo <<= shift
-            sp <<= shift
+            full <<= 4
+            lo <<= full
+            sp <<= full
         i = j
     for shift in (32, 16, 0):
         out[put] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
@@ -226,6 +226,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return result
 
 
+def _first_or_second(hit2: np.ndarray, w2: np.ndarray, w12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of order 2's part or of order 1's part; by masks, as choosing at random is slow."""
+    mask = -hit2.astype(np.int64)
+    start, size = w2 & ~mask, w12 - w2
+    return start, size + ((w2 - size) & mask)
+
+
 def _intervals(m: _Mixture, rows: slice, a: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size, of 1 << 16, of the ids of these positions."""
     ids, s1, s2 = m.ids[rows, :a], m.s1[rows, :a], m.s2[rows, :a]
@@ -233,8 +240,8 @@ def _intervals(m: _Mixture, rows: slice, a: int) -> tuple[np.ndarray, np.ndarray
     at = _state(s1, s2, p1 == p2) + m.base_state[:a]
     w2, w12 = m.w2.take(at, mode="clip"), m.w12.take(at, mode="clip")
     hit2 = p2 == ids
-    start, size = np.where(hit2, 0, w2), np.where(hit2, w2, w12 - w2)
-    rest = np.flatnonzero(~((p1 == ids) | hit2).ravel())
+    start, size = _first_or_second(hit2, w2, w12)
+    rest = (~((p1 == ids) | hit2)).ravel().nonzero()[0]
     cell = (ids + m.base_cum[:a]).ravel()[rest]
     start.ravel()[rest], size.ravel()[rest] = m.order0(cell, w12.ravel()[rest])
     return start, size
@@ -281,8 +288,9 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         sp >>= 16
         v = (co / sp).astype(np.int64)
         by2 = v < w2
-        start, size, ids = np.where(by2, 0, w2), np.where(by2, w2, w12 - w2), np.where(by2, p2, p1)
-        rest = np.flatnonzero(v >= w12)
+        start, size = _first_or_second(by2, w2, w12)
+        ids = p1 ^ ((p1 ^ p2) & -by2.astype(np.uint16))
+        rest = (v >= w12).nonzero()[0]
         w = w12[rest]
         u = ((((v[rest] - w + 1) << _P0) - 1) / ((1 << 16) - w)).astype(np.int64)
         own = m.slot.take(m.base_slot[rest] + u, mode="clip")
@@ -290,12 +298,13 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         start[rest], size[rest] = m.order0(m.base_cum[rest] + own, w)
         co -= sp * start
         sp *= size
-        full = sp < _LEAST
-        shift = full.view(np.uint8) * np.int64(16)
-        sp <<= shift
-        co <<= shift
-        co |= data.take(g, mode="clip") * full
+        full = (sp < _LEAST).astype(np.int64)
+        word = data.take(g, mode="clip") & -full
         g += full
+        full <<= 4
+        sp <<= full
+        co <<= full
+        co |= word
         m.ids[i, :a] = ids
         slots.renew(ids, s1, s2)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes

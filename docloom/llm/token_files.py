@@ -40,7 +40,7 @@ from docloom.llm.tables import table, written
 
 SEGMENT_IDS = 1 << 15
 LANES = 2048
-MEMO = 250_000
+MEMO = 300_000
 MEMO_IDS = 4_000_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
 _WHITE = np.zeros(256, bool)
@@ -81,7 +81,19 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self._memo: dict[bytes, int] = {}
-        self._ids, self._bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._ids, self._bound, self._runs = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Only what occurred in more than one run since the last time is kept, if that is not too much itself."""
+        keep = np.flatnonzero(self._runs > 1)
+        size = np.diff(self._bound)[keep]
+        if len(keep) > MEMO // 2 or int(size.sum()) > MEMO_IDS // 2:
+            return self._forget()
+        names = list(self._memo)
+        self._memo = {names[k]: n for n, k in enumerate(keep.tolist())}
+        bound = np.concatenate([[0], np.cumsum(size)])
+        self._ids = self._ids[np.arange(bound[-1]) + np.repeat(self._bound[keep] - bound[:-1], size)]
+        self._bound, self._runs = bound, np.zeros(len(keep), np.int32)
 
     def _places(self, stretches: list[bytes]) -> np.ndarray:
         """Where the ids of each of these are remembered; unknown ones are encoded first."""
@@ -92,7 +104,10 @@ class TextEncoder:
             memo.update(zip(new, range(len(memo), len(memo) + len(new))))
             self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32)])
             self._bound = np.concatenate([self._bound, self._bound[-1] + np.cumsum(list(map(len, got)))])
-        return np.fromiter(map(memo.__getitem__, stretches), np.int64, len(stretches))
+            self._runs = np.concatenate([self._runs, np.zeros(len(new), np.int32)])
+        place = np.fromiter(map(memo.__getitem__, stretches), np.int64, len(stretches))
+        self._runs[place] += 1
+        return place
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all these texts, one after another, and where each text's begin and end."""
@@ -109,7 +124,7 @@ class TextEncoder:
         shift += np.arange(len(shift), dtype=np.int32)
         ids = self._ids[shift]
         if len(self._memo) > MEMO or len(self._ids) > MEMO_IDS:
-            self._forget()
+            self._forget_rare()
         return ids, bound[np.searchsorted(at, off)]
 
 
