@@ -84,6 +84,26 @@ def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).filter(i % 3 != 1).select(F.col("lang").alias("kb_id"), F.col("url").alias("file_url"), F.concat(F.lit("cs-"), i.cast("string"), F.lit("-1")).alias("chunk_set_id"), F.when(i % 2 == 0, "follow_latest").otherwise("pin").alias("binding_mode"))
 
 
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown documents: a heading, a formula, a table and a second heading before the text; every fifth has its text only."""
+    d, i = raw(spark, sf_dir, "documents"), F.col("doc_id")
+    num = i.cast("string")
+    plain = F.translate(F.coalesce("text", F.lit("")), "=|#", "   ")
+    title = F.when(i % 3 == 0, F.concat(F.lit("Guideline "), num, F.lit(" "), "source")).when(i % 3 == 1, F.concat(F.lit("Article "), (i % 20).cast("string"), F.lit(" in "), "lang")).otherwise(F.concat(F.lit("第"), num, F.lit("号 "), "source"))
+    head = F.concat(F.lit("# "), "source", F.lit("\nNet Premium = PV Benefits / "), "lang", F.lit("\n| Term | Value | term |\n|---|:---:|---|\n| reserve | "), F.col("n_chars").cast("string"), F.lit(" |\n| v | x | "), "lang", F.lit(" |\n"))
+    return d.select(
+        "doc_id",
+        F.concat(F.lit("doc://"), num).alias("file_url"),
+        title.alias("title"),
+        F.when(i % 2 == 0, "Pricing").otherwise("Risk").alias("category"),
+        F.col("source").alias("source_site"),
+        F.concat(F.lit("About "), "lang").alias("summary"),
+        "lang",
+        "n_chars",
+        F.when(i % 5 == 0, plain).otherwise(F.concat(head, F.lit("## "), "lang", F.lit("\n"), plain)).alias("md"),
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("token_count"))
 
@@ -107,6 +127,14 @@ kb_files AS (SELECT lang AS kb_id, url AS file_url, id AS fid, CASE WHEN id % 3
 chunk_sets AS (SELECT 'cs-' || id || '-' || v AS chunk_set_id, url AS file_url, 'p1' AS profile_id, CASE WHEN id % 23 = 0 THEN 'pending' ELSE 'ready' END AS status,
   id % 6 + v AS chunk_count, {_T.format('id * 2220 + v * 86400')} AS updated_at FROM files, (VALUES (1), (2)) AS x(v) WHERE v = 1 OR id % 4 = 0),
 bindings AS (SELECT lang AS kb_id, url AS file_url, 'cs-' || id || '-1' AS chunk_set_id, CASE WHEN id % 2 = 0 THEN 'follow_latest' ELSE 'pin' END AS binding_mode FROM files WHERE id % 3 <> 1),
+markdown AS (SELECT doc_id, 'doc://' || doc_id AS file_url, CASE doc_id % 3 WHEN 0 THEN 'Guideline ' || doc_id || ' ' || source WHEN 1 THEN 'Article ' || (doc_id % 20) || ' in ' || lang ELSE '第' || doc_id || '号 ' || source END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'Pricing' ELSE 'Risk' END AS category, source AS source_site, 'About ' || lang AS summary, lang, n_chars, translate(coalesce(text, ''), '=|#', '   ') AS plain,
+  '# ' || source || chr(10) || 'Net Premium = PV Benefits / ' || lang || chr(10) || '| Term | Value | term |' || chr(10) || '|---|:---:|---|' || chr(10) || '| reserve | ' || n_chars || ' |' || chr(10) || '| v | x | ' || lang || ' |' || chr(10) AS head FROM documents),
+md_sections AS (SELECT doc_id, file_url, title, doc_id || '#section-1' AS section_id, CASE WHEN doc_id % 5 = 0 THEN 'Markdown' ELSE source_site END AS heading, CASE WHEN doc_id % 5 = 0 THEN plain ELSE head END AS text FROM markdown WHERE doc_id % 5 <> 0 OR trim(plain) <> ''
+  UNION ALL SELECT doc_id, file_url, title, doc_id || '#section-2', lang, '## ' || lang || chr(10) || plain FROM markdown WHERE doc_id % 5 <> 0),
+md_formulas AS (SELECT doc_id, file_url, title, section_id, section_id || '#formula-1' AS formula_id, heading, 'Net Premium = PV Benefits / ' || lang AS formula_text, trim(regexp_replace(head, '\s+', ' ', 'g')) AS context,
+  ['Net Premium', 'PV Benefits', 'reserve', 'premium', 'v'] AS terms FROM md_sections JOIN (SELECT doc_id, lang, head FROM markdown) USING (doc_id) WHERE doc_id % 5 <> 0 AND ends_with(section_id, '#section-1')),
+md_tables AS (SELECT doc_id, file_url, title, section_id, section_id || '#table-1' AS table_id, heading, ['Term', 'Value', 'term_2'] AS headers, [['reserve', CAST(n_chars AS VARCHAR), ''], ['v', 'x', lang]] AS rows FROM md_sections JOIN (SELECT doc_id, lang, n_chars FROM markdown) USING (doc_id) WHERE doc_id % 5 <> 0 AND ends_with(section_id, '#section-1')),
 messages AS (SELECT conv_id, turn, role, text, CAST(greatest(1, length(text) // 4) AS BIGINT) AS token_count FROM conversations)
 """
 

@@ -34,11 +34,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """The modules that register queries of their own."""
+    from docloom.plans import more_queries, ready_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -331,11 +338,6 @@ def _tagged(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("set03_srh12_dangling", "SELECT file_url FROM chunk_sets EXCEPT SELECT file_url FROM catalog")
-def _dangling(spark, d):
-    return b.chunk_sets(spark, d).select("file_url").subtract(b.catalog(spark, d).select("file_url"))
-
-
 @query("set07_category_union", f"SELECT category FROM (SELECT unnest({PARTS}) AS category FROM catalog) UNION SELECT DISTINCT lang FROM files")
 def _category_union(spark, d):
     return stats.unique_categories(b.catalog(spark, d)).union(b.files(spark, d).select("lang")).distinct()
@@ -448,12 +450,6 @@ def _summaries(spark, d):
     return evidence.search(docs.select("id", "title", "summary", "category"), "summaries", "thing pricing", 10, "id").select("id", "score")
 
 
-@query("srh02_search_titles", f"SELECT id, CAST(score AS DOUBLE) AS score FROM (SELECT id, title, {_score_sql({'title': 5.0, 'file_url': 1.0, 'category': 0.5, 'summary': 0.5}, ['the', 'doc'])} + CASE WHEN contains(lower(title), 'the doc') THEN 4 ELSE 0 END AS score FROM files f JOIN catalog c ON f.url = c.file_url) WHERE score > 0 ORDER BY score DESC, lower(title), id LIMIT 10")
-def _title_search(spark, d):
-    docs = listing.with_catalog(b.files(spark, d), b.catalog(spark, d), "inner")
-    return evidence.search(docs.select("id", "title", "file_url", "summary", "category"), "titles", "the doc", 10, "id").select("id", "score")
-
-
 @query("srh14_keyword_retriever", f"SELECT id, CAST(score AS DOUBLE) AS score FROM (SELECT id, {_score_sql({'t': 1.0}, ['the', 'ing', 'ea'])} AS score FROM (SELECT id, concat_ws(' ', title, summary, keywords) AS t FROM files f JOIN catalog c ON f.url = c.file_url)) WHERE score > 0 ORDER BY score DESC, id LIMIT 5")
 def _retrieve(spark, d):
     docs = listing.with_catalog(b.files(spark, d), b.catalog(spark, d), "inner")
@@ -830,17 +826,6 @@ def _profiles(spark, d):
     return b.bindings(spark, d).select("kb_id", F.col("binding_mode").alias("profile")).union(b.kb_files(spark, d).select("kb_id", F.lit("general"))).distinct()
 
 
-@query("str05_alias_scores", "SELECT id, round(CASE WHEN contains(' files en fr ', ' ' || lang || ' ') THEN CAST(88 AS DOUBLE) + length(lang) / CAST(11 AS DOUBLE) ELSE 0 END, 4) AS score FROM files")
-def _alias(spark, d):
-    return b.files(spark, d).select("id", F.round(evidence.alias_score(F.col("lang"), "files en fr"), 4).alias("score"))
-
-
-@query("str09_heading_paths", "SELECT doc_id, CAST([] AS VARCHAR[]) AS headings FROM documents WHERE NOT regexp_matches(text, '(^|\\n)#{1,6}[ \\t]+')")
-def _headings(spark, d):
-    docs = b.raw(spark, d, "documents").filter(~F.col("text").rlike(r"(^|\n)#{1,6}[ \t]+"))
-    return docs.select("doc_id", builder.headings(F.col("text")).alias("headings"))
-
-
 @query("str17_content_hash", "SELECT page_id, sha256(html) AS sha FROM pages")
 def _hash(spark, d):
     return b.raw(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
