@@ -94,9 +94,9 @@ def _alias_scores(spark, d):
 
 
 @query("srh02_search_titles", f"""WITH m AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'Markdown' ELSE source_site || ' ' || lang END AS headings, CASE WHEN lower(title) = 'article 7 in en' THEN 100.0 WHEN doc_id % 3 = 1 AND doc_id % 20 = 7 OR doc_id = 7 THEN 92.0 ELSE 0 END AS known FROM markdown),
- s AS (SELECT m.*, {_has('title', 'article 7 in en', 5)} + {_has('file_url', 'article 7 in en', 1)} + {_has('category', 'article 7 in en', 0.5)} + {_has('summary', 'article 7 in en', 0.5)} + {_has('headings', 'article 7 in en', 0.75)} + CASE WHEN contains(lower(title), 'article 7 in en') THEN 4 ELSE 0 END AS plain FROM m)
- SELECT doc_id, CAST(CASE WHEN known > 0 THEN known ELSE plain END AS DOUBLE) AS score, CASE WHEN known > 0 THEN 'title_aliases' ELSE 'doc_catalog' END AS source, CASE WHEN known = 100 THEN title WHEN known = 92 THEN '7' END AS matched_alias
- FROM s WHERE known > 0 OR plain > 0 ORDER BY known = 0, score DESC, lower(title), file_url LIMIT 60""")
+ s AS (SELECT m.*, {_has('title', 'article 7 in en', 5)} + {_has('file_url', 'article 7 in en', 1)} + {_has('category', 'article 7 in en', 0.5)} + {_has('summary', 'article 7 in en', 0.5)} + {_has('headings', 'article 7 in en', 0.75)} + CASE WHEN contains(lower(title), 'article 7 in en') THEN 4 ELSE 0 END AS by_fields FROM m)
+ SELECT doc_id, CAST(CASE WHEN known > 0 THEN known ELSE by_fields END AS DOUBLE) AS score, CASE WHEN known > 0 THEN 'title_aliases' ELSE 'doc_catalog' END AS source, CASE WHEN known = 100 THEN title WHEN known = 92 THEN '7' END AS matched_alias
+ FROM s WHERE known > 0 OR by_fields > 0 ORDER BY known = 0, score DESC, lower(title), file_url LIMIT 60""")
 def _search_titles(spark, d):
     docs = b.markdown(spark, d)
     return ready.search_titles(docs, ready.aliases(docs), "Article 7 in EN", 60).select("doc_id", "score", "source", "matched_alias")
