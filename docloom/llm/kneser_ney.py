@@ -56,6 +56,7 @@ HELD_OUT_MOD = 5
 SEGMENT = 128
 WORD_SEGMENT = 32
 LEAST_REPEAT = 0.25
+RUN_BYTES = 1 << 19  # a character takes some sixty bytes of working arrays
 
 _START = 0xE000  # a private code point; in texts it counts as the mark
 _CLASS = np.full(256, 2, np.uint8)
@@ -146,7 +147,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in tb.text_runs(batch.column(0)):
+            for _, _, buf, off in tb.text_runs(batch.column(0), RUN_BYTES):
                 code, at, _ = _codes(buf, off)
                 _, first, n = np.unique(_gram_keys(code, at, ORDER), return_index=True, return_counts=True)
                 chars = np.stack([code[at[first] - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4")
@@ -271,7 +272,7 @@ def _measured(docs: DataFrame, text_col: str, held: object | None, unseen: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in tb.text_runs(batch.column(col)):
+            for i, j, buf, off in tb.text_runs(batch.column(col), RUN_BYTES):
                 code, at, row = _codes(buf, off)
                 new = [np.bincount(row, minlength=j - i).astype(np.int64), _repeats(buf, off)]
                 if held is not None:
@@ -295,7 +296,7 @@ def _joined(docs: DataFrame, text_col: str, weights: DataFrame, unseen: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in tb.text_runs(batch.column(1), tb.CHUNK_BYTES // 16):
+            for i, j, buf, off in tb.text_runs(batch.column(1), RUN_BYTES // 4):
                 code, at, row = _codes(buf, off)
                 segment, _ = _segments(row, j - i, SEGMENT)
                 for size in range(1, ORDER + 1):
