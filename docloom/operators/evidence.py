@@ -62,6 +62,18 @@ def evaluate(results: DataFrame, cases: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n_cases"), F.count(F.when(F.col("ok"), 1)).alias("n_passed"), F.round(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0)), 6).alias("pass_rate"))
 
 
+def case_rollup(results: DataFrame) -> DataFrame:
+    """Rollup of cases with what they hit and what was wanted; a case that wants nothing passes, and is refused well if it hit nothing."""
+    both, none = F.size(F.array_intersect("hits", "wanted")), F.size("wanted") == 0
+    rate = lambda c: F.round(F.coalesce(F.avg(c), F.lit(1.0)), 6)
+    return results.agg(
+        F.count("*").alias("n_cases"),
+        F.count(F.when(none | (both >= 1), 1)).alias("n_passed"),
+        rate(F.when(~none, both / F.size("wanted"))).alias("evidence_hit_rate"),
+        rate(F.when(none, (F.size("hits") == 0).cast("double"))).alias("refusal_rate"),
+    )
+
+
 def evidence_key(df: DataFrame) -> Column:
     """The most specific identity of a piece of evidence: formula, table, term, relation, section, document."""
     names = ("formula_id", "table_id", "term_id", "target_id", "section_id", "doc_id")

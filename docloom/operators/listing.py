@@ -40,9 +40,12 @@ def _visible(files: DataFrame, site: str, include_deleted: bool) -> DataFrame:
 
 
 def _filtered(files: DataFrame, catalog: DataFrame, query: str, category: str, site: str, include_deleted: bool) -> DataFrame:
-    out = with_catalog(_visible(files, site, include_deleted), catalog)
+    files = _visible(files, site, include_deleted)
+    if query:  # each side is searched before the join, so that long texts need not move
+        files, catalog = (x.withColumn(hit, contains_any(query, *[c for c in SEARCHED if c in x.columns])) for x, hit in ((files, "_in_file"), (catalog, "_in_item")))
+    out = with_catalog(files, catalog)
     if query:
-        out = out.filter(contains_any(query, *SEARCHED))
+        out = out.filter(F.col("_in_file") | F.coalesce("_in_item", F.lit(False))).drop("_in_file", "_in_item")
     if category == "__uncategorized__":
         out = out.filter(uncategorized())
     elif category:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,18 @@ def set_where(df: DataFrame, when: Column, **values: Column) -> DataFrame:
     return df.withColumns({c: F.when(F.coalesce(when, F.lit(False)), v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row a key, the first by the given order."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row a key, the greatest by these columns; partial maxima are taken before rows move."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def earliest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row a key, the least by these columns."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def latest_ready_sets(sets: DataFrame) -> DataFrame:
-    return latest(sets.filter("status = 'ready'"), ["file_url", "profile_id"], F.desc("updated_at"), F.desc("chunk_set_id"))
+    return latest(sets.filter("status = 'ready'"), ["file_url", "profile_id"], "updated_at", "chunk_set_id")
 
 
 def follow_latest(bindings: DataFrame, sets: DataFrame) -> DataFrame:

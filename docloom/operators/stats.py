@@ -32,12 +32,8 @@ def category_chunk_stats(catalog: DataFrame, sets: DataFrame) -> DataFrame:
     """Files by visible category, with Markdown, with any chunk set, with a ready one."""
     flags = sets.groupBy("file_url").agg(F.max(F.when(F.col("status") == "ready", 1).otherwise(0)).alias("ready"))
     rows = catalog.select("file_url", (~blank("markdown_content")).alias("md"), F.explode(visible_categories("category")).alias("category")).join(flags, "file_url", "left")
-    return rows.groupBy("category").agg(
-        F.countDistinct("file_url").alias("files"),
-        F.countDistinct(F.when(F.col("md"), F.col("file_url"))).alias("with_markdown"),
-        F.countDistinct(F.when(F.col("ready").isNotNull(), F.col("file_url"))).alias("with_chunks"),
-        F.countDistinct(F.when(F.col("ready") == 1, F.col("file_url"))).alias("with_ready"),
-    )
+    one = rows.groupBy("category", "file_url").agg(F.max(F.col("md").cast("int")).alias("md"), F.max("ready").alias("ready"))
+    return one.groupBy("category").agg(F.count("*").alias("files"), F.sum("md").alias("with_markdown"), F.count("ready").alias("with_chunks"), F.coalesce(F.sum("ready"), F.lit(0)).cast("long").alias("with_ready"))
 
 
 def kb_stats(kb_files: DataFrame) -> DataFrame:

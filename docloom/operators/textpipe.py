@@ -11,27 +11,41 @@ STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were
 RULES = {"AI": ("machine learning", "ai", "model"), "Pricing": ("pricing", "premium", "rate"), "Risk": ("risk", "capital", "solvency"), "Reserving": ("reserve", "reserving", "claims")}
 
 
+_WORD = r"([a-z][a-z0-9-]*)"
+SPECIAL = r"\b(ifrs\s*17|covid[-\s]*19|solvency\s*ii)\b"
+
+
 def keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
-    """(doc_id, keywords): words of three letters or more and pairs of adjacent ones by score.
+    """(doc_id, keywords): words of three characters or more and pairs of adjacent ones by score.
 
-    A word scores its count, plus 3 if the title has it; a pair twice its count, plus 4 if
-    the title has it.  Ties go to words before pairs, then to the first to occur.
+    A word scores its count, plus 3 if the title (the first line) has it; a pair its count,
+    plus 4 if the title has it; special names 10 for each time, in title or text.  Ties go to
+    words before pairs before special names, then to the first to occur.  Texts move once, by
+    id; words are counted, scored and ranked where they are.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z0-9]{2,})"), 1)
-    title = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
-    ws = F.col("ws")
-    pairs = F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    base = docs.select("doc_id", title.alias("title"), words.alias("ws")).withColumn("pairs", F.coalesce(pairs, F.array().cast("array<string>")))
-    uni = base.select("doc_id", "title", F.posexplode("ws").alias("pos", "term"), F.lit(0).alias("kind")).filter(~F.col("term").isin(*STOP))
-    bi = base.select("doc_id", "title", F.posexplode("pairs").alias("pos", "term"), F.lit(1).alias("kind"))
-    bi = bi.filter(~F.split_part("term", F.lit(" "), F.lit(1)).isin(*STOP) & ~F.split_part("term", F.lit(" "), F.lit(2)).isin(*STOP))
-    n = uni.union(bi).groupBy("doc_id", "kind", "term", "title").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    in_title = F.concat(F.lit(" "), F.regexp_replace("title", "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), "term", F.lit(" ")))
-    score = F.col("n") * (1 + F.col("kind")) + F.when(in_title, 3 + F.col("kind")).otherwise(0)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "kind", "pos", "term"))
-    top = n.withColumn("score", score).withColumn("rn", rank).filter(F.col("rn") <= top_n)
-    listed = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rn", "term"))).alias("l"))
-    return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce(F.transform("l", lambda x: x["term"]), F.array().cast("array<string>")).alias("keywords"))
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    low = lambda c: F.regexp_replace(F.lower(c), "[–—]", "-")
+    base = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 1).alias("ws"), F.regexp_extract_all(F.lower(title), F.lit(_WORD), 1).alias("ts"), F.regexp_extract_all(low(F.concat_ws("\n", title, "text")), F.lit(SPECIAL), 1).alias("xs"))
+    good = lambda c: (F.length(c) >= 3) & ~c.isin(*STOP)
+    item = lambda kind, term, pos, n, in_title: F.struct(F.lit(kind).alias("kind"), term.alias("term"), pos.alias("pos"), F.lit(n).alias("n"), F.lit(in_title).alias("t"))
+
+    def words(c: str, n: int, t: int) -> Column:
+        return F.filter(F.transform(c, lambda x, i: item(0, x, i, n, t)), lambda x: good(x["term"]))
+
+    def pairs(c: str, n: int, t: int) -> Column:
+        both = F.arrays_zip(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))).alias("a"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))).alias("b"))
+        placed = F.filter(F.transform(both, lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i"))), lambda x: good(x["a"]) & good(x["b"]))
+        return F.transform(placed, lambda x: item(1, F.concat_ws(" ", x["a"], x["b"]), x["i"], n, t))
+
+    special = F.transform("xs", lambda x, i: item(2, F.regexp_replace(x, r"\s+", " "), i, 1, 0))
+    found = base.select("doc_id", F.explode(F.concat(words("ws", 1, 0), words("ts", 0, 1), pairs("ws", 1, 0), pairs("ts", 0, 1), special)).alias("x"))
+    sums = found.groupBy("doc_id", "x.kind", "x.term").agg(F.sum("x.n").alias("n"), F.max("x.t").alias("t"), F.min(F.when(F.col("x.n") > 0, F.col("x.pos"))).alias("pos")).filter("n > 0")
+    score = F.when(F.col("kind") == 2, 10 * F.col("n")).otherwise(F.col("n") + F.col("t") * (3 + F.col("kind")))
+    # a special name that is a word or pair as well adds to its score
+    merged = sums.groupBy("doc_id", "term").agg(F.sum(score).alias("score"), F.min(F.struct("kind", "pos")).alias("first"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "first", "term"))), 1, top_n)
+    listed = merged.groupBy("doc_id").agg(F.transform(ranked, lambda x: x["term"]).alias("keywords"))
+    return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def summarize(docs: DataFrame, terms: Column, max_sentences: int = 4) -> DataFrame:

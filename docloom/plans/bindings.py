@@ -142,4 +142,6 @@ messages AS (SELECT conv_id, turn, role, text, CAST(greatest(1, length(text) //
 def duck(sql: str) -> str:
     """A check over the bound tables: ``sql`` may start with WITH of its own."""
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {DUCK}, {body[15:]}"
     return f"WITH {DUCK}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {DUCK} {body}"

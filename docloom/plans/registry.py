@@ -69,11 +69,12 @@ def _export(spark, d):
     return b.files(spark, d).select("url", "sha256", "title", "source_site", "bytes", "last_seen")
 
 
-@query("src07_builder_snapshot", "SELECT kb_id, count(*) AS n_docs, CAST(sum(chunk_count) AS BIGINT) AS n_chunks FROM (SELECT x.kb_id, x.file_url, c.chunk_count FROM bindings x JOIN catalog k ON x.file_url = k.file_url AND k.status = 'ok' JOIN chunk_sets c ON c.chunk_set_id = x.chunk_set_id) GROUP BY kb_id")
+@query("src07_builder_snapshot", "SELECT x.kb_id, x.file_url, k.category, f.title, c.chunk_set_id, c.chunk_count FROM bindings x JOIN catalog k ON x.file_url = k.file_url AND k.status = 'ok' LEFT JOIN files f ON f.url = x.file_url JOIN chunk_sets c ON c.chunk_set_id = x.chunk_set_id")
 def _snapshot(spark, d):
-    ok = b.catalog(spark, d).filter("status = 'ok'").select("file_url")
-    bound = b.bindings(spark, d).join(ok, "file_url", "left_semi").join(b.chunk_sets(spark, d).select("chunk_set_id", "chunk_count"), "chunk_set_id")
-    return bound.groupBy("kb_id").agg(F.count("*").alias("n_docs"), F.sum("chunk_count").alias("n_chunks"))
+    ok = b.catalog(spark, d).filter("status = 'ok'").select("file_url", "category")
+    titles = b.files(spark, d).select(F.col("url").alias("file_url"), "title")
+    bound = b.bindings(spark, d).join(ok, "file_url").join(titles, "file_url", "left").join(b.chunk_sets(spark, d).select("chunk_set_id", "chunk_count"), "chunk_set_id")
+    return bound.select("kb_id", "file_url", "category", "title", "chunk_set_id", "chunk_count")
 
 
 @query("src12_html_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
@@ -384,12 +385,26 @@ def _weeks(spark, d):
 # --- text -------------------------------------------------------------------------------
 
 
-@query("txt01_keywords")
+_SPECIAL = r"\b(ifrs\s*17|covid[-\s]*19|solvency\s*ii)\b"
+_GOOD = "length({0}) >= 3 AND {0} NOT IN (" + ", ".join(f"'{w}'" for w in textpipe.STOP) + ")"
+
+
+@query("txt01_keywords", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9-]*') AS w, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z][a-z0-9-]*') AS h, regexp_extract_all(lower(split_part(text, chr(10), 1) || chr(10) || text), '{_SPECIAL}') AS x FROM documents),
+ p AS (SELECT doc_id, 0 AS kind, unnest(w) AS term, unnest(range(len(w))) AS pos, 1 AS n, 0 AS t FROM t UNION ALL SELECT doc_id, 0, unnest(h), 0, 0, 1 FROM t
+  UNION ALL SELECT doc_id, 1, CASE WHEN {_GOOD.format('w[i]')} AND {_GOOD.format('w[i + 1]')} THEN w[i] || ' ' || w[i + 1] END, i, 1, 0 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)
+  UNION ALL SELECT doc_id, 1, CASE WHEN {_GOOD.format('h[i]')} AND {_GOOD.format('h[i + 1]')} THEN h[i] || ' ' || h[i + 1] END, 0, 0, 1 FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS i FROM t)
+  UNION ALL SELECT doc_id, 2, regexp_replace(unnest(x), '\\s+', ' ', 'g'), unnest(range(len(x))), 1, 0 FROM t),
+ s AS (SELECT doc_id, kind, term, sum(n) AS n, max(t) AS t, min(pos) FILTER (n > 0) AS pos FROM p WHERE term IS NOT NULL AND (kind > 0 OR {_GOOD.format('term')}) GROUP BY doc_id, kind, term HAVING sum(n) > 0),
+ m AS (SELECT doc_id, term, sum(CASE kind WHEN 2 THEN 10 * n ELSE n + t * (3 + kind) END) AS score, min(kind * 10000000 + pos) AS first FROM s GROUP BY doc_id, term),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, term) AS rn FROM m)
+ SELECT d.doc_id, coalesce(k, CAST([] AS VARCHAR[])) AS keywords FROM documents d LEFT JOIN (SELECT doc_id, list(term ORDER BY rn) AS k FROM r WHERE rn <= 8 GROUP BY doc_id) USING (doc_id)""")
 def _kw(spark, d):
     return textpipe.keywords(b.raw(spark, d, "documents"))
 
 
-@query("txt03_summaries")
+@query("txt03_summaries", r"""WITH s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20) AS p FROM documents)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(contains(lower(sentence), 'the') AS INT) + CAST(contains(lower(sentence), 'ing') AS INT) + CAST(contains(lower(sentence), 'des') AS INT) DESC, pos) AS rn FROM s)
+ SELECT d.doc_id, coalesce(x, '') AS summary FROM documents d LEFT JOIN (SELECT doc_id, string_agg(sentence, ' ' ORDER BY rn) AS x FROM r WHERE rn <= 4 GROUP BY doc_id) USING (doc_id)""")
 def _sum(spark, d):
     docs = b.raw(spark, d, "documents")
     return textpipe.summarize(docs, F.array(F.lit("the"), F.lit("ing"), F.lit("des")))
@@ -511,7 +526,11 @@ def _coalesced(spark, d):
     return streams.coalesce_events(_source_events(spark, d), ["kb"])
 
 
-@query("stm02_rate_limit")
+@query("stm02_rate_limit", """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS passed, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed FROM e
+  UNION ALL SELECT user_id, rn, CASE WHEN ok THEN list_append(passed, t) ELSE passed END, event_id, ok FROM (SELECT e.user_id, e.rn, e.event_id, e.t, r.passed,
+   len(list_filter(r.passed, lambda p: e.t - p < 3600)) < 3 AND len(list_filter(r.passed, lambda p: e.t - p < 86400)) < 5 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+ SELECT e.event_id, e.user_id, e.ts, allowed FROM r JOIN e USING (event_id)""")
 def _rate(spark, d):
     return streams.rate_limit(b.raw(spark, d, "events"), [(3, 3600.0), (5, 86400.0)])
 
@@ -577,23 +596,22 @@ def _similar(spark, d):
     return router.similar_chunks(chunks).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("vec06_threshold_search", f"SELECT vec_id, round(1 - {_D2} / 2, 5) AS score FROM embeddings WHERE label = 3 AND 1 - {_D2} / 2 >= 0.05 ORDER BY {_D2}, vec_id LIMIT 20")
+@query("vec06_threshold_search", f"SELECT vec_id, round(1 - {_D2} / 2, 5) AS score FROM embeddings WHERE 1 - {_D2} / 2 >= 0.05 ORDER BY {_D2}, vec_id LIMIT 20")
 def _threshold(spark, d):
-    v = b.raw(spark, d, "embeddings").filter("label = 3")
+    v = b.raw(spark, d, "embeddings")
     return vectors.search(v, _query_vector(spark, d), 20, 0.05, "cosine").select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("vec04_remove_compact", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+@query("vec04_remove_compact", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings WHERE vec_id % 3 <> 0")
 def _compact(spark, d):
     v = b.raw(spark, d, "embeddings")
     gone = v.filter("vec_id % 3 = 0").select("vec_id")
-    return merge.delete_rows(v, gone, ["vec_id"]).groupBy("label").agg(F.count("*").alias("n"))
+    return merge.delete_rows(v, gone, ["vec_id"]).select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
-@query("vec10_citations", "SELECT source_site, min(id) AS id FROM (SELECT source_site, id FROM files ORDER BY id LIMIT 200) GROUP BY source_site")
+@query("vec10_citations", "SELECT source_site, min(id) AS id, arg_min(title, id) AS title FROM files GROUP BY source_site")
 def _citations(spark, d):
-    top = b.files(spark, d).select("source_site", "id").orderBy("id").limit(200)
-    return merge.latest(top, ["source_site"], F.asc("id"))
+    return merge.earliest(b.files(spark, d).select("source_site", "id", "title"), ["source_site"], "id")
 
 
 # --- more reads, writes and state -------------------------------------------------------
@@ -672,11 +690,11 @@ def _oldest(spark, d):
     return b.messages(spark, d).withColumn("rn", rn).filter("rn <= 2").select("conv_id", "turn")
 
 
-@query("set05_ordered_dedupe", "SELECT host, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) WHERE host LIKE '%example.org' GROUP BY host")
+@query("set05_ordered_dedupe", "SELECT host, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) GROUP BY host")
 def _ordered(spark, d):
     host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
-    rows = b.raw(spark, d, "pages").select("page_id", host.alias("host")).filter(F.col("host").endswith("example.org"))
-    return merge.latest(rows, ["host"], F.asc("page_id")).select("host", "page_id")
+    rows = b.raw(spark, d, "pages").select("page_id", host.alias("host"))
+    return merge.earliest(rows, ["host"], "page_id").select("host", "page_id")
 
 
 @query("stm05_freshness", "SELECT k.kb_id, k.file_url, CASE WHEN k.indexed_at IS NULL THEN 'pending_evaluation' WHEN c.markdown_updated_at > k.indexed_at AND c.status = 'error' THEN 'legacy_hard_gate' WHEN c.markdown_updated_at > k.indexed_at THEN 'stale' ELSE 'fresh' END AS freshness FROM kb_files k LEFT JOIN catalog c ON c.file_url = k.file_url")
@@ -764,7 +782,7 @@ def _preview(spark, d):
 
 @query("joi10_latest_index_status", "SELECT DISTINCT file_url, first_value(chunk_set_id) OVER w AS chunk_set_id, first_value(status) OVER w AS status, first_value(chunk_count) OVER w AS chunk_count FROM chunk_sets WINDOW w AS (PARTITION BY file_url ORDER BY updated_at DESC, chunk_set_id DESC)")
 def _index_status(spark, d):
-    return merge.latest(b.chunk_sets(spark, d), ["file_url"], F.desc("updated_at"), F.desc("chunk_set_id")).select("file_url", "chunk_set_id", "status", "chunk_count")
+    return merge.latest(b.chunk_sets(spark, d), ["file_url"], "updated_at", "chunk_set_id").select("file_url", "chunk_set_id", "status", "chunk_count")
 
 
 @query("joi16_trace_relations", """WITH e AS (SELECT 'in_source' AS relation_type, CAST(doc_id AS VARCHAR) AS doc_id, source AS target_id FROM documents UNION ALL SELECT 'in_lang', CAST(doc_id AS VARCHAR), lang FROM documents),
@@ -777,10 +795,10 @@ def _relations(spark, d):
     return evidence.trace_relations(edges, "src19")
 
 
-@query("joi20_file_kbs", "SELECT f.id, k.kb_id, k.indexed_at FROM files f LEFT JOIN kb_files k ON k.file_url = f.url WHERE f.id < 100 ORDER BY k.indexed_at IS NULL, k.indexed_at, f.id LIMIT 50")
+@query("joi20_file_kbs", "SELECT f.id, k.kb_id, k.indexed_at FROM files f LEFT JOIN kb_files k ON k.file_url = f.url")
 def _file_kbs(spark, d):
-    f = b.files(spark, d).filter("id < 100")
-    return f.join(b.kb_files(spark, d), f["url"] == F.col("file_url"), "left").orderBy(F.asc_nulls_last("indexed_at"), "id").limit(50).select("id", "kb_id", "indexed_at")
+    f = b.files(spark, d)
+    return f.join(b.kb_files(spark, d), f["url"] == F.col("file_url"), "left").select("id", "kb_id", "indexed_at")
 
 
 @query("joi22_bind_latest", "SELECT c.file_url, arg_max(chunk_set_id, updated_at) AS chunk_set_id FROM catalog c JOIN chunk_sets s ON s.file_url = c.file_url AND s.status = 'ready' WHERE category = 'Pricing' GROUP BY c.file_url")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +19,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 
 def read_artifacts(spark: SparkSession, root: str, schemas: dict[str, str], required: tuple[str, ...] = ("doc_catalog",)) -> dict[str, DataFrame]:
-    """Each artifact of a folder; a missing optional one is an empty frame of its schema."""
+    """Each artifact of a folder; a missing optional one is an empty frame of its schema.
+
+    Only a path that is not there counts as missing; any other failure is an error.
+    """
     out = {}
     for name, schema in schemas.items():
-        try:
-            out[name] = read_jsonl(spark, confined(root, f"{name}.jsonl"), schema)
-        except Exception:
-            if name in required:
-                raise
-            out[name] = spark.createDataFrame([], schema)
+        path = confined(root, f"{name}.jsonl")
+        there = name in required or _exists(spark, path)
+        out[name] = read_jsonl(spark, path, schema) if there else spark.createDataFrame([], schema)
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where Spark itself is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def confined(root: str, name: str) -> str:
     """A path below root; names that leave it are refused."""
     path = posixpath.normpath(posixpath.join(root, name))
@@ -42,13 +59,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def detect_kind(content: Column) -> Column:
-    """Kind of a binary by its first 512 bytes."""
+    """Kind of a binary by its first 512 bytes; HTML by what stands first behind white space."""
     head = F.substring(content, 1, 512)
-    text = F.lower(F.decode(head, "ISO-8859-1"))
+    text = F.decode(head, "ISO-8859-1")
+    start = F.lower(F.substring(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""), 1, 256))
     zeros = F.length(text) - F.length(F.replace(text, F.lit("\u0000"), F.lit("")))
     return (
-        F.when(text.startswith("%pdf-"), "pdf").when(F.hex(head).startswith("FFD8FF"), "jpeg").when(F.hex(head).startswith("89504E470D0A1A0A"), "png")
-        .when(text.contains("<html") | text.contains("<!doctype html"), "html").when((F.length(text) > 0) & (zeros <= F.length(text) * 0.01), "txt").otherwise("unknown")
+        F.when(text.startswith("%PDF"), "pdf").when(F.hex(head).startswith("FFD8FF"), "jpeg").when(F.hex(head).startswith("89504E470D0A1A0A"), "png")
+        .when(start.startswith("<!doc") | start.startswith("<html"), "html").when((F.length(text) > 0) & (zeros <= F.length(text) * 0.01), "txt").otherwise("unknown")
     )
 
 
