@@ -1,17 +1,21 @@
 """Benchmark decontamination by winnowing.
 
-Every window of ``window`` (10) words of a text keeps the smallest of the hashes of its
-k-grams (k = 5) as its fingerprint.  Equal windows have equal k-grams and so equal
-fingerprints: each span of ten or more shared words therefore meets the benchmark in at
-least one fingerprint.  Training fingerprints are first held against a Bloom filter of
-the benchmark's (its size is fixed, ``BLOOM_BITS``), then joined with the benchmark's on
-(fingerprint, window words), which makes the hit exact; hits are extended to the union
-of the word ranges of all matching windows.  Items shorter than a window are one window
-of their own length, looked up the same way with the whole item as the k-gram.
-
-Nulls and texts without words have no windows: n_words 0, n_hit 0.  Items without words
-or without an id never match.  Repeated rows give one result row each; rows with the same doc_id but
-other texts are judged apart.  Additional columns of the inputs are ignored.
+Of every ``window`` (10) words of a text, the smallest of the hashes of their k-grams (k = 5)
+is kept, the rightmost of equal ones; neighbouring windows mostly keep the same one, so about
+a third of the k-grams remain as fingerprints, each with its place.  Equal windows keep the
+same k-gram, so every span of ten or more shared words meets in at least one fingerprint.
+Training fingerprints are first held against a Bloom filter of the benchmark's, sized by their
+number, then joined with them.  A meeting is verified on the words of the k-gram and extended
+to the left and right over equal words, as far as a window that holds the k-gram can reach; it
+is a hit if it comes to ``window`` words.  The hit words of a document are the union of these
+ranges.  Items shorter than a window are one fingerprint of their own length.
+
+Nulls and texts without words have no windows: n_words 0, n_hit 0.  Items without words or
+without an id never match; repeated items and rows are harmless and give one result row for
+each row; rows with the same doc_id but other texts are judged apart; ties between equal
+k-grams are decided alike on both sides.  Texts may have any length.  An empty benchmark hits
+nothing, an empty table gives no rows.  Other columns are ignored, whatever their names, and
+come back as they are from ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
@@ -28,24 +32,54 @@ from docloom.llm.tables import table
 
 WINDOW = 10
 KGRAM = 5
-BLOOM_BITS = 1 << 23
+BLOOM_BITS_EACH = 16
 BLOOM_HASHES = 3
+MOST_BLOOM_BITS = 1 << 30  # 128 MB; a larger benchmark is joined without a filter
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-_SCHEMA = "doc_id long, copy_key long, n_words long, part int, pos int, fp long, win string"
-_ITEM_SCHEMA = "item_id string, fp long, win string, len int"
+_PRINT = "pos int, len int, fp long, gram string, left array<string>, right array<string>"
 
 
-def _window_minima(h: np.ndarray, row: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start word and fingerprint of each window that lies within one row."""
-    n = len(h) - length + 1
+def _kept(h: np.ndarray, row: np.ndarray, window: int, k: int) -> np.ndarray:
+    """First words of the k-grams that some window keeps."""
+    n = len(h) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     grams = tb.gram_hashes(h, k)
-    low = grams[:n].copy()
-    for j in range(1, length - k + 1):
-        np.minimum(low, grams[j : j + n], out=low)
-    at = np.flatnonzero(row[:n] == row[length - 1 : length - 1 + n])
-    return at, low[at]
+    low, at = grams[:n].copy(), np.arange(n)
+    for j in range(1, window - k + 1):
+        less = grams[j : j + n] <= low
+        low[less] = grams[j : j + n][less]
+        at[less] = np.flatnonzero(less) + j
+    return np.unique(at[row[:n] == row[window - 1 : window - 1 + n]])
+
+
+def _prints(h: np.ndarray, row: np.ndarray, window: int, k: int, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, length and fingerprint: kept k-grams (length ``window``), and all grams of the other sizes."""
+    at = _kept(h, row, window, k)
+    out = [(at, np.full(len(at), window), tb.gram_hashes(h, k)[at] if len(at) else np.zeros(0, np.uint64))]
+    for size in sizes:
+        grams = tb.gram_hashes(h, size)
+        own = np.flatnonzero(row[: len(grams)] == row[size - 1 :][: len(grams)])
+        out.append((own, np.full(len(own), size), grams[own] ^ np.uint64(size)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _print_columns(low: np.ndarray, start: np.ndarray, end: np.ndarray, bound: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], window: int, k: int) -> list[pa.Array]:
+    """The columns of ``_PRINT``; left words stand from near to far."""
+    raw = low.tobytes()
+    word = lambda i: raw[start[i] : end[i]].decode()
+    grams, left, right = [], [], []
+    for at, size in zip(found[0].tolist(), found[1].tolist()):
+        n = k if size == window else size
+        more = window - k if size == window else 0
+        lo, hi = int(bound[row[at]]), int(bound[row[at] + 1])
+        grams.append(" ".join(map(word, range(at, at + n))))
+        left.append([word(i) for i in range(at - 1, max(lo, at - more) - 1, -1)])
+        right.append([word(i) for i in range(at + n, min(hi, at + n + more))])
+    place = found[0] - bound[row[found[0]]]
+    words = pa.list_(pa.string())
+    return [pa.array(place.astype(np.int32)), pa.array(found[1].astype(np.int32)), pa.array(tb.signed(found[2])), pa.array(grams, pa.string()), pa.array(left, words), pa.array(right, words)]
 
 
 def _bloom_slots(fp: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -54,117 +88,110 @@ def _bloom_slots(fp: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((a + np.uint64(j) * b) % np.uint64(bits)).astype(np.int64)
 
 
-def benchmark_filter(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bloom filter of the fp column, built by a distributed bit_or; at most bits / 64 rows reach the driver."""
+def benchmark_filter(keys: DataFrame, most_bits: int = MOST_BLOOM_BITS) -> np.ndarray | None:
+    """Bloom filter of the fp column, built by a distributed bit_or; None where it would be too large."""
+    n = keys.count()
+    bits = 1 << max(16, (n * BLOOM_BITS_EACH - 1).bit_length())
+    if bits > most_bits:
+        return None
     slots = F.explode(F.array(*[F.pmod(F.col("fp").bitwiseAND(0xFFFFFFFF) + F.lit(j) * F.shiftrightunsigned("fp", 32), F.lit(bits)) for j in range(BLOOM_HASHES)]))
     at = keys.select(slots.alias("slot"))
-    cells = at.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
+    cells = at.groupBy(F.shiftright("slot", 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
     words = np.zeros(bits // 64, np.int64)
-    for cell, mask in cells.collect():
-        words[cell] = mask
+    got = cells.toArrow()
+    words[got["cell"].to_numpy()] = got["mask"].to_numpy()
     return words
 
 
-def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """(item_id as string, fp, win, len) for every window of every item."""
+def item_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """(item_id as string, pos, len, fp, gram, left, right) of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             for i, j, buf, off in tb.text_runs(batch.column(1)):
                 low, start, end, row = tb.words(buf, off)
                 h, bound = tb.span_hashes(low, start, end), tb.group_bounds(row, j - i)
-                raw = low.tobytes()
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for r in range(j - i):
-                    a, b = bound[r], bound[r + 1]
-                    if a == b or ids[i + r] is None:
-                        continue
-                    size = min(window, int(b - a))
-                    at, fp = _window_minima(h[a:b], row[a:b], size, min(k, size) if size == window else size)
-                    for p, f in zip(at.tolist(), tb.signed(fp).tolist()):
-                        out[0].append(ids[i + r])
-                        out[1].append(f)
-                        out[2].append(b" ".join(raw[s:e] for s, e in zip(start[a + p : a + p + size].tolist(), end[a + p : a + p + size].tolist())).decode())
-                        out[3].append(size)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32())], names=["item_id", "fp", "win", "len"])
-
-    return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, _ITEM_SCHEMA).distinct()
-
-
-def candidate_windows(docs: DataFrame, bloom: np.ndarray, short: list[int], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """One row a document (part 0) and one for each window whose fingerprint the filter lets pass."""
+                n_words = np.diff(bound)
+                at, size, fp = _prints(h, row, window, k, sorted({int(n) for n in n_words if 0 < n < window}))
+                own = (size == window) | (n_words[row[at]] == size) if len(at) else np.zeros(0, bool)
+                found = at[own], size[own], fp[own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[found[0]] + i)), *_print_columns(low, start, end, bound, row, found, window, k)], names=["item_id", "pos", "len", "fp", "gram", "left", "right"])
+
+    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter("item_id IS NOT NULL")
+    return rows.mapInArrow(run, f"item_id string, {_PRINT}")
+
+
+def candidate_prints(docs: DataFrame, bloom: np.ndarray | None, short: list[int], window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """(doc_id, copy_key, pos, len, fp, gram, left, right) of the fingerprints that the filter lets pass; docs has doc_id, text, copy_key."""
     held = docs.sparkSession.sparkContext.broadcast(bloom)
-    bits = len(bloom) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.unpackbits(held.value.view(np.uint8), bitorder="little").view(bool)
+        bits = None if held.value is None else np.unpackbits(held.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for i, j, buf, off in tb.text_runs(batch.column(1)):
                 low, start, end, row = tb.words(buf, off)
                 h, bound = tb.span_hashes(low, start, end), tb.group_bounds(row, j - i)
-                n_words = np.diff(bound)
-                hits = []
-                for size in [window, *short]:
-                    at, fp = _window_minima(h, row, size, k if size == window else size)
+                at, size, fp = _prints(h, row, window, k, short)
+                if bits is not None:
                     ok = np.ones(len(at), bool)
-                    for slot in _bloom_slots(fp, bits):
-                        ok &= table_[slot]
-                    hits.append((at[ok], fp[ok], np.full(int(ok.sum()), size)))
-                at, fp, size = (np.concatenate(x) for x in zip(*hits))
-                raw = low.tobytes()
-                wins = [b" ".join(raw[s:e] for s, e in zip(start[p : p + z].tolist(), end[p : p + z].tolist())).decode() for p, z in zip(at.tolist(), size.tolist())]
-                r = np.concatenate([np.arange(j - i), row[at]])
-                own = np.concatenate([np.zeros(j - i, np.int32), np.ones(len(at), np.int32)])
-                pos = np.concatenate([np.full(j - i, -1, np.int64), at - bound[row[at]]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(r + i)),
-                        pa.array(keys[r + i]),
-                        pa.array(n_words[r].astype(np.int64)),
-                        pa.array(own),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(j - i, np.int64), tb.signed(fp)])),
-                        pa.array([None] * (j - i) + wins, pa.string()),
-                    ],
-                    names=["doc_id", "copy_key", "n_words", "part", "pos", "fp", "win"],
-                )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy_key"))
-    return rows.mapInArrow(run, _SCHEMA)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = KGRAM, bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """One row a document: doc_id, text_hash (xxhash64), n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
-    bench = item_windows(items, item_col, item_text, window, k)
+                    for slot in _bloom_slots(fp, len(bits)):
+                        ok &= bits[slot]
+                    at, size, fp = at[ok], size[ok], fp[ok]
+                of = pa.array(row[at] + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), *_print_columns(low, start, end, bound, row, (at, size, fp), window, k)], names=["doc_id", "copy_key", "pos", "len", "fp", "gram", "left", "right"])
+
+    return docs.select("doc_id", "text", "copy_key").mapInArrow(run, f"doc_id long, copy_key long, {_PRINT}")
+
+
+def _equal_words(a: str, b: str) -> Column:
+    """How many words of the two lists agree from their beginning on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, False)
+    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def hit_ranges(docs: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = KGRAM, most_bits: int = MOST_BLOOM_BITS) -> DataFrame:
+    """(doc_id, copy_key, items, hits) of the documents that are hit; docs has doc_id, text, copy_key."""
+    bench = item_prints(items, item_col, item_text, window, k).distinct()
     keys = bench.select("fp", "len").distinct()
-    bloom = benchmark_filter(keys, bloom_bits)
-    short = [r[0] for r in keys.filter(F.col("len") < window).select("len").distinct().orderBy("len").collect()]
-    rows = candidate_windows(docs, bloom, short, id_col, text_col, window, k)
-    found = rows.join(bench.withColumnRenamed("fp", "b_fp").withColumnRenamed("win", "b_win"), (F.col("fp") == F.col("b_fp")) & (F.col("win") == F.col("b_win")), "left")
-    per_doc = found.groupBy("doc_id", "copy_key", "n_words").agg(
-        F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).alias("copies"),
-        F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("pos", "len"))).alias("hits"),
-        F.collect_set("item_id").alias("items"),
-    )
-    covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))
-    return per_doc.select(
+    bloom = benchmark_filter(keys, most_bits)
+    short = [r[0] for r in keys.filter(F.col("len") < window).select("len").distinct().orderBy("len").collect()]  # at most window - 1
+    other = bench.select("item_id", "fp", "len", *[F.col(c).alias(f"b_{c}") for c in ("gram", "left", "right")])
+    met = candidate_prints(docs, bloom, short, window, k).join(other, ["fp", "len"]).filter("gram = b_gram")
+    whole = F.col("len") == window
+    before, behind = (F.when(whole, _equal_words(c, f"b_{c}")).otherwise(0) for c in ("left", "right"))
+    n = F.when(whole, F.lit(k)).otherwise(F.col("len"))
+    spans = met.select("doc_id", "copy_key", "item_id", "len", (F.col("pos") - before).alias("first"), (n + before + behind).alias("size")).filter(F.col("size") >= F.col("len"))
+    return spans.groupBy("doc_id", "copy_key").agg(F.collect_set(F.struct("first", "size")).alias("hits"), F.collect_set("item_id").alias("items"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One row a document: doc_id, text_hash (xxhash64), n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("copy_key"))
+    found = hit_ranges(rows, items, **options).select(F.col("doc_id").alias("hit_id"), F.col("copy_key").alias("hit_key"), "items", "hits")
+    all_ = rows.select("doc_id", "copy_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    both = all_.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("copy_key") == F.col("hit_key")), "left")
+    covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["first"], x["first"] + x["size"] - 1)))
+    none = F.array().cast("array<string>")
+    return both.select(
         "doc_id",
         F.col("copy_key").alias("text_hash"),
-        F.col("n_words"),
-        F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
-        F.array_sort("items").alias("items"),
-        F.array_sort("hits").alias("hits"),
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+        "n_words",
+        F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.array_sort("items"), none).alias("items"),
+        F.coalesce(F.array_sort("hits"), F.array().cast("array<struct<first: int, size: int>>")).alias("hits"),
+    )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with an item; columns as they are, null ids included."""
-    dirty = decontaminate(docs, items, id_col, text_col).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
-    same = F.col(id_col).eqNullSafe(F.col("dirty_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("text_hash"))
-    return docs.join(dirty, same, "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("copy_key"))
+    dirty = hit_ranges(rows, items).select(F.col("doc_id").alias("hit_id"), F.col("copy_key").alias("hit_key"))
+    return rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("copy_key") == F.col("hit_key")), "left_anti").select("row.*")
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,30 @@ def test_null_ids_are_judged_by_their_text(spark, make_docs):
     docs = make_docs({None: "one two"}).union(make_docs({None: "three"})).union(make_docs({1: "four"}))
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert sorted(r.text for r in d.clean_documents(docs, items).collect()) == ["four", "three"]
+
+
+def test_clashing_names_long_texts_and_no_filter(spark, make_docs):
+    base = [f"w{i}" for i in range(60)]
+    texts = ["lead " * 60_000 + " ".join(base[3:31]) + " tail" * 50, " ".join(base[40:50]), " ".join(base[40:49]), None, "", "the the the the the the the the the the the the"]
+    items = spark.createDataFrame([(1, " ".join(base)), (1, " ".join(base)), (2, "the " * 11)], "item_id long, text string")
+    docs = make_docs(texts)
+    for c in ("row", "hit_id", "hit_key", "copy_key", "text_hash", "dirty_id", "fp"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    want = brute(list(enumerate(texts)), [(1, " ".join(base)), (2, "the " * 11)])
+    for bits in (d.MOST_BLOOM_BITS, 0):
+        got = {r.doc_id: r for r in d.decontaminate(docs, items, most_bits=bits).collect()}
+        assert {k: (v.n_words, v.n_hit, len(v["items"]), hashlib.sha256(",".join(v["items"]).encode()).hexdigest()) for k, v in got.items()} == want
+    kept = d.clean_documents(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
+def test_winnowing_keeps_few_and_meets_every_shared_window():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    kept = d._kept(h, np.zeros(len(h), np.int64), d.WINDOW, d.KGRAM)
+    assert len(kept) < 0.4 * len(h)
+    assert all(((kept >= i) & (kept <= i + d.WINDOW - d.KGRAM)).any() for i in range(len(h) - d.WINDOW + 1))
+    part = d._kept(h[1000:1400], np.zeros(400, np.int64), d.WINDOW, d.KGRAM) + 1000
+    assert set(part.tolist()) <= set(kept.tolist())
