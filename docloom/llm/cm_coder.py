@@ -87,12 +87,13 @@ class _Slots:
         self.one.take(self.at1, out=out1, mode="clip")
         self.two.take(self.at2, out=out2, mode="clip")
 
-    def renew(self, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> None:
+    def renew(self, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
+        """p1 and p2 are the ids that the slots s1 and s2 predict."""
         new = ids << 2 | 1
-        for table, at, s in ((self.one, self.at1, s1), (self.two, self.at2, s2)):
+        for table, at, s, p in ((self.one, self.at1, s1, p1), (self.two, self.at2, s2, p2)):
             sure = s & 3
             np.minimum(sure, 2, out=sure)
-            sure *= (s >> 2) == ids
+            sure &= -(p == ids).astype(np.uint16)
             sure += new
             table[at] = sure
         self.last, self.last2 = ids.astype(np.int64), self.last
@@ -193,7 +194,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             a = int(running[k])
             s1, s2 = m.s1[k, :a], m.s2[k, :a]
             slots.look(a, s1, s2)
-            slots.renew(whole[k, :a], s1, s2)
+            slots.renew(whole[k, :a], s1, s2, s1 >> 2, s2 >> 2)
         starts, widths = _intervals(m, slice(i, j), top)
         for k in range(i, j):
             a = int(running[k])
@@ -306,7 +307,7 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         co <<= full
         co |= word
         m.ids[i, :a] = ids
-        slots.renew(ids, s1, s2)
+        slots.renew(ids, s1, s2, p1, p2)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for lane, b in enumerate(order):
         at = m.ids[: sizes[b], lane].astype(np.int64) - 1

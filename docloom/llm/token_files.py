@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ from docloom.llm.tables import table, written
 
 SEGMENT_IDS = 1 << 15
 LANES = 2048
+RUN_BYTES = 1 << 22
 MEMO = 300_000
 MEMO_IDS = 4_000_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
@@ -80,7 +82,7 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._memo: dict[bytes, int] = {}
+        self._known = pa.array([], pa.large_binary())
         self._ids, self._bound, self._runs = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _forget_rare(self) -> None:
@@ -89,23 +91,23 @@ class TextEncoder:
         size = np.diff(self._bound)[keep]
         if len(keep) > MEMO // 2 or int(size.sum()) > MEMO_IDS // 2:
             return self._forget()
-        names = list(self._memo)
-        self._memo = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self._known = self._known.take(pa.array(keep))
         bound = np.concatenate([[0], np.cumsum(size)])
         self._ids = self._ids[np.arange(bound[-1]) + np.repeat(self._bound[keep] - bound[:-1], size)]
         self._bound, self._runs = bound, np.zeros(len(keep), np.int32)
 
-    def _places(self, stretches: list[bytes]) -> np.ndarray:
+    def _places(self, stretches: pa.Array) -> np.ndarray:
         """Where the ids of each of these are remembered; unknown ones are encoded first."""
-        memo = self._memo
-        new = [x for x in stretches if x not in memo]
-        if new:
-            got = [e.ids for e in self._t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
-            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+        at = pc.index_in(stretches, value_set=self._known)
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = stretches.filter(pc.is_null(at))
+            got = [e.ids for e in self._t.encode_batch_fast(new.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+            place[place < 0] = np.arange(len(new)) + len(self._known)
+            self._known = pa.concat_arrays([self._known, new])
             self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32)])
             self._bound = np.concatenate([self._bound, self._bound[-1] + np.cumsum(list(map(len, got)))])
             self._runs = np.concatenate([self._runs, np.zeros(len(new), np.int32)])
-        place = np.fromiter(map(memo.__getitem__, stretches), np.int64, len(stretches))
         self._runs[place] += 1
         return place
 
@@ -116,14 +118,14 @@ class TextEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         ends = pa.py_buffer(np.append(at, len(buf)))
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
-        place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        place = self._places(parts.dictionary)[parts.indices.to_numpy()]
         start = self._bound[:-1].astype(np.int32)[place]
         size = np.diff(self._bound).astype(np.int32)[place]
         bound = np.concatenate([[0], np.cumsum(size)])
         shift = np.repeat(start - bound[:-1].astype(np.int32), size)
         shift += np.arange(len(shift), dtype=np.int32)
         ids = self._ids[shift]
-        if len(self._memo) > MEMO or len(self._ids) > MEMO_IDS:
+        if len(self._known) > MEMO or len(self._ids) > MEMO_IDS:
             self._forget_rare()
         return ids, bound[np.searchsorted(at, off)]
 
@@ -162,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
         names, ids, n = [], [], 0
         for batch in batches:
             own_names = batch.column(0).to_pylist()
-            for i, _, buf, off in tb.text_runs(batch.column(1)):
+            for i, _, buf, off in tb.text_runs(batch.column(1), RUN_BYTES):
                 flat, bound = enc.encode(buf, off)
                 for k in range(len(bound) - 1):
                     own = np.append(flat[bound[k] : bound[k + 1]], np.uint32(end_id))
