@@ -13,9 +13,15 @@
 
 Result, one row per input row: doc_id, class_id (least doc_id of the class), n_links
 (other distinct texts with similarity of at least the threshold), n_copies (rows with
-exactly this text).  Null texts count as empty; texts without words link to nothing but
-their exact copies.  Repeated rows are copies of one another.  A null doc_id
-never represents a class that has another id.
+exactly this text).
+
+Texts are nodes under a 64-bit hash of their SHA-256; a seed without any collision is
+looked for first, so no text is ever lost to one.  Null texts count as empty; texts without
+words link to nothing but their exact copies.  Repeated rows are copies of one another.  A
+null doc_id never represents a class that has another id.  Ties (equal least ids) go to the
+least text hash.  Texts may have any length; all their shingles count.  An empty table gives
+no rows.  Other columns are ignored, whatever their names, and come back as they are from
+``one_per_class``.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
@@ -193,6 +199,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "comp long, node long, blocks long, grams array<long>")
 
 
+def _node_of(texts: DataFrame) -> Column:
+    """A 64-bit hash of text_key under the first seed that gives every row one of its own."""
+    for seed in range(16):
+        node = F.xxhash64("text_key", F.lit(seed))
+        if texts.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return node
+    raise RuntimeError("no seed without collisions")
+
+
 def _text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key) of each row, and (text_key, rep, root, n_links, n_copies) of each distinct text."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
@@ -202,7 +217,7 @@ def _text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = written(sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     # a text's representative may be named by several rows: node ids are per text, not per doc_id
     one = sigs.join(reps, (sigs["text_key"] == reps["text_key"]) & sigs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").dropDuplicates(["text_key"])
-    node = F.xxhash64("text_key")
+    node = _node_of(reps)
     banded = one.select(node.alias("node"), F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = banded.join(buckets, ["band", "hash"]).filter("node <> centre").select("node", "centre").distinct()
@@ -228,20 +243,19 @@ def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs that stand for their class: one row with the least id of each, and of that the least text hash.
+    """The rows of docs that stand for their class: one row with the least id of each (null ids last), and of that the least text hash.
 
     Classes are told apart by their texts, so an id that names several texts loses none of
-    their classes.  Of equal ids and texts the least row stays.  Rows without an id can't be
-    told apart and all stay.
+    their classes, and rows without an id are judged by their texts like all others.  Of
+    equal ids and texts the least row stays, so columns must have an order.
     """
     _, nodes = _text_nodes(docs, id_col=id_col, text_col=text_col, **options)
-    first = nodes.filter("rep IS NOT NULL").groupBy("root").agg(F.min(F.struct("rep", "text_key")).alias("kept"))
+    first = nodes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("kept"))
     kept = first.select(F.col("kept.rep").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     keyed = docs.select(F.col(id_col).cast("long").alias("own_id"), key.alias("own_key"), F.struct(*docs.columns).alias("row"))
-    named = keyed.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
-    least = named.groupBy("own_id", "own_key").agg(F.min("row").alias("row")).select("row.*")
-    return least.union(docs.filter(F.col(id_col).isNull()))
+    named = keyed.join(kept, (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return named.groupBy("own_key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

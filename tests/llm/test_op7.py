@@ -87,7 +87,8 @@ def test_null_ids(spark, make_docs):
     docs = make_docs(["a b c d e f", "g h i j k l m"]).union(make_docs({None: "a b c d e f"})).union(make_docs({None: "only here one two three"}))
     got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in n.jaccard_classes(docs).collect()), key=repr)
     assert got == [(0, 0, 2), (1, 1, 1), (None, 0, 2), (None, None, 1)]
-    assert n.one_per_class(docs).count() == 4
+    kept = sorted(((r.doc_id, r.text) for r in n.one_per_class(docs).collect()), key=repr)
+    assert kept == [(0, "a b c d e f"), (1, "g h i j k l m"), (None, "only here one two three")]
 
 
 def test_one_id_with_several_texts(spark, make_docs):
@@ -99,3 +100,21 @@ def test_one_id_with_several_texts(spark, make_docs):
         docs = docs.union(part)
     got = sorted((r.text or "", r.doc_id) for r in n.one_per_class(docs).collect())
     assert got == [("", 3), ("a b c d e f", 0), ("g h i j k l m", 0), ("n o p q r", 3)]
+
+
+def test_clashing_names_long_texts_and_ties(spark, make_docs):
+    long_ = " ".join(f"w{i}" for i in range(60_000))
+    docs = make_docs({0: long_, 1: long_ + " end", 2: "short one", 3: None})
+    docs = docs.union(make_docs({0: "other text here", 3: ""}))
+    for c in ("kept_id", "kept_key", "own_id", "own_key", "row", "rep", "root", "node"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    kept = n.one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(0, 15), (0, len(long_)), (2, 9), (3, 0)]
+
+
+def test_node_seeds_avoid_collisions(spark, monkeypatch):
+    texts = spark.createDataFrame([(bytes([k]),) for k in range(50)], "text_key binary")
+    real = F.xxhash64
+    monkeypatch.setattr(n.F, "xxhash64", lambda c, seed: F.when(seed == 0, F.lit(1).cast("long")).otherwise(real(c, seed)))
+    assert texts.select(n._node_of(texts).alias("x")).distinct().count() == 50
