@@ -4,11 +4,13 @@
    and bad ones.
 2. Level by level, under each (host, template so far), a segment turns into a wildcard of
    its shape (``{num}``, ``{hex}``, ``{word}``) if it looks generated or if its parent has
-   more than ``MAX_CHILDREN`` values of which it holds less than ``MIN_SHARE``.  Segments
-   beyond ``MAX_DEPTH`` are one ``{rest}``.
-3. Branches that differ in one literal segment only are compared with their pooled rate of
-   bad labels; those within ``Z_SAME`` standard errors merge to ``{any}``.  This goes level
-   by level from the first segment on, each level with the branches merged before.
+   more than ``MAX_CHILDREN`` values of which it holds less than ``MIN_SHARE``.  All levels
+   are read; paths that have ended take no part in further ones.
+3. Branches that differ in one literal segment only are compared, each with the others taken
+   together, by a test of two shares of bad labels; those within ``Z_SAME`` standard errors
+   merge to ``{any}``.  Branches without labels merge along if no labelled one stays apart.
+   This goes level by level from the first segment on, each level with the branches merged
+   before.
 4. A template is rejected if its bad share, smoothed by ``PRIOR_WEIGHT`` labels at the
    overall rate, reaches ``REJECT``.
 
@@ -18,7 +20,9 @@ urls is not gathered anywhere.
 
 A null url or one without ``://`` has empty host and path.  Pages without a label count as
 unlabelled; without any label the prior is 0 and the method allows.  Repeated rows give a
-row each and count as pages each.
+row each and count as pages each; of several labels of a page the bad one counts.  Ties at
+``REJECT`` are rejected.  Urls may have any length and depth.  An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ from pyspark.sql import functions as F
 
 from docloom.llm.tables import table, written
 
-MAX_DEPTH = 8
 MAX_CHILDREN = 20
 MIN_SHARE = 0.05
 Z_SAME = 1.96
@@ -77,21 +80,22 @@ def _shape(seg: Column) -> Column:
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template) of distinct urls; ``urls`` has host, path, n, good, bad."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.when(F.size(segs) > MAX_DEPTH, F.concat(F.slice(segs, 1, MAX_DEPTH), F.array(F.lit("{rest}")))).otherwise(segs)
-    now = urls.select("host", "path", "n", cut.alias("segs"), F.lit("").alias("template"))
+    now = urls.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template"))
     deepest = now.agg(F.max(F.size("segs"))).first()[0] or 0
+    ended = now.filter(F.size("segs") == 0)
     for d in range(deepest):
+        now = now.filter(F.size("segs") > d)
         seg = F.get("segs", F.lit(d))
         looks_made = _shape(seg).rlike(r"^\{(num|hex)\}")
         now = now.withColumn("seg", F.when(looks_made, _shape(seg)).otherwise(seg))
-        children = now.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n_seg"))
+        children = now.groupBy("host", "template", "seg").agg(F.sum("n").alias("n_seg"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n_seg").alias("n_all"))
         odd = children.join(nodes, ["host", "template"]).filter((F.col("fan") > MAX_CHILDREN) & (F.col("n_seg") < MIN_SHARE * F.col("n_all")) & ~F.col("seg").startswith("{")).select("host", "template", "seg", F.lit(True).alias("odd"))
         now = now.join(odd, ["host", "template", "seg"], "left")
         step = F.when(F.col("odd"), _shape(F.col("seg"))).otherwise(F.col("seg"))
-        now = now.select("host", "path", "n", "segs", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)).alias("template"))
-        now = written(now, f"templates-{d}")
-    return now.select("host", "path", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
+        now = written(now.select("host", "path", "n", "segs", F.concat("template", F.lit("/"), step).alias("template")), f"templates-{d}")
+        ended = ended.union(now.filter(F.size("segs") == d + 1))
+    return ended.select("host", "path", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
 
 
 def merged(counts: DataFrame) -> DataFrame:
@@ -104,12 +108,19 @@ def merged(counts: DataFrame) -> DataFrame:
     for d in range(max(1, deepest - 1)):
         slot = rf"^((?:/[^/]*){{{d}}})/([^{{/][^/]*)"
         branch = now.groupBy("host", "merged").agg(F.sum("good").alias("b_good"), F.sum("bad").alias("b_bad")).withColumn("wide", F.regexp_replace("merged", slot, "$1/{any}"))
-        all_ = F.col("b_good") + F.col("b_bad")
-        pooled = branch.groupBy("host", "wide").agg(F.count("*").alias("branches"), F.sum("b_bad").alias("p_bad"), F.sum(all_).alias("p_all"))
-        rate = F.coalesce(F.try_divide("p_bad", "p_all"), F.lit(0.0))
-        z = F.try_divide(F.col("b_bad") - all_ * rate, F.sqrt(all_ * rate * (1 - rate)))
-        same = (F.col("branches") > 1) & ((all_ == 0) | (rate == 0) | (rate == 1) | (F.abs(z) <= Z_SAME))
-        step = branch.join(pooled, ["host", "wide"]).select("host", "merged", F.when(same, F.col("wide")).otherwise(F.col("merged")).alias("next"))
+        mine = F.col("b_good") + F.col("b_bad")
+        pooled = branch.groupBy("host", "wide").agg(F.count("*").alias("branches"), F.sum("b_bad").alias("p_bad"), F.sum(mine).alias("p_all"))
+        others = F.col("p_all") - mine
+        rate = F.try_divide("p_bad", "p_all")
+        gap = F.abs(F.try_divide("b_bad", mine) - F.try_divide(F.col("p_bad") - F.col("b_bad"), others))
+        error = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1.0), mine) + F.try_divide(F.lit(1.0), others)))
+        # no others with labels, or no spread at all: nothing tells them apart
+        apart = (mine > 0) & (others > 0) & (gap > Z_SAME * error)
+        tested = branch.join(pooled, ["host", "wide"]).select("host", "merged", "wide", "branches", mine.alias("mine"), F.coalesce(apart, F.lit(False)).alias("apart"))
+        tested = written(tested, f"template-tests-{d}")
+        split = tested.groupBy("host", "wide").agg(F.max("apart").alias("split"))
+        stays = F.col("apart") | ((F.col("mine") == 0) & F.col("split")) | (F.col("branches") == 1)
+        step = tested.join(split, ["host", "wide"]).select("host", "merged", F.when(stays, F.col("merged")).otherwise(F.col("wide")).alias("next"))
         now = written(now.join(step, ["host", "merged"]).select("host", "template", "good", "bad", F.col("next").alias("merged")), f"template-merges-{d}")
     return now.select("host", "template", "merged")
 
@@ -131,8 +142,9 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES)
     total = counts.agg(F.try_divide(F.sum("bad"), F.sum(F.col("good") + F.col("bad"))).alias("rate")).first().rate
     n = F.col("good") + F.col("bad")
     scored = both.select("host", "merged", ((F.col("bad") + PRIOR_WEIGHT * F.lit(float(total or 0.0))) / (n + PRIOR_WEIGHT)).alias("purity_bad"), n.alias("n_labelled"))
-    by_url = found.join(wide, ["host", "template"]).join(scored, ["host", "merged"])
-    out = mine.join(by_url, ["host", "path"], "left")
+    # written, so that its size is known and a small one is broadcast without moving the urls
+    by_template = written(wide.join(scored, ["host", "merged"]), "template-scores")
+    out = mine.join(found.join(by_template, ["host", "template"]), ["host", "path"], "left")
     rule, verdict = (matched_rule(F.col("host"), F.col("path"), rules, f) for f in ("rule", "verdict"))
     own = F.when(F.col("purity_bad") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("merged").alias("template"), F.round("purity_bad", 6).alias("purity_bad"), "n_labelled")

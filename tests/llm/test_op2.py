@@ -38,7 +38,6 @@ def brute(pages, labels):
         if p in bad:
             marks[h, x][bad[p]] += 1
     segs = {k: [s for s in k[1].split("/") if s] for k in n}
-    segs = {k: (s if len(s) <= u.MAX_DEPTH else [*s[: u.MAX_DEPTH], "{rest}"]) for k, s in segs.items()}
     tpl = {k: "" for k in n}
     for d in range(max([0, *map(len, segs.values())])):
         seg = {k: (shape(s[d]) if re.match(r"\{(num|hex)\}", shape(s[d])) else s[d]) for k, s in segs.items() if len(s) > d}
@@ -59,20 +58,29 @@ def brute(pages, labels):
     for k, t in tpl.items():
         counts[k[0], t][0] += marks[k][0] if k in marks else 0
         counts[k[0], t][1] += marks[k][1] if k in marks else 0
-    wide = {k: re.sub(r"^/([^{/][^/]*)", "/{any}", k[1], count=1) for k in counts}
-    pool = defaultdict(lambda: [0, 0, 0])
-    for k, (g, b) in counts.items():
-        x = pool[k[0], wide[k]]
-        x[0] += 1
-        x[1] += b
-        x[2] += g + b
-    merged = {}
-    for k, (g, b) in counts.items():
-        branches, pb, pa = pool[k[0], wide[k]]
-        rate = pb / pa if pa else 0
-        var = (g + b) * rate * (1 - rate)
-        same = branches > 1 and (g + b == 0 or rate in (0, 1) or abs(b - (g + b) * rate) / var**0.5 <= u.Z_SAME)
-        merged[k] = wide[k] if same else k[1]
+    merged = {k: k[1] for k in counts}
+    for d in range(max([1, *(len(k[1].split("/")) - 1 for k in counts)])):
+        branch = defaultdict(lambda: [0, 0])
+        for k, (g, b) in counts.items():
+            branch[k[0], merged[k]][0] += g
+            branch[k[0], merged[k]][1] += b
+        groups = defaultdict(list)
+        for host, t in branch:
+            segs_ = t.split("/")[1:]
+            wide = "/" + "/".join([*segs_[:d], "{any}", *segs_[d + 1 :]]) if len(segs_) > d and segs_[d] and not segs_[d].startswith("{") else t
+            groups[host, wide].append(t)
+        moved = {}
+        for (host, wide), own in groups.items():
+            bad, all_ = sum(branch[host, t][1] for t in own), sum(sum(branch[host, t]) for t in own)
+            apart = {}
+            for t in own:
+                n1, b1 = sum(branch[host, t]), branch[host, t][1]
+                n2 = all_ - n1
+                apart[t] = bool(n1 and n2) and abs(b1 / n1 - (bad - b1) / n2) > u.Z_SAME * (bad / all_ * (1 - bad / all_) * (1 / n1 + 1 / n2)) ** 0.5
+            for t in own:
+                stays = apart[t] or (not sum(branch[host, t]) and any(apart.values())) or len(own) == 1
+                moved[host, t] = t if stays else wide
+        merged = {k: moved[k[0], t] for k, t in merged.items()}
     both = defaultdict(lambda: [0, 0])
     for k, (g, b) in counts.items():
         both[k[0], merged[k]][0] += g
@@ -103,7 +111,7 @@ def test_whole_table(spark):
 @pytest.mark.parametrize("labelled", [True, False])
 def test_generalising_merging_rejecting(spark, labelled):
     urls = [f"https://SHOP.example.org/item/{w}{k}/view" for k in range(30) for w in ("ab", "cd")] + [f"http://shop.example.org/{s}/{k}" for s in ("spam", "ok", "fine") for k in range(40)]
-    urls += [None, "", "no-scheme/x", "x://", "x://Host?q", "a://b://c/d", "http://a.net", "http://a.net/", "http://x.example.net/en/1#f", "http://net/", "http://fr.org/fr/x", "http://h/" + "/".join("abcdefghijkl"), "http://h/é/漢\nq"]
+    urls += [None, "", "no-scheme/x", "x://", "x://Host?q", "a://b://c/d", "http://a.net", "http://a.net/", "http://x.example.net/en/1#f", "http://net/", "http://fr.org/fr/x", "http://h/" + "/".join("abcdefghijklmnopqrs"), "http://h/" + "/".join("abcdefghijklmnopqr1"), "http://h/" + "x" * 100_000 + "/y", "http://h/é/漢\nq"]
     urls += ["http://twice.org/a"] * 3
     pages = list(enumerate(urls)) + [(None, "http://none.org/z")]
     labels = [(i, "/spam/" in (x or "")) for i, x in pages if x and ("/spam/" in x or "/ok/" in x)] + [(None, True), (3, None)] if labelled else []
