@@ -331,9 +331,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, float, int], text_col: str =
 # --- decision -----------------------------------------------------------------------------
 
 
-def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """The rows of docs with kn_tokens, kn_logppl (mean, null without tokens), kn_threshold and kn_keep."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), "text", "lang")
+def _scored_rows(docs: DataFrame, labels: DataFrame, broadcast_entries: int) -> DataFrame:
+    """Rows (row, text, lang, and the four results); row holds the other columns, so a text goes through Python once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), "text", "lang", F.col("doc_id").alias("id"))
     sure = (F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
     good = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("good_id")).agg(sure.alias("sure")).filter("sure").select("good_id")
     good, _ = bounded_broadcast(good, LABEL_ROWS)
@@ -344,16 +345,17 @@ def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAS
     lang = F.coalesce(F.col("lang"), F.lit(""))
     sample = score(trusted.filter(held_out).select(lang.alias("lang"), "text"), model, "text", broadcast_entries, shared).filter("kn_tokens > 0").select("lang", *_SCORES)
     limits = _limits(written(sample, "kn-held-out"))
-    mine = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in _RESULTS]
     if limits is None:
         new = {"kn_tokens": F.lit(0).cast("long"), "kn_logppl": F.lit(None).cast("double"), "kn_threshold": F.lit(None).cast("double"), "kn_keep": F.lit(True)}
-        return rows.select(*mine, *[v.alias(k) for k, v in new.items()])
+        return rows.select("row", "text", "lang", *[v.alias(k) for k, v in new.items()])
     by_lang, everywhere = limits
     pick = lambda k: F.coalesce(*([F.create_map(*[F.lit(x) for s, v in by_lang.items() for x in (s, v[k])])[lang]] if by_lang else []), F.lit(everywhere[k]))
     scored = score(rows.select("row", "text", "lang"), model, "text", broadcast_entries, shared)
     over = [m > pick(1 + k) for k, m in enumerate(_measures(pick(0)))]
     return scored.select(
-        *mine,
+        "row",
+        "text",
+        "lang",
         "kn_tokens",
         F.when(F.col("kn_tokens") > 0, -F.col("kn_loglik") / F.col("kn_tokens")).alias("kn_logppl"),
         pick(1).alias("kn_threshold"),
@@ -361,6 +363,15 @@ def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAS
     )
 
 
+def _own_columns(docs: DataFrame, leave_out: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col(c) if c in ("text", "lang") else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in leave_out]
+
+
+def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """The rows of docs with kn_tokens, kn_logppl (mean, null without tokens), kn_threshold and kn_keep."""
+    return _scored_rows(docs, labels, broadcast_entries).select(*_own_columns(docs, _RESULTS), *_RESULTS)
+
+
 def _measures(mid: Column) -> tuple[Column, Column, Column]:
     """Smoothed log perplexity, that of the worst segment, and the share of repeats, of scored rows."""
     n, inner = F.col("kn_tokens"), F.least(F.col("kn_tokens"), F.lit(SEGMENT))
@@ -386,8 +397,7 @@ def _limits(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], tuple[floa
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns as they are."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
-    return judged(packed, labels).filter("kn_keep").select("row.*")
+    return _scored_rows(docs, labels, BROADCAST_ENTRIES).filter("kn_keep").select(*_own_columns(docs))
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 A payload is the text's UTF-8 bytes and blanks up to a positive multiple of 192: rows of
 64 red-green-blue pixels.  An image has at most 16,384 rows; a longer payload is a
-sequence of such files, one after another.  Payloads that repeat themselves (their DEFLATE
-form is under a seventh of them) are written with back-references and a colour cache, all
-others as literals.  Null texts are empty.  Repeated rows give a row each.
+sequence of such files, one after another.  Every image gets the transform that suits it and
+back-references, and a colour cache where it helps (see ``vp8l_batch``); images of few
+colours get a palette instead.  Null texts are empty.  Repeated rows give a row each, with
+equal media.  Texts may have any length.  An empty table gives no rows.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
-from docloom.llm import vp8l
+from docloom.llm import vp8l, vp8l_batch
 from docloom.llm.tables import table
 
 WIDTH = 64
 UNIT = 3 * WIDTH
 MAX_BYTES = UNIT * vp8l.MAX_SIDE
-REPETITIVE = 7
+PALETTE = 256
 
 
 def _payload_of(text: np.ndarray) -> np.ndarray:
@@ -38,15 +39,22 @@ def _payload_of(text: np.ndarray) -> np.ndarray:
 def store(payloads: list[np.ndarray]) -> list[bytes]:
     """The media of each payload."""
     parts = [p[i : i + MAX_BYTES] for p in payloads for i in range(0, len(p), MAX_BYTES)]
-    again = [len(p) > 4 * UNIT and len(zlib.compress(p, 1)) * REPETITIVE < len(p) for p in parts]
-    plain = iter(vp8l.encode_many([p for p, a in zip(parts, again) if not a], WIDTH))
-    files = iter([_repetitive(p) if a else next(plain) for p, a in zip(parts, again)])
+    few = [_few_colours(p) for p in parts]
+    others = iter(vp8l_batch.encode_many([p for p, f in zip(parts, few) if not f], WIDTH))
+    files = iter([_with_palette(p) if f else next(others) for p, f in zip(parts, few)])
     return [b"".join(next(files) for _ in range(0, len(p), MAX_BYTES)) for p in payloads]
 
 
-def _repetitive(payload: np.ndarray) -> bytes:
+def _few_colours(payload: np.ndarray) -> bool:
+    """At most ``PALETTE`` colours, and far fewer than pixels."""
+    px = payload.reshape(-1, 3).astype(np.int32)
+    value = px[:, 0] << 16 | px[:, 1] << 8 | px[:, 2]
+    return len(np.unique(value[:512])) <= PALETTE and len(np.unique(value)) <= min(PALETTE, len(value) // 8)
+
+
+def _with_palette(payload: np.ndarray) -> bytes:
     rgb = payload.reshape(-1, WIDTH, 3)
-    return vp8l.encode(np.concatenate([rgb, np.full((*rgb.shape[:2], 1), 255, np.uint8)], axis=2), cache_bits=6)
+    return vp8l.encode(np.concatenate([rgb, np.full((*rgb.shape[:2], 1), 255, np.uint8)], axis=2), palette=True)
 
 
 def split_files(media: bytes) -> list[bytes]:
@@ -61,7 +69,7 @@ def split_files(media: bytes) -> list[bytes]:
 def load(media: list[bytes]) -> list[list[np.ndarray]]:
     """The images of each medium as pixel arrays (height, width, 4)."""
     files = [split_files(m) for m in media]
-    images = iter(vp8l.decode_many([f for fs in files for f in fs]))
+    images = iter(vp8l_batch.decode_many([f for fs in files for f in fs]))
     return [[next(images) for _ in fs] for fs in files]
 
 
@@ -92,8 +100,8 @@ def load_documents(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, vp8l._LOCK_LANES):
-                part = batch.slice(i, vp8l._LOCK_LANES)
+            for i in range(0, batch.num_rows, vp8l_batch.LANES):
+                part = batch.slice(i, vp8l_batch.LANES)
                 images = load(part.column(2).to_pylist())
                 payloads = [np.concatenate([x[..., :3].reshape(-1) for x in im]) for im in images]
                 features = [_feature(im, p) for im, p in zip(images, payloads)]

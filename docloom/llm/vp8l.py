@@ -2,12 +2,10 @@
 
 Decoder: prefix codes (simple and length-coded), meta prefix images, back-references with
 the two-dimensional distance map, colour cache, and the inverse of the predictor,
-cross-colour, subtract-green and palette transforms with pixel bundling.  ``decode_many``
-decodes streams that hold literals only in lockstep, a pixel of all images at a time, and
-all others by ``decode``.
+cross-colour, subtract-green and palette transforms with pixel bundling.
 
-Encoder: ``encode_many`` writes literal streams for many images at once; ``encode`` takes
-one image and writes any of the features above.
+Encoder: ``encode`` takes one image and writes any of the features above; ``vp8l_batch``
+writes and reads many images at once.
 
 Pixels are uint8 arrays (height, width, 4) in the order red, green, blue, alpha.
 """
@@ -16,13 +14,11 @@ from __future__ import annotations
 
 import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 
 MAX_SIDE = 1 << 14
-_LOCK_BITS = 10
-_LOCK_LANES = 2048
-_LOCK_LEAST = 28
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 # Fixed values of the format: (x, y) of the short distance codes 1 to 120.
 _NEAR = (
@@ -146,6 +142,13 @@ class _Writer:
 # --- decoder ----------------------------------------------------------------------------
 
 
+@lru_cache(256)
+def _length_table(lengths: bytes) -> tuple[int, list[int]]:
+    """Mask and table of a code for code lengths; encoders use few of them."""
+    table = decode_table(np.frombuffer(lengths, np.int64))
+    return len(table) - 1, table.tolist()
+
+
 def _read_lengths(b: _Bits, size: int) -> np.ndarray:
     lengths = np.zeros(size, np.int64)
     if b.read(1):
@@ -158,9 +161,8 @@ def _read_lengths(b: _Bits, size: int) -> np.ndarray:
     clc = np.zeros(19, np.int64)
     for k in range(4 + b.read(4)):
         clc[_LENGTH_ORDER[k]] = b.read(3)
-    table = decode_table(clc)
+    mask, table = _length_table(clc.tobytes())
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
-    mask, table = len(table) - 1, table.tolist()
     i, last = 0, 8
     words, at = b.words, b.at
     while i < size and left:
@@ -628,148 +630,3 @@ def encode(
     w.put(0, 1)
     _put_image(w, _argb(np.asarray(px)), width, True, cache_bits, lz, meta, bits)
     return _riff(w.bytes())
-
-
-def encode_many(payloads: list[np.ndarray], width: int) -> list[bytes]:
-    """Opaque images of literal red-green-blue bytes, ``3 * width`` a row; all channels share a code."""
-    if not payloads:
-        return []
-    heads, sizes = [], np.array([len(p) for p in payloads])
-    codes, lens = np.zeros((len(payloads), 256), np.uint64), np.zeros((len(payloads), 256), np.int64)
-    total = np.zeros(len(payloads), np.int64)
-    for i, p in enumerate(payloads):
-        counts = np.bincount(p, minlength=256)
-        lengths = code_lengths(counts, _LOCK_BITS)
-        w = _Writer()
-        w.put(_head(width, len(p) // (3 * width), False), 43)
-        one = _Writer()
-        _put_lengths(one, lengths)
-        green = _Writer()
-        _put_lengths(green, np.concatenate([lengths, np.zeros(24, np.int64)]))
-        for part in (green, one, one):
-            w.put(part.value, part.n)
-        w.put(1 | 1 << 2 | 255 << 3, 11)
-        w.put(1 | 1 << 2, 11)
-        heads.append(w)
-        if np.count_nonzero(lengths) > 1:
-            codes[i], lens[i] = canonical(lengths), lengths
-        total[i] = w.n + int(counts @ lens[i])
-    n_bytes = -(-total // 32) * 4
-    start = np.concatenate([[0], np.cumsum(n_bytes)])
-    flat = np.concatenate(payloads).reshape(-1, 3)[:, [1, 0, 2]].ravel()
-    key = np.repeat(np.arange(len(payloads)) * 256, sizes) + flat
-    size = lens.ravel()[key]
-    end = np.cumsum(size)
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    before = np.where(first > 0, end[np.maximum(first - 1, 0)], 0)
-    pos = end - size + np.repeat(start[:-1] * 8 + np.array([w.n for w in heads]) - before, sizes)
-    value = codes.ravel()[key] << (pos & 31).astype(np.uint64)
-    word = pos >> 5
-    n_words = int(start[-1] >> 2) + 2
-    packed = np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n_words)
-    packed[1:] += np.bincount(word, (value >> np.uint64(32)).astype(np.float64), n_words)[:-1]
-    raw = packed.astype(np.uint32).astype("<u4").tobytes()
-    out = []
-    for i, w in enumerate(heads):
-        body = bytearray(raw[start[i] : start[i] + -(-int(total[i]) // 8)])
-        head = w.bytes()
-        last = len(head) - 1
-        body[:last] = head[:last]
-        body[last] |= head[last]
-        out.append(_riff(bytes(body)))
-    return out
-
-
-def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """Pixels (height, width, 4) of each file."""
-    out: list[np.ndarray | None] = [None] * len(files)
-    plain = []
-    for k, data in enumerate(files):
-        p = _plain(data)
-        if p is None:
-            out[k] = decode(data)
-        else:
-            plain.append((k, *p))
-    plain.sort(key=lambda p: -p[1] * p[2])
-    for i in range(0, len(plain), _LOCK_LANES):
-        for (k, h, w, *_), rgb in zip(plain[i : i + _LOCK_LANES], _lockstep(plain[i : i + _LOCK_LANES])):
-            out[k] = np.concatenate([rgb, np.full((h * w, 1), 255, np.uint8)], axis=1).reshape(h, w, 4)
-    return out
-
-
-def _plain(data: bytes) -> tuple | None:
-    """(height, width, stream, first bit, tables) of a stream of opaque literals without transforms, else None."""
-    stream = _payload(data)
-    b = _Bits(stream[:2048], 8)
-    width, height, alpha = b.read(14) + 1, b.read(14) + 1, b.read(1)
-    if b.read(3) or b.read(1) or b.read(1) or b.read(1):
-        return None
-    try:
-        lengths = [_read_lengths(b, s) for s in (280, 256, 256, 256, 40)]
-    except (ValueError, IndexError):
-        return None
-    if lengths[0][256:].any() or max(x.max() for x in lengths[:3]) > _LOCK_BITS:
-        return None
-    opaque = np.flatnonzero(lengths[3])
-    if alpha or len(opaque) != 1 or any(not x.any() for x in lengths[:3]):
-        return None
-    shared = lengths[0][:256] if (lengths[0][:256] == lengths[1]).all() and (lengths[1] == lengths[2]).all() else None
-    first = decode_table(lengths[0], _LOCK_BITS)
-    tables = [first] * 3 if shared is not None else [first, decode_table(lengths[1], _LOCK_BITS), decode_table(lengths[2], _LOCK_BITS)]
-    return height, width, stream, b.at, tables
-
-
-def _lockstep(images: list[tuple]) -> list[np.ndarray]:
-    """Red, green and blue of each image, sorted from large to small, a pixel of all of them at a time."""
-    n_px = np.array([h * w for _, h, w, *_ in images])
-    table = np.concatenate([np.concatenate(t).astype(np.uint16) for *_, t in images])
-    streams = [s for _, _, _, s, *_ in images]
-    start = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    a = np.frombuffer(b"".join(streams) + b"\0" * 16, np.uint8)
-    word = np.zeros(len(a) - 8, np.uint64)
-    for k in range(8):
-        word |= a[k : len(a) - 8 + k].astype(np.uint64) << np.uint64(8 * k)
-    pos = start[:-1] * 8 + np.array([p for *_, p, _ in images])
-    stop = start[1:] * 8
-    size = 1 << _LOCK_BITS
-    base = np.arange(len(images)) * 3 * size
-    first = np.concatenate([[0], np.cumsum(n_px)])
-    out = np.empty((int(first[-1]), 3), np.uint8)
-    mask = np.uint64(size - 1)
-    active = np.searchsorted(-n_px, -np.arange(int(n_px[0])), "left")
-    i = 0
-    while i < len(active) and active[i] >= _LOCK_LEAST:
-        n = int(active[i])
-        p, t0 = pos[:n], base[:n]
-        v = word[p >> 3] >> (p & 7).astype(np.uint64)
-        at = first[:n] + i
-        step = 0
-        for channel, add in ((1, 0), (0, size), (2, 2 * size)):
-            e = table[t0 + add + (v & mask).astype(np.int64)]
-            bits = e & 15
-            out[at, channel] = e >> 4
-            v >>= bits.astype(np.uint64)
-            step = step + bits
-        p += step
-        i += 1
-    for lane in range(int(active[i]) if i < len(active) else 0):
-        p = int(pos[lane])
-        words = word[start[lane] : start[lane + 1]].tolist()
-        off = 8 * int(start[lane])
-        own = table[base[lane] : base[lane] + 3 * size].tolist()
-        got = bytearray()
-        p -= off
-        for _ in range(i, int(n_px[lane])):
-            v = words[p >> 3] >> (p & 7)
-            g = own[v & 1023]
-            v >>= g & 15
-            r = own[size + (v & 1023)]
-            v >>= r & 15
-            b = own[2 * size + (v & 1023)]
-            p += (g & 15) + (r & 15) + (b & 15)
-            got += bytes((r >> 4, g >> 4, b >> 4))
-        pos[lane] = p + off
-        out[first[lane] + i : first[lane + 1]] = np.frombuffer(bytes(got), np.uint8).reshape(-1, 3)
-    if (pos > stop).any():
-        raise ValueError("the stream ends too early")
-    return [out[x:y] for x, y in zip(first[:-1], first[1:])]

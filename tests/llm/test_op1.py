@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import media, vp8l
+from docloom.llm import media, vp8l, vp8l_batch
 
 
 def image(seed, h, w, colours=256, alpha=True):
@@ -45,7 +45,7 @@ def test_all_features_round_trip(seed, h, w, colours, alpha, palette, green, cro
             "meta": rng.permutation(np.arange(bh * bw) % 3).reshape(bh, bw) if seed % 2 and bh * bw > 2 else None,
         }
     data = vp8l.encode(px, **options)
-    assert (vp8l.decode_many([data])[0] == px).all()
+    assert (vp8l_batch.decode_many([data])[0] == px).all()
 
 
 def test_back_references_of_every_near_code():
@@ -98,3 +98,67 @@ def test_edges(spark, make_docs):
     by_text = {}
     for r in media.load_documents(media.store_documents(docs.union(docs))).collect():
         assert by_text.setdefault(r.doc_id, (r.media, r.feature)) == (r.media, r.feature)
+
+
+def crafted():
+    """Payloads for which each transform is the best one, and mixtures."""
+    rng = np.random.default_rng(8)
+    h = 60
+    noise = lambda n: rng.integers(0, n, (h, 64, 3))
+    grey = rng.integers(0, 256, (h, 64, 1))
+    ramp = np.cumsum(noise(3), axis=1)
+    slope = np.cumsum(noise(3), axis=0)
+    signed = grey.astype(np.uint8).view(np.int8).astype(np.int64)
+    bent = np.concatenate([signed * 50 >> 5, signed, signed * -20 >> 5], axis=2)
+    words = np.frombuffer(b"the same line of words again and again, " * 400, np.uint8)[: 192 * h].reshape(h, 64, 3)
+    few = rng.integers(0, 200, (40, 3))[rng.integers(0, 40, (h, 64))]
+    return {"green": grey + noise(2), "left": ramp, "top": slope, "cross": bent, "words": words, "few": few, "noise": noise(256), "one": noise(1)}
+
+
+def test_every_transform_is_chosen_and_both_decoders_agree():
+    forms = {k: (v & 255).astype(np.uint8).reshape(-1) for k, v in crafted().items()}
+    forms["short"] = np.full(192, 32, np.uint8)
+    forms["long"] = np.concatenate([forms["words"], forms["left"], forms["noise"]] * 3)
+    files = vp8l_batch.encode_many(list(forms.values()), 64)
+    many = vp8l_batch.decode_many(files * 40)
+    for k, (name, p) in enumerate(forms.items()):
+        for px in (vp8l.decode(files[k]), many[k], many[k + len(files)]):
+            assert (px[..., :3].reshape(-1) == p).all() and (px[..., 3] == 255).all(), name
+    kinds = {name: [u[0] for u in vp8l_batch._opened(f)[5]] for name, f in zip(forms, files)}
+    modes = {name: int(vp8l_batch._opened(f)[5][0][1][0, 0, 1]) for name, f in zip(forms, files) if kinds[name] == [0]}
+    assert kinds["green"] == [2] and kinds["cross"] == [1] and modes["left"] == 1 and modes["top"] == 2 and kinds["noise"] == []
+    assert vp8l_batch._opened(files[list(forms).index("few")])[7] and len(files[list(forms).index("words")]) < 1500
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=900) | st.text(alphabet="ab \n", max_size=900).map(str.encode), min_size=1, max_size=40))
+def test_batches_round_trip(texts):
+    payloads = [media._payload_of(np.frombuffer(t, np.uint8)) for t in texts]
+    stored = media.store(payloads)
+    for images, p, m in zip(media.load(stored), payloads, stored):
+        assert (np.concatenate([x[..., :3].reshape(-1) for x in images]) == p).all()
+        assert (np.concatenate([vp8l.decode(f)[..., :3].reshape(-1) for f in media.split_files(m)]) == p).all()
+
+
+def test_code_lengths_are_complete():
+    rng = np.random.default_rng(2)
+    counts = (rng.pareto(0.4, (200, 344)) * rng.integers(0, 2, (200, 344))).astype(np.int64)
+    counts[:5] = 0
+    counts[1, 7] = 3
+    counts[2, [3, 340]] = 1, 10**9
+    lengths = vp8l_batch.complete_lengths(counts)
+    for c, x in zip(counts, lengths):
+        assert ((x > 0) == (c > 0)).all() and x.max() <= vp8l_batch.BITS
+        assert np.count_nonzero(c) < 2 or (2.0 ** -x[x > 0]).sum() == 1
+
+
+def test_damaged_files_are_refused_or_read():
+    files = media.store([media._payload_of(np.frombuffer(b"some words and more words " * 60, np.uint8))])
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        bad = bytearray(files[0])
+        bad[int(rng.integers(20, len(bad)))] ^= int(rng.integers(1, 256))
+        try:
+            vp8l_batch.decode_many([bytes(bad)] * 30)
+        except (ValueError, IndexError):
+            pass
