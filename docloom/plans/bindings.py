@@ -132,7 +132,7 @@ markdown AS (SELECT doc_id, 'doc://' || doc_id AS file_url, CASE doc_id % 3 WHEN
   '# ' || source || chr(10) || 'Net Premium = PV Benefits / ' || lang || chr(10) || '| Term | Value | term |' || chr(10) || '|---|:---:|---|' || chr(10) || '| reserve | ' || n_chars || ' |' || chr(10) || '| v | x | ' || lang || ' |' || chr(10) AS head FROM documents),
 md_sections AS (SELECT doc_id, file_url, title, doc_id || '#section-1' AS section_id, CASE WHEN doc_id % 5 = 0 THEN 'Markdown' ELSE source_site END AS heading, CASE WHEN doc_id % 5 = 0 THEN plain ELSE head END AS text FROM markdown WHERE doc_id % 5 <> 0 OR trim(plain) <> ''
   UNION ALL SELECT doc_id, file_url, title, doc_id || '#section-2', lang, '## ' || lang || chr(10) || plain FROM markdown WHERE doc_id % 5 <> 0),
-md_formulas AS (SELECT doc_id, file_url, title, section_id, section_id || '#formula-1' AS formula_id, heading, 'Net Premium = PV Benefits / ' || lang AS formula_text, trim(regexp_replace(head, '\s+', ' ', 'g')) AS context,
+md_formulas AS (SELECT doc_id, file_url, title, section_id, section_id || '#formula-1' AS formula_id, heading, 'Net Premium = PV Benefits / ' || lang AS formula_text, trim(regexp_replace(head, '\\s+', ' ', 'g')) AS context,
   ['Net Premium', 'PV Benefits', 'reserve', 'premium', 'v'] AS terms FROM md_sections JOIN (SELECT doc_id, lang, head FROM markdown) USING (doc_id) WHERE doc_id % 5 <> 0 AND ends_with(section_id, '#section-1')),
 md_tables AS (SELECT doc_id, file_url, title, section_id, section_id || '#table-1' AS table_id, heading, ['Term', 'Value', 'term_2'] AS headers, [['reserve', CAST(n_chars AS VARCHAR), ''], ['v', 'x', lang]] AS rows FROM md_sections JOIN (SELECT doc_id, lang, n_chars FROM markdown) USING (doc_id) WHERE doc_id % 5 <> 0 AND ends_with(section_id, '#section-1')),
 messages AS (SELECT conv_id, turn, role, text, CAST(greatest(1, length(text) // 4) AS BIGINT) AS token_count FROM conversations)
