@@ -381,11 +381,15 @@ def _measures(mid: Column) -> tuple[Column, Column, Column]:
 def _limits(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]] | None:
     """(median, thresholds of the measures) by language, one row a language on the driver, and over all."""
 
+    median = F.percentile_approx(-F.col("kn_loglik") / F.col("kn_tokens"), 0.5, 10000)
+
     def grouped(keys: list[str]) -> list:
-        mid = sample.groupBy(*keys).agg(F.percentile_approx(-F.col("kn_loglik") / F.col("kn_tokens"), 0.5, 10000).alias("mid"))
-        joined = sample.join(F.broadcast(mid), keys) if keys else sample.crossJoin(mid)
+        if keys:
+            placed = sample.join(F.broadcast(sample.groupBy(*keys).agg(median.alias("mid"))), keys)  # a row a language
+        else:
+            placed = sample.withColumn("mid", F.lit(sample.agg(median).first()[0]).cast("double"))
         top = [F.percentile_approx(m, QUANTILE, 10000).alias(f"q{k}") for k, m in enumerate(_measures(F.col("mid")))]
-        q = joined.groupBy(*keys).agg(F.first("mid").alias("mid"), F.count("*").alias("n"), *top)
+        q = placed.groupBy(*keys).agg(F.first("mid").alias("mid"), F.count("*").alias("n"), *top)
         return [(r, (r.mid, r.q0, r.q1, max(r.q2, LEAST_REPEAT))) for r in q.collect() if r.n]
 
     whole = grouped([])
