@@ -25,6 +25,7 @@ FEW = 24
 CACHE_BITS = 6
 CACHE_LEAST = 4  # a cache is used where it holds one in so many literals
 MIN_MATCH = 4
+ROW_STEP = 4  # the entropy under each transform is estimated on one row in so many
 MAX_MATCH = 4096
 _GREEN = 280 + (1 << CACHE_BITS)
 _NONE, _GREEN_OFF, _CROSS, _LEFT, _TOP = range(5)
@@ -103,28 +104,26 @@ def _bits_of(px: np.ndarray, image: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def _residuals(px: np.ndarray, first: np.ndarray, image: np.ndarray, width: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """The pixels under each transform, and the cross-colour elements of each image."""
-    place = np.arange(len(px)) - first[image]
-    left = np.zeros_like(px)
-    left[1:] = px[:-1]
-    above = np.zeros_like(px)
-    above[width:] = px[:-width]
-    at_left, at_top = place % width == 0, place < width
-    none = (place == 0)[:, None]
-    by_left = np.where(none, 0, np.where((at_left & ~at_top)[:, None], above, left))
-    by_top = np.where(none, 0, np.where(at_top[:, None], left, above))
-    green = px.copy()
-    green[:, 0] -= px[:, 1]
-    green[:, 2] -= px[:, 1]
-    signed = px.view(np.int8).astype(np.int64)
-    n = len(first)
-    spread = np.bincount(image, signed[:, 1] ** 2, n)
-    slope = [np.clip(np.round(32 * np.bincount(image, signed[:, 1] * signed[:, c], n) / np.maximum(spread, 1)), -128, 127).astype(np.int64) for c in (0, 2)]
-    cross = px.copy()
-    for c, s in zip((0, 2), slope):
-        cross[:, c] = px[:, c] - (signed[:, 1] * s[image] >> 5)
-    return {_NONE: px, _GREEN_OFF: green, _CROSS: cross, _LEFT: px - by_left, _TOP: px - by_top}, np.stack(slope, axis=1)
+def _residuals(px: np.ndarray, first: np.ndarray, image: np.ndarray, width: int, at: np.ndarray, slopes: np.ndarray | None = None) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """These pixels under each transform, and the cross-colour elements of each image, taken from them if not given."""
+    of, now = image[at], px[at]
+    place = at - first[of]
+    left, above = px[np.maximum(at - 1, 0)], px[np.maximum(at - width, 0)]
+    at_left, at_top, none = place % width == 0, place < width, (place == 0)[:, None]
+    by_left = np.where(none, np.uint8(0), np.where((at_left & ~at_top)[:, None], above, left))
+    by_top = np.where(none, np.uint8(0), np.where(at_top[:, None], left, above))
+    green = now.copy()
+    green[:, 0] -= now[:, 1]
+    green[:, 2] -= now[:, 1]
+    signed = now.view(np.int8).astype(np.int64)
+    if slopes is None:
+        n = len(first)
+        spread = np.maximum(np.bincount(of, signed[:, 1] ** 2, n), 1)
+        slopes = np.stack([np.clip(np.round(32 * np.bincount(of, signed[:, 1] * signed[:, c], n) / spread), -128, 127) for c in (0, 2)], axis=1).astype(np.int64)
+    cross = now.copy()
+    for c, s in zip((0, 2), slopes.T):
+        cross[:, c] = (now[:, c] - (signed[:, 1] * s[of] >> 5)) & 255
+    return {_NONE: now, _GREEN_OFF: green, _CROSS: cross, _LEFT: now - by_left, _TOP: now - by_top}, slopes
 
 
 def _undo(px: np.ndarray, kind: int, sub: np.ndarray | None, bits: int) -> np.ndarray:
@@ -205,14 +204,18 @@ def encode_many(payloads: list[np.ndarray], width: int) -> list[bytes]:
     sizes = np.array([len(p) // 3 for p in payloads])
     bound = np.concatenate([[0], np.cumsum(sizes)])
     px, image = np.concatenate(payloads).reshape(-1, 3), np.repeat(np.arange(n), sizes)
-    forms, slopes = _residuals(px, bound[:-1], image, width)
+    first = bound[:-1]
+    rows = (np.arange(len(px)) - first[image]) // width
+    some = np.flatnonzero(rows % ROW_STEP == 0)
+    forms, slopes = _residuals(px, first, image, width, some)
     # other than none must gain more than its header
-    cost = np.stack([_bits_of(forms[k], image, n) + (0 if k == _NONE else 120) for k in sorted(forms)])
+    cost = np.stack([_bits_of(forms[k], image[some], n) + (0 if k == _NONE else 120) for k in sorted(forms)])
     kind = cost.argmin(axis=0)
-    for k in range(1, len(forms)):
-        own = (kind == k)[image]
-        if own.any():
-            px = np.where(own[:, None], forms[k], px)
+    if kind.any():
+        own = np.flatnonzero((kind > 0)[image])
+        forms, _ = _residuals(px, first, image, width, own, slopes)
+        px = px.copy()
+        px[own] = np.choose(kind[image[own]][:, None], [forms[k] for k in sorted(forms)])
     alpha = np.where(kind >= _LEFT, 0, 255)
     argb = alpha[image] << 24 | px[:, 0].astype(np.int64) << 16 | px[:, 1].astype(np.int64) << 8 | px[:, 2]
     at, length, far = (np.array(x, np.int64) for x in _matches(argb, image, bound[1:][image]))
@@ -238,15 +241,16 @@ def encode_many(payloads: list[np.ndarray], width: int) -> list[bytes]:
     lengths = [complete_lengths(x) for x in (green, other, apart)]
     (gc, gn), (oc, on), (dc, dl) = (_codes(x) for x in lengths)
 
-    tokens = np.concatenate([plain, entry, at])
-    order = np.argsort(tokens, kind="stable")
-    none = lambda x: np.zeros(len(x), np.int64)
     ip, ie, im = image[plain], image[entry], image[at]
     g, r, b_ = px[plain, 1], px[plain, 0], px[plain, 2]
-    value = np.stack([np.concatenate(x) for x in ((gc[ip, g], gc[ie, 280 + index[entry]], gc[im, 256 + ls]), (oc[ip, r], none(entry), lx), (oc[ip, b_], none(entry), dc[im, ds]), (none(plain), none(entry), dx_))], axis=1)[order]
-    size = np.stack([np.concatenate(x) for x in ((gn[ip, g], gn[ie, 280 + index[entry]], gn[im, 256 + ls]), (on[ip, r], none(entry), ln), (on[ip, b_], none(entry), dl[im, ds]), (none(plain), none(entry), dn))], axis=1)[order]
-    of = np.repeat(image[tokens[order]], 4)
-    return _packed(_headers(kind, slopes, sizes, width, cached, lengths, alpha), value.ravel().astype(np.uint64), size.ravel(), of)
+    ng, nr, nb = gn[ip, g], on[ip, r], on[ip, b_]
+    nl = gn[im, 256 + ls]
+    # all of a literal, and a back-reference up to its distance symbol, are one field of at most 30 bits
+    value = np.concatenate([gc[ip, g] | oc[ip, r] << ng | oc[ip, b_] << ng + nr, gc[ie, 280 + index[entry]], gc[im, 256 + ls] | lx << nl | dc[im, ds] << nl + ln, dx_])
+    size = np.concatenate([ng + nr + nb, gn[ie, 280 + index[entry]], nl + ln + dl[im, ds], dn])
+    tokens = np.concatenate([2 * plain, 2 * entry, 2 * at, 2 * at + 1])
+    order = np.argsort(tokens, kind="stable")
+    return _packed(_headers(kind, slopes, sizes, width, cached, lengths, alpha), value[order].astype(np.uint64), size[order], image[tokens[order] >> 1])
 
 
 def _headers(kind: np.ndarray, slopes: np.ndarray, sizes: np.ndarray, width: int, cached: np.ndarray, lengths: list[np.ndarray], alpha: np.ndarray) -> list[vp8l._Writer]:
