@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, decontaminate, kneser_ney, langid, media, neardup, pii, sql, token_files, url_templates, warc_fixity
+from docloom.llm import bpe_tree, decontaminate, fim, kneser_ney, langid, media, merkle_manifest, neardup, pii, sql, token_files, url_templates, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_bpe_tree": bpe_tree.op9_bpe_tree,
         "op10_language_id": langid.op10_language_id,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
 
 
