@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe_tree, decontaminate, fim, kneser_ney, langid, media, merkle_manifest, neardup, pii, sql, token_files, url_templates, warc_fixity
+from docloom.llm import bpe_tree, decontaminate, fim, html_crf, kneser_ney, langid, media, merkle_manifest, neardup, pii, sql, token_files, url_templates, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_tree": bpe_tree.op9_bpe_tree,
         "op10_language_id": langid.op10_language_id,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_html_crf": html_crf.op12_html_crf,
         "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
 
