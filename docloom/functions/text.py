@@ -59,9 +59,11 @@ def snippet(c: Column | str, n: int = 240) -> Column:
     return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 3)), F.lit("...")))
 
 
-def slug(c: Column | str) -> Column:
-    made = F.regexp_replace(c if isinstance(c, Column) else F.col(c), r"[^A-Za-z0-9_.-]+", "-")
-    return F.regexp_replace(made, r"^-+|-+$", "")
+def slug(c: Column | str, fallback: str = "item") -> Column:
+    """Lower-case name of letters, digits, points, underscores and hyphens; the fallback where nothing is left."""
+    low = F.lower(F.regexp_replace(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    made = F.regexp_replace(F.regexp_replace(low, r"[^A-Za-z0-9_.-]+", "-"), r"^-+|-+$", "")
+    return F.when(made == "", fallback).otherwise(made)
 
 
 def word_count(c: Column | str) -> Column:

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of new replace those of old with equal keys; columns in ``keep`` retain the old value."""
-    a, b = old.alias("o"), new.alias("n")
+    """Rows of new replace those of old with equal keys; columns in ``keep`` retain the old value.  Null keys equal no others."""
+    a, b = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     on = None
     for k in keys:
-        same = F.col(f"o.{k}") == F.col(f"n.{k}")
+        same = F.col(f"o.`{k}`") == F.col(f"n.`{k}`")
         on = same if on is None else on & same
-    got = F.col(f"n.{keys[0]}").isNotNull()
+    has_old, has_new = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
     out = []
     for c in old.columns:
-        o = F.col(f"o.{c}")
-        n = F.col(f"n.{c}") if c in new.columns else o
-        out.append((F.coalesce(o, n) if c in keep or c in keys else F.when(got, n).otherwise(o)).alias(c))
+        o = F.col(f"o.`{c}`")
+        n = F.col(f"n.`{c}`") if c in new.columns else o
+        value = F.when(has_old, o).otherwise(n) if c in keys else F.coalesce(o, n) if c in keep else F.when(has_new, n).otherwise(o)
+        out.append(value.alias(c))
     return a.join(b, on, "full_outer").select(*out)
 
 

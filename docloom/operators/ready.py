@@ -6,10 +6,8 @@ tables, terms and relations are rows of their own tables, keyed by their section
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,62 +86,50 @@ def calculation_terms(secs: DataFrame) -> DataFrame:
     return rows.select(numbered("section_id", "term", "pos").alias("term_id"), "doc_id", "file_url", "title", "section_id", "heading_path", "term", F.lower("term").alias("normalized_term"), "context")
 
 
-def _cells(line: str) -> list[str]:
-    line = line.strip()
-    if "|" not in line:
-        return []
-    found = [c.strip() for c in line.removeprefix("|").removesuffix("|").split("|")]
-    return found if len(found) > 1 else []
+# Line ends as Python counts them; a line is marked c (cells), r (a rule of dashes) or nothing.
+_LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+_RULE = r"(?U)^\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)++$"
+_LINE = r"[^\n]*+\n"
+# A header and a rule without rows make no table; a header, a rule or not, and rows do.
+_TABLE = rf"(?md)^[cr]{_LINE}r{_LINE}(?!c)|^[cr]{_LINE}(?:r{_LINE})?(?:c{_LINE})++"
 
 
-def _ruled(cells: list[str]) -> bool:
-    return all(re.fullmatch(":?-{3,}:?", c) for c in cells)
+def table_blocks(text: Column) -> Column:
+    """The pipe tables of a text, each as its marked lines: a header, a rule or not, then rows up to a line without cells or a rule."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), _LINE_END), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    inner = F.transform(bare, lambda x: F.regexp_replace(x, r"^\||\|$", ""))
+    mark = lambda x: F.when(~x.contains("|"), "").when(x.rlike(_RULE), "r").otherwise("c")
+    lines = F.transform(inner, lambda x: F.concat(mark(x), F.when(x.contains("|"), x).otherwise(""), F.lit("\n")))
+    return F.filter(F.regexp_extract_all(F.array_join(lines, ""), F.lit(_TABLE), 0), lambda t: t.contains("\nc"))
 
 
-def unique_headers(names: list[str], width: int) -> list[str]:
+def _padded(cells: Column, width: Column) -> Column:
+    return F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells)))
+
+
+def unique_headers(names: Column) -> Column:
     """Blank names become column_N, repeated ones (whatever their case) get _2, _3 and so on."""
-    out, times = [], {}
-    for k, name in enumerate([*names, *[""] * (width - len(names))][:width]):
-        name = " ".join(name.split()) or f"column_{k + 1}"
-        n = times[name.lower()] = times.get(name.lower(), 0) + 1
-        out.append(name if n == 1 else f"{name}_{n}")
-    return out
-
-
-def pipe_tables(text: str) -> list[tuple[list[str], list[list[str]]]]:
-    """(headers, rows) of each pipe table: a header line, a rule or not, then rows up to a line without cells or a rule."""
-    grid = [_cells(x) for x in text.splitlines()]
-    tables, at = [], 0
-    while at + 1 < len(grid):
-        if not grid[at] or not grid[at + 1]:
-            at += 1
-            continue
-        first = stop = at + 1 + _ruled(grid[at + 1])
-        while stop < len(grid) and grid[stop] and not _ruled(grid[stop]):
-            stop += 1
-        rows = grid[first:stop]
-        if rows:
-            width = max(len(grid[at]), *map(len, rows))
-            tables.append((unique_headers(grid[at], width), [r + [""] * (width - len(r)) for r in rows]))
-        at = max(stop, at + 1)
-    return tables
+    flat = F.transform(names, lambda x, k: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    named = F.transform(flat, lambda x, k: F.when(x == "", F.concat(F.lit("column_"), (k + 1).cast("string"))).otherwise(x))
+
+    def numbered_name(x: Column, k: Column) -> Column:
+        n = F.size(F.filter(F.slice(named, F.lit(1), k + 1), lambda y: F.lower(y) == F.lower(x)))
+        return F.when(n == 1, x).otherwise(F.concat(x, F.lit("_"), n.cast("string")))
+
+    return F.transform(named, numbered_name)
 
 
 def structured_tables(secs: DataFrame) -> DataFrame:
     """One row a pipe table: headers, rows (a list of cells each) and all of it as text."""
     named = "doc_id", "file_url", "title", "section_id", "heading"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                for n, (headers, rows) in enumerate(pipe_tables(row.text or ""), 1):
-                    out.append((*row[:5], f"{row.section_id}#table-{n}", headers, rows, " ".join(" ".join(x) for x in (headers, *rows))))
-            yield pd.DataFrame(out, columns=[*named, "table_id", "headers", "rows", "text"])
-
-    rows = secs.select(*named, "text").filter(F.col("text").contains("|"))
-    kinds = dict(secs.dtypes)
-    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in named) + ", table_id string, headers array<string>, rows array<array<string>>, text string")
+    found = secs.filter(F.col("text").contains("|")).select(*named, F.posexplode(table_blocks(F.col("text"))).alias("pos", "block"))
+    cells = lambda line: F.transform(F.split(F.substring(line, F.lit(2), F.length(line)), r"\|"), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    lines = F.slice(F.split("block", "\n"), 1, F.size(F.split("block", "\n")) - 1)  # the last line ends the block
+    split = found.select(*named, "pos", cells(lines[0]).alias("head"), F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x.startswith("c")), cells).alias("body"))
+    width = split.withColumn("width", F.greatest(F.size("head"), F.array_max(F.transform("body", lambda r: F.size(r)))))
+    whole = width.select(*named, "pos", unique_headers(_padded(F.col("head"), F.col("width"))).alias("headers"), F.transform("body", lambda r: _padded(r, F.col("width"))).alias("rows"))
+    text = F.array_join(F.concat(F.array(F.array_join("headers", " ")), F.transform("rows", lambda r: F.array_join(r, " "))), " ")
+    return whole.select(*named, numbered("section_id", "table", "pos").alias("table_id"), "headers", "rows", text.alias("text"))
 
 
 def rows_text(rows: Column) -> Column:

@@ -1,9 +1,15 @@
-"""Keywords, summaries and categories of documents as Catalyst expressions and grouped ranks."""
+"""Keywords, summaries and categories of documents, each within its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from heapq import nsmallest
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions.text import sentences
 
@@ -15,46 +21,68 @@ _WORD = r"([a-z][a-z0-9-]*)"
 SPECIAL = r"\b(ifrs\s*17|covid[-\s]*19|solvency\s*ii)\b"
 
 
-def keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
-    """(doc_id, keywords): words of three characters or more and pairs of adjacent ones by score.
+_FOUND = re.compile(_WORD)
+
+
+def _ranked_terms(text: str, title: str, special: list[str], top_n: int) -> list[str]:
+    """The best terms of one document, by score, then by kind and first place."""
+    good = lambda w: len(w) >= 3 and w not in STOP
+    score: Counter[str] = Counter()
+    first: dict[str, tuple[int, int, str]] = {}
+    words, heads = _FOUND.findall(text), _FOUND.findall(title)
+    fine, fine_heads = list(map(good, words)), list(map(good, heads))
+    kinds = (
+        ([w for w, ok in zip(words, fine) if ok], {w for w, ok in zip(heads, fine_heads) if ok}, 3, 1),
+        ([f"{a} {b}" for a, b, x, y in zip(words, words[1:], fine, fine[1:]) if x and y], {f"{a} {b}" for a, b, x, y in zip(heads, heads[1:], fine_heads, fine_heads[1:]) if x and y}, 4, 1),
+        ([" ".join(x.split()) for x in special], set(), 0, 10),
+    )
+    for kind, (found, in_title, bonus, each) in enumerate(kinds):
+        for place, (term, n) in enumerate(Counter(found).items()):  # in the order of first occurrence
+            score[term] += each * n + (bonus if term in in_title else 0)
+            first.setdefault(term, (kind, place, term))
+    return nsmallest(top_n, score, key=lambda t: (-score[t], first[t]))
+
+
+def ranked_terms(text: Column, title: Column, special: Column, top_n: int) -> Column:
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array, titles: pa.Array, specials: pa.Array) -> pa.Array:
+        rows = zip(texts, titles, specials)
+        return pa.array((_ranked_terms(a.as_py() or "", b.as_py() or "", c.as_py() or [], top_n) for a, b, c in rows), pa.list_(pa.string()))
+
+    return run(text, title, special)
+
 
-    A word scores its count, plus 3 if the title (the first line) has it; a pair its count,
-    plus 4 if the title has it; special names 10 for each time, in title or text.  Ties go to
-    words before pairs before special names, then to the first to occur.  Texts move once, by
-    id; words are counted, scored and ranked where they are.
+def keyword_column(text: Column, title: Column, top_n: int = 8) -> Column:
+    """Words of three characters or more and pairs of adjacent ones by score, for one row's text.
+
+    A word scores its count, plus 3 if the title has it; a pair its count, plus 4 if the
+    title has it; special names 10 for each time, in title or text.  Ties go to words before
+    pairs before special names, then to the first to occur.  A null text has none.
     """
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    low = lambda c: F.regexp_replace(F.lower(c), "[–—]", "-")
-    base = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 1).alias("ws"), F.regexp_extract_all(F.lower(title), F.lit(_WORD), 1).alias("ts"), F.regexp_extract_all(low(F.concat_ws("\n", title, "text")), F.lit(SPECIAL), 1).alias("xs"))
-    good = lambda c: (F.length(c) >= 3) & ~c.isin(*STOP)
-    item = lambda kind, term, pos, n, in_title: F.struct(F.lit(kind).alias("kind"), term.alias("term"), pos.alias("pos"), F.lit(n).alias("n"), F.lit(in_title).alias("t"))
-
-    def words(c: str, n: int, t: int) -> Column:
-        return F.filter(F.transform(c, lambda x, i: item(0, x, i, n, t)), lambda x: good(x["term"]))
-
-    def pairs(c: str, n: int, t: int) -> Column:
-        both = F.arrays_zip(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))).alias("a"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))).alias("b"))
-        placed = F.filter(F.transform(both, lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i"))), lambda x: good(x["a"]) & good(x["b"]))
-        return F.transform(placed, lambda x: item(1, F.concat_ws(" ", x["a"], x["b"]), x["i"], n, t))
-
-    special = F.transform("xs", lambda x, i: item(2, F.regexp_replace(x, r"\s+", " "), i, 1, 0))
-    found = base.select("doc_id", F.explode(F.concat(words("ws", 1, 0), words("ts", 0, 1), pairs("ws", 1, 0), pairs("ts", 0, 1), special)).alias("x"))
-    sums = found.groupBy("doc_id", "x.kind", "x.term").agg(F.sum("x.n").alias("n"), F.max("x.t").alias("t"), F.min(F.when(F.col("x.n") > 0, F.col("x.pos"))).alias("pos")).filter("n > 0")
-    score = F.when(F.col("kind") == 2, 10 * F.col("n")).otherwise(F.col("n") + F.col("t") * (3 + F.col("kind")))
-    # a special name that is a word or pair as well adds to its score
-    merged = sums.groupBy("doc_id", "term").agg(F.sum(score).alias("score"), F.min(F.struct("kind", "pos")).alias("first"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "first", "term"))), 1, top_n)
-    listed = merged.groupBy("doc_id").agg(F.transform(ranked, lambda x: x["term"]).alias("keywords"))
-    return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    low = F.regexp_replace(F.lower(F.concat_ws("\n", title, text)), "[–—]", "-")
+    return ranked_terms(F.lower(text), F.lower(title), F.regexp_extract_all(low, F.lit(SPECIAL), 1), top_n)
+
+
+def first_line(text: Column | str) -> Column:
+    return F.split_part(text if isinstance(text, Column) else F.col(text), F.lit("\n"), F.lit(1))
+
+
+def keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
+    """(doc_id, keywords) of each row by ``keyword_column``, with the first line as title; nothing moves."""
+    return docs.select("doc_id", keyword_column(F.col("text"), first_line("text"), top_n).alias("keywords"))
+
+
+def summary_column(text: Column, terms: Column, max_sentences: int = 4) -> Column:
+    """The sentences with most of the terms, in rank order."""
+    low = F.transform(terms, lambda t: F.lower(t))
+    hits = lambda s: F.size(F.filter(low, lambda t: F.contains(F.lower(s), t)))
+    ranked = F.slice(F.array_sort(F.transform(sentences(text), lambda s, i: F.struct((-hits(s)).alias("hits"), i.alias("pos"), s.alias("sentence")))), 1, max_sentences)
+    return F.coalesce(F.array_join(F.transform(ranked, lambda x: x["sentence"]), " "), F.lit(""))
 
 
 def summarize(docs: DataFrame, terms: Column, max_sentences: int = 4) -> DataFrame:
-    """(doc_id, summary): the sentences with most of the terms, in rank order."""
-    s = docs.select("doc_id", terms.alias("terms"), F.posexplode(sentences("text")).alias("pos", "sentence"))
-    hits = F.size(F.filter("terms", lambda t: F.lower("sentence").contains(F.lower(t))))
-    ranked = s.withColumn("hits", hits).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "pos"))).filter(F.col("rn") <= max_sentences)
-    joined = ranked.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-    return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    """(doc_id, summary) of each row."""
+    return docs.select("doc_id", summary_column(F.col("text"), terms, max_sentences).alias("summary"))
 
 
 def category_score(text: Column, terms: tuple[str, ...]) -> Column:

@@ -352,7 +352,7 @@ def _snippets(spark, d):
     return b.raw(spark, d, "documents").select("doc_id", tx.snippet("text").alias("snippet"))
 
 
-@query("str06_slugs", r"SELECT id, regexp_replace(regexp_replace(title, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM files")
+@query("str06_slugs", r"SELECT id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT id, regexp_replace(regexp_replace(lower(trim(coalesce(title, ''))), '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM files)")
 def _slugs(spark, d):
     return b.files(spark, d).select("id", tx.slug("title").alias("slug"))
 
