@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules that register queries of their own."""
-    from docloom.plans import more_queries, ready_queries  # noqa: F401
+    from docloom.plans import catalog_queries, more_queries, ready_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -389,7 +389,9 @@ _SPECIAL = r"\b(ifrs\s*17|covid[-\s]*19|solvency\s*ii)\b"
 _GOOD = "length({0}) >= 3 AND {0} NOT IN (" + ", ".join(f"'{w}'" for w in textpipe.STOP) + ")"
 
 
-@query("txt01_keywords", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9-]*') AS w, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z][a-z0-9-]*') AS h, regexp_extract_all(lower(split_part(text, chr(10), 1) || chr(10) || text), '{_SPECIAL}') AS x FROM documents),
+def keywords_sql(rows: str) -> str:
+    """(doc_id, keywords) of rows (doc_id, text, title)."""
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9-]*') AS w, regexp_extract_all(lower(title), '[a-z][a-z0-9-]*') AS h, regexp_extract_all(lower(title || chr(10) || text), '{_SPECIAL}') AS x FROM {rows}),
  p AS (SELECT doc_id, 0 AS kind, unnest(w) AS term, unnest(range(len(w))) AS pos, 1 AS n, 0 AS t FROM t UNION ALL SELECT doc_id, 0, unnest(h), 0, 0, 1 FROM t
   UNION ALL SELECT doc_id, 1, CASE WHEN {_GOOD.format('w[i]')} AND {_GOOD.format('w[i + 1]')} THEN w[i] || ' ' || w[i + 1] END, i, 1, 0 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)
   UNION ALL SELECT doc_id, 1, CASE WHEN {_GOOD.format('h[i]')} AND {_GOOD.format('h[i + 1]')} THEN h[i] || ' ' || h[i + 1] END, 0, 0, 1 FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS i FROM t)
@@ -397,7 +399,10 @@ _GOOD = "length({0}) >= 3 AND {0} NOT IN (" + ", ".join(f"'{w}'" for w in textpi
  s AS (SELECT doc_id, kind, term, sum(n) AS n, max(t) AS t, min(pos) FILTER (n > 0) AS pos FROM p WHERE term IS NOT NULL AND (kind > 0 OR {_GOOD.format('term')}) GROUP BY doc_id, kind, term HAVING sum(n) > 0),
  m AS (SELECT doc_id, term, sum(CASE kind WHEN 2 THEN 10 * n ELSE n + t * (3 + kind) END) AS score, min(kind * 10000000 + pos) AS first FROM s GROUP BY doc_id, term),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, term) AS rn FROM m)
- SELECT d.doc_id, coalesce(k, CAST([] AS VARCHAR[])) AS keywords FROM documents d LEFT JOIN (SELECT doc_id, list(term ORDER BY rn) AS k FROM r WHERE rn <= 8 GROUP BY doc_id) USING (doc_id)""")
+ SELECT d.doc_id, coalesce(k, CAST([] AS VARCHAR[])) AS keywords FROM {rows} d LEFT JOIN (SELECT doc_id, list(term ORDER BY rn) AS k FROM r WHERE rn <= 8 GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("txt01_keywords", keywords_sql("(SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents)"))
 def _kw(spark, d):
     return textpipe.keywords(b.raw(spark, d, "documents"))
 

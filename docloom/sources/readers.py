@@ -40,12 +40,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where Spark itself is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows written to the shared folder and read back: worked out once, whoever reads them."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def confined(root: str, name: str) -> str:
     """A path below root; names that leave it are refused."""
     path = posixpath.normpath(posixpath.join(root, name))
