@@ -11,14 +11,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
-_SCHEMA = "doc_id long, chunk_index int, content string, token_count int, section_hierarchy string"
+CHARS_A_TOKEN = 4
 
 
 def token_count(text: str) -> int:
     """A quarter of the characters, at least one for any text."""
-    return max(1, len(text) // 4) if text else 0
+    return max(1, len(text) // CHARS_A_TOKEN) if text else 0
 
 
 def _sections(text: str) -> list[tuple[str, str]]:
@@ -81,12 +82,22 @@ def chunk(text: str, most: int = 800, least: int = 100) -> list[tuple[str, str]]
     return out
 
 
-def chunk_documents(docs: DataFrame, most: int = 800, least: int = 100) -> DataFrame:
-    """One row a chunk; docs has doc_id and text.  No text is lost: a small last section joins the chunk before."""
+def chunk_documents(docs: DataFrame, most: int = 800, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a chunk of each text.  No text is lost: a small last section joins the chunk before."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, c, token_count(c), path) for d, t in zip(frame["doc_id"], frame["text"]) for i, (path, c) in enumerate(chunk(t or "", most, least))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content", "token_count", "section_hierarchy"])
+            rows = [(d, i, c, token_count(c), path) for d, t in zip(frame[id_col], frame[text_col]) for i, (path, c) in enumerate(chunk(t or "", most, least))]
+            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content", "token_count", "section_hierarchy"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, _SCHEMA)
+    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_index int, content string, token_count int, section_hierarchy string")
+
+
+def fixed_windows(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a window of ``size`` tokens, each but the first beginning ``overlap`` tokens before the end of the one before."""
+    step = CHARS_A_TOKEN * (size - overlap)
+    rows = docs.select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), F.greatest(F.length(text_col), F.lit(1)) - 1, F.lit(step))).alias("chunk_index", "start"))
+    cut = rows.select(id_col, "chunk_index", F.substr(text_col, F.col("start") + 1, F.lit(CHARS_A_TOKEN * size)).alias("content"))
+    tokens = F.when(F.length("content") > 0, F.greatest(F.lit(1), F.floor(F.length("content") / CHARS_A_TOKEN))).otherwise(0).cast("int")
+    return cut.select(id_col, "chunk_index", "content", tokens.alias("token_count"), F.lit("").alias("section_hierarchy"))
