@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules that register queries of their own."""
-    from docloom.plans import answer_queries, catalog_queries, derived_queries, more_queries, ready_queries  # noqa: F401
+    from docloom.plans import answer_queries, catalog_queries, derived_queries, folder_queries, more_queries, ready_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
