@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The named entities that are decoded, in an order that leaves &amp; for the end.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -59,6 +63,16 @@ def unescape(c: Column) -> Column:
     return c
 
 
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if (t := x.as_py()) is None else html.unescape(t) if "&" in t else t for x in texts], pa.string())
+
+
+def unescape_all(c: Column) -> Column:
+    """All named and numbered references of the HTML standard decoded once, with or without their semicolon."""
+    return _decoded(c)
+
+
 def file_name(c: Column, most: int = 120) -> Column:
     """A name without separators and control characters, at most so long, never empty."""
     made = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|\x00-\x1F]+', "_"), r"^[ .]+|[ .]+$", "")

@@ -72,11 +72,16 @@ def keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
     return docs.select("doc_id", keyword_column(F.col("text"), first_line("text"), top_n).alias("keywords"))
 
 
-def summary_column(text: Column, terms: Column, max_sentences: int = 4) -> Column:
-    """The sentences with most of the terms, in rank order."""
+def ranked_sentences(text: Column, terms: Column) -> Column:
+    """Sentences as struct(hits, pos, sentence), those with most of the terms first; equal ones stay in their order."""
     low = F.transform(terms, lambda t: F.lower(t))
     hits = lambda s: F.size(F.filter(low, lambda t: F.contains(F.lower(s), t)))
-    ranked = F.slice(F.array_sort(F.transform(sentences(text), lambda s, i: F.struct((-hits(s)).alias("hits"), i.alias("pos"), s.alias("sentence")))), 1, max_sentences)
+    return F.array_sort(F.transform(sentences(text), lambda s, i: F.struct((-hits(s)).alias("less"), i.alias("pos"), s.alias("sentence"))))
+
+
+def summary_column(text: Column, terms: Column, max_sentences: int = 4) -> Column:
+    """The sentences with most of the terms, in rank order."""
+    ranked = F.slice(ranked_sentences(text, terms), 1, max_sentences)
     return F.coalesce(F.array_join(F.transform(ranked, lambda x: x["sentence"]), " "), F.lit(""))
 
 

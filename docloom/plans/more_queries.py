@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import cleaning, evidence, listing, merge, stats, textpipe, vectors
+from docloom.operators import cleaning, evidence, listing, merge, serving, stats, textpipe, vectors
 from docloom.plans import bindings as b
 from docloom.plans.registry import _D2, _query_vector, query
 from docloom.sources import readers
@@ -323,8 +323,7 @@ def _dimensions(spark, d):
 @query("vec09_least_of_each", f"SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_D2}, vec_id) AS rn FROM embeddings) WHERE rn <= 2")
 def _least(spark, d):
     v = vectors.scored(b.raw(spark, d, "embeddings"), _query_vector(spark, d))
-    near = v.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, 2).alias("x"))
-    return near.select("label", F.explode("x").alias("x")).select("label", "x.vec_id")
+    return serving.nearest_of_each(v, "label", 2, "distance", "vec_id").select("label", "vec_id")
 
 
 @query("mat04_txt18_word_overlap", "SELECT x.doc_id, round(len(list_distinct(list_intersect(a, b))) / len(list_distinct(list_concat(a, b))), 6) AS jaccard, round(len(list_distinct(list_intersect(a, b))) / len(list_distinct(a)), 6) AS contained FROM (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS a, string_split_regex(lower(substring(text, 1, 200)), '\\s+') AS b FROM documents) x")

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules that register queries of their own."""
-    from docloom.plans import answer_queries, catalog_queries, derived_queries, folder_queries, more_queries, ready_queries  # noqa: F401
+    from docloom.plans import answer_queries, catalog_queries, derived_queries, folder_queries, more_queries, ready_queries, rule_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -207,11 +207,11 @@ def _selectable(spark, d):
     return free.join(sets, free["url"] == sets["file_url"]).select("id", "chunk_set_id")
 
 
-@query("joi14_merge_summaries", "SELECT coalesce(a.file_url, z.file_url) AS file_url, coalesce(nullif(z.s, ''), a.s) AS summary FROM (SELECT file_url, summary AS s FROM catalog WHERE cid % 2 = 0) a FULL OUTER JOIN (SELECT file_url, CASE WHEN cid % 10 = 0 THEN '' ELSE 'n' || summary END AS s FROM catalog WHERE cid % 5 = 0) z ON a.file_url = z.file_url")
+@query("joi14_merge_summaries", "SELECT coalesce(a.file_url, z.file_url) AS file_url, coalesce(nullif(z.s, ''), a.s) AS summary FROM (SELECT file_url, summary AS s FROM catalog WHERE cid % 2 = 0) a FULL OUTER JOIN (SELECT file_url, CASE WHEN cid % 10 = 0 THEN '' ELSE 'n' || summary END AS s FROM catalog WHERE cid % 5 = 0 OR cid % 2 = 1) z ON a.file_url = z.file_url")
 def _merge_summaries(spark, d):
     c = b.catalog(spark, d)
     a = c.filter("cid % 2 = 0").select("file_url", F.col("summary").alias("a"))
-    z = c.filter("cid % 5 = 0").select("file_url", F.when(F.col("cid") % 10 == 0, "").otherwise(F.concat(F.lit("n"), "summary")).alias("z"))
+    z = c.filter("cid % 5 = 0 OR cid % 2 = 1").select("file_url", F.when(F.col("cid") % 10 == 0, "").otherwise(F.concat(F.lit("n"), "summary")).alias("z"))
     return a.join(z, "file_url", "full_outer").select("file_url", F.coalesce(F.nullif("z", F.lit("")), "a").alias("summary"))
 
 
@@ -486,17 +486,17 @@ def _rollup(spark, d):
 # --- merges and state -------------------------------------------------------------------
 
 
-@query("dml01_upsert_files", "SELECT coalesce(o.id, n.id) AS id, coalesce(o.first_seen, n.first_seen) AS first_seen, CASE WHEN n.id IS NOT NULL THEN n.bytes ELSE o.bytes END AS bytes FROM (SELECT id, first_seen, bytes FROM files WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, last_seen AS first_seen, bytes * 2 AS bytes FROM files WHERE id % 2 = 0) n ON o.id = n.id")
+@query("dml01_upsert_files", "SELECT coalesce(o.id, n.id) AS id, coalesce(o.first_seen, n.first_seen) AS first_seen, CASE WHEN n.id IS NOT NULL THEN n.bytes ELSE o.bytes END AS bytes FROM (SELECT id, first_seen, bytes FROM files WHERE id % 3 <> 0) o FULL OUTER JOIN (SELECT id, last_seen AS first_seen, bytes * 2 AS bytes FROM files WHERE id % 2 = 0 OR id % 3 = 0) n ON o.id = n.id")
 def _upsert(spark, d):
     f = b.files(spark, d)
-    new = f.filter("id % 2 = 0").select("id", F.col("last_seen").alias("first_seen"), (F.col("bytes") * 2).alias("bytes"))
+    new = f.filter("id % 2 = 0 OR id % 3 = 0").select("id", F.col("last_seen").alias("first_seen"), (F.col("bytes") * 2).alias("bytes"))
     return merge.upsert(f.filter("id % 3 <> 0").select("id", "first_seen", "bytes"), new, ["id"], keep=("first_seen",))
 
 
-@query("dml02_insert_new", "SELECT id, bytes FROM files WHERE id % 3 <> 0 UNION ALL SELECT id, bytes + 1 FROM files WHERE id % 2 = 0 AND id % 3 = 0")
+@query("dml02_insert_new", "SELECT id, bytes FROM files WHERE id % 3 <> 0 UNION ALL SELECT id, bytes + 1 FROM files WHERE id % 3 = 0")
 def _insert(spark, d):
     f = b.files(spark, d).select("id", "bytes")
-    return merge.insert_new(f.filter("id % 3 <> 0"), f.filter("id % 2 = 0").withColumn("bytes", F.col("bytes") + 1), ["id"])
+    return merge.insert_new(f.filter("id % 3 <> 0"), f.filter("id % 2 = 0 OR id % 3 = 0").withColumn("bytes", F.col("bytes") + 1), ["id"])
 
 
 @query("dml06_soft_delete", "SELECT id, CASE WHEN source_site = 'src1' THEN TIMESTAMP '2024-02-01' ELSE deleted_at END AS deleted_at FROM files")
@@ -657,10 +657,10 @@ def _word_pairs(spark, d):
     return rows.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-@query("dml03_upsert_catalog", "SELECT coalesce(o.file_url, n.file_url) AS file_url, CASE WHEN n.file_url IS NOT NULL THEN 'ok' ELSE o.status END AS status, o.summary FROM (SELECT * FROM catalog WHERE cid % 4 <> 0) o FULL OUTER JOIN (SELECT * FROM catalog WHERE cid % 6 = 0) n ON o.file_url = n.file_url")
+@query("dml03_upsert_catalog", "SELECT coalesce(o.file_url, n.file_url) AS file_url, CASE WHEN n.file_url IS NOT NULL THEN 'ok' ELSE o.status END AS status, o.summary FROM (SELECT * FROM catalog WHERE cid % 4 <> 0) o FULL OUTER JOIN (SELECT * FROM catalog WHERE cid % 6 = 0 OR cid % 4 = 0) n ON o.file_url = n.file_url")
 def _upsert_catalog(spark, d):
     c = b.catalog(spark, d).select("cid", "file_url", "status", "summary")
-    new = c.filter("cid % 6 = 0").select("file_url", F.lit("ok").alias("status"))
+    new = c.filter("cid % 6 = 0 OR cid % 4 = 0").select("file_url", F.lit("ok").alias("status"))
     return merge.upsert(c.filter("cid % 4 <> 0").drop("cid"), new, ["file_url"])
 
 
@@ -676,10 +676,10 @@ def _replace_chunks(spark, d):
     return merge.delete_rows(sets, new.select("chunk_set_id"), ["chunk_set_id"]).unionByName(new)
 
 
-@query("dml15_set06_membership", "SELECT kb_id, count(*) AS n FROM (SELECT kb_id, file_url FROM kb_files WHERE fid % 2 = 0 UNION SELECT lang, url FROM files WHERE id % 3 = 0) GROUP BY kb_id")
+@query("dml15_set06_membership", "SELECT kb_id, count(*) AS n FROM (SELECT kb_id, file_url FROM kb_files WHERE fid % 2 = 0 UNION SELECT lang, url FROM files WHERE id % 3 = 0 OR id % 2 = 1) GROUP BY kb_id")
 def _membership(spark, d):
     old = b.kb_files(spark, d).filter("fid % 2 = 0").select("kb_id", "file_url")
-    new = b.files(spark, d).filter("id % 3 = 0").select(F.col("lang").alias("kb_id"), F.col("url").alias("file_url"))
+    new = b.files(spark, d).filter("id % 3 = 0 OR id % 2 = 1").select(F.col("lang").alias("kb_id"), F.col("url").alias("file_url"))
     return merge.insert_new(old, new, ["kb_id", "file_url"]).groupBy("kb_id").agg(F.count("*").alias("n"))
 
 

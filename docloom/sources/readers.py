@@ -91,7 +91,12 @@ def page_title(html: Column | str) -> Column:
 
 def sitemap_urls(spark: SparkSession, path: str) -> DataFrame:
     """All <loc> values of sitemap files."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.expr("xpath(value, '//*[local-name()=\"loc\"]/text()')")).alias("url"))
+    return spark.read.text(path, wholetext=True).select(F.explode(locations("value")).alias("url"))
+
+
+def locations(xml: str) -> Column:
+    """The <loc> values of a sitemap's text, without white space around them; broken XML is an error."""
+    return F.filter(F.transform(F.expr(f"xpath({xml}, '//*[local-name()=\"loc\"]/text()')"), lambda u: F.trim(u)), lambda u: u != "")
 
 
 def unseen(found: DataFrame, known: DataFrame) -> DataFrame:

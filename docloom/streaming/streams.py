@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,16 @@ from pyspark.sql import functions as F
 SEVERITY = {"none": 0, "soft": 1, "hard": 2}
 
 
+_RULE = re.compile(r"\s*([0-9]+)\s*(?:req(?:uest)?s?)?\s*(?:/|per)\s*(second|minute|hour|day)s?\s*", re.IGNORECASE)
+_SECONDS = {"second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0}
+
+
+def parse_rules(text: str | None) -> list[tuple[int, float]]:
+    """(count, seconds) of each rule in a text such as "200 per hour, 50/minute"; parts that are no rules, and counts of 0, are left out."""
+    found = [_RULE.fullmatch(part) for part in (text or "").split(",")]
+    return [(int(m[1]), _SECONDS[m[2].lower()]) for m in found if m and int(m[1]) > 0]
+
+
 def weekly(rows: DataFrame, ts: str = "first_seen") -> DataFrame:
     """Rows a week from Monday, half-open; works on batch and streaming frames."""
     w = F.window(ts, "7 days", "7 days", "4 days")

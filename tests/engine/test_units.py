@@ -32,7 +32,7 @@ def test_tokens_and_scores(spark):
 
 def test_snippet_and_slug(spark):
     assert one(spark, "a  b\nc", tx.snippet("c")) == "a b c" and one(spark, "x" * 300, tx.snippet("c")) == "x" * 237 + "..."
-    assert one(spark, "  Art. 5 / §x ", tx.slug("c")) == "Art.-5-x"
+    assert one(spark, "  Art. 5 / §x ", tx.slug("c")) == "art.-5-x"
 
 
 def test_chunks_follow_headings_and_lose_nothing():
