@@ -2,7 +2,8 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits),
 social security numbers, IBANs, long hexadecimal secrets, quoted secrets behind a word such
-as ``token =``, names behind a title, and listed first names before another name.
+as ``token =``, names behind a title, and listed first names before another name.  Not
+detected: IPv6 addresses, dates of birth, and other names without a title.
 
 A surrogate comes from a keyed Feistel permutation over the entity's own format: digits,
 upper-case and lower-case letters of a script and hexadecimal digits turn into symbols of
@@ -12,12 +13,17 @@ never maps two entities to one, and one entity always has one surrogate, in ever
 The key is the caller's: who has it can undo the replacement, so it is kept apart from the
 data (``key_of`` takes it from ``spark.docloom.pii.key``).
 
-Names and addresses are mapped by parts, each with its own surrogate: first name, surname,
-mailbox and domain.  So ``John Smith`` and ``Dr Smith``, or two mailboxes of a domain, stay
-together.  Listed first names are permuted within the list of their gender; others keep
-their last letter, which often tells it; titles stay.  Card numbers keep the validity of
-their check digit, IBANs their country and the validity of their check digits, IP addresses
-stay IP addresses.
+Names and addresses are mapped by parts, each with its own surrogate: first names, initials,
+surname, mailbox and domain.  So ``John Smith`` and ``Dr Smith``, or two mailboxes of a
+domain, stay together.  A name has all words with a capital behind its title, up to six, with
+initials, apostrophes and particles such as ``von``; where a script has no capitals, up to
+four words, as nothing tells where the name ends.  The last word is the surname; particles
+and titles stay.  Names in capitals have the surrogates that they have otherwise.  A word
+that stands alone is a surname, unless it is listed as a first name, or the corpus has it as a
+first name and not as a surname.  Listed first names are permuted within the list of their
+gender; others keep their last letter, which often tells it.  Card numbers keep the validity
+of their check digit, IBANs their country and the validity of their check digits, telephone
+numbers their country or the 0 before an area code, IP addresses stay IP addresses.
 
 Collision check: a surrogate must not be real.  Whole entities, surnames and domains are
 joined with their surrogates; those that hit a real one, or that another one has too, try
@@ -61,13 +67,40 @@ EXCEPTION_ROWS = 100_000
 ROUNDS = 8
 MAX_TRIES = 32
 SAME_LENGTH_DRAWS = 8
+UNCHECKED = ("first", "local", "initial")
+ROLES = ("lone", "given", "last")
 
 FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Helen", "Ines", "Irene", "Julia", "Laura", "Lucia", "Marie", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Teresa", "Vera")
 MALE = ("Adam", "Albert", "Anton", "Bruno", "Carlos", "Daniel", "David", "Eric", "Felix", "Frank", "Hugo", "Ivan", "James", "John", "Jorge", "Karl", "Leo", "Louis", "Mark", "Martin", "Oscar", "Paul", "Peter", "Thomas")
 _TITLES = r"Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Doña|Don"
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x1E000)) if unicodedata.category(c) in ("Mn", "Mc"))
 _LETTERS = rf"(?:[^\W\d_]|[{_MARKS}])+"
-_NAME = rf"[^\W\d_a-z]{_LETTERS}(?:[-'’]{_LETTERS})?"
+
+
+def _ranges(chars: list[str]) -> str:
+    """A character class of these characters, in order."""
+    out, at = [], 0
+    while at < len(chars):
+        end = at
+        while end + 1 < len(chars) and ord(chars[end + 1]) == ord(chars[end]) + 1:
+            end += 1
+        out.append(chars[at] if end == at else f"{chars[at]}-{chars[end]}")
+        at = end + 1
+    return "".join(out)
+
+
+_ALPHA = [c for c in map(chr, range(0x41, 0x20000)) if c.isalpha()]
+_UPPER = _ranges([c for c in _ALPHA if c.isupper() or c.istitle()])
+_CASELESS = _ranges([c for c in _ALPHA if unicodedata.category(c) == "Lo"])
+# Words that stand within names and are kept as they are.
+PARTICLES = tuple("von van vom der den de del della di da do dos das du la le zu zur zum ter ten bin ibn bint al el ben y e af av".split())
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) )"
+_INITIAL = rf"[{_UPPER}]\.(?:-?[{_UPPER}]\.)*|[{_UPPER}](?= {_PARTICLE}*[{_UPPER}])"
+_FULL = rf"[{_UPPER}][{_MARKS}]*['’]?{_LETTERS}(?:-{_LETTERS}|['’](?!s(?!\w)){_LETTERS})*"
+#: words that begin with a capital, with initials and particles; or up to four words of a script without capitals
+_CASED = rf"(?:{_PARTICLE})*(?:(?:{_INITIAL}) )*(?:{_PARTICLE})*{_FULL}(?: (?:{_PARTICLE})*(?:{_FULL}|{_INITIAL})){{0,5}}"
+_UNCASED = rf"[{_CASELESS}]{_LETTERS}(?:[-'’]{_LETTERS})?(?: [{_CASELESS}]{_LETTERS}(?:[-'’]{_LETTERS})?){{0,3}}"
+_NAME = rf"(?:{_CASED}|{_UNCASED})"
 
 _PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("secret", "=:", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']")),
@@ -77,13 +110,16 @@ _PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("ip", "0123456789", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")),
     ("ssn", "0123456789", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", "0123456789", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
-    ("phone", "0123456789", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,14}(?!\w)")),
-    ("name", "", re.compile(rf"\b(?:{_TITLES})\b\.? ({_NAME}(?: {_NAME})?)")),
-    ("name", "", re.compile(rf"\b((?:{'|'.join(FEMALE + MALE)}) {_NAME})")),
+    ("phone", "0123456789", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,14}(?!\w)|(?<![\w.])0\d{2,4}[ /]\d{6,8}(?!\w|\.\d)")),
+    ("name", "", re.compile(rf"\b(?:{_TITLES}|{_TITLES.upper()})\b\.? ({_NAME})")),
+    ("name", "", re.compile(rf"\b((?:{'|'.join(FEMALE + MALE)})(?: (?:{_PARTICLE})*(?:{_INITIAL}))*(?: (?:{_PARTICLE})*{_FULL}){{1,3}})")),
 )
-_FEMALE_TITLE = re.compile(r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña)\b\.? $")
-_MALE_TITLE = re.compile(r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Don)\b\.? $")
+_FEMALE_TITLE = re.compile(r"(?i:\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña))\b\.? $")
+_MALE_TITLE = re.compile(r"(?i:\b(?:Mr|Herr|Monsieur|Señor|Sr|Don))\b\.? $")
+# Country codes of telephone numbers (all others have three digits), and the 0 before an area code.
+_COUNTRY = re.compile(r"0(?=\d{2,4}[ /]\d{6,8}$)|\+(?:\d{1,3}(?=[ .(-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 _ANY = re.compile("[0-9@=:]")
+_LISTED = frozenset(FEMALE + MALE)
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -133,7 +169,8 @@ def _other_alphabets() -> dict[str, tuple[str, int]]:
     groups: dict[tuple, list[str]] = defaultdict(list)
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
         if (c.isalpha() or c.isdecimal()) and c not in _OF:
-            groups[unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0], ord(c) >> 8].append(c)
+            paired = c.swapcase().swapcase() == c  # letters whose other case is one letter, and goes back
+            groups[unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0], ord(c) >> 8, paired].append(c)
     # digits have alphabets of exactly ten, in order
     alone = [c for g in groups.values() if len(g) < 2 for c in g]
     tens = [g[i : i + 10] for k, g in groups.items() if k[0] == "Nd" for i in range(0, len(g), 10)]
@@ -250,23 +287,65 @@ def family(kind: str) -> str:
     return "name" if kind.startswith("name") else kind
 
 
+def _upper(text: str) -> str:
+    return "".join("ẞ" if c == "ß" else u if len(u := c.upper()) == 1 else c for c in text)
+
+
+def _told(word: str) -> str:
+    """A name in capitals as it is written otherwise, so that both have one surrogate; other words as they are."""
+    if len(word) > 1 and word.isupper():
+        low = re.sub(_LETTERS, lambda m: m[0][0] + m[0].lower()[1:], word)
+        return low if _upper(low) == word else word
+    return word
+
+
+def _words(entity: str) -> list[tuple[str | None, str]]:
+    """(kind, word) of the words of a name: the last full one is the surname, those before are first names; particles have no kind."""
+    words = entity.split(" ")
+    whole = [i for i, w in enumerate(words) if w not in PARTICLES and not w.endswith(".") and len(w) > 1] or [len(words) - 1]
+    out: list[tuple[str | None, str]] = []
+    for i, w in enumerate(words):
+        if w in PARTICLES:
+            out.append((None, w))
+        elif i == whole[-1]:
+            alone = all(k is None for k, _ in out) and i == len(words) - 1
+            out.append(("first" if alone and _told(w) in _LISTED else "lone" if alone else "surname", w))
+        else:
+            out.append(("first" if i in whole else "initial", w))
+    return out
+
+
 def parts_of(kind: str, entity: str) -> list[tuple[str, str]]:
-    """The parts of an entity that are replaced by themselves, with the kind of each."""
+    """The parts of an entity that are replaced by themselves, with the kind of each; a name of one word is a surname."""
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         return [("local", local), ("domain", domain.rpartition(".")[0])]
     if kind.startswith("name"):
-        first, _, last = entity.partition(" ")
-        return [("first", first), ("surname", last)] if last else [("surname", first)]
+        return [("surname" if k == "lone" else k, _told(w)) for k, w in _words(entity) if k]
     return [(kind, entity)]
 
 
+def roles_of(kind: str, entity: str) -> list[tuple[str, str]]:
+    """(lone, given or last; name) of a name's words: what tells the first names of a corpus."""
+    if not kind.startswith("name"):
+        return []
+    roles = {"lone": "lone", "first": "given", "surname": "last"}
+    return [(roles[k], _told(w)) for k, w in _words(entity) if k in roles]
+
+
 def composed(kind: str, entity: str, replace: Callable[[str, str], str]) -> str:
-    """The entity with its parts replaced."""
-    new = [replace(k, x) for k, x in parts_of(kind, entity)]
+    """The entity with its parts replaced; a name of one word is asked for as ``lone``."""
     if kind == "email":
+        new = [replace(k, x) for k, x in parts_of(kind, entity)]
         return f"{new[0]}@{new[1]}.{entity.rpartition('.')[2]}"
-    return " ".join(new)
+    if kind.startswith("name"):
+        out = []
+        for k, w in _words(entity):
+            told = _told(w)
+            new = replace(k, told) if k else w
+            out.append(new if told == w else _upper(new))
+        return " ".join(out)
+    return replace(kind, entity)
 
 
 def part_surrogate(kind: str, part: str, key: bytes) -> str:
@@ -282,7 +361,9 @@ def part_surrogate(kind: str, part: str, key: bytes) -> str:
         return _permute(part, key, "hex", True)
     if kind == "first":
         return _first_name(part, key)
-    if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", part)):
+    if kind == "lone":
+        return part_surrogate("surname", part, key)
+    if kind == "phone" and (country := _COUNTRY.match(part)):
         return country[0] + _permute(part[country.end() :], key, country[0])
     return _permute(part, key, kind)
 
@@ -339,7 +420,7 @@ def drawn(kind: str, entity: str, turn: int, key: bytes) -> str:
         new = draw.like("".join(body[:-1]), late)
         digits = iter(new + str((_luhn(new) + off) % 10))
         return "".join(next(digits) if c.isdigit() else c for c in entity) + "".join(digits)
-    if kind == "phone" and (country := re.match(r"\+\d{1,3}(?=[ .(-])", entity)):
+    if kind == "phone" and (country := _COUNTRY.match(entity)):
         return country[0] + draw.like(entity[country.end() :], late)
     return draw.like(entity, late)
 
@@ -356,14 +437,14 @@ def key_of(spark: SparkSession) -> bytes:
 
 
 def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row_key, kind, entity) of each part that must not become real, once a row; row_key is the text's hash."""
+    """(row_key, kind, entity) of each part that must not become real, and of the roles of names, once a row; row_key is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, kinds, found = [], [], []
             for k, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py()
-                for e in {x for a, b, kind in detect(text or "") for x in parts_of(kind, text[a:b]) if x[0] not in ("first", "local")}:
+                for e in {x for a, b, kind in detect(text or "") for x in (*parts_of(kind, text[a:b]), *roles_of(kind, text[a:b])) if x[0] not in UNCHECKED}:
                     keys.append(k.as_py())
                     kinds.append(e[0])
                     found.append(e[1])
@@ -372,6 +453,19 @@ def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, "row_key long, kind string, entity string")
 
 
+def lone_first_names(mentions: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate) of names that stand alone and are first names of the corpus, and no surnames of it."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [part_surrogate("first", x, key) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+    names = lambda kind: mentions.filter(F.col("kind") == kind).select("entity").distinct()
+    alone = names("lone").join(names("given"), "entity", "left_semi").join(names("last"), "entity", "left_anti")
+    return alone.select(F.lit("lone").alias("kind"), "entity").mapInArrow(step, "kind string, entity string, surrogate string")
+
+
 def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, surrogate) of the parts whose first surrogate is real or another's too.
 
@@ -391,7 +485,7 @@ def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
 
         return rows.select("kind", "entity").mapInArrow(step, schema)
 
-    known = written(mentions.select("kind", "entity").distinct(), "entities")
+    known = written(mentions.filter(~F.col("kind").isin(*ROLES)).select("kind", "entity").distinct(), "entities")
     first = written(tried(known, 0), "surrogates")
     real = known.select("kind", F.col("entity").alias("surrogate"))
     taken = real.union(first.select("kind", "surrogate"))
@@ -425,7 +519,7 @@ def _rewrite(rows: DataFrame, key: bytes, given: object | None) -> DataFrame:
                 own = common if walks[i] is None else {(w["kind"], w["entity"]): w["surrogate"] for w in walks[i]}
                 out, last, mine, size = [], 0, [], 0
                 for a, b, kind in detect(text or ""):
-                    new = composed(kind, text[a:b], lambda k, x: own.get((k, x)) or part_surrogate(k, x, key))  # noqa: B023
+                    new = composed(kind, text[a:b], lambda k, x: own.get((k, x)) or (own.get(("surname", x)) if k == "lone" else None) or part_surrogate(k, x, key))  # noqa: B023
                     out += [text[last:a], new]
                     size += a - last
                     mine.append({"kind": kind, "start": size, "end": size + len(new)})
@@ -444,7 +538,7 @@ def _rewrite(rows: DataFrame, key: bytes, given: object | None) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", exception_rows: int = EXCEPTION_ROWS) -> DataFrame:
     """The rows of docs with surrogates in the text, and pii_n and pii_spans."""
     mentions = written(mentions_of(docs, text_col), "mentions")
-    walked = written(exceptions(mentions, key), "exceptions")
+    walked = written(exceptions(mentions, key).union(lone_first_names(mentions, key)), "exceptions")
     names = [c for c in docs.columns if c.lower() not in ("pii_n", "pii_spans")]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(text_col).alias("text"))
     none = F.lit(None).cast("array<struct<kind: string, entity: string, surrogate: string>>")

@@ -204,3 +204,71 @@ def test_brute_force_on_scripts_and_forms(spark, make_docs):
         assert len(old) == len(new) or "." in old
         assert all((x.isalpha(), x.isdigit(), x.isupper()) == (y.isalpha(), y.isdigit(), y.isupper()) for x, y in zip(old, new)) or "." in old
     assert rows[len(texts) - 3].text is None and rows[len(texts) - 1].text == rows[0].text
+
+
+# given names, surname: words of seven scripts, none of which the operator lists
+PEOPLE = [
+    (["Ronald", "Reuel"], "Tolkienson"), (["Maximilian", "Konrad"], "Grünwald"), (["Пётр", "Иванович"], "Сидоров"), (["Γιώργος", "Νίκος"], "Παπαδόπουλος"), (["Արմեն", "Տիգրան"], "Պետրոսյան"),
+    (["محمود", "حسن"], "الكرمي"), (["राजेश", "कुमार"], "वर्मा"), (["יוסף", "דוד"], "אברהמי"), (["Jean-Luc", "Henri"], "D'Aubigné"), (["Łucja", "Zofia"], "Kowalska-Żak"),
+]
+
+
+def test_no_part_of_a_name_stays(spark, make_docs):
+    """Names of one to four words, with initials, particles and in capitals: words are looked for as plain text, not by the patterns."""
+    texts, where = [], []
+    for given, last in PEOPLE:
+        cased = last[0].isupper()
+        forms = [[last], [*given, last], [given[0], last], [*given, given[0], last]]
+        if cased:
+            forms += [[given[0][0] + ".", last], [given[0], given[1][0] + ".", last], [given[0], "von", "der", last], ["de", "la", last], [x.upper() for x in (*given, last)], [given[0][0], last]]
+        for form in forms:
+            for title in ("Dr", "Mrs.", "Señor", "PROF") if cased else ("Dr", "Frau"):
+                where.append((last, form))
+                texts.append(f"§{len(texts)} so {title} {' '.join(form)}, 5 of 7 said")
+        where.append((given[0], [given[0]]))
+        texts.append(f"§{len(texts)} so Dr {given[0]}, 5 of 7 said")
+    texts.append("Mrs Smith's dog and Frau Anna, not Mme Dupont était élue")
+    rows = {r.doc_id: r.text for r in pii.with_surrogates(make_docs(texts), KEY).collect()}
+    words = {w for given, last in PEOPLE for w in (*given, last)}
+    words |= {w.upper() for w in words}
+    surname, first = {}, {}
+    for i, (last, form) in enumerate(where):
+        head, tail = rows[i].split(" so ")[0], rows[i].split(", ", 1)[1]
+        assert (head, tail) == (f"§{i}", "5 of 7 said")
+        new = rows[i].split(" so ")[1].split(", 5")[0].split(" ")[1:]
+        assert len(new) == len(form), (texts[i], rows[i])
+        for old, now in zip(form, new):
+            if old in pii.PARTICLES:
+                assert old == now
+            elif not old.endswith(".") and len(old) > 1:
+                assert now not in words and old != now, (texts[i], rows[i])
+                assert [c.isalpha() for c in old] == [c.isalpha() for c in now] and old.isupper() == now.isupper()
+            else:
+                assert len(old) == len(now) and now.endswith(".") == old.endswith(".")
+        told = new[-1]
+        if form[-1] == last and form == [last] and any(last == given[0] for given, _ in PEOPLE):
+            first.setdefault(last, set()).add(told)
+        else:
+            surname.setdefault(last, set()).add(told.upper())
+            if len(form) == 2 and len(form[0]) > 2 and form[0] not in pii.PARTICLES:
+                first.setdefault(form[0], set()).add(new[0])
+    assert all(len(x) == 1 for x in surname.values()) and len({min(x) for x in surname.values()}) == len(PEOPLE)
+    # a first name that stands alone has the surrogate that it has in whole names
+    assert len(first) == len(PEOPLE) and all(len(x) == 1 for x in first.values())
+    end = rows[len(where)]
+    assert "Smith" not in end and "'s dog" in end and "Anna" not in end and "Dupont" not in end and end.endswith("était élue")
+
+
+def test_phones_keep_their_country():
+    for old, kept in (("+491701234567", "+49"), ("+15551234567", "+1"), ("+358401234567", "+358"), ("+79161234567", "+7"), ("030 1234567", "0"), ("0171/12345678", "0")):
+        assert [k for _, _, k in pii.detect(f"call {old}.")] == ["phone"]
+        new = pii.surrogate("phone", old, KEY)
+        assert new.startswith(kept) and new != old and pattern(new) == pattern(old)
+
+
+def test_ties_between_finds():
+    """Overlapping finds go to the earlier pattern, one place to one entity."""
+    for text in ('token = "abc@corp.com123"', "Dr 4111 1111 1111 1111", "Mr Anna Smith", "a@10.0.0.1.com 10.0.0.1"):
+        found = pii.detect(text)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+    assert [k for _, _, k in pii.detect('token = "abcd@corp.com"')] == ["secret"]
