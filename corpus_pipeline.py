@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe_tree, decontaminate, kneser_ney, neardup, pii
-from docloom.llm.tables import table, written
+from docloom.llm.tables import table, whole_row, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates in place of personal data; n_chars follows the new text."""
-    rows = docs.select("text", F.col("n_chars").alias("old_size"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    rows = docs.select("text", F.col("n_chars").alias("old_size"), whole_row(docs, ("text",)).alias("row"))
     new = pii.with_surrogates(rows, pii.key_of(spark))
     size = F.when(F.col("pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("old_size"))
     own = {"text": F.col("text"), "n_chars": size}
-    return new.select(*[(own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return new.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

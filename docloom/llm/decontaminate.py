@@ -5,10 +5,13 @@ is kept, the rightmost of equal ones; neighbouring windows mostly keep the same
 a third of the k-grams remain as fingerprints, each with its place.  Equal windows keep the
 same k-gram, so every span of ten or more shared words meets in at least one fingerprint.
 Training fingerprints are first held against a Bloom filter of the benchmark's, sized by their
-number, then joined with them.  A meeting is verified on the words of the k-gram and extended
-to the left and right over equal words, as far as a window that holds the k-gram can reach; it
-is a hit if it comes to ``window`` words.  The hit words of a document are the union of these
-ranges.  Items shorter than a window are one fingerprint of their own length.
+number.  What passes is extended to the left and right, on both sides, to the windows that hold
+its k-gram, and joined on the fingerprint and the words of the whole window: that verifies and
+extends at once, and as a benchmark window is a row however often it recurs, a place of a
+document meets one row at most, also where one word is repeated without end.  The hit words of
+a document are the union of its windows, given as ranges; which items they name is looked up
+once for each document and window.  Items shorter than a window are one fingerprint of their
+own length.
 
 Nulls and texts without words have no windows: n_words 0, n_hit 0.  Items without words or
 without an id never match; repeated items and rows are harmless and give one result row for
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
-from docloom.llm.tables import table
+from docloom.llm.tables import quoted, table, whole_row, written
 
 WINDOW = 10
 KGRAM = 5
@@ -143,11 +146,34 @@ def candidate_prints(docs: DataFrame, bloom: np.ndarray | None, short: list[int]
     return docs.select("doc_id", "text", "copy_key").mapInArrow(run, f"doc_id long, copy_key long, {_PRINT}")
 
 
-def _equal_words(a: str, b: str) -> Column:
-    """How many words of the two lists agree from their beginning on."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+def _extended(prints: DataFrame, window: int, k: int) -> DataFrame:
+    """Each fingerprint extended to the windows that hold its k-gram: (..., fp, len, first, words), the place and the words of each.
+
+    A window is the words of the k-gram, some to the left and the rest to the right, as far
+    as the text has them; an item shorter than a window is its own.
+    """
+    more = window - k
+    shift = F.explode(F.when(F.col("len") == window, F.sequence(F.greatest(F.lit(0), more - F.size("right")), F.least(F.lit(more), F.size("left")))).otherwise(F.array(F.lit(0))))
+    # a sequence runs down where its end is below its start: those windows don't fit
+    fits = (F.col("len") != window) | (F.size("left") + F.size("right") >= more)
+    at = prints.filter(fits).withColumn("shift", shift)
+    before = F.reverse(F.slice("left", F.lit(1), F.col("shift")))
+    behind = F.when(F.col("len") == window, F.slice("right", F.lit(1), more - F.col("shift"))).otherwise(F.array().cast("array<string>"))
+    words = F.array_join(F.concat(before, F.array("gram"), behind), " ")
+    return at.select(*[c for c in prints.columns if c not in ("pos", "gram", "left", "right")], (F.col("pos") - F.col("shift")).alias("first"), words.alias("words"))
+
+
+def _merged_ranges(hits: Column) -> Column:
+    """Ranges (first, size) that cover the same words as these, in order and apart."""
+    start = F.array().cast("array<struct<first: int, size: int>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        end, own = last["first"] + last["size"], x["first"] + x["size"]
+        joined = F.struct(last["first"].alias("first"), (F.greatest(end, own) - last["first"]).alias("size"))
+        return F.when(F.coalesce(x["first"] <= end, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(hits), start, add)
 
 
 def text_key(text: Column) -> Column:
@@ -160,36 +186,38 @@ def hit_ranges(docs: DataFrame, items: DataFrame, item_col: str = "item_id", ite
     keys = bench.select("fp", "len").distinct()
     bloom = benchmark_filter(keys, most_bits)
     short = [r[0] for r in keys.filter(F.col("len") < window).select("len").distinct().orderBy("len").collect()]  # at most window - 1
-    other = bench.select("item_id", "fp", "len", *[F.col(c).alias(f"b_{c}") for c in ("gram", "left", "right")])
-    met = candidate_prints(docs, bloom, short, window, k).join(other, ["fp", "len"]).filter("gram = b_gram")
-    whole = F.col("len") == window
-    before, behind = (F.when(whole, _equal_words(c, f"b_{c}")).otherwise(0) for c in ("left", "right"))
-    n = F.when(whole, F.lit(k)).otherwise(F.col("len"))
-    spans = met.select("doc_id", "copy_key", "item_id", "len", (F.col("pos") - before).alias("first"), (n + before + behind).alias("size")).filter(F.col("size") >= F.col("len"))
-    return spans.groupBy("doc_id", "copy_key").agg(F.collect_set(F.struct("first", "size")).alias("hits"), F.collect_set("item_id").alias("items"))
+    # windows are told apart once, however often they recur on either side
+    of_item = written(_extended(bench, window, k).select("fp", "len", "words", "item_id").distinct(), "benchmark-windows")
+    windows = of_item.select("fp", "len", "words").distinct()
+    met = written(_extended(candidate_prints(docs, bloom, short, window, k), window, k).join(windows, ["fp", "len", "words"]).distinct(), "met-windows")
+    ranges = met.groupBy("doc_id", "copy_key").agg(F.collect_set(F.struct(F.col("first"), F.col("len").alias("size"))).alias("hits"))
+    found = met.select("doc_id", "copy_key", "fp", "len", "words").distinct().join(of_item, ["fp", "len", "words"])
+    names = found.groupBy("doc_id", "copy_key").agg(F.collect_set("item_id").alias("items")).select(F.col("doc_id").alias("d"), F.col("copy_key").alias("c"), "items")
+    both = ranges.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy_key") == F.col("c")))
+    return both.select("doc_id", "copy_key", "items", _merged_ranges(F.col("hits")).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """One row a document: doc_id, text_hash (xxhash64), n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("copy_key"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), text_key(quoted(text_col)).alias("copy_key"))
     found = hit_ranges(rows, items, **options).select(F.col("doc_id").alias("hit_id"), F.col("copy_key").alias("hit_key"), "items", "hits")
     all_ = rows.select("doc_id", "copy_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     both = all_.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("copy_key") == F.col("hit_key")), "left")
-    covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["first"], x["first"] + x["size"] - 1)))
+    covered = F.aggregate("hits", F.lit(0), lambda n, x: n + x["size"])
     none = F.array().cast("array<string>")
     return both.select(
         "doc_id",
         F.col("copy_key").alias("text_hash"),
         "n_words",
-        F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort("items"), none).alias("items"),
-        F.coalesce(F.array_sort("hits"), F.array().cast("array<struct<first: int, size: int>>")).alias("hits"),
+        F.coalesce("hits", F.array().cast("array<struct<first: int, size: int>>")).alias("hits"),
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with an item; columns as they are, null ids included."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("copy_key"))
+    rows = docs.select(whole_row(docs).alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), text_key(quoted(text_col)).alias("copy_key"))
     dirty = hit_ranges(rows, items).select(F.col("doc_id").alias("hit_id"), F.col("copy_key").alias("hit_key"))
     return rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("copy_key") == F.col("hit_key")), "left_anti").select("row.*")
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import textbatch as tb
-from docloom.llm.tables import bounded_broadcast, crc32_of_id, table, written
+from docloom.llm.tables import bounded_broadcast, crc32_of_id, quoted, table, written
 
 ORDER = 5
 BROADCAST_ENTRIES = 16_000_000
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, float, int], text_col: str =
 
 def _scored_rows(docs: DataFrame, labels: DataFrame, broadcast_entries: int) -> DataFrame:
     """Rows (row, text, lang, and the four results); row holds the other columns, so a text goes through Python once."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang")]
+    others = [quoted(c) for c in docs.columns if c not in ("text", "lang")]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), "text", "lang", F.col("doc_id").alias("id"))
     sure = (F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
     good = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("good_id")).agg(sure.alias("sure")).filter("sure").select("good_id")
@@ -364,7 +364,7 @@ def _scored_rows(docs: DataFrame, labels: DataFrame, broadcast_entries: int) ->
 
 
 def _own_columns(docs: DataFrame, leave_out: tuple[str, ...] = ()) -> list[Column]:
-    return [F.col(c) if c in ("text", "lang") else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in leave_out]
+    return [F.col(c) if c in ("text", "lang") else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in leave_out]
 
 
 def judged(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:

@@ -15,8 +15,8 @@ Result, one row per input row: doc_id, class_id (least doc_id of the class), n_l
 (other distinct texts with similarity of at least the threshold), n_copies (rows with
 exactly this text).
 
-Texts are nodes under a 64-bit hash of their SHA-256; a seed without any collision is
-looked for first, so no text is ever lost to one.  Null texts count as empty; texts without
+Texts are nodes under a 64-bit hash of their SHA-256; the few whose hash another text has
+get another number, so no text is ever lost to one.  Null texts count as empty; texts without
 words link to nothing but their exact copies.  Repeated rows are copies of one another.  A
 null doc_id never represents a class that has another id.  Ties (equal least ids) go to the
 least text hash.  Texts may have any length; all their shingles count.  An empty table gives
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textbatch as tb
 from docloom.llm.components import components
-from docloom.llm.tables import table, written
+from docloom.llm.tables import quoted, table, whole_row, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -199,38 +200,51 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "comp long, node long, blocks long, grams array<long>")
 
 
-def _node_of(texts: DataFrame) -> Column:
-    """A 64-bit hash of text_key under the first seed that gives every row one of its own."""
-    for seed in range(16):
-        node = F.xxhash64("text_key", F.lit(seed))
-        if texts.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            return node
-    raise RuntimeError("no seed without collisions")
+def numbered(texts: DataFrame, key: str = "text_key", bits: int = 64) -> DataFrame:
+    """Adds ``node``, a 64-bit number of its own for each row: a hash, and another one for the few whose hash an earlier key has.
+
+    ``bits`` narrows the first hash, for tests.
+    """
+    first = F.xxhash64(key) if bits == 64 else F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    hashed = texts.withColumn("node", first)
+    shared = written(hashed.groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared-nodes")
+    left = written(hashed.join(shared, "node").filter(F.col(key) != F.col("first")).select(key), "renumbered")
+    done = left.select(key, F.lit(0).cast("long").alias("own")).limit(0)
+    for turn in count(1):
+        if left.isEmpty():
+            break
+        tried = left.select(key, F.xxhash64(key, F.lit(turn)).alias("own"))
+        free = tried.join(hashed.select(F.col("node").alias("own")), "own", "left_anti").join(done.select("own"), "own", "left_anti")
+        now = written(free.groupBy("own").agg(F.min(key).alias(key)).select(key, "own"), "renumbered")
+        done = done.union(now)
+        left = written(left.join(now, key, "left_anti"), "renumbered")
+    return hashed.join(done, key, "left").withColumn("node", F.coalesce("own", "node")).drop("own")
 
 
 def _text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key) of each row, and (text_key, rep, root, n_links, n_copies) of each distinct text."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    keyed = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
     sigs = written(signatures(keyed, bands, rows, size), "minhash")
-    reps = written(sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
-    # a text's representative may be named by several rows: node ids are per text, not per doc_id
-    one = sigs.join(reps, (sigs["text_key"] == reps["text_key"]) & sigs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").dropDuplicates(["text_key"])
-    node = _node_of(reps)
-    banded = one.select(node.alias("node"), F.posexplode("bands").alias("band", "hash"))
+    plain = written(sigs.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
+    reps = written(numbered(plain), "nodes")
+    # a text's representative may be named by several rows: nodes are per text, not per doc_id
+    own = reps.select("node", "rep", F.col("text_key").alias("k"))
+    one = sigs.join(own, (sigs["text_key"] == own["k"]) & sigs["doc_id"].eqNullSafe(own["rep"])).select("node", "bands").dropDuplicates(["node"])
+    banded = one.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = banded.join(buckets, ["band", "hash"]).filter("node <> centre").select("node", "centre").distinct()
     candidates = components(stars).withColumnRenamed("root", "comp")
     sized = candidates.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
     members = candidates.join(sized, "comp")
-    of_text = reps.select(node.alias("node"), "rep", "text_key").join(members, "node")
+    of_text = reps.select("node", "rep", "text_key").join(members, "node")
     texts = keyed.join(of_text.withColumnRenamed("text_key", "k"), keyed["doc_id"].eqNullSafe(of_text["rep"]) & (keyed["text_key"] == F.col("k")))
     texts = texts.select("comp", "node", "blocks", "text").dropDuplicates(["node"])
     links = written(verified_links(shingle_sets(texts, size), threshold, block), "links")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(links.select("node", "root"))
-    nodes = reps.select("text_key", "rep", "n_copies", node.alias("node")).join(counts, "node", "left").join(classes, "node", "left")
+    nodes = reps.join(counts, "node", "left").join(classes, "node", "left")
     return sigs.select("doc_id", "text_key"), nodes.select("text_key", "rep", F.coalesce("root", "node").alias("root"), "n_links", "n_copies")
 
 
@@ -252,10 +266,11 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     _, nodes = _text_nodes(docs, id_col=id_col, text_col=text_col, **options)
     first = nodes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("kept"))
     kept = first.select(F.col("kept.rep").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
-    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    keyed = docs.select(F.col(id_col).cast("long").alias("own_id"), key.alias("own_key"), F.struct(*docs.columns).alias("row"))
+    key = F.unhex(F.sha2(F.coalesce(quoted(text_col), F.lit("")), 256))
+    others = F.to_json(F.struct(F.lit(0).alias("_"), quoted(text_col).isNull().alias("none"), whole_row(docs, (text_col,)).alias("row"))) if len(docs.columns) > 1 else F.lit("")
+    keyed = docs.select(quoted(id_col).cast("long").alias("own_id"), key.alias("own_key"), whole_row(docs).alias("row"), others.alias("order"))
     named = keyed.join(kept, (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return named.groupBy("own_key").agg(F.min("row").alias("row")).select("row.*")
+    return named.groupBy("own_key").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

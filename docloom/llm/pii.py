@@ -59,7 +59,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.tables import table, written
+from docloom.llm.tables import quoted, table, written
 
 KEY_CONF = "spark.docloom.pii.key"
 _OPEN_KEY = b"no key was set: these surrogates are for tests only"
@@ -450,7 +450,7 @@ def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     found.append(e[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["row_key", "kind", "entity"])
 
-    return docs.select(F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, "row_key long, kind string, entity string")
+    return docs.select(F.xxhash64(quoted(text_col)).alias("row_key"), quoted(text_col).alias("text")).mapInArrow(run, "row_key long, kind string, entity string")
 
 
 def lone_first_names(mentions: DataFrame, key: bytes) -> DataFrame:
@@ -540,7 +540,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", excepti
     mentions = written(mentions_of(docs, text_col), "mentions")
     walked = written(exceptions(mentions, key).union(lone_first_names(mentions, key)), "exceptions")
     names = [c for c in docs.columns if c.lower() not in ("pii_n", "pii_spans")]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[quoted(c) for c in names if c != text_col]).alias("row"), quoted(text_col).alias("text"))
     none = F.lit(None).cast("array<struct<kind: string, entity: string, surrogate: string>>")
     if walked.limit(exception_rows + 1).count() <= exception_rows:
         given = {(r.kind, r.entity): r.surrogate for r in walked.collect()}
@@ -548,7 +548,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", excepti
     else:
         per_row = mentions.join(walked, ["kind", "entity"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("walks"))
         out = _rewrite(rows.join(per_row, F.xxhash64("text") == F.col("row_key"), "left").select("row", "text", "walks"), key, None)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], "pii_n", "pii_spans")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names], "pii_n", "pii_spans")
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

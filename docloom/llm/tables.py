@@ -42,6 +42,16 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns as one struct."""
+    return F.struct(*[quoted(c) for c in df.columns if c not in but])
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """Hint a broadcast only if the frame was counted to have at most ``rows`` rows; else leave the join to Catalyst."""
     n = df.limit(rows + 1).count()

@@ -4,8 +4,10 @@
    and bad ones.
 2. Level by level, under each (host, template so far), a segment turns into a wildcard of
    its shape (``{num}``, ``{hex}``, ``{word}``) if it looks generated or if its parent has
-   more than ``MAX_CHILDREN`` values of which it holds less than ``MIN_SHARE``.  All levels
-   are read; paths that have ended take no part in further ones.
+   more than ``MAX_CHILDREN`` values of which it holds less than ``MIN_SHARE``.  Paths that
+   have ended take no part in further levels.  Of paths with more than ``MAX_LEVELS``
+   segments, as crawler traps have, the last levels are one wildcard, ``{tail}``, so the
+   number of jobs does not follow the deepest url.
 3. Branches that differ in one literal segment only are compared, each with the others taken
    together, by a test of two shares of bad labels; those within ``Z_SAME`` standard errors
    merge to ``{any}``.  Branches without labels merge along if no labelled one stays apart.
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 
 from docloom.llm.tables import table, written
 
+MAX_LEVELS = 20
 MAX_CHILDREN = 20
 MIN_SHARE = 0.05
 Z_SAME = 1.96
 PRIOR_WEIGHT = 5.0
 REJECT = 0.5
+TAIL = "{tail}"
 _SPLIT = r"^(?s)(.*?)://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,14 +83,17 @@ def _shape(seg: Column) -> Column:
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template) of distinct urls; ``urls`` has host, path, n, good, bad."""
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
+    # a segment that is written like a wildcard is none
+    segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"^\{", "%7B"))
+    deep = F.size("segs") > MAX_LEVELS
     now = urls.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template"))
+    now = now.withColumn("segs", F.when(deep, F.concat(F.slice("segs", 1, MAX_LEVELS - 1), F.array(F.lit(TAIL)))).otherwise(F.col("segs")))
     deepest = now.agg(F.max(F.size("segs"))).first()[0] or 0
     ended = now.filter(F.size("segs") == 0)
     for d in range(deepest):
         now = now.filter(F.size("segs") > d)
         seg = F.get("segs", F.lit(d))
-        looks_made = _shape(seg).rlike(r"^\{(num|hex)\}")
+        looks_made = _shape(seg).rlike(r"^\{(num|hex)\}") & (seg != TAIL)
         now = now.withColumn("seg", F.when(looks_made, _shape(seg)).otherwise(seg))
         children = now.groupBy("host", "template", "seg").agg(F.sum("n").alias("n_seg"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n_seg").alias("n_all"))

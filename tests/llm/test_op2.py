@@ -37,7 +37,8 @@ def brute(pages, labels):
     for p, h, x in rows:
         if p in bad:
             marks[h, x][bad[p]] += 1
-    segs = {k: [s for s in k[1].split("/") if s] for k in n}
+    segs = {k: ["%7B" + s[1:] if s.startswith("{") else s for s in k[1].split("/") if s] for k in n}
+    segs = {k: s if len(s) <= u.MAX_LEVELS else [*s[: u.MAX_LEVELS - 1], u.TAIL] for k, s in segs.items()}
     tpl = {k: "" for k in n}
     for d in range(max([0, *map(len, segs.values())])):
         seg = {k: (shape(s[d]) if re.match(r"\{(num|hex)\}", shape(s[d])) else s[d]) for k, s in segs.items() if len(s) > d}
@@ -135,3 +136,18 @@ def test_branches_below_the_first_segment_merge(spark):
     got = u.judged(df, spark.createDataFrame([(i, x.startswith("http://s")) for i, x in pages], "page_id long, is_bad boolean"), ()).collect()
     assert {(r.template, r.verdict) for r in got if r.host == "s.org"} == {("/shop/{any}/{num}", "block"), ("/{num}/{any}/{num}", "block")}
     assert {r.verdict for r in got if r.host == "t.org"} == {"allow"}
+
+
+def test_deep_urls_cost_no_more_levels(spark):
+    """A trap of a thousand segments: the last levels are one wildcard, and no row is lost."""
+    import time
+
+    urls = [f"http://t.org/a/{'/'.join('x' + str(j) for j in range(k))}" for k in (1, 5, 18, 19, 20, 40, 1000)] + ["http://t.org/{any}/{num}", "http://t.org/{any}/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(5, True), (6, True), (0, False)], "page_id long, is_bad boolean")
+    began = time.time()
+    got = {r.page_id: r for r in u.judged(pages, labels).collect()}
+    assert time.time() - began < 240 and set(got) == set(range(len(urls)))
+    assert got[5].template == got[6].template and got[5].template.endswith("/" + u.TAIL) and got[4].template != got[3].template
+    assert got[2].template.endswith("/x17") and not got[7].template.startswith("/{")
+    assert rows_of(u.judged(pages, labels)) == brute(list(enumerate(urls)), [(5, True), (6, True), (0, False)])

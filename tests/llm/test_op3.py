@@ -101,3 +101,38 @@ def test_winnowing_keeps_few_and_meets_every_shared_window():
     assert all(((kept >= i) & (kept <= i + d.WINDOW - d.KGRAM)).any() for i in range(len(h) - d.WINDOW + 1))
     part = d._kept(h[1000:1400], np.zeros(400, np.int64), d.WINDOW, d.KGRAM) + 1000
     assert set(part.tolist()) <= set(kept.tolist())
+
+
+def test_repeated_words_stay_cheap(spark, make_docs):
+    """Items and documents of one word, or of a short phrase, over and over: every window recurs on both sides."""
+    import time
+
+    texts = ["w " * 2000] * 150 + ["x y " * 500] * 20 + ["w " * 9 + "end", "w " * 10, "z " + "x y " * 5, "plain words of no item at all"]
+    items = [(i, "w " * (50 + i)) for i in range(40)] + [(100 + i, "y x " * (20 + i)) for i in range(20)] + [(200, "z " + "x y " * 20)]
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r.items), r.hits) for r in d.decontaminate(make_docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - began < 60
+    few = [0, 149, 150, *range(170, 174)]
+    want = brute([(i, texts[i]) for i in few], items)
+    assert {i: got[i][:3] for i in few} == {i: w[:3] for i, w in want.items()}
+    assert all(got[i][:3] == got[0][:3] for i in range(150)) and got[0][3] == [(0, 2000)]
+
+
+def test_ranges_against_places(spark, make_docs):
+    """Ranges of hits are apart, in order, and cover the words that brute force finds."""
+    import random
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("a b c".split(), k=rng.randrange(60))) for _ in range(80)]
+    items = [(i, " ".join(rng.choices("a b c".split(), k=rng.randrange(25)))) for i in range(30)]
+    want = brute(list(enumerate(texts)), items)
+    for r in d.decontaminate(make_docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert (r.n_words, r.n_hit, len(r.items)) == want[r.doc_id][:3]
+        assert all(x.first + x.size < y.first for x, y in zip(r.hits, r.hits[1:])) and sum(x.size for x in r.hits) == r.n_hit
+
+
+def test_any_column_names_and_types(spark, make_docs):
+    docs = make_docs([" ".join(f"w{i}" for i in range(20)), "clean text", None]).withColumn("a.b", F.lit(1)).withColumn("back`quote", F.create_map(F.lit("k"), "doc_id"))
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 16)))], "item_id long, text string")
+    kept = d.clean_documents(docs.union(docs), items)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["a.b"], r["back`quote"]["k"]) for r in kept.collect()) == [(1, 1, 1)] * 2 + [(2, 1, 2)] * 2

@@ -113,8 +113,17 @@ def test_clashing_names_long_texts_and_ties(spark, make_docs):
     assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(0, 15), (0, len(long_)), (2, 9), (3, 0)]
 
 
-def test_node_seeds_avoid_collisions(spark, monkeypatch):
-    texts = spark.createDataFrame([(bytes([k]),) for k in range(50)], "text_key binary")
-    real = F.xxhash64
-    monkeypatch.setattr(n.F, "xxhash64", lambda c, seed: F.when(seed == 0, F.lit(1).cast("long")).otherwise(real(c, seed)))
-    assert texts.select(n._node_of(texts).alias("x")).distinct().count() == 50
+def test_numbers_of_texts_are_their_own(spark):
+    """Hashes of four bits for 300 keys: nearly all collide, and each still has one number."""
+    keys = spark.createDataFrame([(bytes([k % 256, k // 256]),) for k in range(300)], "text_key binary").repartition(5)
+    got = n.numbered(keys, bits=4).collect()
+    assert len(got) == 300 == len({r.node for r in got}) == len({bytes(r.text_key) for r in got})
+    assert sum(0 <= r.node < 16 for r in got) == 16
+    assert len({r.node for r in n.numbered(keys).collect()}) == 300 and n.numbered(keys.limit(0)).count() == 0
+
+
+def test_any_column_names_and_types(spark, make_docs):
+    docs = make_docs(["a b c d e f", "a b c d e f", "other words here", None]).withColumn("a.b", F.lit(1)).withColumn("back`quote", F.create_map(F.lit("k"), "doc_id")).withColumn("v", F.parse_json(F.lit('{"x":1}')))
+    kept = n.one_per_class(docs.union(docs))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["back`quote"]["k"], r["a.b"]) for r in kept.collect()) == [(0, 0, 1), (2, 2, 1), (3, 3, 1)]

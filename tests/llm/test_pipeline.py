@@ -56,3 +56,18 @@ def test_empty_and_null_texts(spark, sf, make_docs):
     for _, stage in p.STAGES:
         none = p.written(stage(spark, none, sf), "test-stage")
     assert none.count() == 0
+
+
+def test_any_columns_null_ids_and_repeated_rows(spark, sf, make_docs):
+    from pyspark.sql import functions as F
+
+    base = make_docs(["one two three four five six", "one two three four five six", "mail a.b@corp.example.com now please", None])
+    docs = base.union(base).union(make_docs({None: "some other words without an id"}))
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("back`quote", F.create_map(F.lit("k"), F.coalesce("doc_id", F.lit(-1).cast("long")))).withColumn("row", F.lit("x"))
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        now = p.written(stage(spark, now, sf), "test-stage")
+        assert now.columns == docs.columns, name
+    rows = sorted(((r.doc_id, r["back`quote"]["k"], r["a.b"], r.row) for r in now.collect()), key=repr)
+    assert rows == sorted([(0, 0, 1, "x"), (2, 2, 1, "x"), (3, 3, 1, "x"), (None, -1, 1, "x")], key=repr)
+    assert {r.doc_id for r in p.STAGES[-1][1](spark, now, sf).collect()} == {0, 2, 3, None}
