@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from docloom.llm import textbatch as tb
 from docloom.llm.tables import quoted, table, whole_row, written
@@ -38,7 +39,6 @@ KGRAM = 5
 BLOOM_BITS_EACH = 16
 BLOOM_HASHES = 3
 MOST_BLOOM_BITS = 1 << 30  # 128 MB; a larger benchmark is joined without a filter
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _PRINT = "pos int, len int, fp long, gram string, left array<string>, right array<string>"
 
@@ -176,6 +176,13 @@ def _merged_ranges(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, add)
 
 
+@F.arrow_udf(LongType())
+def word_counts(texts: pa.Array) -> pa.Array:
+    """Words of each text."""
+    out = [np.diff(tb.group_bounds(tb.words(buf, off)[3], j - i)) for i, j, buf, off in tb.text_runs(texts)]
+    return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -201,7 +208,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row a document: doc_id, text_hash (xxhash64), n_words, n_hit, items (array), hits (array of word ranges' starts and lengths)."""
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), text_key(quoted(text_col)).alias("copy_key"))
     found = hit_ranges(rows, items, **options).select(F.col("doc_id").alias("hit_id"), F.col("copy_key").alias("hit_key"), "items", "hits")
-    all_ = rows.select("doc_id", "copy_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    all_ = rows.select("doc_id", "copy_key", word_counts("text").alias("n_words"))
     both = all_.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("copy_key") == F.col("hit_key")), "left")
     covered = F.aggregate("hits", F.lit(0), lambda n, x: n + x["size"])
     none = F.array().cast("array<string>")
