@@ -19,26 +19,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe_tree, decontaminate, kneser_ney, neardup, pii
-from docloom.llm.tables import table, whole_row, written
+from docloom.llm.tables import modest_batches, table, whole_row, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney classifier keeps."""
+    modest_batches(spark)
     return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    modest_batches(spark)
     return neardup.one_per_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
+    modest_batches(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates in place of personal data; n_chars follows the new text."""
+    modest_batches(spark)
     rows = docs.select("text", F.col("n_chars").alias("old_size"), whole_row(docs, ("text",)).alias("row"))
     new = pii.with_surrogates(rows, pii.key_of(spark))
     size = F.when(F.col("pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("old_size"))
@@ -48,6 +52,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
+    modest_batches(spark)
     return bpe_tree.digest_documents(docs)
 
 

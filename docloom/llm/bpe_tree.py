@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import textbatch as tb
 from docloom.llm.tables import table
 
 LEAF_CHARS = 512
@@ -288,7 +289,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = [np.array(x, np.int32) for x in c.encode_many(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tb.frugal(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -302,7 +303,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded = [c.decode(x or []) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.mapInArrow(tb.frugal(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +319,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     decoded.append(c.decode(own))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tb.frugal(run), "doc_id long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame) -> DataFrame:

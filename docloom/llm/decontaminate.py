@@ -121,7 +121,7 @@ def item_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[found[0]] + i)), *_print_columns(low, start, end, bound, row, found, window, k)], names=["item_id", "pos", "len", "fp", "gram", "left", "right"])
 
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter("item_id IS NOT NULL")
-    return rows.mapInArrow(run, f"item_id string, {_PRINT}")
+    return rows.mapInArrow(tb.frugal(run), f"item_id string, {_PRINT}")
 
 
 def candidate_prints(docs: DataFrame, bloom: np.ndarray | None, short: list[int], window: int = WINDOW, k: int = KGRAM) -> DataFrame:
@@ -143,7 +143,7 @@ def candidate_prints(docs: DataFrame, bloom: np.ndarray | None, short: list[int]
                 of = pa.array(row[at] + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), *_print_columns(low, start, end, bound, row, (at, size, fp), window, k)], names=["doc_id", "copy_key", "pos", "len", "fp", "gram", "left", "right"])
 
-    return docs.select("doc_id", "text", "copy_key").mapInArrow(run, f"doc_id long, copy_key long, {_PRINT}")
+    return docs.select("doc_id", "text", "copy_key").mapInArrow(tb.frugal(run), f"doc_id long, copy_key long, {_PRINT}")
 
 
 def _extended(prints: DataFrame, window: int, k: int) -> DataFrame:

@@ -153,7 +153,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 chars = np.stack([code[at[first] - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(chars).view(f"<U{ORDER}").ravel().tolist(), pa.string()), pa.array(n)], names=["gram", "n"])
 
-    return docs.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(tb.frugal(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -286,7 +286,7 @@ def _measured(docs: DataFrame, text_col: str, held: object | None, unseen: float
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, new)], names=[*part.schema.names, *names])
 
     fields = [T.StructField(c, T.LongType() if c == "kn_tokens" else T.DoubleType()) for c in names]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(tb.frugal(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def _joined(docs: DataFrame, text_col: str, weights: DataFrame, unseen: float) -> DataFrame:
@@ -312,7 +312,7 @@ def _joined(docs: DataFrame, text_col: str, weights: DataFrame, unseen: float) -
                         )
 
     texts = tagged.select("kn_text", text.alias("t")).dropDuplicates(["kn_text"])
-    asked = texts.mapInArrow(run, "kn_text binary, segment long, key long, n long, one long")
+    asked = texts.mapInArrow(tb.frugal(run), "kn_text binary, segment long, key long, n long, one long")
     found = asked.join(weights.select("key", "gain"), "key", "left").groupBy("kn_text", "segment").agg(F.sum("one").alias("one"), F.sum(F.col("n") * F.coalesce("gain", F.lit(0.0)) + F.col("one") * unseen).alias("loglik"))
     summed = found.groupBy("kn_text").agg(F.sum("loglik").alias("kn_loglik"), F.max(-F.col("loglik") / F.col("one")).alias("kn_worst"))
     return tagged.join(summed, "kn_text", "left").na.fill(0.0, ["kn_loglik", "kn_worst"]).select(*docs.columns, *_SCORES)

@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> D
                 lists = tb.arrow_lists(values, np.concatenate([[0], np.cumsum(counts)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["doc_id", "text_key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
+    return docs.mapInArrow(tb.frugal(run), "doc_id long, text_key binary, bands array<long>")
 
 
 def _links(sizes: np.ndarray, values: np.ndarray, bound: np.ndarray, threshold: float) -> np.ndarray:
@@ -165,7 +165,7 @@ def verified_links(sets: DataFrame, threshold: float = THRESHOLD, block: int = B
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["node", "n_links", "root"])
 
     dealt = keyed.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return dealt.mapInArrow(run, "node long, n_links long, root long")
+    return dealt.mapInArrow(tb.frugal(run), "node long, n_links long, root long")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -197,7 +197,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 lists = tb.arrow_lists(tb.signed(np.concatenate(sets)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(3)] + [lists], names=["comp", "node", "blocks", "grams"])
 
-    return docs.mapInArrow(run, "comp long, node long, blocks long, grams array<long>")
+    return docs.mapInArrow(tb.frugal(run), "comp long, node long, blocks long, grams array<long>")
 
 
 def numbered(texts: DataFrame, key: str = "text_key", bits: int = 64) -> DataFrame:

@@ -59,6 +59,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm import textbatch as tb
 from docloom.llm.tables import quoted, table, written
 
 KEY_CONF = "spark.docloom.pii.key"
@@ -450,7 +451,7 @@ def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     found.append(e[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["row_key", "kind", "entity"])
 
-    return docs.select(F.xxhash64(quoted(text_col)).alias("row_key"), quoted(text_col).alias("text")).mapInArrow(run, "row_key long, kind string, entity string")
+    return docs.select(F.xxhash64(quoted(text_col)).alias("row_key"), quoted(text_col).alias("text")).mapInArrow(tb.frugal(run), "row_key long, kind string, entity string")
 
 
 def lone_first_names(mentions: DataFrame, key: bytes) -> DataFrame:
@@ -463,7 +464,7 @@ def lone_first_names(mentions: DataFrame, key: bytes) -> DataFrame:
 
     names = lambda kind: mentions.filter(F.col("kind") == kind).select("entity").distinct()
     alone = names("lone").join(names("given"), "entity", "left_semi").join(names("last"), "entity", "left_anti")
-    return alone.select(F.lit("lone").alias("kind"), "entity").mapInArrow(step, "kind string, entity string, surrogate string")
+    return alone.select(F.lit("lone").alias("kind"), "entity").mapInArrow(tb.frugal(step), "kind string, entity string, surrogate string")
 
 
 def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
@@ -483,7 +484,7 @@ def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
                 new = [part_surrogate(k, s, own) if turn < MAX_TRIES else drawn(k, s, turn - MAX_TRIES, key) for k, s in pairs]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
-        return rows.select("kind", "entity").mapInArrow(step, schema)
+        return rows.select("kind", "entity").mapInArrow(tb.frugal(step), schema)
 
     known = written(mentions.filter(~F.col("kind").isin(*ROLES)).select("kind", "entity").distinct(), "entities")
     first = written(tried(known, 0), "surrogates")
@@ -532,7 +533,7 @@ def _rewrite(rows: DataFrame, key: bytes, given: object | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, kind)], names=["row", "text", "pii_n", "pii_spans"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]).add("pii_n", T.LongType()).add("pii_spans", T.StructType.fromDDL(f"x {_SPANS}")["x"].dataType)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tb.frugal(run), schema)
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", exception_rows: int = EXCEPTION_ROWS) -> DataFrame:

@@ -42,6 +42,15 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_CONF, SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, as a batch is held in the JVM and twice in Python; a session's own setting stays."""
+    if spark.conf.get(BATCH_CONF, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def quoted(name: str) -> Column:
     """A column by its name, whatever signs that has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -7,18 +7,50 @@ that is a run of its own.  Texts are never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 21
+FRUGAL = 16
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim  # of the C library on Linux
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay, and what one step has freed the next one's JVM may need."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that gives back what it has freed, after every ``FRUGAL`` batches and at its end."""
+
+    @wraps(run)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(run(batches), 1):
+            yield batch
+            if k % FRUGAL == 0:
+                give_back()
+        give_back()
+
+    return done
+
+
 def word_table() -> np.ndarray:
     """Byte -> lower-cased byte for word bytes (0-9, A-Z, a-z, all from 0x80), else 0."""
     table = np.zeros(256, np.uint8)
