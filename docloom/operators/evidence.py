@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import field_score, query_tokens
 
+# Weights of fields by artifact, and what a phrase that a field holds adds.
 WEIGHTS = {
     "summaries": {"summary": 4.0, "title": 2.0, "category": 1.0, "headings": 1.0, "sections_text": 0.75},
     "titles": {"title": 5.0, "file_url": 1.0, "category": 0.5, "summary": 0.5, "headings": 0.75},
@@ -92,12 +93,3 @@ def plan_steps(category: str, artifacts: set[str]) -> list[str]:
     first = {"summary": ["summaries"], "locate": ["titles", "sections"], "catalog": ["titles", "summaries"], "document_qa": ["sections", "formulas", "tables", "terms", "relations"]}[category]
     rest = [t for t in ("sections", "titles", "summaries") if t not in first]
     return [t for t in [*first, *rest] if t in artifacts]
-
-
-def alias_score(alias: Column, query: str) -> Column:
-    """Exact 100; alias within the query 88 to 89; query of two words or more within the alias 80 to 81; by length ratio."""
-    q = " ".join(query.lower().split())
-    a = F.trim(F.regexp_replace(F.lower(alias), r"\s+", " "))
-    size = F.lit(float(max(1, len(q))))
-    inside = F.when(F.lit(len(q.split()) >= 2) & a.contains(q), 80 + F.try_divide(size, F.length(a)))
-    return F.when(a == q, 100.0).when((a != "") & F.lit(f" {q} ").contains(F.concat(F.lit(" "), a, F.lit(" "))), 88 + F.length(a) / size).otherwise(F.coalesce(inside, F.lit(0.0)))
