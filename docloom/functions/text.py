@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def blank(c: Column | str) -> Column:
     """Null and white space count as empty."""
     c = F.col(c) if isinstance(c, str) else c
@@ -78,7 +84,8 @@ def keyword_list(c: Column | str) -> Column:
 
 
 def sentences(c: Column | str, longer_than: int = 20) -> Column:
-    parts = F.transform(F.split(c if isinstance(c, Column) else F.col(c), r"(?<=[.!?])\s+"), lambda p: F.trim(p))
+    # (?<=[.!?])\s+, but looked back only from white space
+    parts = F.transform(F.split(c if isinstance(c, Column) else F.col(c), r"\s(?<=[.!?]\s)\s*"), lambda p: F.trim(p))
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 

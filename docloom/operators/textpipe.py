@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from heapq import nsmallest
+from heapq import nlargest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from docloom.functions.text import sentences
+from docloom.functions.text import let, sentences
 
 STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "not", "but", "can", "will", "its", "our", "their", "which", "into", "than", "these", "those")
 RULES = {"AI": ("machine learning", "ai", "model"), "Pricing": ("pricing", "premium", "rate"), "Risk": ("risk", "capital", "solvency"), "Reserving": ("reserve", "reserving", "claims")}
@@ -19,28 +19,33 @@ RULES = {"AI": ("machine learning", "ai", "model"), "Pricing": ("pricing", "prem
 
 _WORD = r"([a-z][a-z0-9-]*)"
 SPECIAL = r"\b(ifrs\s*17|covid[-\s]*19|solvency\s*ii)\b"
+_SPECIAL_STARTS = ("ifrs", "covid", "solvency")
 
 
 _FOUND = re.compile(_WORD)
 
 
+def _counted(text: str) -> tuple[Counter[str], Counter[str]]:
+    """Good words and pairs of adjacent good words with their counts, in the order of first occurrence."""
+    words = _FOUND.findall(text)
+    good = {w for w in set(words) if len(w) >= 3 and w not in STOP}
+    pairs = Counter(p for p in zip(words, words[1:]) if p[0] in good and p[1] in good)
+    return Counter(w for w in words if w in good), Counter({f"{a} {b}": n for (a, b), n in pairs.items()})
+
+
 def _ranked_terms(text: str, title: str, special: list[str], top_n: int) -> list[str]:
     """The best terms of one document, by score, then by kind and first place."""
-    good = lambda w: len(w) >= 3 and w not in STOP
+    (words, pairs), (heads, head_pairs) = _counted(text), _counted(title)
     score: Counter[str] = Counter()
-    first: dict[str, tuple[int, int, str]] = {}
-    words, heads = _FOUND.findall(text), _FOUND.findall(title)
-    fine, fine_heads = list(map(good, words)), list(map(good, heads))
-    kinds = (
-        ([w for w, ok in zip(words, fine) if ok], {w for w, ok in zip(heads, fine_heads) if ok}, 3, 1),
-        ([f"{a} {b}" for a, b, x, y in zip(words, words[1:], fine, fine[1:]) if x and y], {f"{a} {b}" for a, b, x, y in zip(heads, heads[1:], fine_heads, fine_heads[1:]) if x and y}, 4, 1),
-        ([" ".join(x.split()) for x in special], set(), 0, 10),
-    )
-    for kind, (found, in_title, bonus, each) in enumerate(kinds):
-        for place, (term, n) in enumerate(Counter(found).items()):  # in the order of first occurrence
+    first: dict[str, tuple[int, int]] = {}
+    for kind, (found, in_title, bonus, each) in enumerate(((words, heads, 3, 1), (pairs, head_pairs, 4, 1), (Counter(" ".join(x.split()) for x in special), (), 0, 10))):
+        for place, (term, n) in enumerate(found.items()):
             score[term] += each * n + (bonus if term in in_title else 0)
-            first.setdefault(term, (kind, place, term))
-    return nsmallest(top_n, score, key=lambda t: (-score[t], first[t]))
+            first.setdefault(term, (kind, place))
+    if len(score) > top_n:
+        least = nlargest(top_n, score.values())[-1] if top_n > 0 else 0
+        score = {t: n for t, n in score.items() if n >= least}
+    return sorted(score, key=lambda t: (-score[t], first[t]))[:top_n]
 
 
 def ranked_terms(text: Column, title: Column, special: Column, top_n: int) -> Column:
@@ -59,8 +64,16 @@ def keyword_column(text: Column, title: Column, top_n: int = 8) -> Column:
     title has it; special names 10 for each time, in title or text.  Ties go to words before
     pairs before special names, then to the first to occur.  A null text has none.
     """
-    low = F.regexp_replace(F.lower(F.concat_ws("\n", title, text)), "[–—]", "-")
-    return ranked_terms(F.lower(text), F.lower(title), F.regexp_extract_all(low, F.lit(SPECIAL), 1), top_n)
+    low = F.replace(F.replace(F.lower(F.concat_ws("\n", title, text)), F.lit("–"), F.lit("-")), F.lit("—"), F.lit("-"))
+    return ranked_terms(F.lower(text), F.lower(title), let(low, _special), top_n)
+
+
+def _special(low: Column) -> Column:
+    """The special names of a text; only texts with the start of one are searched."""
+    some = F.lit(False)
+    for start in _SPECIAL_STARTS:
+        some = some | low.contains(start)
+    return F.when(some, F.regexp_extract_all(low, F.lit(SPECIAL), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def first_line(text: Column | str) -> Column:
@@ -74,9 +87,10 @@ def keywords(docs: DataFrame, top_n: int = 8) -> DataFrame:
 
 def ranked_sentences(text: Column, terms: Column) -> Column:
     """Sentences as struct(hits, pos, sentence), those with most of the terms first; equal ones stay in their order."""
-    low = F.transform(terms, lambda t: F.lower(t))
-    hits = lambda s: F.size(F.filter(low, lambda t: F.contains(F.lower(s), t)))
-    return F.array_sort(F.transform(sentences(text), lambda s, i: F.struct((-hits(s)).alias("less"), i.alias("pos"), s.alias("sentence"))))
+    found = lambda s, low: F.size(F.filter(low, lambda t: F.contains(s, t)))
+    hits = lambda s, low: let(F.lower(s), lambda x: found(x, low))
+    rows = lambda low: F.transform(sentences(text), lambda s, i: F.struct((-hits(s, low)).alias("less"), i.alias("pos"), s.alias("sentence")))
+    return F.sort_array(let(F.transform(terms, lambda t: F.lower(t)), rows))
 
 
 def summary_column(text: Column, terms: Column, max_sentences: int = 4) -> Column:
