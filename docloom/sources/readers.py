@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.text import let
+
 _LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"'>]+)["']"""
 
 
@@ -68,14 +70,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def detect_kind(content: Column) -> Column:
     """Kind of a binary by its first 512 bytes; HTML by what stands first behind white space."""
-    head = F.substring(content, 1, 512)
-    text = F.decode(head, "ISO-8859-1")
-    start = F.lower(F.substring(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""), 1, 256))
-    zeros = F.length(text) - F.length(F.replace(text, F.lit("\u0000"), F.lit("")))
-    return (
-        F.when(text.startswith("%PDF"), "pdf").when(F.hex(head).startswith("FFD8FF"), "jpeg").when(F.hex(head).startswith("89504E470D0A1A0A"), "png")
-        .when(start.startswith("<!doc") | start.startswith("<html"), "html").when((F.length(text) > 0) & (zeros <= F.length(text) * 0.01), "txt").otherwise("unknown")
-    )
+    begin = lambda text: F.lower(F.substring(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""), 1, 256))
+    zeros = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\u0000"), F.lit("")))
+
+    def kind(head: Column, text: Column) -> Column:
+        page = let(begin(text), lambda x: x.startswith("<!doc") | x.startswith("<html"))
+        return (
+            F.when(text.startswith("%PDF"), "pdf").when(F.hex(head).startswith("FFD8FF"), "jpeg").when(F.hex(head).startswith("89504E470D0A1A0A"), "png")
+            .when(page, "html").when((F.length(text) > 0) & (zeros(text) <= F.length(text) * 0.01), "txt").otherwise("unknown")
+        )
+
+    return let(F.substring(content, 1, 512), lambda head: let(F.decode(head, "ISO-8859-1"), lambda text: kind(head, text)))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

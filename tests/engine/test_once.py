@@ -1,5 +1,7 @@
 """Long texts are worked out once within their row, with the results of the plain rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -32,3 +34,11 @@ def test_terms_of_one_document(spark):
     got = {r.i: r.k for r in rows.select("i", textpipe.keyword_column(F.col("t"), F.col("h")).alias("k")).collect()}
     assert got["x"][:3] == ["solvency ii", "covid-19", "covid - 19"]
     assert got["y"] == [] and got["z"] == ["covid 19"]
+
+
+def test_kinds_look_at_a_beginning_once(spark):
+    from docloom.sources import readers
+
+    df = spark.createDataFrame([(bytearray(b" <!DOCTYPE html>"),), (bytearray(b"x\0"),), (None,)], "c binary").select(readers.detect_kind(F.col("c")).alias("k"))
+    assert len(re.findall(r"substring\(c#", plan(df))) == 1
+    assert [r.k for r in df.collect()] == ["html", "unknown", "unknown"]
