@@ -64,11 +64,14 @@ def file_text(content: Column, local_path: Column, kind: Column) -> tuple[Column
 
 def related(text: Column, title: Column, keywords: Column, terms: tuple[str, ...]) -> Column:
     """A term, or a keyword, stands in title or text."""
-    hay = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), text))
-    out = F.exists(keywords, lambda k: F.contains(hay, F.lower(k)))
-    for t in terms:
-        out = out | hay.contains(t)
-    return out
+
+    def said(hay: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | hay.contains(t)
+        return out | F.exists(keywords, lambda k: F.contains(hay, F.lower(k)))
+
+    return tx.let(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), text)), said)
 
 
 def described(rows: DataFrame, source: str = "markdown", ai_only: bool = False, terms: tuple[str, ...] = AI_TERMS, rules: dict[str, tuple[str, ...]] = textpipe.RULES) -> DataFrame:

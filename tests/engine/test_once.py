@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import textpipe
+from docloom.operators import cataloging, textpipe
 
 
 def plan(df):
@@ -42,3 +42,10 @@ def test_kinds_look_at_a_beginning_once(spark):
     df = spark.createDataFrame([(bytearray(b" <!DOCTYPE html>"),), (bytearray(b"x\0"),), (None,)], "c binary").select(readers.detect_kind(F.col("c")).alias("k"))
     assert len(re.findall(r"substring\(c#", plan(df))) == 1
     assert [r.k for r in df.collect()] == ["html", "unknown", "unknown"]
+
+
+def test_related_texts_are_lowered_once(spark):
+    rows = spark.createDataFrame([("of an LLM", "t", ["zzz"]), ("words", None, ["Word"]), ("x", "y", ["z"]), ("x", "y", [])], "t string, h string, k array<string>")
+    df = rows.select(cataloging.related(F.col("t"), F.col("h"), F.col("k"), cataloging.AI_TERMS).alias("r"))
+    assert plan(df).count("lower(concat_ws") == 1
+    assert [r.r for r in df.collect()] == [True, True, False, False]
