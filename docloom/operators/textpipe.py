@@ -104,19 +104,25 @@ def summarize(docs: DataFrame, terms: Column, max_sentences: int = 4) -> DataFra
     return docs.select("doc_id", summary_column(F.col("text"), terms, max_sentences).alias("summary"))
 
 
+def _whole_word(term: str) -> str:
+    """A pattern of the term as a whole word; a term of plain characters is found first and its edges are looked at then."""
+    if re.fullmatch(r"[a-z0-9_ -]+", term):
+        return rf"{term}(?<![a-z0-9_]{term})(?![a-z0-9_])"
+    return rf"(^|[^a-z0-9_]){term}([^a-z0-9_]|$)"
+
+
 def category_score(text: Column, terms: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for t in terms:
-        total = total + F.when(text.rlike(rf"(^|[^a-z0-9_]){t}([^a-z0-9_]|$)"), 1).otherwise(0)
+        total = total + F.when(text.rlike(_whole_word(t)), 1).otherwise(0)
     return total
 
 
 def categorize(text: Column, rules: dict[str, tuple[str, ...]] = RULES, top: int = 3) -> Column:
     """Up to three rule names by number of matching terms, joined by '; ', else Other."""
-    low = F.lower(text)
-    scored = F.array(*[F.struct((-category_score(low, terms)).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(rules.items())])
-    hit = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, top)
-    return F.when(F.size(hit) > 0, F.array_join(F.transform(hit, lambda x: x["name"]), "; ")).otherwise("Other")
+    scored = lambda low: F.array(*[F.struct((-category_score(low, terms)).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(rules.items())])
+    hit = F.slice(F.sort_array(F.filter(let(F.lower(text), scored), lambda x: x["s"] < 0)), 1, top)
+    return let(hit, lambda h: F.when(F.size(h) > 0, F.array_join(F.transform(h, lambda x: x["name"]), "; ")).otherwise("Other"))
 
 
 def classify_question(q: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -12,6 +13,23 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+ODD = ["", "The of.", "other of_x theory", "x the", "the\n", "the", "THE-of", "a𝐀the b", "éthe", "1the the1 of", "of\r\nla LE", "der,und;des de", None, "ofof the the"]
+
+
+@pytest.mark.parametrize("term", ["the", "of", "machine learning", "a.b", "x|of"])
+def test_whole_words_are_those_of_the_plain_pattern(spark, term):
+    rows = spark.createDataFrame([(x,) for x in [*ODD, "machine learning", "a machine learnings, machine learning.", "axb", "of x"]], "t string")
+    plain = F.coalesce(F.col("t").rlike(rf"(^|[^a-z0-9_]){term}([^a-z0-9_]|$)"), F.lit(False))
+    assert rows.filter((textpipe.category_score(F.col("t"), (term,)) == 1) != plain).count() == 0
+
+
+def test_categories_lower_a_text_once(spark):
+    rules = {"Alpha": ("the", "of"), "Beta": ("de", "la", "le"), "Gamma": ("der", "und")}
+    df = spark.createDataFrame([(x,) for x in ODD], "t string").select(textpipe.categorize(F.col("t"), rules).alias("c"))
+    assert plan(df).count("lower(") == 1
+    assert [r.c for r in df.collect()] == ["Other", "Alpha", "Other", "Alpha", "Alpha", "Alpha", "Alpha", "Alpha", "Alpha", "Alpha", "Beta; Alpha", "Gamma; Beta", "Other", "Alpha"]
+
+
 def test_sentences_are_cut_where_the_plain_pattern_cuts(spark):
     texts = ["One. Two!  Three?\n\nFour", " . a", "a.  b", "a .\tb.c! ", "...  x", "a! ?  b", ".", "", "a. b.  c"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i")
