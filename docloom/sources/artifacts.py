@@ -16,10 +16,11 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,22 +52,50 @@ class Digest:
 # --- digests ------------------------------------------------------------------------------
 
 
-def lines_digest(lines: DataFrame) -> Digest:
-    """Rows and digest of a column of texts, whatever their order and partitions; equal lines count each time."""
+def lines_digest(lines: DataFrame, levels: int | None = None) -> Digest:
+    """Rows and digest of a column of texts, whatever their order and partitions; equal lines count each time.
+
+    ``levels`` bounds the prefixes' length where a reader of the digest folds no deeper; groups are as large then
+    as they get, and are hashed in the order of a sort instead of being collected.
+    """
     (text,) = lines.columns
     hashed = stored(lines.groupBy(F.sha2(F.col(text), 256).alias("h")).agg(F.count("*").alias("n")), "line-hashes")
     kinds, rows = hashed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     width = 0
     while _FOLD * 16**width < kinds:
         width += 1
+    wide = levels is not None and levels < width
+    width = levels if wide else width
     items = hashed.select("h", F.concat_ws(":", "h", F.col("n").cast("string")).alias("item"))
     for k in range(width, -1, -1):
-        folded = items.groupBy(F.substring("h", 1, k).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("d"))
+        by = items.withColumn("p", F.substring("h", 1, k))
+        if wide and k == width:
+            folded = by.repartition("p").sortWithinPartitions("p", "item").select("p", "item").mapInArrow(_hashed_groups, "p string, d string")
+        else:
+            folded = by.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("d"))
         items = folded.select(F.col("p").alias("h"), F.concat_ws("=", "p", "d").alias("item"), "d")
     top = items.first()
     return Digest(rows, top.d if top else hashlib.sha256(b"").hexdigest())
 
 
+def _hashed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, d) of sorted (p, item): the hash of each group's items, joined by commas."""
+    done: dict[str, str] = {}
+    at, whole = None, hashlib.sha256()
+    for batch in batches:
+        for p, item in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != at:
+                if at is not None:
+                    done[at] = whole.hexdigest()
+                at, whole = p, hashlib.sha256()
+            else:
+                whole.update(b",")
+            whole.update(item.encode())
+    if at is not None:
+        done[at] = whole.hexdigest()
+    yield pa.RecordBatch.from_arrays([pa.array(done.keys(), pa.string()), pa.array(done.values(), pa.string())], names=["p", "d"])
+
+
 def artifact_digest(spark: SparkSession, folder: str, names: Iterable[str]) -> str:
     """One digest of a folder: each artifact by name, the manifest without its volatile fields."""
     whole = hashlib.sha256()
