@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import field_score, query_tokens, snippet, word_count
+from docloom.functions.text import field_score, let, query_tokens, snippet, word_count
 
 # Labels and patterns of calculation terms, in order.
 TERMS = (
@@ -42,15 +42,15 @@ _WORD = r"\p{L}\p{N}_"
 def heading_path(md: Column) -> Column:
     """The first two headings, else ['Markdown']."""
     found = F.slice(F.regexp_extract_all(md, F.lit(_HEADING), 1), 1, 2)
-    return F.when(F.size(found) > 0, F.transform(found, lambda h: F.trim(h))).otherwise(F.array(F.lit("Markdown")))
+    return let(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda h: F.trim(h))).otherwise(F.array(F.lit("Markdown"))))
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """One row a heading block, its heading line included; text before the first heading is a block of its own."""
+def sections(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row a heading block, its heading line included; text before the first heading is a block of its own.  Columns to keep come last."""
     parts = F.filter(F.split("md", r"(?m)^(?=[ \t]{0,3}#{1,6}[ \t])"), lambda p: F.trim(p) != "")
-    rows = docs.select("doc_id", "file_url", "title", F.posexplode(parts).alias("pos", "text"))
-    heading = F.coalesce(F.get(F.regexp_extract_all("text", F.lit(_HEADING), 1), F.lit(0)), F.lit("Markdown"))
-    return rows.select(numbered("doc_id", "section", "pos").alias("section_id"), "doc_id", "file_url", "title", F.trim(heading).alias("heading"), "text", word_count("text").cast("long").alias("token_count"))
+    rows = docs.select("doc_id", "file_url", "title", *keep, F.posexplode(parts).alias("pos", "text"))
+    heading = F.coalesce(F.nullif(F.regexp_extract("text", _HEADING, 1), F.lit("")), F.lit("Markdown"))
+    return rows.select(numbered("doc_id", "section", "pos").alias("section_id"), "doc_id", "file_url", "title", F.trim(heading).alias("heading"), "text", word_count("text").cast("long").alias("token_count"), *keep)
 
 
 def numbered(parent: str, what: str, pos: str) -> Column:
@@ -59,7 +59,8 @@ def numbered(parent: str, what: str, pos: str) -> Column:
 
 def formula_lines(text: Column) -> Column:
     """Lines, without list marks, of at most 320 characters with something on both sides of '=' and a letter; each once."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[-* ]+|[-* ]+$", ""))
+    some = F.filter(F.split(text, "\n"), lambda x: x.contains("="))
+    lines = F.transform(some, lambda x: F.regexp_replace(F.trim(x), r"^[-* ]+|[-* ]+$", ""))
     return F.array_distinct(F.filter(lines, lambda x: ~x.startswith("|") & (F.length(x) <= 320) & x.rlike(r"^\s*[^\s=][^=]*=\s*\S") & x.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")))
 
 
@@ -96,7 +97,8 @@ _TABLE = rf"(?md)^[cr]{_LINE}r{_LINE}(?!c)|^[cr]{_LINE}(?:r{_LINE})?(?:c{_LINE})
 
 def table_blocks(text: Column) -> Column:
     """The pipe tables of a text, each as its marked lines: a header, a rule or not, then rows up to a line without cells or a rule."""
-    bare = F.transform(F.split(F.coalesce(text, F.lit("")), _LINE_END), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    # lines without a bar are empty in the end
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), _LINE_END), lambda x: F.when(x.contains("|"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(""))
     inner = F.transform(bare, lambda x: F.regexp_replace(x, r"^\||\|$", ""))
     mark = lambda x: F.when(~x.contains("|"), "").when(x.rlike(_RULE), "r").otherwise("c")
     lines = F.transform(inner, lambda x: F.concat(mark(x), F.when(x.contains("|"), x).otherwise(""), F.lit("\n")))
@@ -136,8 +138,8 @@ def rows_text(rows: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.flatten(rows), lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
-def aliases(docs: DataFrame) -> DataFrame:
-    """Names of each document: title, document and rule numbers, other identifiers, and the file's stem."""
+def aliases(docs: DataFrame, *keep: str) -> DataFrame:
+    """Names of each document: title, document and rule numbers, other identifiers, and the file's stem.  Columns to keep come last."""
     t = F.col("title")
     numbers = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?:第\s*)?([0-9]+)\s*号"), 1))
     rules = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)\b(?:rule|article)\s*[-#: ]\s*([A-Za-z0-9_.-]+)"), 1))
@@ -145,7 +147,7 @@ def aliases(docs: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_extract("file_url", r"([^/?#]+)(?:[?#].*)?$", 1), r"(?<=.)\.[A-Za-z0-9]+$", "")
     ids = F.array_distinct(F.filter(F.concat(numbers, rules, others, F.array(stem)), lambda x: x != ""))
     names = F.array_distinct(F.filter(F.concat(F.array(F.coalesce(t, F.lit(""))), ids), lambda x: x != ""))
-    return docs.select("doc_id", "file_url", "title", names.alias("aliases"), ids.alias("identifiers"), numbers.alias("document_numbers"), rules.alias("rule_numbers"))
+    return docs.select("doc_id", "file_url", "title", names.alias("aliases"), ids.alias("identifiers"), numbers.alias("document_numbers"), rules.alias("rule_numbers"), *keep)
 
 
 def relations(secs: DataFrame, names: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import slug
 from docloom.operators import ready
 from docloom.sources.artifacts import PROFILES
+from docloom.sources.readers import stored
 
 RELATION = ("relation_type", "doc_id", "file_url", "title", "alias", "section_id", "section_heading", "target_type", "target_id")
 
@@ -28,20 +29,22 @@ def build(docs: DataFrame, profile: str = "general") -> dict[str, DataFrame]:
         doc, "file_url", _or("title", docs, F.col("file_url")), _or("category", docs, F.lit("general")), _or("source_site", docs, F.lit("")), _or("publish_date", docs, F.lit("")), _or("summary", docs, F.lit("")),
         keywords.alias("keywords"), ready.heading_path(F.coalesce("md", F.lit(""))).alias("headings"), chunks.cast("long").alias("rag_chunk_count"), F.coalesce("md", F.lit("")).alias("md"),
     )
-    secs = ready.sections(base).withColumn("heading_path", F.array("heading"))
+    names = ready.aliases(base)
+    # cut, counted and named within the row of their document; read by several artifacts, so stored
+    whole = ready.aliases(base, "md").withColumnRenamed("aliases", "document_aliases")
+    secs = stored(ready.sections(whole, "document_aliases"), "sections").withColumn("heading_path", F.array("heading"))
     out = {"doc_catalog.jsonl": base.drop("md"), "sections.jsonl": secs.select("section_id", "doc_id", "heading_path", "text", "token_count")}
     if profile != "general":
-        names = ready.aliases(base)
-        named = secs.join(names.select("doc_id", F.col("aliases").alias("document_aliases")), "doc_id", "left")
         out |= {
             "title_aliases.jsonl": names,
             "doc_summaries.jsonl": base.select("doc_id", "file_url", "title", "category", "summary"),
-            "sections_structured.jsonl": named.select("section_id", "doc_id", "file_url", "title", "heading_path", "heading", "text", "token_count", F.coalesce("document_aliases", none).alias("document_aliases")),
+            "sections_structured.jsonl": secs.select("section_id", "doc_id", "file_url", "title", "heading_path", "heading", "text", "token_count", F.coalesce("document_aliases", none).alias("document_aliases")),
         }
         edges = [_edges(secs, "document_has_section", "section", "section_id"), _alias_edges(names)]
         if profile == "formula":
             path = F.array("heading").alias("heading_path")
-            cards, tables, terms = ready.formula_cards(secs), ready.structured_tables(secs), _terms(secs)
+            # and these are rows of their artifacts and edges of the graph
+            cards, tables, terms = stored(ready.formula_cards(secs), "cards"), stored(ready.structured_tables(secs), "tables"), stored(_terms(secs), "terms")
             out |= {
                 "formula_cards.jsonl": cards.select("formula_id", "doc_id", "file_url", "title", "section_id", path, "heading", "formula_text", "context", "terms"),
                 "tables_structured.jsonl": tables.select("table_id", "doc_id", "file_url", "title", "section_id", path, "heading", F.col("heading").alias("caption"), "headers", "rows", "text"),
@@ -68,6 +71,7 @@ def _alias_edges(names: DataFrame) -> DataFrame:
 def _terms(secs: DataFrame) -> DataFrame:
     """Terms of each section's text and tables, once a section, named by their slug."""
     cells = F.regexp_replace(F.regexp_replace(F.array_join(ready.table_blocks(F.col("text")), "\n"), r"(?m)^[cr]", ""), r"\s*[|\n]\s*", " ")
+    cells = F.when(F.col("text").contains("|"), cells).otherwise("")
     rows = secs.withColumn("heard", F.concat_ws(" ", "text", cells))
     found = rows.select("doc_id", "file_url", "title", "section_id", "heading", "heading_path", F.explode(ready.spotted_terms(F.col("heard"))).alias("term"), ready.snippet("text", 480).alias("context"))
     low = F.lower("term")
