@@ -62,7 +62,7 @@ def field_score(tokens: list[str], c: Column | str, weight: float) -> Column:
 
 def snippet(c: Column | str, n: int = 240) -> Column:
     flat = F.trim(F.regexp_replace(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), r"\s+", " "))
-    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 3)), F.lit("...")))
+    return let(flat, lambda f: F.when(F.length(f) <= n, f).otherwise(F.concat(F.rtrim(F.substring(f, 1, n - 3)), F.lit("..."))))
 
 
 def slug(c: Column | str, fallback: str = "item") -> Column:

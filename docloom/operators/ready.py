@@ -72,8 +72,16 @@ def left_term(formula: Column) -> Column:
 
 def spotted_terms(text: Column, left: Column | None = None) -> Column:
     """The left side, then the labels of the terms that stand in the text as whole words; each once."""
-    found = [F.when(text.rlike(rf"(?i)(^|[^{_WORD}]){p}($|[^{_WORD}])"), F.lit(label)) for label, p in TERMS]
-    return F.array_distinct(F.array_compact(F.array(*([left] if left is not None else []), *found)))
+
+    def there(whole: Column, low: Column, p: str) -> Column:
+        """Looked for by its words and by its right edge before the pattern that tries every place."""
+        some = F.lit(True)
+        for word in p.split(r"\s+"):
+            some = some & low.contains(word)
+        return some & whole.rlike(rf"(?i){p}(?![{_WORD}])") & whole.rlike(rf"(?i)(^|[^{_WORD}]){p}($|[^{_WORD}])")
+
+    found = let(text, lambda whole: let(F.lower(whole), lambda low: F.array(*[F.when(there(whole, low, p), F.lit(label)) for label, p in TERMS])))
+    return F.array_distinct(F.array_compact(found if left is None else F.concat(F.array(left), found)))
 
 
 def formula_cards(secs: DataFrame) -> DataFrame:

@@ -39,6 +39,18 @@ def test_sections_get_names_in_their_row(spark):
     ]
 
 
+def test_terms_are_those_of_the_plain_patterns(spark):
+    edge = r"[^\p{L}\p{N}_]"
+    texts = ["Net  Premium", "net\npremiums", "a𝐀reserve", "reserve𝐀", "x_v v_", "V", "v\n", "\nBEL.", "belle", "éscr", "SCR-q_x", "KK discount rate", "PV BENEFITS pv\tpremiums", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i")
+    df = rows.select(ready.spotted_terms(F.col("t")).alias("x"))
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(f"(?i)(^|{edge}){p}($|{edge})"), F.lit(label)) for label, p in ready.TERMS]))
+    got = [r.x for r in df.collect()]
+    assert got == [r.x for r in rows.select(plain.alias("x")).collect()]
+    assert got[0] == ["Net Premium", "premium"] and got[5] == ["v"]
+    assert plan(df).count("lower(") == 1
+
+
 def test_lines_without_an_equals_sign_are_not_stripped(spark):
     rows = spark.createDataFrame([("* a = b -\nwords\n| x = 1 |\n - a = b\n= c\n-=-",)], "t string")
     df = rows.select(ready.formula_lines(F.col("t")).alias("x"))
