@@ -97,7 +97,10 @@ def generate(catalog: DataFrame, sets: DataFrame, chunks: DataFrame, bindings: D
     counts = made.groupBy("chunk_set_id").agg(F.count("*").cast("long").alias("chunk_count"))
     rows = fresh.join(counts, "chunk_set_id", "left").withColumns({"profile_id": F.lit(profile.profile_id), "status": F.lit("ready"), "chunk_count": F.coalesce("chunk_count", F.lit(0).cast("long")), "created_at": now, "updated_at": now})
     new_sets = merge.upsert(sets, rows.select(*SET), ["chunk_set_id"], keep=("created_at",))
-    new_chunks = merge.delete_rows(chunks, fresh.select("chunk_set_id"), ["chunk_set_id"]).unionByName(made)
+    # by ids first: texts move only if some of them have to go
+    gone = stored(chunks.select("chunk_set_id").distinct().join(fresh.select("chunk_set_id"), "chunk_set_id", "left_semi"), "chunks-gone")
+    kept = chunks if gone.isEmpty() else merge.delete_rows(chunks, gone, ["chunk_set_id"])
+    new_chunks = kept.unionByName(made)
     moved = follow(bindings, fresh, profile)
     synced = moved.filter("synced").groupBy("file_url").agg(F.count("*").alias("synced_bindings"))
     sizes = new_sets.select("chunk_set_id", "chunk_count")

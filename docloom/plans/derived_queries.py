@@ -50,7 +50,8 @@ def _states(spark, d):
  FROM ends e JOIN w ON w.sid = e.sid""")
 def _bound(spark, d):
     got = _two_runs(spark, d)
-    return got.bindings.select("kb_id", "file_url", "chunk_set_id").join(got.chunks, "chunk_set_id").select("kb_id", "file_url", "chunk_id", "chunk_index", F.md5("content").alias("digest"), "token_count")
+    chunks = got.chunks.select("chunk_set_id", "chunk_id", "chunk_index", F.md5("content").alias("digest"), "token_count")  # texts need not meet the bindings
+    return got.bindings.select("kb_id", "file_url", "chunk_set_id").join(chunks, "chunk_set_id").select("kb_id", "file_url", "chunk_id", "chunk_index", "digest", "token_count")
 
 
 @query("txt14_sets_after_runs", f"{_SETS} SELECT url AS file_url, sid AS chunk_set_id, '{_P.profile_id}' AS profile_id, sha256(md) AS markdown_hash, CASE WHEN run = 1 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-03-08' END AS created_at, CASE WHEN sid IN (SELECT sid FROM made WHERE run = 2) THEN TIMESTAMP '2024-03-08' ELSE TIMESTAMP '2024-03-01' END AS updated_at FROM sets")

@@ -56,3 +56,10 @@ def test_lines_without_an_equals_sign_are_not_stripped(spark):
     df = rows.select(ready.formula_lines(F.col("t")).alias("x"))
     assert df.first().x == ["a = b"]
     assert "Contains" in plan(df) or "contains(" in plan(df).lower()
+
+
+def test_texts_of_chunks_do_not_meet_the_bindings(spark, sf):
+    from docloom.plans import registry
+
+    top = plan(registry.queries()["txt14_bound_chunks"](spark, sf)).split("Join Inner")[0]
+    assert "md5(" not in top
