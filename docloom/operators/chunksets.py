@@ -99,7 +99,7 @@ def generate(catalog: DataFrame, sets: DataFrame, chunks: DataFrame, bindings: D
     new_sets = merge.upsert(sets, rows.select(*SET), ["chunk_set_id"], keep=("created_at",))
     # by ids first: texts move only if some of them have to go
     gone = stored(chunks.select("chunk_set_id").distinct().join(fresh.select("chunk_set_id"), "chunk_set_id", "left_semi"), "chunks-gone")
-    kept = chunks if gone.isEmpty() else merge.delete_rows(chunks, gone, ["chunk_set_id"])
+    kept = chunks if gone.isEmpty() else merge.delete_rows(chunks, gone, ["chunk_set_id"]).select(*chunks.columns)
     new_chunks = kept.unionByName(made)
     moved = follow(bindings, fresh, profile)
     synced = moved.filter("synced").groupBy("file_url").agg(F.count("*").alias("synced_bindings"))
