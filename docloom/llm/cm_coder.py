@@ -30,7 +30,8 @@ MAX_BLOCK = 2048
 FIRST_REBUILD = 16
 _SLOT_BITS = 10
 _GAIN = 8
-_ROWS = 64  # positions that the encoder mixes at a time
+_ROWS = 64  # positions that the encoder mixes at a time, and that the weights take in
+_COUNTED = 512  # positions that the frequencies take in at a time
 _P0 = 11  # order-0 frequencies add up to 1 << 11, as many as a block can have ids of its own
 _DENSE = 1 << 20
 _FULL = (1 << 48) - 1
@@ -54,21 +55,22 @@ class _Places:
     """Distinct ids of a block and the place of each of its ids among them, from 1."""
 
     def __init__(self) -> None:
-        self.seen, self.place = np.zeros(_DENSE, bool), np.zeros(_DENSE, np.int32)
+        self.place = np.zeros(_DENSE, np.int32)
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(ids) or int(ids.max()) >= _DENSE:
             own, at = np.unique(ids, return_inverse=True)
             return own, at + 1
-        self.seen[ids] = True
-        own = np.flatnonzero(self.seen[: int(ids.max()) + 1])
-        self.seen[own] = False
+        sorted_ = np.sort(ids.astype(np.int32))
+        first = np.ones(len(ids), bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=first[1:])
+        own = sorted_[first]
         self.place[own] = np.arange(1, len(own) + 1)
         return own, self.place[ids]
 
 
 class _Slots:
-    """The ids last seen behind one and behind two ids, for ``lanes`` blocks; a step reads and renews one slot of each.
+    """The ids last seen behind one and behind two ids, for ``lanes`` blocks; a step reads and renews both slots of each.
 
     A slot holds id << 2 | confidence, from 1 to 3 as hits follow one another; 0 is empty.
     Ids are places in the blocks' own id lists, 0 stands for none.
@@ -76,31 +78,35 @@ class _Slots:
 
     def __init__(self, lanes: int, width: int):
         lane = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * width, np.uint16), np.zeros(lanes << _SLOT_BITS, np.uint16)
-        self.base1, self.base2 = lane * width, lane << _SLOT_BITS
-        self.last = self.last2 = np.zeros(lanes, np.int64)
-
-    def look(self, a: int, out1: np.ndarray, out2: np.ndarray) -> None:
-        last = self.last[:a]
-        self.at1 = self.base1[:a] + last
-        self.at2 = ((self.last2[:a] * 40503 + last) & ((1 << _SLOT_BITS) - 1)) + self.base2[:a]
-        self.one.take(self.at1, out=out1, mode="clip")
-        self.two.take(self.at2, out=out2, mode="clip")
-
-    def renew(self, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
-        """p1 and p2 are the ids that the slots s1 and s2 predict."""
-        new = ids << 2 | 1
-        for table, at, s, p in ((self.one, self.at1, s1, p1), (self.two, self.at2, s2, p2)):
-            sure = s & 3
-            np.minimum(sure, 2, out=sure)
-            sure &= -(p == ids).astype(np.uint16)
-            sure += new
-            table[at] = sure
-        self.last, self.last2 = ids.astype(np.int64), self.last
-
-
-def _state(s1: np.ndarray, s2: np.ndarray, agree: np.ndarray) -> np.ndarray:
-    return (s2 & 3) << 2 | (s1 & 3) | agree.view(np.uint8) << 4
+        self.table = np.zeros(lanes * width + (lanes << _SLOT_BITS), np.uint16)
+        self.base = np.stack([lane * width, lanes * width + (lane << _SLOT_BITS)])
+        self.key, self.hashed = np.zeros((2, lanes), np.uint16), np.zeros(lanes, np.uint16)  # of the last id: times 40503
+
+    def look(self, a: int) -> np.ndarray:
+        """The slots of the first ``a`` blocks, a row for each order."""
+        self.at = self.base[:, :a] + self.key[:, :a]
+        return self.table.take(self.at, mode="clip")
+
+    def renew(self, ids: np.ndarray, slots: np.ndarray) -> None:
+        """slots: as looked up."""
+        a, new = len(ids), ids << 2
+        sure = slots ^ new
+        hit = sure < 4  # the slot has this id
+        np.minimum(sure, 2, out=sure)
+        sure *= hit
+        sure += new | 1
+        self.table[self.at] = sure
+        self.key[0, :a] = ids
+        np.bitwise_and(self.hashed[:a] + ids, (1 << _SLOT_BITS) - 1, out=self.key[1, :a])
+        np.multiply(ids, 40503, out=self.hashed[:a])  # low 16 bits
+
+
+def _state(s: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    sure = s & 3
+    state = sure[1] << 2
+    state |= sure[0]
+    state |= agree.view(np.uint8) << 4
+    return state
 
 
 class _Mixture:
@@ -116,27 +122,31 @@ class _Mixture:
         self.count = ((place > 0) & (place <= self.own)).astype(np.int32)
         self.base_cum, self.base_state, self.base_slot = lane * self.width, lane * 32, lane << _P0
         self.tally = np.zeros((lanes, 32, 3), np.int64)  # none, only order 1, order 2 was right
-        self.ids, self.s1, self.s2 = (np.zeros((longest, lanes), np.uint16) for _ in range(3))
+        self.ids, self.slots = np.zeros((longest, lanes), np.uint16), np.zeros((2, longest, lanes), np.uint16)
         self.renew(0)
 
     def renew(self, upto: int) -> None:
         """Take in the positions before ``upto``."""
+        for i in range(self.summed, upto, _COUNTED):  # block by block, so that a block's counts stay near
+            at = np.ascontiguousarray(self.ids[i : min(i + _COUNTED, upto)].T) + self.base_cum[:, None]
+            counted = np.bincount(at.ravel(), minlength=self.count.size).reshape(self.count.shape)
+            counted *= _GAIN
+            self.count += counted
         for i in range(self.summed, upto, _ROWS):
             part = slice(i, min(i + _ROWS, upto))
-            ids, p1, p2 = self.ids[part], self.s1[part] >> 2, self.s2[part] >> 2
-            at = ids + self.base_cum.astype(np.int32)
-            self.count += (np.bincount(at.ravel(), minlength=self.count.size) * _GAIN).reshape(self.count.shape).astype(np.int32)
+            ids, s = self.ids[part], self.slots[:, part]
+            p1, p2 = s >> 2
             hit2 = p2 == ids
             kind = (p1 == ids).view(np.uint8) | hit2.view(np.uint8) << 1
             np.minimum(kind, 2, out=kind)
-            at = (_state(self.s1[part], self.s2[part], p1 == p2) + self.base_state.astype(np.int32)) * 3 + kind
+            at = (_state(s, p1 == p2) + self.base_state.astype(np.int32)) * 3 + kind
             self.tally += np.bincount(at.ravel(), minlength=self.tally.size).reshape(self.tally.shape)
         self.summed = max(self.summed, upto)
         self.count[:, 0] = 0
         n, state = self.tally.sum(axis=2) + 2, np.arange(32)
         w2 = (self.tally[:, :, 2] * 4 + 2) * (7 << 11) // n * (state >> 2 & 3 > 0)
         w1 = (self.tally[:, :, 1] * 4 + 1) * (7 << 11) // n * (state & 3 > 0)
-        self.w2, self.w12 = w2.ravel(), (w2 + w1).ravel()
+        self.w2, self.w12 = w2.astype(np.int32).ravel(), (w2 + w1).astype(np.int32).ravel()
         sums = np.cumsum(self.count, axis=1, dtype=np.int32)
         share = ((1 << _P0) - self.own) / np.maximum(sums[:, -1:], 1)
         cum = (sums * share).astype(np.int32)
@@ -175,13 +185,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         raise ValueError(f"a block has at most {MAX_BLOCK} ids")
     order, running = _running(sizes)
     lanes, longest, lists, places = len(blocks), max(sizes), [], _Places()
-    whole = np.zeros((longest, lanes), np.uint16)
+    whole = np.zeros((lanes, longest), np.uint16)
     for lane, b in enumerate(order):
         own, at = places.of(blocks[b])
-        whole[: sizes[b], lane] = at
+        whole[lane, : sizes[b]] = at
         lists.append(own)
     m = _Mixture(np.array([len(x) for x in lists]), longest, False)
-    m.ids, slots = whole, _Slots(lanes, m.width)
+    m.ids = whole = np.ascontiguousarray(whole.T)
+    slots = _Slots(lanes, m.width)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
     room = longest + 4
     out, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
@@ -192,9 +203,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         j, top = min(longest, i + _ROWS - i % _ROWS, 2 * i if i >= FIRST_REBUILD else FIRST_REBUILD), int(running[i])
         for k in range(i, j):
             a = int(running[k])
-            s1, s2 = m.s1[k, :a], m.s2[k, :a]
-            slots.look(a, s1, s2)
-            slots.renew(whole[k, :a], s1, s2, s1 >> 2, s2 >> 2)
+            m.slots[:, k, :a] = found = slots.look(a)
+            slots.renew(whole[k, :a], found)
         starts, widths = _intervals(m, slice(i, j), top)
         for k in range(i, j):
             a = int(running[k])
@@ -228,17 +238,18 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _first_or_second(hit2: np.ndarray, w2: np.ndarray, w12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of order 2's part or of order 1's part; by masks, as choosing at random is slow."""
-    mask = -hit2.astype(np.int64)
-    start, size = w2 & ~mask, w12 - w2
-    return start, size + ((w2 - size) & mask)
+    """Start and size of order 2's part or of order 1's part; by products, as choosing at random is slow."""
+    start = w2 * ~hit2
+    size = w2 - start
+    size += (w12 - w2) * ~hit2
+    return start, size
 
 
 def _intervals(m: _Mixture, rows: slice, a: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size, of 1 << 16, of the ids of these positions."""
-    ids, s1, s2 = m.ids[rows, :a], m.s1[rows, :a], m.s2[rows, :a]
-    p1, p2 = s1 >> 2, s2 >> 2
-    at = _state(s1, s2, p1 == p2) + m.base_state[:a]
+    ids, s = m.ids[rows, :a], m.slots[:, rows, :a]
+    p1, p2 = s >> 2
+    at = _state(s, p1 == p2) + m.base_state[:a]
     w2, w12 = m.w2.take(at, mode="clip"), m.w12.take(at, mode="clip")
     hit2 = p2 == ids
     start, size = _first_or_second(hit2, w2, w12)
@@ -272,46 +283,49 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         data[lane * room : lane * room + words] = np.frombuffer(blobs[b], "<u2", words, _HEAD.size + packed)
     m = _Mixture(np.array([len(x) for x in lists]), longest, True)
     slots, get = _Slots(lanes, m.width), np.arange(lanes) * room
-    code, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    code, span = np.zeros(lanes), np.full(lanes, float(_FULL))  # whole numbers below 1 << 48, so doubles are exact
     for _ in range(3):
-        code = code << 16 | data[get]
+        code = code * 65536 + data[get]
         get += 1
     for i in range(longest):
         if _due(i):
             m.renew(i)
         a = int(running[i])
-        s1, s2 = m.s1[i, :a], m.s2[i, :a]
-        slots.look(a, s1, s2)
-        p1, p2 = s1 >> 2, s2 >> 2
-        at = _state(s1, s2, p1 == p2) + m.base_state[:a]
+        m.slots[:, i, :a] = found = slots.look(a)
+        p1, p2 = found >> 2
+        at = _state(found, p1 == p2) + m.base_state[:a]
         w2, w12 = m.w2.take(at, mode="clip"), m.w12.take(at, mode="clip")
         co, sp, g = code[:a], span[:a], get[:a]
-        sp >>= 16
-        v = (co / sp).astype(np.int64)
+        sp *= 1 / 65536
+        np.floor(sp, out=sp)
+        v = (co / sp).astype(np.int32)
         by2 = v < w2
         start, size = _first_or_second(by2, w2, w12)
-        ids = p1 ^ ((p1 ^ p2) & -by2.astype(np.uint16))
+        ids = p1 ^ ((p1 ^ p2) * by2)
         rest = (v >= w12).nonzero()[0]
         w = w12[rest]
         u = ((((v[rest] - w + 1) << _P0) - 1) / ((1 << 16) - w)).astype(np.int64)
-        own = m.slot.take(m.base_slot[rest] + u, mode="clip")
-        ids[rest] = own
+        u += m.base_slot[rest]
+        ids[rest] = own = m.slot.take(u, mode="clip")
         start[rest], size[rest] = m.order0(m.base_cum[rest] + own, w)
         co -= sp * start
         sp *= size
-        full = (sp < _LEAST).astype(np.int64)
-        word = data.take(g, mode="clip") & -full
+        full = sp < _LEAST
+        word = data.take(g, mode="clip")
+        word *= full
         g += full
-        full <<= 4
-        sp <<= full
-        co <<= full
-        co |= word
+        grow = full * 65535.0
+        grow += 1
+        sp *= grow
+        co *= grow
+        co += word
         m.ids[i, :a] = ids
-        slots.renew(ids, s1, s2, p1, p2)
+        slots.renew(ids, found)
+    whole = np.ascontiguousarray(m.ids.T)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for lane, b in enumerate(order):
-        at = m.ids[: sizes[b], lane].astype(np.int64) - 1
-        got = lists[lane][np.clip(at, 0, len(lists[lane]) - 1)] if sizes[b] and len(lists[lane]) else np.zeros(0, np.int64)
+        at = whole[lane, : sizes[b]].astype(np.int64) - 1
+        got = lists[lane].take(at, mode="clip") if sizes[b] and len(lists[lane]) else np.zeros(0, np.int64)
         if len(got) != sizes[b] or zlib.crc32(got.astype("<u4").tobytes()) != heads[b][2]:
             raise ValueError("checksum of a block of ids is wrong")
         result[b] = got

@@ -11,8 +11,9 @@ any of them again.
 Encoding remembers the ids of stretches: the pre-tokenizer of byte-level files never
 matches white space behind another character, nor a punctuation mark behind a letter or
 digit, so there always starts a new pre-token, and the stretches between such places are
-encoded independently by the library itself.  Files of another kind get whole texts.  Strings of special tokens in a text become
-those tokens, as the library does by default.
+encoded independently by the library itself: new ones that begin with white space and end with none
+stand behind one another in one text, whose ids are cut by the bytes of their tokens.  Files of another
+kind get whole texts.  Strings of special tokens in a text become those tokens, as the library does by default.
 
 Null texts are empty documents of one id, the end id.  Repeated rows give a document
 each; equal doc_ids, nulls first among all, stand in the order of their texts' hashes.  An
@@ -23,6 +24,7 @@ the input are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,9 +43,10 @@ from docloom.llm.tables import table, written
 
 SEGMENT_IDS = 1 << 15
 LANES = 2048
-RUN_BYTES = 1 << 22
-MEMO = 300_000
-MEMO_IDS = 4_000_000
+RUN_BYTES = 1 << 23
+JOINED_BYTES = 1 << 18
+MEMO = 1_200_000
+MEMO_IDS = 12_000_000
 _FILE = "part int, base long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<binary>"
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
@@ -56,14 +59,21 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
 
 
+def _maybe_white(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether white space may end with these last two bytes."""
+    return _WHITE[last] | _BEFORE[before] & _LAST[last]
+
+
 def _stretches(buf: np.ndarray, off: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """First bytes of the stretches: of each text, at ASCII white space behind what is surely none, and at marks behind letters or digits."""
-    head = np.zeros(len(buf), bool)
-    if len(buf) > 1:
-        before, last = np.concatenate([[0], buf[:-2]]), buf[:-1]
-        head[1:] = _WHITE[buf[1:]] & ~_WHITE[last] & ~(_BEFORE[before] & _LAST[last]) | marks[buf[1:]] & _ALNUM[last]
+    kinds = (_WHITE | marks << 1).astype(np.uint8).tobytes()
+    head = np.frombuffer(bytearray(buf.tobytes().translate(kinds)), np.uint8)
+    at = np.flatnonzero(head[1:]) + 1
+    last = buf[at - 1]
+    head[at] = np.where(head[at] == 1, ~_maybe_white(buf[np.maximum(at - 2, 0)], last), _ALNUM[last])
+    head[:1] = 0
     starts = off[:-1]
-    head[starts[starts < len(buf)]] = True
+    head[starts[starts < len(buf)]] = 1
     return np.flatnonzero(head)
 
 
@@ -73,12 +83,19 @@ class TextEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task is the unit of parallel work; the library's threads wait busily
         self._t = Tokenizer.from_file(path)
         spec = json.loads(self._t.to_str())
         kind = spec["pre_tokenizer"] or {}
         self._by_stretch = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not spec["normalizer"] and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
         self._marks = np.zeros(256, bool)
         self._marks[[c for c in range(33, 127) if not chr(c).isalnum() and not any(chr(c) in x["content"] for x in spec["added_tokens"])]] = True
+        self._bytes = np.zeros(0, np.int64)  # of each token
+        if self._by_stretch:
+            sizes = {i: len(token) for token, i in self._t.get_vocab(with_added_tokens=False).items()}  # a sign of a byte-level token stands for a byte
+            sizes |= {x["id"]: len(x["content"].encode()) for x in spec["added_tokens"]}
+            self._bytes = np.zeros(max(sizes) + 1, np.int64)
+            self._bytes[list(sizes)] = list(sizes.values())
         self._forget()
 
     def _forget(self) -> None:
@@ -96,17 +113,53 @@ class TextEncoder:
         self._ids = self._ids[np.arange(bound[-1]) + np.repeat(self._bound[keep] - bound[:-1], size)]
         self._bound, self._runs = bound, np.zeros(len(keep), np.int32)
 
+    def _apart(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self._t.encode_batch_fast(stretches.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64)
+
+    def _together(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For stretches that begin with white space and end with none: encoded as one text, cut where their bytes end."""
+        ends = np.frombuffer(stretches.buffers()[1], np.int64)[stretches.offset :][: len(stretches) + 1]
+        text = bytes(memoryview(stretches.buffers()[2])[ends[0] : ends[-1]]).decode()
+        ids = np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        done = np.cumsum(self._bytes[ids])
+        last = np.searchsorted(done, ends[1:] - ends[0])
+        if not len(done) or done[-1] != ends[-1] - ends[0] or np.any(done[last] != ends[1:] - ends[0]):
+            return self._apart(stretches)  # a token of unknown length
+        return ids, np.diff(last, prepend=-1)
+
+    def _library(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of these stretches, one after another, and how many each has."""
+        if not self._by_stretch:
+            return self._apart(new)
+        ends = np.frombuffer(new.buffers()[1], np.int64)[new.offset :][: len(new) + 1]
+        buf = np.frombuffer(new.buffers()[2], np.uint8)
+        whole = _WHITE[buf[ends[:-1]]] & ~_maybe_white(buf[np.maximum(ends[1:] - 2, 0)], buf[ends[1:] - 1])
+        size, own = np.zeros(len(new), np.int64), np.flatnonzero(whole)
+        joined, parts = new.filter(pa.array(whole)), []
+        at = np.cumsum(np.diff(ends)[own])
+        cuts = np.unique(np.searchsorted(at, np.arange(0, int(at[-1]) if len(at) else 0, JOINED_BYTES), "right"))
+        for a, b in zip(cuts, [*cuts[1:], len(own)]):
+            ids, size[own[a:b]] = self._together(joined.slice(a, b - a))
+            parts.append(ids)
+        rest, size[~whole] = self._apart(new.filter(pa.array(~whole)))
+        flat = np.concatenate([*parts, rest])
+        order = np.concatenate([own, np.flatnonzero(~whole)])
+        start = np.zeros(len(new), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return flat[np.arange(len(flat)) + np.repeat(start - (np.cumsum(size) - size), size)], size
+
     def _places(self, stretches: pa.Array) -> np.ndarray:
         """Where the ids of each of these are remembered; unknown ones are encoded first."""
         at = pc.index_in(stretches, value_set=self._known)
         place = at.fill_null(-1).to_numpy().astype(np.int64)
         if at.null_count:
             new = stretches.filter(pc.is_null(at))
-            got = [e.ids for e in self._t.encode_batch_fast(new.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+            ids, size = self._library(new)
             place[place < 0] = np.arange(len(new)) + len(self._known)
             self._known = pa.concat_arrays([self._known, new])
-            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self._bound = np.concatenate([self._bound, self._bound[-1] + np.cumsum(list(map(len, got)))])
+            self._ids = np.concatenate([self._ids, ids])
+            self._bound = np.concatenate([self._bound, self._bound[-1] + np.cumsum(size)])
             self._runs = np.concatenate([self._runs, np.zeros(len(new), np.int32)])
         self._runs[place] += 1
         return place

@@ -41,6 +41,51 @@ def test_remembered_stretches_equal_the_library(text, more):
     assert [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:])] == [TOK.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+class Counted:
+    """The library, counting the texts that it gets."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def buffers(texts):
+    raw = [x.encode() for x in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_new_stretches_are_encoded_together():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("aeinorstéß漢\x85", k=rnd.randrange(1, 12)))
+    texts = [rnd.choice([" ", "", "\n"]).join(word() + rnd.choice(["", ",", " \u3000", "<|endoftext|>", "'s "]) for _ in range(300)) for _ in range(40)]
+    texts[7:7] = [" ".join(word() for _ in range(40000)), "", " ", "x"]
+    enc = t.TextEncoder(PATH)
+    enc._t = Counted(enc._t)
+    for run in (texts[:9], texts[9:], texts):
+        ids, bound = enc.encode(*buffers(run))
+        assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [TOK.encode(x, add_special_tokens=False).ids for x in run]
+    assert enc._t.texts < len(enc._known) / 5  # each by itself before
+
+
+def test_tokens_of_unknown_length():
+    enc = t.TextEncoder(PATH)
+    enc._bytes[:] = 1
+    text = "one two three, four\nfive"
+    ids, _ = enc.encode(*buffers([text]))
+    assert ids.tolist() == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_coded_blocks_stay_as_they_are():
+    rnd = np.random.default_rng(4)
+    blocks = [rnd.integers(0, 1 << k, n) for k in (1, 3, 9, 16, 30) for n in (0, 1, 17, 700, 2048)] + [np.tile(rnd.integers(0, 50257, 60), 30)]
+    coded = c.encode(blocks)
+    assert zlib.crc32(b"".join(coded)) == 2826739524
+    assert [x.tolist() for x in c.decode(coded)] == [x.tolist() for x in blocks]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 7, 300, 50256, 65535, 1 << 30]), max_size=200), max_size=6))
 def test_coder_round_trip(blocks):
