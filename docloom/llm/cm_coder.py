@@ -31,7 +31,7 @@ FIRST_REBUILD = 16
 _SLOT_BITS = 10
 _GAIN = 8
 _ROWS = 64  # positions that the encoder mixes at a time, and that the weights take in
-_COUNTED = 512  # positions that the frequencies take in at a time
+_SLAB = 256  # blocks whose distributions are made at a time
 _P0 = 11  # order-0 frequencies add up to 1 << 11, as many as a block can have ids of its own
 _DENSE = 1 << 20
 _FULL = (1 << 48) - 1
@@ -40,7 +40,8 @@ _LEAST = 1 << 32
 
 def _pack_ids(own: np.ndarray) -> bytes:
     """Sorted distinct ids as gaps: a byte each, and four bytes behind them for each gap of 255 or more."""
-    gaps = np.diff(own, prepend=-1) - 1
+    gaps = own.copy()
+    gaps[1:] -= own[:-1] + 1
     far = gaps[gaps >= 255]
     return np.minimum(gaps, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes()
 
@@ -51,6 +52,14 @@ def _unpack_ids(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
+def _turned(table: np.ndarray) -> np.ndarray:
+    """Rows as columns, some rows at a time."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for i in range(0, len(table), _ROWS):
+        out[:, i : i + _ROWS] = table[i : i + _ROWS].T
+    return out
+
+
 class _Places:
     """Distinct ids of a block and the place of each of its ids among them, from 1."""
 
@@ -118,8 +127,8 @@ class _Mixture:
         lane = np.arange(lanes)
         place = np.arange(self.width, dtype=np.int32)[None, :]
         self.own = own.astype(np.int32)[:, None]
-        self.steps, self.beyond = np.minimum(place, self.own), place >= self.own
         self.count = ((place > 0) & (place <= self.own)).astype(np.int32)
+        self.cum, self.slot = np.zeros(self.count.size, np.uint16), np.zeros(lanes << _P0 if decoding else 0, np.uint16)
         self.base_cum, self.base_state, self.base_slot = lane * self.width, lane * 32, lane << _P0
         self.tally = np.zeros((lanes, 32, 3), np.int64)  # none, only order 1, order 2 was right
         self.ids, self.slots = np.zeros((longest, lanes), np.uint16), np.zeros((2, longest, lanes), np.uint16)
@@ -127,11 +136,8 @@ class _Mixture:
 
     def renew(self, upto: int) -> None:
         """Take in the positions before ``upto``."""
-        for i in range(self.summed, upto, _COUNTED):  # block by block, so that a block's counts stay near
-            at = np.ascontiguousarray(self.ids[i : min(i + _COUNTED, upto)].T) + self.base_cum[:, None]
-            counted = np.bincount(at.ravel(), minlength=self.count.size).reshape(self.count.shape)
-            counted *= _GAIN
-            self.count += counted
+        for lane in range(0, len(self.own), _SLAB):
+            self._distribute(slice(lane, lane + _SLAB), slice(self.summed, upto))
         for i in range(self.summed, upto, _ROWS):
             part = slice(i, min(i + _ROWS, upto))
             ids, s = self.ids[part], self.slots[:, part]
@@ -142,21 +148,29 @@ class _Mixture:
             at = (_state(s, p1 == p2) + self.base_state.astype(np.int32)) * 3 + kind
             self.tally += np.bincount(at.ravel(), minlength=self.tally.size).reshape(self.tally.shape)
         self.summed = max(self.summed, upto)
-        self.count[:, 0] = 0
         n, state = self.tally.sum(axis=2) + 2, np.arange(32)
         w2 = (self.tally[:, :, 2] * 4 + 2) * (7 << 11) // n * (state >> 2 & 3 > 0)
         w1 = (self.tally[:, :, 1] * 4 + 1) * (7 << 11) // n * (state & 3 > 0)
         self.w2, self.w12 = w2.astype(np.int32).ravel(), (w2 + w1).astype(np.int32).ravel()
-        sums = np.cumsum(self.count, axis=1, dtype=np.int32)
-        share = ((1 << _P0) - self.own) / np.maximum(sums[:, -1:], 1)
+
+    def _distribute(self, lanes: slice, new: slice) -> None:
+        """Take these positions into the order-0 distributions of some blocks, so few that their tables stay near."""
+        count, own, place = self.count[lanes], self.own[lanes], np.arange(self.width, dtype=np.int32)
+        at = _turned(self.ids[new, lanes]) + self.base_cum[: len(own), None]
+        counted = np.bincount(at.ravel(), minlength=count.size).reshape(count.shape)
+        counted *= _GAIN
+        count += counted
+        count[:, 0] = 0
+        sums = np.cumsum(count, axis=1, dtype=np.int32)
+        share = ((1 << _P0) - own) / np.maximum(sums[:, -1:], 1)
         cum = (sums * share).astype(np.int32)
-        cum += self.steps
-        cum[self.beyond] = 1 << _P0
+        cum += np.minimum(place, own)
+        cum[place >= own] = 1 << _P0
         cum[:, 0] = 0
-        self.cum = cum.astype(np.uint16).ravel()
+        self.cum.reshape(self.count.shape)[lanes] = cum
         if self.decoding:
-            places = np.broadcast_to(np.arange(1, self.width, dtype=np.uint16), (len(cum), self.width - 1))
-            self.slot = np.repeat(places.ravel(), np.diff(cum, axis=1).ravel())
+            places = np.broadcast_to(place[1:].astype(np.uint16), (len(own), self.width - 1))
+            self.slot.reshape(-1, 1 << _P0)[lanes] = np.repeat(places.ravel(), np.diff(cum, axis=1).ravel()).reshape(-1, 1 << _P0)
 
     def order0(self, at: np.ndarray, w12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids at these cells within what the single predictions leave."""
@@ -191,7 +205,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         whole[lane, : sizes[b]] = at
         lists.append(own)
     m = _Mixture(np.array([len(x) for x in lists]), longest, False)
-    m.ids = whole = np.ascontiguousarray(whole.T)
+    m.ids = whole = _turned(whole)
     slots = _Slots(lanes, m.width)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
     room = longest + 4
@@ -304,7 +318,7 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         ids = p1 ^ ((p1 ^ p2) * by2)
         rest = (v >= w12).nonzero()[0]
         w = w12[rest]
-        u = ((((v[rest] - w + 1) << _P0) - 1) / ((1 << 16) - w)).astype(np.int64)
+        u = (((v[rest] - w << _P0) + ((1 << _P0) - 1)) / ((1 << 16) - w)).astype(np.int64)
         u += m.base_slot[rest]
         ids[rest] = own = m.slot.take(u, mode="clip")
         start[rest], size[rest] = m.order0(m.base_cum[rest] + own, w)
@@ -321,7 +335,7 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         co += word
         m.ids[i, :a] = ids
         slots.renew(ids, found)
-    whole = np.ascontiguousarray(m.ids.T)
+    whole = _turned(m.ids)
     result: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for lane, b in enumerate(order):
         at = whole[lane, : sizes[b]].astype(np.int64) - 1

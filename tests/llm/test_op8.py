@@ -86,6 +86,19 @@ def test_coded_blocks_stay_as_they_are():
     assert [x.tolist() for x in c.decode(coded)] == [x.tolist() for x in blocks]
 
 
+def test_no_small_rests(monkeypatch):
+    monkeypatch.setattr(t, "LANES", 64)
+    together = []
+    for name in ("encode", "decode"):
+        monkeypatch.setattr(c, name, lambda blocks, own=getattr(c, name): together.append(len(blocks)) or own(blocks))
+    for n in (1, 64, 67, 72, 73, 200):
+        ids = np.arange(2048 * n - 5) % 50257
+        (row,) = list(t._flush([([7, 9], [ids[:100], ids[100:]])], 3, 11))
+        (got,) = list(t._documents(row.to_pylist(), {3: 1000}))
+        assert b"".join(got["ids"].to_pylist()) == ids.astype("<u4").tobytes() and got["start"].to_pylist() == [1011, 1111]
+    assert together == [1, 1, 64, 64, 67, 67, 72, 72, 36, 37, 36, 37, 66, 67, 67, 66, 67, 67]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 7, 300, 50256, 65535, 1 << 30]), max_size=200), max_size=6))
 def test_coder_round_trip(blocks):
